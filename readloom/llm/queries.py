@@ -6,18 +6,24 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from readloom.llm.line_dedup import OP10_SQL, op10_line_dedup
 from readloom.llm.packing import op8_best_fit_packing
 from readloom.llm.simhash import op5_simhash
+from readloom.llm.substring_dedup import op9_substring_dedup
 from readloom.llm.token_counts import op3_token_counts
+from readloom.llm.toxicity import op7_toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_token_counts": op3_token_counts,
         "op5_simhash": op5_simhash,
+        "op7_toxicity": op7_toxicity,
         "op8_best_fit_packing": op8_best_fit_packing,
+        "op9_substring_dedup": op9_substring_dedup,
+        "op10_line_dedup": op10_line_dedup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op10_line_dedup": OP10_SQL}

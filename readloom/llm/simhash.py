@@ -177,6 +177,13 @@ def links(distinct: DataFrame, bits: int = 3) -> DataFrame:
     return dealt.mapInArrow(verified_links(bits), "a bigint, b bigint")
 
 
+def labelled(prints: DataFrame, bits: int) -> DataFrame:
+    """(fp, first, label) per distinct fingerprint of ``prints`` (id, fp): its smallest id and its component."""
+    least = prints.groupBy("fp").agg(F.min("id").alias("first"))
+    label = common.components(links(least.select("fp"), bits))
+    return least.join(label, least.fp == label.node, "left").select("fp", "first", F.coalesce("label", "fp").alias("label"))
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", words_each: int = 3, bits: int = 3) -> DataFrame:
     """One row per row of ``docs``: ``key``, fp (signed long), component_id.
 
@@ -185,14 +192,28 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     Copies share a fingerprint and are compared once, so a group of copies costs one row however large it is.
     """
     prints = common.durable(fingerprints(docs.select(F.col(key).alias("id"), F.col(text).alias("text")), "text", words_each).select("id", "fp"))
-    least = prints.groupBy("fp").agg(F.min("id").alias("first"))
-    label = common.components(links(least.select("fp"), bits))
-    grouped = least.join(label, least.fp == label.node, "left").select("fp", "first", F.coalesce("label", "fp").alias("label"))
+    grouped = labelled(prints, bits)
     smallest = grouped.groupBy("label").agg(F.min("first").alias("component_id"))
     named = grouped.join(smallest, "label").select(F.col("fp").alias("named"), "component_id")
     return prints.join(named, prints.fp == named.named).select(F.col("id").alias(key), "fp", "component_id")
 
 
+def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", words_each: int = 3, bits: int = 3) -> DataFrame:
+    """The rows of ``docs`` that stand for their component: the one with the smallest ``key``, with all its columns.
+
+    A null key comes after all others. Where rows repeat a key, their fingerprints tell them apart, and of rows equal
+    in both one stays.
+    """
+    at = F.coalesce(F.col(key).cast("long"), F.lit((1 << 63) - 1))
+    prints = common.durable(fingerprints(docs.select(at.alias("id"), F.col(text).alias("text")), "text", words_each).select("id", "fp"))
+    keep = common.durable(labelled(prints, bits).groupBy("label").agg(F.min(F.struct("first", "fp")).alias("one")).select("one.first", F.col("one.fp").alias("kept_fp")))
+    if prints.groupBy("id").count().where("count > 1").isEmpty():
+        return docs.join(keep, at == keep["first"], "left_semi")
+    fp = common.fresh(docs, "_fp")[0]
+    own = fingerprints(docs, text, words_each, fp)
+    return own.join(keep, (at == keep["first"]) & (F.col(fp) == keep.kept_fp), "left_semi").dropDuplicates([key, fp]).drop(fp)
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = near_duplicates(common.table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
