@@ -6,17 +6,23 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from readloom.llm.html_text import op1_html_extraction
 from readloom.llm.line_dedup import OP10_SQL, op10_line_dedup
+from readloom.llm.media import op4_media_columns
 from readloom.llm.packing import op8_best_fit_packing
 from readloom.llm.simhash import op5_simhash
 from readloom.llm.substring_dedup import op9_substring_dedup
 from readloom.llm.token_counts import op3_token_counts
+from readloom.llm.topk import OP2_SQL, op2_top_k
 from readloom.llm.toxicity import op7_toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_html_extraction": op1_html_extraction,
+        "op2_top_k": op2_top_k,
         "op3_token_counts": op3_token_counts,
+        "op4_media_columns": op4_media_columns,
         "op5_simhash": op5_simhash,
         "op7_toxicity": op7_toxicity,
         "op8_best_fit_packing": op8_best_fit_packing,
@@ -26,4 +32,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_line_dedup": OP10_SQL}
+    return {"op2_top_k": OP2_SQL, "op10_line_dedup": OP10_SQL}
