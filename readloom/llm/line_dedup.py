@@ -7,18 +7,13 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from readloom.llm import common
+from readloom.llm import bloom, common
 
 BLANKS = b" \t\n\x0b\x0c\r"
-#: The filters are cut into slices by the top bits of a hash; a slice is built by one task and is 64 KB long.
-SLICES = 256
-SLICE_BITS = 1 << 19
-PROBES = 4
 #: A document without an identifier counts as one document after all others.
 LAST = (1 << 63) - 1
 
@@ -33,80 +28,19 @@ def keys_of(text: str, least: int) -> list[bytes]:
     return [k for k in keys if len(k) >= 4 * least or len(k) >= least and len(k.decode("utf-8")) >= least]
 
 
-def places(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Slice of each hash, and its PROBES bits there."""
-    spread = hashes * np.uint64(0x9E3779B97F4A7C15)
-    one, two = spread & np.uint64(0xFFFFFFFF), hashes >> np.uint64(32) | np.uint64(1)
-    bits = (one[:, None] + np.arange(PROBES, dtype="u8") * two[:, None]) & np.uint64(SLICE_BITS - 1)
-    return (spread >> np.uint64(64 - (SLICES - 1).bit_length())).astype("i8"), bits.astype("i8")
-
-
-def held(bitmap: np.ndarray, bits: np.ndarray) -> np.ndarray:
-    return (bitmap[bits >> 3] >> (bits & 7) & 1).all(axis=-1)
-
-
-def put(bitmap: np.ndarray, bits: np.ndarray) -> None:
-    np.bitwise_or.at(bitmap, bits.ravel() >> 3, np.left_shift(1, bits.ravel() & 7).astype("u1"))
-
-
-def seen_twice(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Over rows (slice, hash, often): per slice the filter of what came twice, built beside that of what came once."""
-    once: dict[int, np.ndarray] = {}
-    twice: dict[int, np.ndarray] = {}
-    for batch in batches:
-        hashes, often = batch.column(1).to_numpy().view("u8"), batch.column(2).to_numpy(zero_copy_only=False)
-        hashes, at, counts = np.unique(hashes, return_index=True, return_counts=True)
-        repeated = np.logical_or.reduceat(often[np.argsort(batch.column(1).to_numpy().view("u8"), kind="stable")], np.concatenate([[0], np.cumsum(counts)[:-1]])) | (counts > 1) if len(hashes) else np.zeros(0, bool)
-        which, bits = places(hashes)
-        for s in np.unique(which):
-            own = which == s
-            first = once.setdefault(int(s), np.zeros(SLICE_BITS // 8, "u1"))
-            again = bits[own][held(first, bits[own]) | repeated[own]]
-            put(first, bits[own])
-            if len(again):
-                put(twice.setdefault(int(s), np.zeros(SLICE_BITS // 8, "u1")), again)
-    pack = zstandard.ZstdCompressor(level=1).compress
-    for s, bitmap in twice.items():
-        yield pa.record_batch([pa.array([s], pa.int64()), pa.array([pack(bitmap.tobytes())])], names=["slice", "bitmap"])
-
-
-def repeated_line_filter(docs: DataFrame, text: str = "text", least: int = 10) -> np.ndarray:
-    """The twice-seen filter over all lines of ``docs``: SLICES x SLICE_BITS bits, 16 MB whatever the corpus.
-
-    Each hash goes to the slice's task once per batch at most, marked if it came more than once there, so a line that
-    stands in most documents costs a few rows. A fuller filter suspects more lines; it never misses a repeat.
-    """
-
-    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [xxhash.xxh64_intdigest(k) for value in batch.column(0) for k in keys_of(value.as_py(), least)]
-            hashes, counts = np.unique(np.array(found, "u8"), return_counts=True)
-            yield pa.record_batch([pa.array(places(hashes)[0]), pa.array(hashes.view("i8")), pa.array(counts > 1)], names=["slice", "hash", "often"])
-
-    rows = docs.select(common.text_of(text)).mapInArrow(hashed, "slice bigint, hash bigint, often boolean")
-    slices = rows.repartition("slice").mapInArrow(seen_twice, "slice bigint, bitmap binary")
-    whole = np.zeros((SLICES, SLICE_BITS // 8), "u1")
-    unpack = zstandard.ZstdDecompressor().decompress
-    for row in slices.toLocalIterator():  # a slice belongs to one task, so SLICES rows of 64 KB at most
-        whole[row["slice"]] |= np.frombuffer(unpack(row["bitmap"]), "u1")
-    return whole
-
-
 def repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", least: int = 10) -> DataFrame:
     """(doc, digest) of every line that a document loses: its key is in at least 2 documents, and not first here."""
     common.bounded_batches(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(repeated_line_filter(docs, text, least))
+    shared = docs.sparkSession.sparkContext.broadcast(bloom.twice_seen(docs, common.text_of(text), lambda value: keys_of(value, least)))
 
     def suspected(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        whole = shared.value.ravel()
         for batch in batches:
             owners, keys = [], []
             for doc, value in zip(batch.column(0).to_numpy(), batch.column(1)):
                 own = keys_of(value.as_py(), least)
                 keys += own
                 owners.append((doc, len(own)))
-            which, bits = places(np.array([xxhash.xxh64_intdigest(k) for k in keys], "u8"))
-            hit = np.flatnonzero(held(whole, bits + which[:, None] * SLICE_BITS))
+            hit = np.flatnonzero(bloom.suspects(shared.value, keys))
             ids = np.repeat(np.array([d for d, _ in owners], "i8"), np.array([n for _, n in owners], "i8"))
             yield pa.record_batch([pa.array(ids[hit]), pa.array([digest(keys[i]) for i in hit], pa.binary())], names=["doc", "digest"])
 

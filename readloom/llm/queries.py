@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from readloom.llm.bpe_reuse import op6_bpe_round_trip
 from readloom.llm.html_text import op1_html_extraction
 from readloom.llm.line_dedup import OP10_SQL, op10_line_dedup
 from readloom.llm.media import op4_media_columns
@@ -24,6 +25,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_token_counts": op3_token_counts,
         "op4_media_columns": op4_media_columns,
         "op5_simhash": op5_simhash,
+        "op6_bpe_round_trip": op6_bpe_round_trip,
         "op7_toxicity": op7_toxicity,
         "op8_best_fit_packing": op8_best_fit_packing,
         "op9_substring_dedup": op9_substring_dedup,
