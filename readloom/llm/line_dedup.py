@@ -47,7 +47,7 @@ def repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", lea
     own = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(LAST)).alias("doc"), common.text_of(text).alias("text"))
     suspects = own.mapInArrow(suspected, "doc bigint, digest binary")
     confirmed = suspects.groupBy("digest").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first <> last")
-    confirmed = confirmed.select(F.col("digest").alias("known"), "first")
+    confirmed = common.durable(confirmed.select(F.col("digest").alias("known"), "first"))  # so that the join's hot digests can be split
     return suspects.join(confirmed, suspects.digest == confirmed.known).where("doc <> first").select("doc", "digest")
 
 
