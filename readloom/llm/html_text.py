@@ -18,6 +18,8 @@ RAW = "script style noscript template textarea title iframe svg math canvas obje
 DROPPED = set("nav aside footer form button select option dialog menu label fieldset input audio video figure head".split()) | set(RAW)
 BLOCKS = set("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul caption".split())
 PARAGRAPHS = set("p pre blockquote td li dd h1 h2 h3 h4 h5 h6".split())
+#: Parts of lists and tables hold no article by themselves; points pass through them.
+PARTS = set("tr tbody thead tfoot table ul ol dl hgroup".split())
 #: A start tag of the first kind ends an open one of the second.
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPES = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "option": {"select"}}
@@ -133,6 +135,9 @@ def scored(order: list[Node]) -> None:
         share, up = 1.0, node if loose else node.parent
         depth = 0
         while up is not None and depth < 4:
+            if up.tag in PARTS:
+                up = up.parent
+                continue
             up.score += points * share
             depth += 1
             share = 0.5 if depth == 1 else 0.5 / (depth + 1)
@@ -188,7 +193,7 @@ def main_text(html: str) -> str:
     """The blocks of the best container and of siblings like it, joined by \\n; empty if the page has no text to keep."""
     order = pruned(tree(html))
     scored(order)
-    best = max((n for n in order if n.tag in BLOCKS or n.tag == "#root"), key=lambda n: n.score, default=None)
+    best = max((n for n in order if n.tag in BLOCKS and n.tag not in PARTS or n.tag == "#root"), key=lambda n: n.score, default=None)
     if best is None or best.score <= 0:
         bodies = [n for n in order if n.tag in ("article", "main")] or [n for n in order if n.tag == "body"] or order[:1]
         return "\n".join(blocks(bodies[:1]))

@@ -97,7 +97,7 @@ class Model:
         n, k = len(rows), min(NEIGHBOURS, len(self.labels))
         best, which = np.full((n, k), -1.0), np.full((n, k), -1)
         bound = rows @ self.maxima
-        for b in np.argsort(-bound.max(axis=0), kind="stable") if n else []:
+        for b in np.argsort(-bound.max(axis=0), kind="stable") if n and k else []:
             live = np.flatnonzero(bound[:, b] >= best[:, -1] - 1e-12)
             if not len(live):
                 continue
