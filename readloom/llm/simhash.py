@@ -172,7 +172,9 @@ def links(distinct: DataFrame, bits: int = 3) -> DataFrame:
     width = max(high - low for low, high in zip(edges, edges[1:]))
     if width > 57:
         raise ValueError("at least 2 bits, so that a signature fits a long")
-    keyed = distinct.select("fp", F.expr(f"explode(array({variants}))").alias("v")).select((F.shiftleft("v.col1", 57) + F.col("v.col2")).alias("signature"), "fp")
+    parts = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = distinct.repartition(parts, "fp")  # few bytes, but each row becomes 64: not to be left to a task or two
+    keyed = spread.select("fp", F.expr(f"explode(array({variants}))").alias("v")).select((F.shiftleft("v.col1", 57) + F.col("v.col2")).alias("signature"), "fp")
     dealt = keyed.repartition("signature").sortWithinPartitions("signature")
     return dealt.mapInArrow(verified_links(bits), "a bigint, b bigint")
 
