@@ -18,6 +18,8 @@ MAPPING = "struct<score:bigint,ref_start:int,cigar:string>"
 #: References up to this many letters in all are broadcast to the queries; more are joined by shuffled pairs.
 BROADCAST_LETTERS = 8 << 20
 FITTING = 254
+#: Cells of one table that pairs are swept in together (a longer pair stands alone).
+CELLS = 1 << 21
 
 
 @dataclass(frozen=True)
@@ -63,70 +65,110 @@ def encoded(s: str, alphabet: str) -> np.ndarray:
     table = np.full(256, len(alphabet) - 1, "i8")
     for i, c in enumerate(alphabet):
         table[ord(c)] = table[ord(c.lower())] = i
-    return table[np.frombuffer(s.encode("latin-1", "replace"), "u1")]
+    return table[np.frombuffer(s.encode("latin-1", "replace"), "u1")].astype("i4")
 
 
 def local_alignment(query: str, reference: str, scoring: Scoring) -> tuple[int, int, str] | None:
-    """(score, 0-based start on the reference, CIGAR with soft-clipped ends) of the best local alignment; none at score 0.
+    """(score, 0-based start on the reference, CIGAR with soft-clipped ends) of the best local alignment; none at score 0."""
+    return local_alignments([query], [reference], scoring)[0]
 
-    Rows of the query are swept over the whole reference at once; a gap along a row is a running maximum, as opening
-    costs at least extending. The first best cell ends the alignment, and on the way back gaps go before matches.
+
+def local_alignments(queries: list[str], references: list[str], scoring: Scoring) -> list[tuple[int, int, str] | None]:
+    """The best local alignment of each query with its reference, in order.
+
+    Pairs are swept together, those of like sizes in one array, a query letter at a time over whole references: a gap
+    along the reference is a running maximum, as opening costs at least extending.
     """
-    n, m = len(query), len(reference)
-    if not n or not m:
-        return None
-    weights = np.array(scoring.weights, "i8")
-    q, r = encoded(query, scoring.alphabet), encoded(reference, scoring.alphabet)
+    out: list[tuple[int, int, str] | None] = [None] * len(queries)
+    order = sorted((i for i in range(len(queries)) if queries[i] and references[i]), key=lambda i: (len(references[i]), len(queries[i])))
+    at = 0
+    while at < len(order):
+        end, cells = at, 0
+        while end < len(order):  # as many as keep the three tables within CELLS
+            m = len(references[order[end]])
+            n = max(len(queries[i]) for i in order[at : end + 1]) if end == at else max(n, len(queries[order[end]]))
+            cells = (end - at + 1) * (n + 1) * (m + 1)
+            if cells > CELLS and end > at:
+                break
+            end += 1
+        group = order[at:end]
+        for i, found in zip(group, swept([queries[i] for i in group], [references[i] for i in group], scoring)):
+            out[i] = found
+        at = end
+    return out
+
+
+def padded(texts: list[str], alphabet: str) -> np.ndarray:
+    out = np.full((len(texts), max(map(len, texts))), len(alphabet), "i4")
+    for row, text in zip(out, texts):
+        row[: len(text)] = encoded(text, alphabet)
+    return out
+
+
+def swept(queries: list[str], references: list[str], scoring: Scoring) -> list[tuple[int, int, str] | None]:
+    low = -(1 << 29)
+    size = len(scoring.alphabet)
+    weights = np.full((size + 1, size + 1), low, "i4")  # what pads a text matches nothing
+    weights[:size, :size] = scoring.weights
+    q, r = padded(queries, scoring.alphabet), padded(references, scoring.alphabet)
+    count, n, m = len(q), q.shape[1], r.shape[1]
     first, more = scoring.gap_open, scoring.gap_extend
-    low = -(1 << 40)
-    best = np.zeros((n + 1, m + 1), "i8")
-    down = np.full((n + 1, m + 1), low, "i8")  # ends in a query letter against a gap
-    right = np.full((n + 1, m + 1), low, "i8")  # ends in a reference letter against a gap
-    ramp = more * np.arange(m + 1)
+    best, down, right = (np.zeros((n + 1, count, m + 1), "i4") for _ in range(3))
+    down[0], right[:] = low, low  # down ends in a query letter against a gap, right in a reference letter against one
+    ramp = (more * np.arange(m + 1)).astype("i4")
     for i in range(1, n + 1):
-        down[i] = np.maximum(best[i - 1] - first, down[i - 1] - more)
+        np.maximum(best[i - 1] - first, down[i - 1] - more, out=down[i])
         row = np.maximum(down[i], 0)
-        row[0] = 0
-        row[1:] = np.maximum(row[1:], best[i - 1, :-1] + weights[q[i - 1], r])
-        right[i, 1:] = np.maximum.accumulate(row + ramp)[:-1] - first - ramp[1:] + more
-        best[i] = np.maximum(row, right[i])
-    score = int(best.max())
+        row[:, 0] = 0
+        np.maximum(row[:, 1:], best[i - 1, :, :-1] + weights[q[:, i - 1, None], r], out=row[:, 1:])
+        right[i, :, 1:] = np.maximum.accumulate(row + ramp, axis=1)[:, :-1] - first - ramp[1:] + more
+        np.maximum(row, right[i], out=best[i])
+    return [traced(best[:, k], down[:, k], right[:, k], len(queries[k]), len(references[k]), first, more) for k in range(count)]
+
+
+def traced(best: np.ndarray, down: np.ndarray, right: np.ndarray, n: int, m: int, first: int, more: int) -> tuple[int, int, str] | None:
+    """The way back from the first best cell; gaps go before matches."""
+    inner = best[: n + 1, : m + 1]
+    end = int(inner.argmax())
+    i, j = divmod(end, m + 1)
+    score = int(inner[i, j])
     if score <= 0:
         return None
-    i, j = (int(x) for x in np.unravel_index(int(best.argmax()), best.shape))
-    ops, state = ["S"] * (n - i), "best"
-    while state != "best" or best[i, j] > 0:
-        if state == "best":
-            if best[i, j] == right[i, j]:
-                state = "right"
-            elif best[i, j] == down[i, j]:
-                state = "down"
+    runs: list[list] = [[n - i, "S"]]
+
+    def step(op: str) -> None:
+        if runs[-1][1] == op:
+            runs[-1][0] += 1
+        else:
+            runs.append([1, op])
+
+    state = "M"
+    while state != "M" or best[i, j] > 0:
+        if state == "M":
+            here = best[i, j]
+            if here == right[i, j]:
+                state = "D"
+            elif here == down[i, j]:
+                state = "I"
             else:
-                ops.append("M")
+                step("M")
                 i, j = i - 1, j - 1
-        elif state == "right":
-            ops.append("D")
-            state = "right" if right[i, j] == right[i, j - 1] - more and right[i, j] != best[i, j - 1] - first else "best"
+        elif state == "D":
+            step("D")
+            state = "D" if right[i, j] == right[i, j - 1] - more and right[i, j] != best[i, j - 1] - first else "M"
             j -= 1
         else:
-            ops.append("I")
-            state = "down" if down[i, j] == down[i - 1, j] - more and down[i, j] != best[i - 1, j] - first else "best"
+            step("I")
+            state = "I" if down[i, j] == down[i - 1, j] - more and down[i, j] != best[i - 1, j] - first else "M"
             i -= 1
-    ops += ["S"] * i
-    out, last, count = [], "", 0
-    for op in [*reversed(ops), ""]:
-        if op == last:
-            count += 1
-        else:
-            out.append(f"{count}{last}" if last else "")
-            last, count = op, 1
-    return score, j, "".join(out)
+    runs.append([i, "S"])
+    return score, j, "".join(f"{k}{op}" for k, op in reversed(runs) if k)
 
 
 def mapping(query: Column, reference: Column, scoring: Scoring) -> Column:
     @arrow_udf(MAPPING)
     def aligned(queries: pa.Array, references: pa.Array) -> pa.Array:
-        rows = [local_alignment(a.as_py(), b.as_py(), scoring) for a, b in zip(queries, references)]
+        rows = local_alignments(queries.to_pylist(), references.to_pylist(), scoring)
         kind = pa.struct([("score", pa.int64()), ("ref_start", pa.int32()), ("cigar", pa.string())])
         return pa.array([None if x is None else dict(zip(("score", "ref_start", "cigar"), x)) for x in rows], kind)
 

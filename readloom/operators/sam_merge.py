@@ -123,7 +123,7 @@ def merged(pairs: DataFrame, reference: str, bowtie: bool = False) -> DataFrame:
     reach = lambda n, i: (i >= F.col(f"s{n}")) & (i < F.col(f"e{n}"))
     at = lambda n, what, i: F.when(reach(n, i), F.substring(F.col(f"a{n}.{what}"), i - F.col(f"s{n}") + 1, F.lit(1)))
     inserted = lambda n, i: F.get(F.filter(F.col(f"a{n}.ins"), lambda x: x["r"] == i), F.lit(0))
-    base_of = F.when(F.length(ref) >= F.col("end"), F.lit(True)).otherwise(F.raise_error(F.lit("an alignment goes past the end of the reference")).cast("boolean"))
+    base_of = F.when(F.col("end").isNull() | (F.length(ref) >= F.col("end")), F.lit(True)).otherwise(F.raise_error(F.lit("an alignment goes past the end of the reference")).cast("boolean"))
 
     def laid(i: Column) -> Column:
         return F.struct(
@@ -145,10 +145,14 @@ def merged(pairs: DataFrame, reference: str, bowtie: bool = False) -> DataFrame:
         pick("pos", F.col("start") + 1, F.lit(0)).alias("pos"), pick("mapq", F.floor((F.col("r1.mapq") + F.col("r2.mapq")) / 2).cast("int"), F.lit(255)).alias("mapq"),
         pick("cigar", cigar.condensed(F.concat(hard(True), text("c"), hard(False))), F.lit("*")).alias("cigar"),
         pick("seq", text("s"), F.lit("*")).alias("seq"), pick("qual", text("q"), F.lit("*")).alias("qual"),
-        *(F.coalesce(F.aggregate("sites", F.lit(0), lambda s, p, f=f: s + p[f]), F.lit(0)).cast("long").alias(f) for f in STATS),
+        *(F.coalesce(F.aggregate("sites", F.lit(0), adding(f)), F.lit(0)).cast("long").alias(f) for f in STATS),
     )
 
 
+def adding(field: str):
+    return lambda total, p: total + p[field]
+
+
 def mergeable() -> Column:
     """Both mates are there, with qualities."""
     return F.col("r1").isNotNull() & F.col("r2").isNotNull() & ~F.col("r1.qual").isin("", "*") & ~F.col("r2.qual").isin("", "*")

@@ -290,7 +290,7 @@ def preprocess_widows(spark: SparkSession, d: str) -> DataFrame:
 
 def lot(key: str):
     """A lot that the second engine can draw too: the first 15 hex digits of a hash, as a number."""
-    return F.conv(F.substring(F.md5(F.concat(F.col(key).cast("string"), F.lit("lot"))), 1, 15), 16, 10).cast("long") * 16
+    return F.conv(F.substring(F.md5(F.concat(F.col(key).cast("string"), F.lit("lot"))), 1, 15), 16, 10).cast("long")
 
 
 LOT = "substring(md5(concat(CAST({} AS STRING), 'lot')), 1, 15)"
@@ -352,10 +352,10 @@ def sam_merge_stats(spark: SparkSession, d: str) -> DataFrame:
     return sam_merge.merge_sam(aligned(spark, d), views.RNAME, views.REFERENCE)[1]
 
 
-@register("sam_pairs", PAIR_SQL + "SELECT mol, max(CASE WHEN slot = 1 THEN ord END) AS o1, max(CASE WHEN slot = 2 THEN ord END) AS o2 FROM c GROUP BY mol")
+@register("sam_pairs", PAIR_SQL + "SELECT mol, coalesce(max(CASE WHEN slot = 1 THEN ord END), -1) AS o1, coalesce(max(CASE WHEN slot = 2 THEN ord END), -1) AS o2 FROM c GROUP BY mol")
 def sam_pairs(spark: SparkSession, d: str) -> DataFrame:
     mol = F.get(F.split("mol", ":"), F.lit(5))
-    return sam_merge.pair_up(aligned(spark, d), views.RNAME).select(mol.alias("mol"), F.col("r1.ord").alias("o1"), F.col("r2.ord").alias("o2"))
+    return sam_merge.pair_up(aligned(spark, d), views.RNAME).select(mol.alias("mol"), F.coalesce("r1.ord", F.lit(-1)).alias("o1"), F.coalesce("r2.ord", F.lit(-1)).alias("o2"))
 
 
 @register("sam_merge_records")

@@ -40,9 +40,9 @@ DUP = """CAST(1 AS INT) AS src, id AS ord, concat('d', CAST(id AS STRING), chr(9
  substring(translate(concat(h, md5(h)), '0123456789abcdef', 'ACGTACGTACGTACGN'), 1, 40) AS sequence,
  substring(translate(concat(md5(concat(h, 'q')), h), '0123456789abcdef', '!#%5:?ABCDEFGHIJ'), 1, 40) AS quality"""
 
-IN_SAM = "l_orderkey, l_linenumber, md5(concat(CAST(l_orderkey AS STRING), '-', CAST(l_linenumber AS STRING))) AS h, CAST(l_partkey % 23 AS INT) AS p, CAST(l_suppkey % 6 AS INT) AS k"
+IN_SAM = "l_orderkey, l_linenumber, l_partkey, l_suppkey, md5(concat(CAST(l_orderkey AS STRING), '-', CAST(l_linenumber AS STRING))) AS h, CAST(l_partkey % 23 AS INT) AS p, CAST(l_suppkey % 6 AS INT) AS k"
 #: Each read copies the reference and changes some bases; its CIGAR is one of six, of 20 reference bases each.
-SAM = f"""CAST(l_orderkey * 8 + l_linenumber AS BIGINT) AS ord,
+SAM = f"""CAST((l_orderkey * 8 + l_linenumber) * 1000000000 + l_partkey * 1000 + l_suppkey % 1000 AS BIGINT) AS ord,
  concat('M1:9:F:1:2:', CAST(l_orderkey AS STRING), ':5 ', CASE WHEN l_orderkey % 5 = 0 THEN '0' ELSE CAST(1 + l_linenumber % 2 AS STRING) END, ':N:0:A') AS qname,
  CAST(0 AS INT) AS flag, CASE WHEN p = 22 THEN '*' ELSE '{RNAME}' END AS rname, CAST(1 + p AS INT) AS pos, CAST(20 + l_linenumber AS INT) AS mapq,
  CASE k WHEN 0 THEN '20M' WHEN 1 THEN '8M2D10M' WHEN 2 THEN '9M2I11M' WHEN 3 THEN '3S20M' WHEN 4 THEN '2H20M4H' ELSE '9M1I11M' END AS cigar,

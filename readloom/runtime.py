@@ -49,7 +49,7 @@ def processors(physical: bool = False, halved: bool = False, env: Mapping[str, s
     """
     env = os.environ if env is None else env
     number = lambda name: int(env[name]) if env.get(name, "").isdigit() else None
-    if (override := number("LOCAL_PROCS_OVERRIDE")) is not None:
+    if override := number("LOCAL_PROCS_OVERRIDE"):
         found = override
     else:
         found = os.cpu_count() or 1
@@ -60,7 +60,7 @@ def processors(physical: bool = False, halved: bool = False, env: Mapping[str, s
             except OSError:
                 pass
         limit = number("NSLOTS")
-        limit = number("IFX_LOCAL_PROCS") if limit is None else limit
+        limit = number("IFX_LOCAL_PROCS") if limit is None else limit  # 0 is no limit
         if cap and limit:
             found = min(found, limit)
     return max(1, found // 2) if halved else found
