@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from readloom.functions import headers
+from readloom.operators.trim import settled
 
 READ = ("src", "ord", "header", "sequence", "quality")
 
@@ -38,8 +39,8 @@ def deinterleave(reads: DataFrame, check: bool = True) -> DataFrame:
 
 def checked(pairs: DataFrame, ids: bool = True) -> DataFrame:
     """``pairs`` through a filter that raises on the first bad pair it meets; no later projection can drop it."""
-    problem = fault(ids)
-    return pairs.where(F.when(problem.isNull(), F.lit(True)).otherwise(F.raise_error(problem).cast("boolean")))
+    told = settled(pairs.withColumn("_fault", fault(ids)), ["_fault"])
+    return told.where(F.when(F.col("_fault").isNull(), F.lit(True)).otherwise(F.raise_error("_fault").cast("boolean"))).drop("_fault")
 
 
 def fault(ids: bool = True) -> Column:
