@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
+from itertools import accumulate
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
-import regex
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,40 +18,40 @@ from readloom.llm import common
 from readloom.llm.line_dedup import LAST
 
 #: A unit ends with its line or sentence; white space after it belongs to it.
-UNIT = regex.compile(r"[^\n.!?]*(?:[.!?]+[^\s.!?]+[^\n.!?]*)*(?:[.!?]+|\n|$)\s*")
-#: Longer units are cut after words chosen by their own hash, so that a passage without stops is cut alike anywhere.
-LONG_WORDS = 24
-CUT_EVERY = 8
+UNIT = re.compile(r"[^\n.!?]*[\n.!?]+\s*|[^\n.!?]+\Z")
+#: Longer units are cut after words chosen by their own hash, so that a passage is cut alike wherever it stands.
+LONG_WORDS = 12
+CUT_EVERY = 6
 #: Shorter units are no evidence by themselves; they go with repeated units on both sides.
 LEAST_WORDS = 3
 #: A run of repeated units is removed from so many words on.
 RUN_WORDS = 25
-WORD = regex.compile(r"\S+\s*")
+WORD = re.compile(r"\S+\s*")
 
 
-def units(text: str) -> list[tuple[int, int, int, bytes]]:
-    """(start, end, words, digest) of the units of ``text``; together they are the whole text."""
-    out = []
+def units(text: str, digests: bool = True) -> list[tuple[int, int, int, bytes]]:
+    """(start, end, words, digest) of the units of ``text``; together they are the whole text.
+
+    The digest is of the lower-cased words with single spaces; units of under LEAST_WORDS words have none.
+    """
+    out, at = [], 0
     digest = xxhash.xxh3_128_digest
-    for m in UNIT.finditer(text):
-        start, end = m.span()
-        if start == end:
-            continue
-        part = m.group()
+    for part in UNIT.findall(text):
+        end = at + len(part)
         words = part.lower().split()
-        if len(words) <= LONG_WORDS:
-            out.append((start, end, len(words), digest(" ".join(words).encode("utf-8"))))
+        n = len(words)
+        if n <= LONG_WORDS:
+            out.append((at, end, n, digest(" ".join(words).encode("utf-8")) if digests and n >= LEAST_WORDS else b""))
+            at = end
             continue
-        begun, since, at = start, [], start
-        for w in WORD.finditer(text, start, end):
-            word = w.group().lower().rstrip()
-            since.append(word)
-            at = w.end()
-            if xxhash.xxh32_intdigest(word.encode("utf-8")) % CUT_EVERY == 0:
-                out.append((begun, at, len(since), digest(" ".join(since).encode("utf-8"))))
-                begun, since = at, []
-        if since:
-            out.append((begun, end, len(since), digest(" ".join(since).encode("utf-8"))))
+        pieces = WORD.findall(part)  # as many as words; white space before the first belongs to it
+        ends = [*accumulate(map(len, pieces), initial=end - sum(map(len, pieces)))]
+        chosen = [i for i, h in enumerate(map(crc32, map(str.encode, words)), 1) if not h % CUT_EVERY]
+        first, begun = 0, at
+        for i in chosen if chosen and chosen[-1] == n else [*chosen, n]:
+            out.append((begun, ends[i], i - first, digest(" ".join(words[first:i]).encode("utf-8")) if digests and i - first >= LEAST_WORDS else b""))
+            first, begun = i, ends[i]
+        at = end
     return out
 
 
@@ -73,25 +75,30 @@ def removed_spans(found: list[tuple[int, int, int, bytes]], repeated: set[int],
 
 
 def repeated_units(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc, unit) of every unit of at least LEAST_WORDS words whose digest stands earlier, by ``key`` and then place."""
+    """(doc, unit) of every unit of at least LEAST_WORDS words whose digest stands earlier: in a document with a smaller
+    ``key``, or before it in its own."""
     common.bounded_batches(docs.sparkSession)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            owner, number, digests = [], [], []
+            owner, place, digests = [], [], []
             for doc, value in zip(batch.column(0).to_pylist(), batch.column(1)):
-                own = [(i, u[3]) for i, u in enumerate(units(value.as_py())) if u[2] >= LEAST_WORDS]
-                owner += [doc] * len(own)
-                number += [i for i, _ in own]
-                digests += [d for _, d in own]
+                seen: set[bytes] = set()
+                for i, (_, _, words, mark) in enumerate(units(value.as_py())):
+                    if words >= LEAST_WORDS:
+                        owner.append(doc)
+                        place.append(2 * i + (mark in seen))
+                        digests.append(mark)
+                        seen.add(mark)
             halves = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
-            yield pa.record_batch([pa.array(owner, pa.int64()), pa.array(number, pa.int32()), pa.array(halves[:, 0].copy()), pa.array(halves[:, 1].copy())], names=["doc", "unit", "d1", "d2"])
+            yield pa.record_batch([pa.array(owner, pa.int64()), pa.array(place, pa.int64()), pa.array(halves[:, 0].copy()), pa.array(halves[:, 1].copy())], names=["doc", "place", "d1", "d2"])
 
     own = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(LAST)).alias("doc"), common.text_of(text).alias("text"))
-    every = own.mapInArrow(cut, "doc bigint, unit int, d1 bigint, d2 bigint")
-    often = every.groupBy("d1", "d2").agg(F.min(F.struct("doc", "unit")).alias("first"), F.max(F.struct("doc", "unit")).alias("last")).where("first <> last")
-    often = often.select(F.col("d1").alias("e1"), F.col("d2").alias("e2"), "first")
-    return every.join(often, (every.d1 == often.e1) & (every.d2 == often.e2)).where("doc <> first.doc or unit <> first.unit").select("doc", "unit")
+    every = own.mapInArrow(cut, "doc bigint, place bigint, d1 bigint, d2 bigint")  # place: twice the unit, and 1 if its own text had it before
+    often = every.groupBy("d1", "d2").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first <> last")
+    often = common.durable(often.select(F.col("d1").alias("e1"), F.col("d2").alias("e2"), "first"))  # so that the join's hot digests can be split
+    joined = every.join(often, (every.d1 == often.e1) & (every.d2 == often.e2), "left").where("place % 2 = 1 or doc <> first")
+    return joined.select("doc", F.shiftright("place", 1).cast("int").alias("unit"))
 
 
 def dedup_substrings(docs: DataFrame, key: str = "doc_id", text: str = "text", run_words: int = RUN_WORDS) -> DataFrame:
@@ -111,7 +118,7 @@ def dedup_substrings(docs: DataFrame, key: str = "doc_id", text: str = "text", r
         out, spans, offsets = [], [], [0]
         for value, lost in zip(texts, drops):
             value, lost = value.as_py(), lost.as_py()
-            own = removed_spans(units(value), set(lost), run_words) if lost else []
+            own = removed_spans(units(value, False), set(lost), run_words) if lost else []
             parts, at = [], 0
             for s, e in own:
                 parts.append(value[at:s])
