@@ -22,36 +22,72 @@ UNIT = re.compile(r"[^\n.!?]*[\n.!?]+\s*|[^\n.!?]+\Z")
 #: Longer units are cut after words chosen by their own hash, so that a passage is cut alike wherever it stands.
 LONG_WORDS = 12
 CUT_EVERY = 6
-#: Shorter units are no evidence by themselves; they go with repeated units on both sides.
+#: Shorter units are joined to their like; where these are fewer words together, they go with repeated units on both sides.
 LEAST_WORDS = 3
 #: A run of repeated units is removed from so many words on.
 RUN_WORDS = 25
 WORD = re.compile(r"\S+\s*")
 
 
+def cuts(words: list[str]) -> list[int]:
+    """Where ``words`` are cut: after words chosen by their hash, but with at least LEAST_WORDS words in each piece."""
+    out, first, last = [], 0, len(words) - LEAST_WORDS
+    for i in [i for i, h in enumerate(map(crc32, map(str.encode, words)), 1) if not h % CUT_EVERY]:
+        if first + LEAST_WORDS <= i <= last:
+            out.append(i)
+            first = i
+    return [*out, len(words)]
+
+
 def units(text: str, digests: bool = True) -> list[tuple[int, int, int, bytes]]:
     """(start, end, words, digest) of the units of ``text``; together they are the whole text.
 
-    The digest is of the lower-cased words with single spaces; units of under LEAST_WORDS words have none.
+    The digest is of the lower-cased words with single spaces. Lines and sentences of under LEAST_WORDS words that
+    follow each other are joined and cut like a long sentence; only if they have under LEAST_WORDS words together do
+    they make a unit without a digest.
     """
     out, at = [], 0
     digest = xxhash.xxh3_128_digest
+    words: list[str] = []
+    ends: list[int] = []  # the end of each word's piece of text
+    begun = 0
+
+    def pieces() -> None:
+        nonlocal begun
+        first = 0
+        for i in cuts(words):
+            out.append((begun, ends[i - 1], i - first, digest(" ".join(words[first:i]).encode("utf-8")) if digests and i - first >= LEAST_WORDS else b""))
+            first, begun = i, ends[i - 1]
+        words.clear()
+        ends.clear()
+
     for part in UNIT.findall(text):
         end = at + len(part)
-        words = part.lower().split()
-        n = len(words)
-        if n <= LONG_WORDS:
-            out.append((at, end, n, digest(" ".join(words).encode("utf-8")) if digests and n >= LEAST_WORDS else b""))
+        own = part.lower().split()
+        n = len(own)
+        if n < LEAST_WORDS:
+            if n:
+                words += own
+                ends += [end - len(WORD.findall(part)[1]), end] if n > 1 else [end]
+            elif ends:
+                ends[-1] = end
             at = end
             continue
-        pieces = WORD.findall(part)  # as many as words; white space before the first belongs to it
-        ends = [*accumulate(map(len, pieces), initial=end - sum(map(len, pieces)))]
-        chosen = [i for i, h in enumerate(map(crc32, map(str.encode, words)), 1) if not h % CUT_EVERY]
-        first, begun = 0, at
-        for i in chosen if chosen and chosen[-1] == n else [*chosen, n]:
-            out.append((begun, ends[i], i - first, digest(" ".join(words[first:i]).encode("utf-8")) if digests and i - first >= LEAST_WORDS else b""))
-            first, begun = i, ends[i]
+        if words:
+            pieces()
+        if n <= LONG_WORDS:
+            out.append((begun, end, n, digest(" ".join(own).encode("utf-8")) if digests else b""))
+            begun = end
+        else:
+            after = WORD.findall(part)  # as many as words; white space before the first belongs to it
+            words += own
+            ends += [*accumulate(map(len, after), initial=end - sum(map(len, after)))][1:]
+            pieces()
         at = end
+    if words:
+        pieces()
+    if begun < at:
+        out.append((begun, at, 0, b""))
     return out
 
 

@@ -184,3 +184,20 @@ def test_units_cover_the_text():
 def test_short_repeats_stay(spark):
     rows = [(1, "Yes it is. " + prose(40, 1)), (2, "Yes it is. " + prose(40, 2))]
     assert all(not r["removed_"] for r in substring_dedup.dedup_substrings(table(spark, rows)).collect())
+
+
+def test_passages_of_short_lines(spark):
+    draw = random.Random(4)
+    word = lambda: "".join(draw.choice("abcdefgh") for _ in range(6))
+    listed = "\n".join(f"{word()}: {word()}" for _ in range(60))
+    cut = next(w for w in iter(word, "") if not substring_dedup.crc32(w.encode()) % substring_dedup.CUT_EVERY)
+    rows = [(1, listed), (2, f"{prose(40, 5)}.\n{listed}\n{prose(40, 6)}"), (3, f"own: line\nother: line\n{listed}\nlast: one"), (4, f"{cut} " * 60), (5, f"{prose(40, 7)}. " + f"{cut} " * 60)]
+    rows += [(10, "wait... " * 60), (11, "wait... " * 60)]
+    out = {r["doc_id"]: r for r in substring_dedup.dedup_substrings(table(spark, rows)).collect()}
+    middle = "\n".join(listed.split("\n")[8:-8])
+    assert out[1]["kept_text_"] == listed
+    for i in (2, 3):
+        assert middle not in out[i]["kept_text_"] and len(out[i]["kept_text_"]) < len(dict(rows)[i]) - len(middle)
+    assert out[5]["kept_text_"].count(cut) < 10 and out[11]["kept_text_"] == ""
+    for i in (1, 4, 10):
+        assert all(n >= substring_dedup.LEAST_WORDS and mark for _, _, n, mark in substring_dedup.units(dict(rows)[i]))
