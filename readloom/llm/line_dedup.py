@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
@@ -18,6 +18,11 @@ BLANKS = b" \t\n\x0b\x0c\r"
 LAST = (1 << 63) - 1
 
 
+def row_of(key: str, text: str, doc: str, mark: str) -> tuple[Column, Column]:
+    """The document of a row, and a hash of its text: rows of one document are equal in both only if their texts are."""
+    return F.coalesce(F.col(key).cast("long"), F.lit(LAST)).alias(doc), F.xxhash64(common.text_of(text)).alias(mark)
+
+
 def line_key(line: bytes) -> bytes:
     return line.strip(BLANKS).lower()  # bytes: lower() takes A-Z only
 
@@ -29,26 +34,29 @@ def keys_of(text: str, least: int) -> list[bytes]:
 
 
 def repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", least: int = 10) -> DataFrame:
-    """(doc, digest) of every line that a document loses: its key is in at least 2 documents, and not first here."""
+    """(doc, mark, digest) of every line that a document loses: its key is in at least 2 documents, and not first here.
+
+    ``mark`` tells the texts of one document apart.
+    """
     common.bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(bloom.twice_seen(docs, common.text_of(text), lambda value: keys_of(value, least)))
 
     def suspected(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             owners, keys = [], []
-            for doc, value in zip(batch.column(0).to_numpy(), batch.column(1)):
+            for value in batch.column(2):
                 own = keys_of(value.as_py(), least)
                 keys += own
-                owners.append((doc, len(own)))
+                owners.append(len(own))
             hit = np.flatnonzero(bloom.suspects(shared.value, keys))
-            ids = np.repeat(np.array([d for d, _ in owners], "i8"), np.array([n for _, n in owners], "i8"))
-            yield pa.record_batch([pa.array(ids[hit]), pa.array([digest(keys[i]) for i in hit], pa.binary())], names=["doc", "digest"])
+            at = np.repeat(np.arange(len(owners)), np.array(owners, "i8"))[hit]
+            yield pa.record_batch([pa.array(batch.column(0).to_numpy()[at]), pa.array(batch.column(1).to_numpy()[at]), pa.array([digest(keys[i]) for i in hit], pa.binary())], names=["doc", "mark", "digest"])
 
-    own = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(LAST)).alias("doc"), common.text_of(text).alias("text"))
-    suspects = own.mapInArrow(suspected, "doc bigint, digest binary")
+    own = docs.select(*row_of(key, text, "doc", "mark"), common.text_of(text).alias("text"))
+    suspects = own.mapInArrow(suspected, "doc bigint, mark bigint, digest binary")
     confirmed = suspects.groupBy("digest").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first <> last")
     confirmed = common.durable(confirmed.select(F.col("digest").alias("known"), "first"))  # so that the join's hot digests can be split
-    return suspects.join(confirmed, suspects.digest == confirmed.known).where("doc <> first").select("doc", "digest")
+    return suspects.join(confirmed, suspects.digest == confirmed.known).where("doc <> first").select("doc", "mark", "digest")
 
 
 def digest(key: bytes) -> bytes:
@@ -63,9 +71,9 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", least:
     Null and empty texts are one empty line. Rows that repeat a key are one document, each with its own result; rows
     without a key are one document after all others. No row is lost.
     """
-    drops = repeated_lines(docs, key, text, least).groupBy("doc").agg(F.collect_set("digest").alias("drops"))
-    own, gone, kept = common.fresh(docs, "_doc", "_gone", "_kept")
-    drops = drops.select(F.col("doc").alias("_other"), F.col("drops").alias(gone))
+    drops = repeated_lines(docs, key, text, least).groupBy("doc", "mark").agg(F.collect_set("digest").alias("drops"))
+    own, mark, gone, kept = common.fresh(docs, "_doc", "_mark", "_gone", "_kept")
+    drops = drops.select(F.col("doc").alias("_other"), F.col("mark").alias("_other_mark"), F.col("drops").alias(gone))
 
     @arrow_udf("struct<text:string,lines:bigint,dropped:bigint>")
     def without(texts: pa.Array, drops: pa.Array) -> pa.Array:
@@ -81,7 +89,7 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", least:
             dropped.append(len(every) - len(stay))
         return pa.StructArray.from_arrays([pa.array(out, pa.string()), pa.array(lines, pa.int64()), pa.array(dropped, pa.int64())], ["text", "lines", "dropped"])
 
-    joined = docs.withColumn(own, F.coalesce(F.col(key).cast("long"), F.lit(LAST))).join(drops, F.col(own) == F.col("_other"), "left")
+    joined = docs.select("*", *row_of(key, text, own, mark)).join(drops, (F.col(own) == F.col("_other")) & (F.col(mark) == F.col("_other_mark")), "left")
     joined = joined.withColumn(kept, without(common.text_of(text), F.col(gone)))
     names = common.fresh(docs, "kept_text", "n_lines", "n_dropped")
     return joined.select(*(F.col(f"`{c}`") for c in docs.columns), *(F.col(f"{kept}.{f}").alias(n) for f, n in zip(("text", "lines", "dropped"), names)))

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
 from readloom.llm import common
-from readloom.llm.line_dedup import LAST
+from readloom.llm.line_dedup import row_of
 
 #: A unit ends with its line or sentence; white space after it belongs to it.
 UNIT = re.compile(r"[^\n.!?]*[\n.!?]+\s*|[^\n.!?]+\Z")
@@ -111,30 +111,31 @@ def removed_spans(found: list[tuple[int, int, int, bytes]], repeated: set[int],
 
 
 def repeated_units(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc, unit) of every unit of at least LEAST_WORDS words whose digest stands earlier: in a document with a smaller
-    ``key``, or before it in its own."""
+    """(doc, mark, unit) of every unit of at least LEAST_WORDS words whose digest stands earlier: in a document with a
+    smaller ``key``, or before it in its own text. ``mark`` tells the texts of one document apart."""
     common.bounded_batches(docs.sparkSession)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            owner, place, digests = [], [], []
-            for doc, value in zip(batch.column(0).to_pylist(), batch.column(1)):
+            owner, texts, place, digests = [], [], [], []
+            for doc, mark_of, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
                 seen: set[bytes] = set()
                 for i, (_, _, words, mark) in enumerate(units(value.as_py())):
                     if words >= LEAST_WORDS:
                         owner.append(doc)
+                        texts.append(mark_of)
                         place.append(2 * i + (mark in seen))
                         digests.append(mark)
                         seen.add(mark)
             halves = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
-            yield pa.record_batch([pa.array(owner, pa.int64()), pa.array(place, pa.int64()), pa.array(halves[:, 0].copy()), pa.array(halves[:, 1].copy())], names=["doc", "place", "d1", "d2"])
+            yield pa.record_batch([pa.array(owner, pa.int64()), pa.array(texts, pa.int64()), pa.array(place, pa.int64()), pa.array(halves[:, 0].copy()), pa.array(halves[:, 1].copy())], names=["doc", "mark", "place", "d1", "d2"])
 
-    own = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(LAST)).alias("doc"), common.text_of(text).alias("text"))
-    every = own.mapInArrow(cut, "doc bigint, place bigint, d1 bigint, d2 bigint")  # place: twice the unit, and 1 if its own text had it before
+    own = docs.select(*row_of(key, text, "doc", "mark"), common.text_of(text).alias("text"))
+    every = own.mapInArrow(cut, "doc bigint, mark bigint, place bigint, d1 bigint, d2 bigint")  # place: twice the unit, and 1 if its own text had it before
     often = every.groupBy("d1", "d2").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first <> last")
     often = common.durable(often.select(F.col("d1").alias("e1"), F.col("d2").alias("e2"), "first"))  # so that the join's hot digests can be split
     joined = every.join(often, (every.d1 == often.e1) & (every.d2 == often.e2), "left").where("place % 2 = 1 or doc <> first")
-    return joined.select("doc", F.shiftright("place", 1).cast("int").alias("unit"))
+    return joined.select("doc", "mark", F.shiftright("place", 1).cast("int").alias("unit"))
 
 
 def dedup_substrings(docs: DataFrame, key: str = "doc_id", text: str = "text", run_words: int = RUN_WORDS) -> DataFrame:
@@ -143,11 +144,11 @@ def dedup_substrings(docs: DataFrame, key: str = "doc_id", text: str = "text", r
     Units are lines, sentences, and content-defined parts of long sentences, lower-cased with white space made one
     space. Of equal units the one with the smallest ``key``, then the smallest place, is kept; runs of others of at
     least ``run_words`` words are removed and reported with their offsets. Null texts read as empty and stay so; rows
-    that repeat a key are one document, each with its own result; rows without a key come after all others.
+    that repeat a key are one document, each with the result of its own text; rows without a key come after all others.
     """
-    drops = repeated_units(docs, key, text).groupBy("doc").agg(F.collect_set("unit").alias("drops"))
-    own, gone, kept = common.fresh(docs, "_doc", "_gone", "_kept")
-    drops = drops.select(F.col("doc").alias("_other"), F.col("drops").alias(gone))
+    drops = repeated_units(docs, key, text).groupBy("doc", "mark").agg(F.collect_set("unit").alias("drops"))
+    own, mark, gone, kept = common.fresh(docs, "_doc", "_mark", "_gone", "_kept")
+    drops = drops.select(F.col("doc").alias("_other"), F.col("mark").alias("_other_mark"), F.col("drops").alias(gone))
 
     @arrow_udf("struct<text:string,removed:array<struct<start:bigint,end:bigint>>>")
     def without(texts: pa.Array, drops: pa.Array) -> pa.Array:
@@ -166,7 +167,7 @@ def dedup_substrings(docs: DataFrame, key: str = "doc_id", text: str = "text", r
         pairs = pa.StructArray.from_arrays([pa.array([s for s, _ in spans], pa.int64()), pa.array([e for _, e in spans], pa.int64())], ["start", "end"])
         return pa.StructArray.from_arrays([pa.array(out, pa.string()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pairs)], ["text", "removed"])
 
-    joined = docs.withColumn(own, F.coalesce(F.col(key).cast("long"), F.lit(LAST))).join(drops, F.col(own) == F.col("_other"), "left")
+    joined = docs.select("*", *row_of(key, text, own, mark)).join(drops, (F.col(own) == F.col("_other")) & (F.col(mark) == F.col("_other_mark")), "left")
     joined = joined.withColumn(kept, without(common.text_of(text), F.col(gone)))
     names = common.fresh(docs, "kept_text", "removed")
     return joined.select(*(F.col(f"`{c}`") for c in docs.columns), *(F.col(f"{kept}.{f}").alias(n) for f, n in zip(("text", "removed"), names)))

@@ -201,3 +201,18 @@ def test_passages_of_short_lines(spark):
     assert out[5]["kept_text_"].count(cut) < 10 and out[11]["kept_text_"] == ""
     for i in (1, 4, 10):
         assert all(n >= substring_dedup.LEAST_WORDS and mark for _, _, n, mark in substring_dedup.units(dict(rows)[i]))
+
+
+def test_passages_of_repeated_and_null_keys(spark):
+    first = prose(60, 31)
+    own = {i: prose(60, 40 + i) for i in range(4)}
+    rows = [(1, first), (2, f"{first} {own[0]}"), (2, f"{own[1]} {own[0]}"), (None, f"{first} {own[2]}"), (None, own[3])]
+    docs = table(spark, rows)
+    got = {r["text"]: r for r in substring_dedup.dedup_substrings(docs).collect()}
+    assert len(got) == 5
+    for i in (0, 2, 4):
+        assert got[rows[i][1]]["kept_text_"] == rows[i][1] and not got[rows[i][1]]["removed_"]
+    for i in (1, 3):
+        assert got[rows[i][1]]["removed_"] and first[60:-60] not in got[rows[i][1]]["kept_text_"]
+    lost = substring_dedup.repeated_units(docs).groupBy("doc", "mark").count()
+    assert lost.count() == 2
