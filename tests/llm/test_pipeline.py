@@ -23,3 +23,29 @@ def test_stages_over_the_small_tables(spark, sf_dir):
 def test_registered():
     names = entry.queries()
     assert "pipeline" in names and all(any(n.startswith(f"op{i}_") for n in names) for i in range(1, 11))
+
+
+def test_near_copies_go(spark, sf_dir):
+    """Copies with words changed throughout: of those alike in 0.8 of their five-word shingles one stays, others all stay."""
+    import random
+
+    draw = random.Random(2)
+    word = lambda: "".join(draw.choice("abcdefghij") for _ in range(6))
+    shingles = lambda t: {tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)}
+    rows, near = [], []
+    for g in range(60):
+        base = [word() for _ in range(300)]
+        copy = list(base)
+        for i in range(5, 300, 60 if g % 2 else 12):  # 5 or 25 words
+            copy[i] = word()
+        rows += [(2 * g, " ".join(base)), (2 * g + 1, " ".join(copy))]
+        one, other = shingles(rows[-2][1]), shingles(rows[-1][1])
+        near.append(len(one & other) / len(one | other) >= 0.8)
+    rows += [(1000, rows[0][1].upper()), (1000, rows[2][1] + " more"), (None, word()), (1001, None), (1002, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = corpus_pipeline.without_near_duplicates(spark, docs, sf_dir)
+    assert got.columns == docs.columns
+    want = [2 * g for g in range(60)] + [2 * g + 1 for g in range(60) if not near[g]] + [1001, None]
+    assert sorted(map(str, (r["doc_id"] for r in got.collect()))) == sorted(map(str, want))
+    assert any(near) and not all(near)
+    assert corpus_pipeline.without_near_duplicates(spark, docs.limit(0), sf_dir).count() == 0
