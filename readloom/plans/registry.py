@@ -94,6 +94,10 @@ def whole_pairs(spark: SparkSession, d: str) -> DataFrame:
 EVEN = "SELECT max(event_id) FROM events"
 
 
+def without_last(reads: DataFrame) -> DataFrame:
+    return reads.where(F.col("ord") < reads.agg(F.max("ord")).first()[0])
+
+
 @register("trim_counts", chain().add(PAIRS).sql(sums()))
 def trim_counts(spark: SparkSession, d: str) -> DataFrame:
     return trimmer.trimmer([views.reads(spark, d)], CHAIN, min_length=MIN).counts
@@ -129,6 +133,13 @@ def trim_surplus(spark: SparkSession, d: str) -> DataFrame:
     return trimmer.trimmer([a, b.where("ord < 50")], CHAIN, min_length=MIN).outputs[0].select("ord", "sequence", "quality")
 
 
+@register("trim_surplus_whole", chain().add(PAIRS).sql("ord, sequence, quality", f"WHERE kept AND (ord % 2 = 0 OR ord < (SELECT max(ord) FROM ({views.READS_SQL}) WHERE src = 2))"))
+def trim_surplus_whole(spark: SparkSession, d: str) -> DataFrame:
+    """As trim_surplus, over both whole inputs but for the very last mate."""
+    a, b = side_inputs(spark, d)
+    return trimmer.trimmer([a, without_last(b)], CHAIN, min_length=MIN).outputs[0].select("ord", "sequence", "quality")
+
+
 @register("interleave", f"SELECT ord, src, header, sequence, quality FROM ({views.READS_SQL})")
 def interleave(spark: SparkSession, d: str) -> DataFrame:
     return pairing.interleave(pairing.zip_pairs(*side_inputs(spark, d))).select("ord", "src", "header", "sequence", "quality")
@@ -147,6 +158,15 @@ def pair_zip_check(spark: SparkSession, d: str) -> DataFrame:
     return pairs.select("pair_idx", F.col("r1.header").alias("h1"), F.col("r2.header").alias("h2"), state.alias("state"))
 
 
+@register("pair_zip_check_whole", f"SELECT CAST(floor(ord / 2) AS BIGINT) AS pair_idx, max(CASE WHEN src = 1 THEN header END) AS h1, max(CASE WHEN src = 2 THEN header END) AS h2, CASE WHEN count(*) = 2 THEN 'pair' WHEN max(src) = 1 THEN 'extra first' ELSE 'extra second' END AS state FROM (SELECT * FROM ({views.READS_SQL}) WHERE src = 1 OR ord < (SELECT max(ord) FROM ({views.READS_SQL}) WHERE src = 2)) GROUP BY ALL")
+def pair_zip_check_whole(spark: SparkSession, d: str) -> DataFrame:
+    """As pair_zip_check, over both whole inputs but for the very last mate."""
+    a, b = side_inputs(spark, d)
+    pairs = pairing.zip_pairs(a, without_last(b), check=False).withColumn("fault", pairing.fault())
+    state = F.when(F.col("fault").isNull(), F.lit("pair")).otherwise(F.regexp_extract("fault", "^(extra first|extra second)", 1))
+    return pairs.select("pair_idx", F.col("r1.header").alias("h1"), F.col("r2.header").alias("h2"), state.alias("state"))
+
+
 ARCHIVED = "regexp_matches(split_part(dialect, ' ', 1), '^(SRR|DRR|ERR).*[.]')"
 BARE = "split_part(dialect, '_', 1)"
 SEVENTH = "CASE WHEN len(string_split(dialect, ':')) >= 8 THEN string_split(dialect, ':')[7] END"
