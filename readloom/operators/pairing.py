@@ -40,7 +40,7 @@ def deinterleave(reads: DataFrame, check: bool = True) -> DataFrame:
 def checked(pairs: DataFrame, ids: bool = True) -> DataFrame:
     """``pairs`` through a filter that raises on the first bad pair it meets; no later projection can drop it."""
     told = settled(pairs.withColumn("_fault", fault(ids)), ["_fault"])
-    return told.where(F.when(F.col("_fault").isNull(), F.lit(True)).otherwise(F.raise_error("_fault").cast("boolean"))).drop("_fault")
+    return told.where(F.when(F.col("_fault").isNull(), F.lit(True)).otherwise(F.raise_error(F.col("_fault")).cast("boolean"))).drop("_fault")
 
 
 def fault(ids: bool = True) -> Column:
