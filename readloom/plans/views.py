@@ -23,16 +23,16 @@ SEQUENCE = f"""concat(
  CASE WHEN id % 5 = 0 THEN '{ADAPTER}' WHEN id % 5 = 1 THEN 'AGATCCGAAG' WHEN id % 5 = 2 THEN 'CTTCCGATCT' WHEN id % 5 = 3 THEN 'GTAGTCAG' ELSE 'TGACCGTACGT' END,
  CASE WHEN id % 11 = 0 THEN repeat('G', CAST(id % 17 AS INT)) ELSE '' END)"""
 HEADER = """CASE CAST(id % 9 AS INT)
- WHEN 0 THEN concat('SRR26182418.', CAST(CAST(floor(id / 2) AS BIGINT) AS STRING), ' M07901:28 length=147')
- WHEN 1 THEN concat('SRR26182418.', CAST(CAST(floor(id / 2) AS BIGINT) AS STRING), '.', CAST(1 + id % 2 AS STRING), ' M07901:28 length=147')
- WHEN 2 THEN concat('A00350:691:HC:2:2119:', CAST(CAST(floor(id / 2) AS BIGINT) AS STRING), ':2456/', CAST(1 + id % 2 AS STRING))
- WHEN 3 THEN concat('M02989:9:L4PJL:1:2114:', CAST(CAST(floor(id / 2) AS BIGINT) AS STRING), ':19614_', CAST(1 + id % 2 AS STRING), ':N:0:CTCT+GATG')
- WHEN 4 THEN concat('ERR26182418.', CAST(CAST(floor(id / 2) AS BIGINT) AS STRING), '_M07901:28_length=147')
- WHEN 5 THEN concat('DRR26182418.', CAST(CAST(floor(id / 2) AS BIGINT) AS STRING), '.', CAST(1 + id % 2 AS STRING), '_M07901:28_length=301')
+ WHEN 0 THEN concat('ERR7340112.', CAST(CAST(floor(id / 2) AS BIGINT) AS STRING), ' NB551068:77 length=101')
+ WHEN 1 THEN concat('ERR7340112.', CAST(CAST(floor(id / 2) AS BIGINT) AS STRING), '.', CAST(1 + id % 2 AS STRING), ' NB551068:77 length=101')
+ WHEN 2 THEN concat('K00233:104:HJ:6:1213:', CAST(CAST(floor(id / 2) AS BIGINT) AS STRING), ':40877/', CAST(1 + id % 2 AS STRING))
+ WHEN 3 THEN concat('VH00481:5:C7NTK:1:1410:', CAST(CAST(floor(id / 2) AS BIGINT) AS STRING), ':5509_', CAST(1 + id % 2 AS STRING), ':Y:0:GGCA+TTAC')
+ WHEN 4 THEN concat('SRR5550123.', CAST(CAST(floor(id / 2) AS BIGINT) AS STRING), '_NB551068:77_length=101')
+ WHEN 5 THEN concat('DRR0091822.', CAST(CAST(floor(id / 2) AS BIGINT) AS STRING), '.', CAST(1 + id % 2 AS STRING), '_NB551068:77_length=75')
  WHEN 6 THEN concat('plain', CAST(id AS STRING))
- ELSE concat('M02989:9:L4PJL:1:2112:', CAST(CAST(floor(id / 2) AS BIGINT) AS STRING), ':15606 ', CAST(1 + id % 2 AS STRING), ':N:0:AACG') END"""
+ ELSE concat('VH00481:5:C7NTK:1:1408:', CAST(CAST(floor(id / 2) AS BIGINT) AS STRING), ':7712 ', CAST(1 + id % 2 AS STRING), ':N:0:TTAG') END"""
 READS = f"""CAST(1 + id % 2 AS INT) AS src, id AS ord,
- concat('M', CAST(CAST(floor(id / 2) AS BIGINT) % 7 AS STRING), ':9:L4PJL:1:2112:', CAST(CAST(floor(id / 2) AS BIGINT) AS STRING), ':15606 ', CAST(1 + id % 2 AS STRING), ':N:0:AACG') AS header,
+ concat('M', CAST(CAST(floor(id / 2) AS BIGINT) % 7 AS STRING), ':5:C7NTK:1:1408:', CAST(CAST(floor(id / 2) AS BIGINT) AS STRING), ':7712 ', CAST(1 + id % 2 AS STRING), ':N:0:TTAG') AS header,
  {HEADER} AS dialect, {SEQUENCE} AS sequence, substring(quals, 1, length({SEQUENCE})) AS quality"""
 
 IN_DUP = "doc_id AS id, md5(coalesce(text, '')) AS h"

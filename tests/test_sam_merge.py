@@ -4,16 +4,18 @@ from pyspark.sql import functions as F
 from readloom.functions import cigar
 from readloom.operators import sam_merge
 
-REF = "TTTTAAAAAGGCGGTTTT"
+REF = "CATGGATCCTTAGCAACGTG"
 FIELDS = "ord long, qname string, flag int, rname string, pos int, mapq int, cigar string, seq string, qual string"
 #: reference, mates (pos, cigar, seq, qual), merged (pos, cigar, seq, qual), observations, variant errors
 VECTORS = [
-    (REF, (5, "8M", "AAAAAGGC", "F" * 8), (11, "8M", "GCGGTTTT", "F" * 8), (5, "14M", "AAAAAGGCGGTTTT", "F" * 14), 2, 0),
-    (REF, (5, "8M", "AAAAAGGC", "F" * 8), (10, "8M", "GCGGCTTT", "FFFFFFFA"), (5, "13M", "AAAAAGGCGCTTT", "F" * 12 + "A"), 3, 2),
-    (REF + "AGGA", (5, "8M", "AAAAAGGC", "H" * 8), (15, "8M", "TTTTAGGA", "I" * 8), (5, "8M2N8M", "AAAAAGGCTTTTAGGA", "H" * 8 + "I" * 8), 0, 0),
-    (REF, (5, "1H10M", "AAAAAGGCGG", "FFFFFEEEEE"), (10, "5H5M5S", "GGGGGTTTTT", "EEEEE!!!!!"), (5, "1H10M5H", "AAAAAGGCGG", "FFFFFEEEEE"), 5, 1),
-    (REF, (5, "1H10M2H", "AAAAAGGCGG", "FFFFFEEEEE"), (10, "3H2S5M5S3H", "TTGGGGGTTTTT", "!!EEEEE!!!!!"), (5, "1H10M8H", "AAAAAGGCGG", "FFFFFEEEEE"), 5, 1),
-    (REF, (5, "8H10M2H", "AAAAAGGCGG", "FFFFFEEEEE"), (10, "3H2S5M5S3H", "TTGGGGGTTTTT", "!!EEEEE!!!!!"), (5, "8H10M8H", "AAAAAGGCGG", "FFFFFEEEEE"), 5, 1),
+    (REF, (3, "7M", "TGGATCC", "D" * 7), (8, "6M", "CCTTAG", "H" * 6), (3, "11M", "TGGATCCTTAG", "DDDDDHHHHHH"), 2, 0),
+    (REF, (3, "7M", "TGGATCC", "D" * 7), (7, "6M", "TCATTA", "H" * 6), (3, "10M", "TGGATCCTTA", "DDDDHHDHHH"), 3, 1),  # the base of the reference wins
+    (REF, (3, "7M", "TGGATCG", "D" * 7), (7, "6M", "TCATTA", "H" * 6), (3, "10M", "TGGATCNTTA", "DDDDHHFHHH"), 3, 1),  # neither is, and qualities are near
+    (REF, (3, "7M", "TGGATCG", "D" * 7), (7, "6M", "TCATTA", "I" * 6), (3, "10M", "TGGATCATTA", "DDDDIIIIII"), 3, 1),  # the better quality wins
+    (REF, (2, "5M", "ATGGA", "C" * 5), (10, "4M", "TTAG", "E" * 4), (2, "5M3N4M", "ATGGATTAG", "CCCCCEEEE"), 0, 0),
+    (REF, (4, "2H6M", "GGATCC", "A" * 6), (6, "1H4M3S", "ATCCAAA", "B" * 7), (4, "2H6M3H", "GGATCC", "AABBBB"), 4, 0),
+    (REF, (4, "2H6M1S", "GGATCCT", "A" * 7), (5, "2S3M4H", "CCGAG", "C" * 5), (4, "2H6M2H", "GGATCC", "ACCAAA"), 3, 1),
+    (REF, (4, "4M2D3M", "GGATTTA", "A" * 7), (6, "6M", "ATCCTT", "B" * 6), (4, "9M", "GGATCCTTA", "AABBBBBBA"), 6, 2),  # a base goes before a gap
 ]
 
 
@@ -49,10 +51,10 @@ def test_inserts(spark):
 
 
 def test_slots_unmapped_and_qualities(spark):
-    m = ("8M", "AAAAAGGC", "F" * 8)
+    m = ("8M", "GATCCTTA", "F" * 8)
     rows = [(i, q, f, r, 5, 9, *x) for i, (q, f, r, x) in enumerate([
         ("a 1:N", 0, "r", m), ("a 2:N", 0, "r", m), ("a 2:N", 0, "r", m), ("b", 0, "r", m), ("b", 0, "r", m), ("c 2:N", 0, "r", m), ("d 1:N", 0, "other", m),
-        ("e 1:N", 0, "r", m), ("e 2:N", 0, "r", ("8M", "AAAAAGGC", "*")), ("f 1:N", 4, "r", m), ("f 2:N", 0, "r", m), ("g 1:N", 4, "r", m), ("g 2:N", 4, "r", m),
+        ("e 1:N", 0, "r", m), ("e 2:N", 0, "r", ("8M", "GATCCTTA", "*")), ("f 1:N", 4, "r", m), ("f 2:N", 0, "r", m), ("g 1:N", 4, "r", m), ("g 2:N", 4, "r", m),
     ])]
     sam = spark.createDataFrame(rows, FIELDS)
     assert {r["mol"]: r["dropped"] for r in sam_merge.pair_up(sam, "r").collect()}["a"] == 1
@@ -64,8 +66,8 @@ def test_slots_unmapped_and_qualities(spark):
 
 
 def test_cigar_round_trip(spark):
-    texts = ["4S10M2I2D3M4H4P", "", "3M2D1M", "255M", "3M1D4I8X9=4M"]
+    texts = ["7S21M3D1I4N6M5H2P", "", "2M1D3M", "301M", "6=2X1I5D12M"]
     df = spark.createDataFrame([(t,) for t in texts], "c string")
     got = df.select(cigar.expanded(F.col("c")).alias("e")).select("e", cigar.condensed(F.col("e")).alias("c")).collect()
     assert [r["c"] for r in got] == texts
-    assert got[2]["e"] == "MMMDDM"
+    assert got[2]["e"] == "MMDMMM"
