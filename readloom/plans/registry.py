@@ -126,16 +126,24 @@ def trim_two_to_two(spark: SparkSession, d: str) -> DataFrame:
     return trimmer.trimmer(side_inputs(spark, d), CHAIN, outputs=2, min_length=MIN).outputs[1].select("ord", "sequence", "quality")
 
 
-@register("trim_surplus", chain().add(PAIRS).sql("CASE WHEN ord % 2 = 0 THEN ord ELSE ord END AS ord, sequence, quality", "WHERE kept AND (ord % 2 = 0 OR ord < 100)"))
+def surplus_inputs(spark: SparkSession, d: str) -> list[DataFrame]:
+    """Two inputs of unequal length, every read in them: the second side's reads follow the first side's once more."""
+    first, second = side_inputs(spark, d)
+    return [first.unionByName(second.withColumn("ord", F.col("ord") + first.count())), second]
+
+
+AGAIN = "(SELECT count(*) FROM events WHERE event_id % 2 = 0)"
+
+
+@register("trim_surplus", chain().add(PAIRS).sql(f"unnest(CASE WHEN ord % 2 = 0 THEN [ord] ELSE [ord, 2 * (pair_idx + {AGAIN})] END) AS ord, sequence, quality", "WHERE kept"))
 def trim_surplus(spark: SparkSession, d: str) -> DataFrame:
     """Two inputs of unequal length into one output: the longer one's surplus stays."""
-    a, b = side_inputs(spark, d)
-    return trimmer.trimmer([a, b.where("ord < 50")], CHAIN, min_length=MIN).outputs[0].select("ord", "sequence", "quality")
+    return trimmer.trimmer(surplus_inputs(spark, d), CHAIN, min_length=MIN).outputs[0].select("ord", "sequence", "quality")
 
 
 @register("trim_surplus_whole", chain().add(PAIRS).sql("ord, sequence, quality", f"WHERE kept AND (ord % 2 = 0 OR ord < (SELECT max(ord) FROM ({views.READS_SQL}) WHERE src = 2))"))
 def trim_surplus_whole(spark: SparkSession, d: str) -> DataFrame:
-    """As trim_surplus, over both whole inputs but for the very last mate."""
+    """As trim_surplus, where the last mate alone has no partner."""
     a, b = side_inputs(spark, d)
     return trimmer.trimmer([a, without_last(b)], CHAIN, min_length=MIN).outputs[0].select("ord", "sequence", "quality")
 
@@ -150,17 +158,17 @@ def deinterleave(spark: SparkSession, d: str) -> DataFrame:
     return pairing.mates(pairing.deinterleave(whole_pairs(spark, d)), 2).select("ord", "header", "sequence", "quality")
 
 
-@register("pair_zip_check", f"SELECT CAST(floor(ord / 2) AS BIGINT) AS pair_idx, max(CASE WHEN src = 1 THEN header END) AS h1, max(CASE WHEN src = 2 THEN header END) AS h2, CASE WHEN count(*) = 2 THEN 'pair' WHEN max(src) = 1 THEN 'extra first' ELSE 'extra second' END AS state FROM (SELECT * FROM ({views.READS_SQL}) WHERE src = 1 OR ord < 300) GROUP BY ALL")
+@register("pair_zip_check", f"""WITH r AS (SELECT src, CAST(floor(ord / 2) AS BIGINT) AS pair_idx, header FROM ({views.READS_SQL})), z AS (SELECT * FROM r UNION ALL SELECT 1, pair_idx + {AGAIN}, header FROM r WHERE src = 2)
+ SELECT pair_idx, max(CASE WHEN src = 1 THEN header END) AS h1, max(CASE WHEN src = 2 THEN header END) AS h2, CASE WHEN count(*) = 2 THEN 'pair' WHEN max(src) = 1 THEN 'extra first' ELSE 'extra second' END AS state FROM z GROUP BY pair_idx""")
 def pair_zip_check(spark: SparkSession, d: str) -> DataFrame:
-    a, b = side_inputs(spark, d)
-    pairs = pairing.zip_pairs(a, b.where("ord < 150"), check=False).withColumn("fault", pairing.fault())
+    pairs = pairing.zip_pairs(*surplus_inputs(spark, d), check=False).withColumn("fault", pairing.fault())
     state = F.when(F.col("fault").isNull(), F.lit("pair")).otherwise(F.regexp_extract("fault", "^(extra first|extra second)", 1))
     return pairs.select("pair_idx", F.col("r1.header").alias("h1"), F.col("r2.header").alias("h2"), state.alias("state"))
 
 
 @register("pair_zip_check_whole", f"SELECT CAST(floor(ord / 2) AS BIGINT) AS pair_idx, max(CASE WHEN src = 1 THEN header END) AS h1, max(CASE WHEN src = 2 THEN header END) AS h2, CASE WHEN count(*) = 2 THEN 'pair' WHEN max(src) = 1 THEN 'extra first' ELSE 'extra second' END AS state FROM (SELECT * FROM ({views.READS_SQL}) WHERE src = 1 OR ord < (SELECT max(ord) FROM ({views.READS_SQL}) WHERE src = 2)) GROUP BY ALL")
 def pair_zip_check_whole(spark: SparkSession, d: str) -> DataFrame:
-    """As pair_zip_check, over both whole inputs but for the very last mate."""
+    """As pair_zip_check, where the last mate alone has no partner."""
     a, b = side_inputs(spark, d)
     pairs = pairing.zip_pairs(a, without_last(b), check=False).withColumn("fault", pairing.fault())
     state = F.when(F.col("fault").isNull(), F.lit("pair")).otherwise(F.regexp_extract("fault", "^(extra first|extra second)", 1))
