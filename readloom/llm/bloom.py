@@ -3,86 +3,127 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
-#: The filters are cut into slices by the top bits of a hash; a slice is built by one task and is 64 KB long.
-SLICES = 256
-SLICE_BITS = 1 << 19
 PROBES = 4
+#: Bits for each key that there can be at most; a key that came once is then suspected in about one case of a million.
+BITS_A_KEY = 16
+#: The filter is at least and at most so large: 512 KB and 64 MB, which is what the driver collects and broadcasts.
+LEAST_BITS, MOST_BITS = 1 << 22, 1 << 29
+#: It is cut into slices by the top bits of a hash; a slice is merged by one task and has SLICE_BITS bits, unless the slices
+#: would be fewer than LEAST_SLICES.
+SLICE_BITS, LEAST_SLICES = 1 << 19, 64
+#: Keys that a task holds before it gives their filters away.
+HELD = 1 << 20
 
 
 def hashes_of(keys: list[bytes]) -> np.ndarray:
     return np.array([xxhash.xxh64_intdigest(k) for k in keys], "u8")
 
 
-def places(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Slice of each hash, and its PROBES bits there."""
-    spread = hashes * np.uint64(0x9E3779B97F4A7C15)
-    one, two = spread & np.uint64(0xFFFFFFFF), hashes >> np.uint64(32) | np.uint64(1)
-    bits = (one[:, None] + np.arange(PROBES, dtype="u8") * two[:, None]) & np.uint64(SLICE_BITS - 1)
-    return (spread >> np.uint64(64 - (SLICES - 1).bit_length())).astype("i8"), bits.astype("i8")
+def put(bitmap: np.ndarray, places: np.ndarray) -> None:
+    np.bitwise_or.at(bitmap, places.ravel() >> 3, np.left_shift(1, places.ravel() & 7).astype("u1"))
 
 
-def held(bitmap: np.ndarray, bits: np.ndarray) -> np.ndarray:
-    return (bitmap[bits >> 3] >> (bits & 7) & 1).all(axis=-1)
+@dataclass
+class Shape:
+    bits: int
 
+    @property
+    def slices(self) -> int:
+        return max(LEAST_SLICES, self.bits // SLICE_BITS)
 
-def put(bitmap: np.ndarray, bits: np.ndarray) -> None:
-    np.bitwise_or.at(bitmap, bits.ravel() >> 3, np.left_shift(1, bits.ravel() & 7).astype("u1"))
+    def places(self, hashes: np.ndarray) -> np.ndarray:
+        """The PROBES bits of each hash, all in its slice."""
+        each = self.bits // self.slices
+        spread = hashes * np.uint64(0x9E3779B97F4A7C15)
+        one, two = spread & np.uint64(0xFFFFFFFF), hashes >> np.uint64(32) | np.uint64(1)
+        inside = (one[:, None] + np.arange(PROBES, dtype="u8") * two[:, None]) & np.uint64(each - 1)
+        which = spread >> np.uint64(64 - self.slices.bit_length() + 1)
+        return (inside + (which * np.uint64(each))[:, None]).astype("i8")
 
+    def filters(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(once, twice) of some keys: what is there, and what is there more than once."""
+        own, counts = np.unique(hashes, return_counts=True)
+        once, twice = np.zeros((2, self.bits // 8), "u1")
+        put(once, self.places(own))
+        put(twice, self.places(own[counts > 1]))
+        return once, twice
 
-def suspects(twice: np.ndarray, keys: list[bytes]) -> np.ndarray:
-    """Which of ``keys`` the twice-seen filter holds: all that came again, and a few that did not."""
-    which, bits = places(hashes_of(keys))
-    return held(twice.ravel(), bits + which[:, None] * SLICE_BITS)
 
+@dataclass
+class Twice:
+    """The twice-seen filter."""
 
-def seen_twice(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Over rows (slice, hash, often): per slice the filter of what came again, built beside that of what came once."""
-    once: dict[int, np.ndarray] = {}
-    twice: dict[int, np.ndarray] = {}
+    shape: Shape
+    bitmap: np.ndarray
+
+    def suspects(self, keys: list[bytes]) -> np.ndarray:
+        """Which of ``keys`` the filter holds: all that came again, and a few that did not."""
+        places = self.shape.places(hashes_of(keys))
+        return (self.bitmap[places >> 3] >> (places & 7) & 1).all(axis=-1)
+
+
+def pack(bitmap: np.ndarray) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(bitmap.tobytes())
+
+
+def unpack(data: bytes) -> np.ndarray:
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(data), "u1")
+
+
+def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Over rows (slice, once, twice): per slice the filter of what came again. What stands in two filters came again."""
+    done: dict[int, list[np.ndarray]] = {}
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        hashes, often = batch.column(1).to_numpy().view("u8"), batch.column(2).to_numpy(zero_copy_only=False)
-        order = np.argsort(hashes, kind="stable")
-        hashes, at, counts = np.unique(hashes[order], return_index=True, return_counts=True)
-        repeated = np.logical_or.reduceat(often[order], at) | (counts > 1)
-        which, bits = places(hashes)
-        for s in np.unique(which):
-            own = which == s
-            first = once.setdefault(int(s), np.zeros(SLICE_BITS // 8, "u1"))
-            again = bits[own][held(first, bits[own]) | repeated[own]]
-            put(first, bits[own])
-            if len(again):
-                put(twice.setdefault(int(s), np.zeros(SLICE_BITS // 8, "u1")), again)
-    pack = zstandard.ZstdCompressor(level=1).compress
-    for s, bitmap in twice.items():
-        yield pa.record_batch([pa.array([s], pa.int64()), pa.array([pack(bitmap.tobytes())])], names=["slice", "bitmap"])
-
-
-def twice_seen(texts: DataFrame, text: Column, keys_of: Callable[[str], Iterable[bytes]]) -> np.ndarray:
-    """The twice-seen filter over the keys of every text: SLICES x SLICE_BITS bits, 16 MB whatever the corpus.
-
-    A hash goes to its slice's task once per batch at most, marked if it came more than once there, so a key that
-    stands in most texts costs a few rows. A fuller filter suspects more keys; it never misses one that came again.
+        for s, once, twice in zip(*(c.to_pylist() for c in batch.columns)):
+            once, twice = unpack(once), unpack(twice)
+            if s in done:
+                had, again = done[s]
+                again |= twice | had & once
+                had |= once
+            else:
+                done[s] = [once.copy(), twice.copy()]
+    for s, (_, again) in done.items():
+        yield pa.record_batch([pa.array([s], pa.int64()), pa.array([pack(again)], pa.binary())], names=["slice", "bitmap"])
+
+
+def twice_seen(texts: DataFrame, text: Column, keys_of: Callable[[str], Iterable[bytes]], most: Column) -> Twice:
+    """The twice-seen filter over the keys of every text; ``most`` is how many keys a text can have.
+
+    Its size follows the sum of ``most`` between LEAST_BITS and MOST_BITS. Both filters are built where the texts are
+    read; only the filters' slices, compressed, are shuffled and merged: twice = twice | twice' | (once & once'). A fuller
+    filter suspects more keys; it never misses one that came again.
     """
+    keys = texts.agg(F.sum(most.cast("long")).alias("n")).first()["n"] or 0
+    shape = Shape(min(MOST_BITS, max(LEAST_BITS, 1 << (BITS_A_KEY * keys).bit_length())))
 
-    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def built(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
         for batch in batches:
-            found = hashes_of([k for value in batch.column(0) for k in keys_of(value.as_py())])
-            hashes, counts = np.unique(found, return_counts=True)
-            yield pa.record_batch([pa.array(places(hashes)[0]), pa.array(hashes.view("i8")), pa.array(counts > 1)], names=["slice", "hash", "often"])
-
-    rows = texts.select(text).mapInArrow(hashed, "slice bigint, hash bigint, often boolean")
-    slices = rows.repartition("slice").mapInArrow(seen_twice, "slice bigint, bitmap binary")
-    whole = np.zeros((SLICES, SLICE_BITS // 8), "u1")
-    unpack = zstandard.ZstdDecompressor().decompress
-    for row in slices.collect():  # a slice belongs to one task, so SLICES rows of at most 64 KB
-        whole[row["slice"]] |= np.frombuffer(unpack(row["bitmap"]), "u1")
-    return whole
+            held.append(hashes_of([k for value in batch.column(0) for k in keys_of(value.as_py())]))
+            n += len(held[-1])
+            if n >= HELD:
+                yield from sliced(np.concatenate(held))
+                held, n = [], 0
+        if n:
+            yield from sliced(np.concatenate(held))
+
+    def sliced(hashes: np.ndarray) -> Iterator[pa.RecordBatch]:
+        once, twice = (f.reshape(shape.slices, -1) for f in shape.filters(hashes))
+        for s in np.flatnonzero(once.any(axis=1)):
+            yield pa.record_batch([pa.array([s], pa.int64()), pa.array([pack(once[s])], pa.binary()), pa.array([pack(twice[s])], pa.binary())], names=["slice", "once", "twice"])
+
+    parts = texts.select(text.alias("text")).mapInArrow(built, "slice bigint, once binary, twice binary")
+    slices = parts.repartition("slice").mapInArrow(merged, "slice bigint, bitmap binary")
+    whole = np.zeros((shape.slices, shape.bits // 8 // shape.slices), "u1")
+    for row in slices.collect():  # MOST_BITS bits at most
+        whole[row["slice"]] |= unpack(row["bitmap"])
+    return Twice(shape, whole.ravel())

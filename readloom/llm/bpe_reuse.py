@@ -163,7 +163,7 @@ def encode_documents(docs: DataFrame, tokenizer: str, text: str = "text", name:
     common.bounded_batches(docs.sparkSession)
     context = docs.sparkSession.sparkContext
     texts = docs.select(common.text_of(text).alias("text"))
-    shared = context.broadcast(bloom.twice_seen(texts, F.col("text"), lambda value: map(digest, chunks(value))))
+    shared = context.broadcast(bloom.twice_seen(texts, F.col("text"), lambda value: map(digest, chunks(value)), 1 + F.char_length(F.col("text")) / MIN))
 
     def fresh_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[bytes, list[str], list[bytes], np.ndarray]]]:
         """Per batch (digest, chunks, their digests, which are suspected) of the texts that are new to this task."""
@@ -181,7 +181,7 @@ def encode_documents(docs: DataFrame, tokenizer: str, text: str = "text", name:
                 marks = [digest(c) for c in pieces]
                 out.append((own, pieces, marks, len(keys)))
                 keys += marks
-            hit = bloom.suspects(shared.value, keys) if keys else np.zeros(0, bool)
+            hit = shared.value.suspects(keys) if keys else np.zeros(0, bool)
             yield [(own, pieces, marks, hit[at : at + len(marks)]) for own, pieces, marks, at in out]
 
     def shared_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -280,10 +280,10 @@ def encode_documents(docs: DataFrame, tokenizer: str, text: str = "text", name:
     def text_digest(values: pa.Array) -> pa.Array:
         return pa.StructArray.from_arrays([*halves([digest(v.as_py()) for v in values])], ["t1", "t2"])
 
-    mark, out = common.fresh(docs, "_mark", name)
-    results = results.select(F.col("t1").alias("_r1"), F.col("t2").alias("_r2"), F.struct(F.col("n").alias("n_tokens"), "ids_sha256", "decoded_sha256").alias(out))
+    mark, r1, r2, out = common.fresh(docs, "_mark", "_r1", "_r2", name)
+    results = results.select(F.col("t1").alias(r1), F.col("t2").alias(r2), F.struct(F.col("n").alias("n_tokens"), "ids_sha256", "decoded_sha256").alias(out))
     marked = docs.withColumn(mark, text_digest(common.text_of(text)))
-    return marked.join(results, (F.col(f"{mark}.t1") == F.col("_r1")) & (F.col(f"{mark}.t2") == F.col("_r2"))).drop(mark, "_r1", "_r2")
+    return marked.join(results, (F.col(f"{mark}.t1") == F.col(r1)) & (F.col(f"{mark}.t2") == F.col(r2))).drop(mark, r1, r2)
 
 
 def op6_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,12 +1,15 @@
-"""Helpers shared by the text operators: table access, durable cuts of lineage, batch bounds and components."""
+"""Helpers shared by the text operators: table access, batch bounds, fresh names; durable cuts and components come from the core."""
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from readloom.operators.graph import components
+from readloom.runtime import durable, shared_folder
+
+__all__ = ["bounded_batches", "components", "durable", "fresh", "shared_folder", "table", "text_of"]
+
 #: Arrow batches handed to Python hold at most so many rows and bytes (a single longer text still fits alone).
 BATCH_ROWS = 500
 BATCH_BYTES = 4 << 20
@@ -17,23 +20,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Bounds the Arrow batches of this session, so that long texts don't add up in a Python worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names; only where nothing names one (local tests) a temporary one is set."""
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoint-"))
-    return context.getCheckpointDir()
-
+    """Bounds the Arrow batches of this session, so that long texts don't add up in a Python worker.
 
-def durable(df: DataFrame) -> DataFrame:
-    """``df`` as rows in the shared checkpoint folder, so that a lost executor costs no recomputation."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
+    Spark plans batches by the session's settings when a result is asked for, so they can't be set for one operator; a
+    session that has smaller bounds keeps them.
+    """
+    for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        name = f"spark.sql.execution.arrow.{name}"
+        now = spark.conf.get(name) or ""
+        if not (now.isdigit() and 0 < int(now) <= most):
+            spark.conf.set(name, str(most))
 
 
 def text_of(column: str | Column) -> Column:
@@ -50,24 +46,3 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
         taken.add(name.lower())
         out.append(name)
     return out
-
-
-def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """Connected components of an undirected graph: (node, label), where label is the smallest node reachable.
-
-    Each round takes the smallest label among the neighbours (a map-side combined minimum) and then jumps along
-    labels, so the number of rounds follows the logarithm of the longest path. Every round is cut by a checkpoint;
-    only a single changed-count reaches the driver. An empty edge table gives an empty result.
-    """
-    ways = F.array(F.struct(F.col(a).alias("u"), F.col(b).alias("v")), F.struct(F.col(b).alias("u"), F.col(a).alias("v")))
-    both = durable(edges.where(F.col(a) != F.col(b)).select(F.inline(ways)).distinct())
-    labels = durable(both.groupBy("u").agg(F.min("v").alias("least")).select(F.col("u").alias("node"), F.least("u", "least").alias("label")))
-    while True:
-        near = both.join(labels, both.v == labels.node).groupBy("u").agg(F.min("label").alias("near"))
-        step = labels.join(near, labels.node == near.u).select("node", "label", F.least("label", "near").alias("next"))
-        heads = labels.select(F.col("node").alias("head"), F.col("label").alias("jump"))
-        step = step.join(heads, step.next == heads["head"], "left").select("node", "label", F.least("next", F.coalesce("jump", "next")).alias("next"))
-        step = durable(step)
-        if step.where("next <> label").isEmpty():
-            return labels
-        labels = step.select("node", F.col("next").alias("label"))

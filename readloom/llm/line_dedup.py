@@ -14,7 +14,7 @@ from pyspark.sql.functions import arrow_udf
 from readloom.llm import bloom, common
 
 BLANKS = b" \t\n\x0b\x0c\r"
-#: A document without an identifier counts as one document after all others.
+#: Where documents without a key rank: after all others.
 LAST = (1 << 63) - 1
 
 
@@ -23,6 +23,22 @@ def row_of(key: str, text: str, doc: str, mark: str) -> tuple[Column, Column]:
     return F.coalesce(F.col(key).cast("long"), F.lit(LAST)).alias(doc), F.xxhash64(common.text_of(text)).alias(mark)
 
 
+def earliest(rows: DataFrame, *digest: str) -> DataFrame:
+    """Of rows (doc, mark, *digest): (*digest, first, part) of each digest that several documents hold.
+
+    ``first`` is the smallest document. Rows without a key are told apart by ``mark``; where all of a digest's are such,
+    ``part`` is the smallest mark.
+    """
+    part = F.when(F.col("doc") == LAST, F.col("mark")).otherwise(0)
+    found = rows.groupBy(*digest).agg(F.min("doc").alias("first"), F.max("doc").alias("last"), F.min(part).alias("part"), F.max(part).alias("top"))
+    return found.where((F.col("first") != F.col("last")) | (F.col("first") == LAST) & (F.col("part") != F.col("top"))).select(*digest, "first", "part")
+
+
+def foreign() -> Column:
+    """Whether a row (doc, mark) is of another document than (first, part)."""
+    return (F.col("doc") != F.col("first")) | (F.col("first") == LAST) & (F.col("mark") != F.col("part"))
+
+
 def line_key(line: bytes) -> bytes:
     return line.strip(BLANKS).lower()  # bytes: lower() takes A-Z only
 
@@ -39,7 +55,9 @@ def repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", lea
     ``mark`` tells the texts of one document apart.
     """
     common.bounded_batches(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(bloom.twice_seen(docs, common.text_of(text), lambda value: keys_of(value, least)))
+    value, newlines = common.text_of(text), F.replace(common.text_of(text), F.lit("\n"), F.lit(""))
+    twice = bloom.twice_seen(docs, value, lambda value: keys_of(value, least), 1 + F.octet_length(value) - F.octet_length(newlines))
+    shared = docs.sparkSession.sparkContext.broadcast(twice)
 
     def suspected(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -48,15 +66,15 @@ def repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", lea
                 own = keys_of(value.as_py(), least)
                 keys += own
                 owners.append(len(own))
-            hit = np.flatnonzero(bloom.suspects(shared.value, keys))
+            hit = np.flatnonzero(shared.value.suspects(keys))
             at = np.repeat(np.arange(len(owners)), np.array(owners, "i8"))[hit]
             yield pa.record_batch([pa.array(batch.column(0).to_numpy()[at]), pa.array(batch.column(1).to_numpy()[at]), pa.array([digest(keys[i]) for i in hit], pa.binary())], names=["doc", "mark", "digest"])
 
     own = docs.select(*row_of(key, text, "doc", "mark"), common.text_of(text).alias("text"))
     suspects = own.mapInArrow(suspected, "doc bigint, mark bigint, digest binary")
-    confirmed = suspects.groupBy("digest").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first <> last")
-    confirmed = common.durable(confirmed.select(F.col("digest").alias("known"), "first"))  # so that the join's hot digests can be split
-    return suspects.join(confirmed, suspects.digest == confirmed.known).where("doc <> first").select("doc", "mark", "digest")
+    confirmed = earliest(suspects, "digest").withColumnRenamed("digest", "known")
+    confirmed = common.durable(confirmed)  # so that the join's hot digests can be split
+    return suspects.join(confirmed, suspects.digest == confirmed.known).where(foreign()).select("doc", "mark", "digest")
 
 
 def digest(key: bytes) -> bytes:
@@ -69,11 +87,11 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", least:
     A text is split at \\n; a line's key is the line stripped of \\x20 and \\x09-\\x0D, A-Z lower-cased. Keys of at
     least ``least`` code points that stand in at least 2 documents lose all their lines except in the smallest ``key``.
     Null and empty texts are one empty line. Rows that repeat a key are one document, each with its own result; rows
-    without a key are one document after all others. No row is lost.
+    without a key come after all others, each text a document of its own, equal ones alike. No row is lost.
     """
     drops = repeated_lines(docs, key, text, least).groupBy("doc", "mark").agg(F.collect_set("digest").alias("drops"))
-    own, mark, gone, kept = common.fresh(docs, "_doc", "_mark", "_gone", "_kept")
-    drops = drops.select(F.col("doc").alias("_other"), F.col("mark").alias("_other_mark"), F.col("drops").alias(gone))
+    own, mark, gone, kept, other, other_mark = common.fresh(docs, "_doc", "_mark", "_gone", "_kept", "_other", "_other_mark")
+    drops = drops.select(F.col("doc").alias(other), F.col("mark").alias(other_mark), F.col("drops").alias(gone))
 
     @arrow_udf("struct<text:string,lines:bigint,dropped:bigint>")
     def without(texts: pa.Array, drops: pa.Array) -> pa.Array:
@@ -89,7 +107,7 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", least:
             dropped.append(len(every) - len(stay))
         return pa.StructArray.from_arrays([pa.array(out, pa.string()), pa.array(lines, pa.int64()), pa.array(dropped, pa.int64())], ["text", "lines", "dropped"])
 
-    joined = docs.select("*", *row_of(key, text, own, mark)).join(drops, (F.col(own) == F.col("_other")) & (F.col(mark) == F.col("_other_mark")), "left")
+    joined = docs.select("*", *row_of(key, text, own, mark)).join(drops, (F.col(own) == F.col(other)) & (F.col(mark) == F.col(other_mark)), "left")
     joined = joined.withColumn(kept, without(common.text_of(text), F.col(gone)))
     names = common.fresh(docs, "kept_text", "n_lines", "n_dropped")
     return joined.select(*(F.col(f"`{c}`") for c in docs.columns), *(F.col(f"{kept}.{f}").alias(n) for f, n in zip(("text", "lines", "dropped"), names)))

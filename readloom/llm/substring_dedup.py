@@ -1,10 +1,9 @@
-"""Substring de-duplication: normalised units of text, digests grouped globally, the earliest occurrence kept."""
+"""Substring de-duplication: normalised units of lines, digests grouped globally, the earliest occurrence kept."""
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from itertools import accumulate
 from zlib import crc32
 
 import numpy as np
@@ -15,147 +14,148 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
 from readloom.llm import common
-from readloom.llm.line_dedup import row_of
-
-#: A unit ends with its line or sentence; white space after it belongs to it.
-UNIT = re.compile(r"[^\n.!?]*[\n.!?]+\s*|[^\n.!?]+\Z")
-#: Longer units are cut after words chosen by their own hash, so that a passage is cut alike wherever it stands.
-LONG_WORDS = 12
-CUT_EVERY = 6
-#: Shorter units are joined to their like; where these are fewer words together, they go with repeated units on both sides.
+from readloom.llm.line_dedup import earliest, foreign, row_of
+
+#: A unit ends with its line, with its sentence, or after a word chosen by its own hash (one word in CUT_EVERY), so that a
+#: passage is cut alike wherever it stands; so that no unit is shorter than LEAST_WORDS, ends that come earlier don't count.
+CUT_EVERY = 4
 LEAST_WORDS = 3
-#: A run of repeated units is removed from so many words on.
-RUN_WORDS = 25
-WORD = re.compile(r"\S+\s*")
+#: Of a word said over and over, every SAID_OVER repeats make an end.
+SAID_OVER = 4
+#: Runs of repeated units go from so many words on: passages of 50 words, less what their cut ends may lose.
+MIN_WORDS = 40
+WORD = re.compile(r"\S+")
+#: Words whose choice a Python worker remembers; beyond that it forgets all and begins anew.
+REMEMBERED = 1_000_000
+
+
+class Chosen(dict):
+    """word -> whether a unit may end after it."""
 
+    def __missing__(self, word: str) -> bool:
+        if len(self) > REMEMBERED:
+            self.clear()
+        out = self[word] = word[-1] in ".!?" or not crc32(word.encode("utf-8")) % CUT_EVERY
+        return out
 
-def cuts(words: list[str]) -> list[int]:
-    """Where ``words`` are cut: after words chosen by their hash, but with at least LEAST_WORDS words in each piece."""
-    out, first, last = [], 0, len(words) - LEAST_WORDS
-    for i in [i for i, h in enumerate(map(crc32, map(str.encode, words)), 1) if not h % CUT_EVERY]:
-        if first + LEAST_WORDS <= i <= last:
-            out.append(i)
-            first = i
-    return [*out, len(words)]
 
+CHOSEN = Chosen()
 
-def units(text: str, digests: bool = True) -> list[tuple[int, int, int, bytes]]:
-    """(start, end, words, digest) of the units of ``text``; together they are the whole text.
 
-    The digest is of the lower-cased words with single spaces. Lines and sentences of under LEAST_WORDS words that
-    follow each other are joined and cut like a long sentence; only if they have under LEAST_WORDS words together do
-    they make a unit without a digest.
+def ends_of(lines: list[list[str]]) -> list[int]:
+    """Where the units of a text end, counted in words; ``lines`` are the lower-cased words of its lines.
+
+    What is left at the end of the text, under LEAST_WORDS words, belongs to the last unit.
     """
-    out, at = [], 0
-    digest = xxhash.xxh3_128_digest
-    words: list[str] = []
-    ends: list[int] = []  # the end of each word's piece of text
-    begun = 0
-
-    def pieces() -> None:
-        nonlocal begun
-        first = 0
-        for i in cuts(words):
-            out.append((begun, ends[i - 1], i - first, digest(" ".join(words[first:i]).encode("utf-8")) if digests and i - first >= LEAST_WORDS else b""))
-            first, begun = i, ends[i - 1]
-        words.clear()
-        ends.clear()
-
-    for part in UNIT.findall(text):
-        end = at + len(part)
-        own = part.lower().split()
-        n = len(own)
-        if n < LEAST_WORDS:
-            if n:
-                words += own
-                ends += [end - len(WORD.findall(part)[1]), end] if n > 1 else [end]
-            elif ends:
-                ends[-1] = end
-            at = end
-            continue
-        if words:
-            pieces()
-        if n <= LONG_WORDS:
-            out.append((begun, end, n, digest(" ".join(own).encode("utf-8")) if digests else b""))
-            begun = end
-        else:
-            after = WORD.findall(part)  # as many as words; white space before the first belongs to it
-            words += own
-            ends += [*accumulate(map(len, after), initial=end - sum(map(len, after)))][1:]
-            pieces()
-        at = end
-    if words:
-        pieces()
+    out, at, begun, before, said = [], 0, 0, "", 0
+    for words in lines:
+        for n, (word, chosen) in enumerate(zip(words, map(CHOSEN.__getitem__, words)), at + 1):
+            if word == before:
+                said += 1
+                if not said % SAID_OVER:
+                    chosen = True
+            elif said:
+                said = 0
+            before = word
+            if chosen and n - begun >= LEAST_WORDS:
+                out.append(n)
+                begun = n
+        at += len(words)
+        if at - begun >= LEAST_WORDS:
+            out.append(at)
+            begun = at
     if begun < at:
-        out.append((begun, at, 0, b""))
+        out[-1:] = [at]
     return out
 
 
-def removed_spans(found: list[tuple[int, int, int, bytes]], repeated: set[int], run_words: int) -> list[tuple[int, int]]:
-    """Spans of runs of repeated units that have at least ``run_words`` words; short units between two such units go too."""
-    spans, i, n = [], 0, len(found)
-    while i < n:
-        if i not in repeated:
-            i += 1
-            continue
-        j, words, k = i, 0, i
-        while k < n and (k in repeated or found[k][2] < LEAST_WORDS):
-            if k in repeated:
-                j = k
-            k += 1
-        words = sum(found[x][2] for x in range(i, j + 1))
-        if words >= run_words:
-            spans.append((found[i][0], found[j][1]))
-        i = j + 1
-    return spans
-
-
-def repeated_units(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc, mark, unit) of every unit of at least LEAST_WORDS words whose digest stands earlier: in a document with a
-    smaller ``key``, or before it in its own text. ``mark`` tells the texts of one document apart."""
-    common.bounded_batches(docs.sparkSession)
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def units(text: str) -> tuple[list[int], list[bytes]]:
+    """The ends of the units of ``text`` in words, and their digests: of the lower-cased words with single spaces."""
+    lines = [line.split() for line in text.lower().split("\n")]
+    ends = ends_of(lines)
+    words = [w for line in lines for w in line]
+    digest = xxhash.xxh3_128_digest
+    return ends, [digest(" ".join(words[s:e]).encode("utf-8")) for s, e in zip([0, *ends], ends)]
+
+
+def removed_spans(text: str, repeated: set[int], min_words: int) -> list[tuple[int, int]]:
+    """(start, end) in ``text`` of the runs of repeated units of at least ``min_words`` words; the white space after goes too."""
+    ends = ends_of([line.split() for line in text.lower().split("\n")])
+    runs, i = [], 0
+    while i < len(ends):
+        j = i
+        while j < len(ends) and j in repeated:
+            j += 1
+        if j > i:
+            first = ends[i - 1] if i else 0
+            if ends[j - 1] - first >= min_words:
+                runs.append((first, ends[j - 1]))
+        i = max(j, i + 1)
+    if not runs:
+        return []
+    starts = [m.start() for m in WORD.finditer(text)]
+    starts[0] = 0
+    starts.append(len(text))
+    return [(starts[s], starts[e]) for s, e in runs]
+
+
+def digested(within: bool):
+    """Over rows (doc, mark, text): (doc, mark, place, d1, d2), 96 bits of the digest of every unit."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            owner, texts, place, digests = [], [], [], []
-            for doc, mark_of, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
-                seen: set[bytes] = set()
-                for i, (_, _, words, mark) in enumerate(units(value.as_py())):
-                    if words >= LEAST_WORDS:
-                        owner.append(doc)
-                        texts.append(mark_of)
-                        place.append(2 * i + (mark in seen))
-                        digests.append(mark)
-                        seen.add(mark)
+            counts, places, digests = [], [], []
+            for value in batch.column(2):
+                _, own = units(value.as_py())
+                if within:  # twice the unit, and 1 if its own text had it before
+                    seen: set[bytes] = set()
+                    places += [2 * i + (d in seen or seen.add(d) is not None) for i, d in enumerate(own)]
+                else:
+                    places += range(0, 2 * len(own), 2)
+                digests += own
+                counts.append(len(own))
             halves = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
-            yield pa.record_batch([pa.array(owner, pa.int64()), pa.array(texts, pa.int64()), pa.array(place, pa.int64()), pa.array(halves[:, 0].copy()), pa.array(halves[:, 1].copy())], names=["doc", "mark", "place", "d1", "d2"])
+            owner = np.repeat(np.arange(len(counts)), np.array(counts, "i8"))
+            yield pa.record_batch(
+                [pa.array(batch.column(i).to_numpy()[owner]) for i in (0, 1)] + [pa.array(places, pa.int32()), pa.array(halves[:, 0].copy()), pa.array(halves[:, 1].astype("i4"))],
+                names=["doc", "mark", "place", "d1", "d2"],
+            )
+
+    return run
 
+
+def repeated_units(docs: DataFrame, key: str = "doc_id", text: str = "text", within: bool = False) -> DataFrame:
+    """(doc, mark, unit) of every unit whose digest stands in a document that ranks earlier, or, with ``within``, earlier
+    in its own text. ``mark`` tells the texts of one document apart. Digests are combined before they are shuffled."""
+    common.bounded_batches(docs.sparkSession)
     own = docs.select(*row_of(key, text, "doc", "mark"), common.text_of(text).alias("text"))
-    every = own.mapInArrow(cut, "doc bigint, mark bigint, place bigint, d1 bigint, d2 bigint")  # place: twice the unit, and 1 if its own text had it before
-    often = every.groupBy("d1", "d2").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first <> last")
-    often = common.durable(often.select(F.col("d1").alias("e1"), F.col("d2").alias("e2"), "first"))  # so that the join's hot digests can be split
-    joined = every.join(often, (every.d1 == often.e1) & (every.d2 == often.e2), "left").where("place % 2 = 1 or doc <> first")
-    return joined.select("doc", "mark", F.shiftright("place", 1).cast("int").alias("unit"))
+    every = own.mapInArrow(digested(within), "doc bigint, mark bigint, place int, d1 bigint, d2 int")
+    often = earliest(every, "d1", "d2").withColumnsRenamed({"d1": "e1", "d2": "e2"})
+    often = common.durable(often)  # so that the join's hot digests can be split
+    found = every.join(often, (every.d1 == often.e1) & (every.d2 == often.e2), "left" if within else "inner")
+    return found.where(foreign() | (F.col("place") % 2 == 1)).select("doc", "mark", F.shiftright("place", 1).alias("unit"))
 
 
-def dedup_substrings(docs: DataFrame, key: str = "doc_id", text: str = "text", run_words: int = RUN_WORDS) -> DataFrame:
+def dedup_substrings(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS, within: bool = False) -> DataFrame:
     """``docs`` with kept_text and removed, an array of (start, end) code points in the original text; clashes append underscores.
 
-    Units are lines, sentences, and content-defined parts of long sentences, lower-cased with white space made one
-    space. Of equal units the one with the smallest ``key``, then the smallest place, is kept; runs of others of at
-    least ``run_words`` words are removed and reported with their offsets. Null texts read as empty and stay so; rows
-    that repeat a key are one document, each with the result of its own text; rows without a key come after all others.
+    Units are lines and content-defined parts of lines, lower-cased with white space made one space; the whole text
+    belongs to units. Of equal units in several documents the one with the smallest ``key`` keeps its own; in all others
+    runs of such units of at least ``min_words`` words go (1 removes every later repeat) and are reported with their
+    offsets. What one document says twice stays, unless ``within``: then the smallest place keeps it. Null texts read as
+    empty; texts under LEAST_WORDS words are one unit. Rows that repeat a key are one document, each with the result of its
+    own text; rows without a key come after all others, each text a document of its own, equal ones alike. No row is lost.
     """
-    drops = repeated_units(docs, key, text).groupBy("doc", "mark").agg(F.collect_set("unit").alias("drops"))
-    own, mark, gone, kept = common.fresh(docs, "_doc", "_mark", "_gone", "_kept")
-    drops = drops.select(F.col("doc").alias("_other"), F.col("mark").alias("_other_mark"), F.col("drops").alias(gone))
+    drops = repeated_units(docs, key, text, within).groupBy("doc", "mark").agg(F.collect_set("unit").alias("drops"))
+    own, mark, gone, kept, other, other_mark = common.fresh(docs, "_doc", "_mark", "_gone", "_kept", "_other", "_other_mark")
+    drops = drops.select(F.col("doc").alias(other), F.col("mark").alias(other_mark), F.col("drops").alias(gone))
 
     @arrow_udf("struct<text:string,removed:array<struct<start:bigint,end:bigint>>>")
     def without(texts: pa.Array, drops: pa.Array) -> pa.Array:
         out, spans, offsets = [], [], [0]
         for value, lost in zip(texts, drops):
             value, lost = value.as_py(), lost.as_py()
-            own = removed_spans(units(value, False), set(lost), run_words) if lost else []
+            own = removed_spans(value, set(lost), min_words) if lost else []
             parts, at = [], 0
             for s, e in own:
                 parts.append(value[at:s])
@@ -167,7 +167,7 @@ def dedup_substrings(docs: DataFrame, key: str = "doc_id", text: str = "text", r
         pairs = pa.StructArray.from_arrays([pa.array([s for s, _ in spans], pa.int64()), pa.array([e for _, e in spans], pa.int64())], ["start", "end"])
         return pa.StructArray.from_arrays([pa.array(out, pa.string()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pairs)], ["text", "removed"])
 
-    joined = docs.select("*", *row_of(key, text, own, mark)).join(drops, (F.col(own) == F.col("_other")) & (F.col(mark) == F.col("_other_mark")), "left")
+    joined = docs.select("*", *row_of(key, text, own, mark)).join(drops, (F.col(own) == F.col(other)) & (F.col(mark) == F.col(other_mark)), "left")
     joined = joined.withColumn(kept, without(common.text_of(text), F.col(gone)))
     names = common.fresh(docs, "kept_text", "removed")
     return joined.select(*(F.col(f"`{c}`") for c in docs.columns), *(F.col(f"{kept}.{f}").alias(n) for f, n in zip(("text", "removed"), names)))
