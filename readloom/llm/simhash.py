@@ -17,6 +17,8 @@ from readloom.llm import common
 BLOCK = 1 << 17
 #: Fingerprints of one signature that are compared all with all; larger signatures are probed bit by bit instead.
 COMPARED = 1 << 15
+#: Fingerprints of one signature that one task takes; signatures with more are split by the bits outside their segment.
+SPLIT = 1 << 18
 
 
 def shingle_hashes(text: str, words_each: int) -> list[int]:
@@ -141,17 +143,20 @@ def verified_links(bits: int):
         return np.concatenate(a), np.concatenate(b)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, fps = np.zeros(0, "i8"), np.zeros(0, "u8")
+        open_keys: list[np.ndarray] = []  # rows of one signature, which the next batch may go on with
+        open_fps: list[np.ndarray] = []
         for batch in batches:
-            keys = np.concatenate([keys, batch.column(0).to_numpy()])
-            fps = np.concatenate([fps, batch.column(1).to_numpy().view("u8")])
-            if not len(keys) or keys[0] == keys[-1]:
+            keys, fps = batch.column(0).to_numpy(), batch.column(1).to_numpy().view("u8")
+            if not len(keys):
                 continue
-            last = int(np.searchsorted(keys, keys[-1]))
-            yield rows(*linked(keys[:last], fps[:last]))
-            keys, fps = keys[last:], fps[last:]
-        if len(keys):
-            yield rows(*linked(keys, fps))
+            if open_keys and open_keys[0][0] != keys[-1] or keys[0] != keys[-1]:
+                last = int(np.searchsorted(keys, keys[-1]))
+                yield rows(*linked(np.concatenate([*open_keys, keys[:last]]), np.concatenate([*open_fps, fps[:last]])))
+                open_keys, open_fps, keys, fps = [], [], keys[last:], fps[last:]
+            open_keys.append(keys)
+            open_fps.append(fps)
+        if open_keys:
+            yield rows(*linked(np.concatenate(open_keys), np.concatenate(open_fps)))
 
     def rows(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
         return pa.record_batch([pa.array(a.view("i8")), pa.array(b.view("i8"))], names=["a", "b"])
@@ -159,23 +164,43 @@ def verified_links(bits: int):
     return run
 
 
+def cut(positions: list[int], pieces: int) -> list[list[int]]:
+    n = len(positions)
+    return [positions[n * i // pieces : n * (i + 1) // pieces] for i in range(pieces)]
+
+
+def signed(value: int) -> int:
+    return value - (1 << 64) if value >> 63 else value
+
+
 def links(distinct: DataFrame, bits: int = 3) -> DataFrame:
     """Links (a, b) between distinct fingerprints, enough to connect all that differ in at most ``bits`` bits.
 
     The 64 bits are cut into (bits + 1) / 2 segments, rounded up, so that of any such pair one segment differs in at
     most one bit. Each fingerprint is indexed under every segment with every single bit as a wildcard; equal
-    signatures meet in one partition and are verified there on all 64 bits.
+    signatures meet in one partition and are verified there on all 64 bits. A signature that more than SPLIT
+    fingerprints may share is split in the same way by the bits outside its segment, so no task grows with it.
     """
-    segments = (bits + 2) // 2
-    edges = [64 * i // segments for i in range(segments + 1)]
-    variants = ", ".join(f"struct({b}L, (shiftrightunsigned(fp, {low}) & {(1 << high - low) - 1}L) & {~(1 << b - low)}L)" for low, high in zip(edges, edges[1:]) for b in range(low, high))
-    width = max(high - low for low, high in zip(edges, edges[1:]))
-    if width > 57:
+    pieces = (bits + 2) // 2
+    segments = [(s[0], s[-1] + 1) for s in cut([*range(64)], pieces)]
+    if max(high - low for low, high in segments) > 57:
         raise ValueError("at least 2 bits, so that a signature fits a long")
+    own = lambda low, high: f"(shiftrightunsigned(fp, {low}) & {(1 << high - low) - 1}L)"
+    variants = ", ".join(f"struct({s} as segment, shiftleft({b}L, 57) + ({own(low, high)} & {~(1 << b - low)}L) as signature)" for s, (low, high) in enumerate(segments) for b in range(low, high))
     parts = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    spread = distinct.repartition(parts, "fp")  # few bytes, but each row becomes 64: not to be left to a task or two
-    keyed = spread.select("fp", F.expr(f"explode(array({variants}))").alias("v")).select((F.shiftleft("v.col1", 57) + F.col("v.col2")).alias("signature"), "fp")
-    dealt = keyed.repartition("signature").sortWithinPartitions("signature")
+    spread = distinct.repartition(parts, F.xxhash64("fp", F.lit(1)))  # few bytes, but each row becomes 64: not to be left to a task or two
+    keyed = spread.select("fp", F.expr(f"inline(array({variants}))"))
+    values = ", ".join(f"struct({s} as segment, {own(low, high)} as value)" for s, (low, high) in enumerate(segments))
+    hot = common.durable(distinct.select(F.expr(f"inline(array({values}))")).groupBy("segment", "value").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > SPLIT // 2))
+    if not hot.isEmpty():  # a signature joins two values of its segment
+        low, high = (F.element_at(F.array(*(F.lit(s[i]) for s in segments)), F.col("segment") + 1) for i in (0, 1))
+        wild = hot.select("value", low.alias("low"), F.explode(F.sequence(low, high - 1)).alias("b"))
+        wild = wild.select(F.expr("shiftleft(cast(b as bigint), 57) + (value & ~shiftleft(1L, b - low))").alias("split")).distinct()
+        outside = [[p for p in range(64) if not low <= p < high] for low, high in segments]
+        finer = [", ".join(f"xxhash64(signature, {b}, fp & {signed(sum(1 << p for p in piece) & ~(1 << b))}L)" for piece in cut(rest, pieces) for b in piece) for rest in outside]
+        every = F.expr("case " + " ".join(f"when split is not null and segment = {s} then array({f})" for s, f in enumerate(finer)) + " else array(signature) end")
+        keyed = keyed.join(wild, keyed.signature == wild.split, "left").select("fp", F.explode(every).alias("signature"))
+    dealt = keyed.select("signature", "fp").repartition("signature").sortWithinPartitions("signature")
     return dealt.mapInArrow(verified_links(bits), "a bigint, b bigint")
 
 
@@ -186,36 +211,42 @@ def labelled(prints: DataFrame, bits: int) -> DataFrame:
     return least.join(label, least.fp == label.node, "left").select("fp", "first", F.coalesce("label", "fp").alias("label"))
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", words_each: int = 3, bits: int = 3) -> DataFrame:
-    """One row per row of ``docs``: ``key``, fp (signed long), component_id.
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", words_each: int = 3, bits: int = 3, drop_text: bool = False) -> DataFrame:
+    """``docs`` with fp (signed long) and component_id; a clash of names appends underscores.
 
     Fingerprints link at ``bits`` or fewer differing bits; component_id is the smallest ``key`` reachable, the row's
     own included. Rows with a null key take part but never name a component (it is null if all its keys are null).
-    Copies share a fingerprint and are compared once, so a group of copies costs one row however large it is.
+    Copies share a fingerprint and are compared once, so a group of copies costs one row however large it is. All rows
+    and columns stay; ``drop_text`` leaves the text behind, so that it isn't written and shuffled.
     """
-    prints = common.durable(fingerprints(docs.select(F.col(key).alias("id"), F.col(text).alias("text")), "text", words_each).select("id", "fp"))
-    grouped = labelled(prints, bits)
-    smallest = grouped.groupBy("label").agg(F.min("first").alias("component_id"))
-    named = grouped.join(smallest, "label").select(F.col("fp").alias("named"), "component_id")
-    return prints.join(named, prints.fp == named.named).select(F.col("id").alias(key), "fp", "component_id")
+    own, component, named = common.fresh(docs, "fp", "component_id", "_named")
+    rest = [F.col(f"`{c}`") for c in docs.columns if c != text]
+    prints = fingerprints(docs, text, words_each, own)
+    prints = common.durable(prints.select(*rest, own) if drop_text else prints)
+    grouped = labelled(prints.select(F.col(key).alias("id"), F.col(own).alias("fp")), bits)
+    smallest = grouped.groupBy("label").agg(F.min("first").alias("least"))
+    names = grouped.join(smallest, "label").select(F.col("fp").alias(named), F.col("least").alias(component))
+    return prints.join(names, F.col(own) == F.col(named)).drop(named)
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", words_each: int = 3, bits: int = 3) -> DataFrame:
     """The rows of ``docs`` that stand for their component: the one with the smallest ``key``, with all its columns.
 
-    A null key comes after all others. Where rows repeat a key, their fingerprints tell them apart, and of rows equal
-    in both one stays.
+    A null key comes after all others. Where rows repeat a key, their fingerprints tell them apart, then the smallest
+    hash of their texts, and of rows equal in all that one stays.
     """
-    at = F.coalesce(F.col(key).cast("long"), F.lit((1 << 63) - 1))
-    prints = common.durable(fingerprints(docs.select(at.alias("id"), F.col(text).alias("text")), "text", words_each).select("id", "fp"))
+    at, mark = F.coalesce(F.col(key).cast("long"), F.lit((1 << 63) - 1)), F.xxhash64(common.text_of(text))
+    prints = fingerprints(docs.select(at.alias("id"), F.col(text).alias("text")), "text", words_each)
+    prints = common.durable(prints.select("id", "fp", F.xxhash64(common.text_of("text")).alias("mark")))
     keep = common.durable(labelled(prints, bits).groupBy("label").agg(F.min(F.struct("first", "fp")).alias("one")).select("one.first", F.col("one.fp").alias("kept_fp")))
     if prints.groupBy("id").count().where("count > 1").isEmpty():
         return docs.join(keep, at == keep["first"], "left_semi")
-    fp = common.fresh(docs, "_fp")[0]
-    own = fingerprints(docs, text, words_each, fp)
-    return own.join(keep, (at == keep["first"]) & (F.col(fp) == keep.kept_fp), "left_semi").dropDuplicates([key, fp]).drop(fp)
+    keep = prints.join(keep, (prints.id == keep["first"]) & (prints.fp == keep.kept_fp)).groupBy("first", "kept_fp").agg(F.min("mark").alias("kept_mark"))
+    own = common.fresh(docs, "_mark")[0]
+    marked = docs.withColumn(own, mark)
+    return marked.join(keep, (at == keep["first"]) & (F.col(own) == keep.kept_mark), "left_semi").dropDuplicates([key, own]).drop(own)
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = near_duplicates(common.table(spark, sf_dir, "documents").select("doc_id", "text"))
+    out = near_duplicates(common.table(spark, sf_dir, "documents").select("doc_id", "text"), drop_text=True)
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

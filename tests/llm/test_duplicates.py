@@ -57,8 +57,8 @@ def test_fingerprints_and_components(spark):
     prints = {i: fingerprint(t) for i, t in rows}
     want = smallest_reachable(list(prints), lambda a, b: (prints[a] ^ prints[b]).bit_count() <= 3)
     got = simhash.near_duplicates(table(spark, rows)).collect()
-    assert {r["doc_id"]: r["fp"] % 2**64 for r in got} == prints
-    assert {r["doc_id"]: r["component_id"] for r in got} == want
+    assert {r["doc_id"]: r["fp_"] % 2**64 for r in got} == prints
+    assert {r["doc_id"]: r["component_id"] for r in got} == want and got[0]["text"] is not None
     kept = simhash.keep_one(table(spark, rows))
     assert kept.columns == table(spark, rows).columns
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(want.values()))
@@ -72,8 +72,10 @@ def test_repeated_and_null_keys(spark):
     assert len(kept) == 3 and len([k for k in kept if k[0] is None]) == 1
 
 
-def test_links_lose_nothing(spark):
-    """Fingerprints in chains of 1 to 4 bits, many sharing signatures: components as by all pairs."""
+@pytest.mark.parametrize("split, bits", [(simhash.SPLIT, 3), (4, 3), (4, 2), (4, 5)])
+def test_links_lose_nothing(spark, monkeypatch, split, bits):
+    """Fingerprints in chains of 1 to 4 bits, many sharing signatures: components as by all pairs, also of split signatures."""
+    monkeypatch.setattr(simhash, "SPLIT", split)
     draw = random.Random(8)
     values = set()
     for _ in range(40):
@@ -84,7 +86,7 @@ def test_links_lose_nothing(spark):
                 v ^= 1 << b
     values = sorted(values)
     arr = np.array(values, "u8")
-    near = np.bitwise_count(arr[:, None] ^ arr[None, :]) <= 3
+    near = np.bitwise_count(arr[:, None] ^ arr[None, :]) <= bits
     label = np.arange(len(values))
     while True:
         new = np.array([label[near[i]].min() for i in range(len(values))])
@@ -92,7 +94,7 @@ def test_links_lose_nothing(spark):
             break
         label = new
     signed = arr.view("i8").tolist()
-    found = simhash.links(spark.createDataFrame([(v,) for v in signed], "fp long"))
+    found = simhash.links(spark.createDataFrame([(v,) for v in signed], "fp long"), bits)
     root = {r["node"]: r["label"] for r in components(found).collect()}
     groups = {}
     for v, i in zip(signed, label):
