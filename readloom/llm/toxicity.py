@@ -3,10 +3,9 @@
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
-import ahocorasick
 import numpy as np
 import pyarrow as pa
 import regex
@@ -16,103 +15,131 @@ from pyspark.sql.functions import arrow_udf
 
 from readloom.llm import common
 
-#: Bounds of the fitted part: labelled examples of each class, and terms of the index.
+#: Bound of the fitted part: labelled examples of each class. All their terms are indexed.
 EXAMPLES = 3000
-TERMS = 256
-#: Examples in a block of the index; neighbours that vote; power of the cosine as a vote's weight.
+#: Examples in a block of the index; neighbours that vote, each by its cosine; texts that are searched together.
 BLOCK = 64
-NEIGHBOURS = 15
-POWER = 4
-#: Weight of the common direction that stands for a text's length, so that one term counts less in a longer text.
-LENGTH_WEIGHT = 3.0
-LETTERS = regex.compile(r"\p{L}+")
-SHORTEST, LONGEST = 3, 8
-
-
-def terms_of(text: str) -> set[str]:
-    """Words ("=word") and their beginnings of SHORTEST to LONGEST letters ("<beginning")."""
-    words = set(LETTERS.findall(text.lower()))
-    return {f"={w}" for w in words} | {f"<{w[:n]}" for w in words for n in range(SHORTEST, min(LONGEST, len(w) - 1) + 1)}
-
-
-class Matcher:
-    """Counts of the index's terms in a text, by one pass of an automaton."""
-
-    def __init__(self, terms: list[str]) -> None:
-        self.size = len(terms)
-        spelled: dict[str, list[tuple[int, bool]]] = {}
-        for i, term in enumerate(terms):
-            spelled.setdefault(term[1:], []).append((i, term[0] == "="))
-        self.automaton = ahocorasick.Automaton()
-        for word, kinds in spelled.items():
-            self.automaton.add_word(word, (len(word), kinds))
-        if terms:
-            self.automaton.make_automaton()
-
-    def counts(self, text: str) -> Counter:
-        found: Counter = Counter()
-        if not self.size:
-            return found
-        text = text.lower()
-        last = len(text) - 1
-        for end, (n, kinds) in self.automaton.iter(text):
-            if end >= n and text[end - n].isalpha():
-                continue
-            whole = end == last or not text[end + 1].isalpha()
-            for i, needs_whole in kinds:
-                if needs_whole == whole:
-                    found[i] += 1
-        return found
-
-
-def vectors(texts: list[str], matcher: Matcher, idf: np.ndarray) -> np.ndarray:
-    """Unit rows: (1 + log count) x idf for each term, and the direction that stands for the text's length."""
-    out = np.zeros((len(texts), matcher.size + 1))
-    for i, text in enumerate(texts):
-        for term, n in matcher.counts(text).items():
-            out[i, term] = (1 + np.log(n)) * idf[term]
-        out[i, -1] = LENGTH_WEIGHT * np.sqrt(np.log1p(len(text) / 6) + 0.01)
-    return out / np.linalg.norm(out, axis=1, keepdims=True)
+NEIGHBOURS = 51
+TOGETHER = 64
+#: Cosines are compared as integers of this scale.
+SCALE = 10**9
+#: Terms in more than this share of the examples have postings long enough to skip blocks of; those of others are short.
+FREQUENT = 1 / 32
+WORD = regex.compile(r"\p{L}+")
+COUNTED = "id bigint, label int, terms array<string>, counts array<bigint>"
+
+
+def terms_of(text: str) -> Counter:
+    return Counter(WORD.findall(text.lower()))
+
+
+@dataclass
+class Sparse:
+    """Rows of terms and weights: row i has the entries from starts[i] to starts[i + 1]."""
+
+    starts: np.ndarray
+    terms: np.ndarray
+    weights: np.ndarray
+
+    def owners(self) -> np.ndarray:
+        return np.repeat(np.arange(len(self.starts) - 1), np.diff(self.starts))
+
+
+def sparse(counted: Iterable[tuple[list[int], list[int]]], weight: np.ndarray) -> Sparse:
+    """Unit rows of (1 + log count) x weight for the (terms, counts) of each text; a text without known terms is zero."""
+    starts, terms, counts = [0], [], []
+    for own, often in counted:
+        terms += own
+        counts += often
+        starts.append(len(terms))
+    out = Sparse(np.array(starts), np.array(terms, "i8"), (1 + np.log(np.array(counts, "f8"))) * weight[np.array(terms, "i8")])
+    norm = np.sqrt(np.bincount(out.owners(), out.weights**2, len(starts) - 1))
+    out.weights /= np.maximum(norm, 1e-300)[out.owners()]
+    return out
+
+
+def runs(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The numbers of all ranges, one after the other."""
+    n = ends - starts
+    return np.repeat(ends - np.cumsum(n), n) + np.arange(n.sum())
 
 
 @dataclass
 class Model:
-    """All bounded: at most TERMS terms and 2 x EXAMPLES examples. Examples with equal vectors are one, with their mean label."""
+    """At most 2 x EXAMPLES examples with all their terms; those with equal vectors are one, with their mean label.
+
+    Terms are numbered by how many examples have them, most first. The weights of the first ``frequent`` terms stand in
+    blocks of BLOCK examples, with the largest weight of each term in each block; the postings of the others follow each
+    other, from ``starts[t]`` on for term t.
+    """
 
     terms: list[str]
-    idf: np.ndarray
-    examples: np.ndarray  # ordered so that alike examples share a block
+    weight: np.ndarray  # of each term in any text: inverse document frequency x relevance
+    frequent: int
+    blocks: np.ndarray  # examples x frequent terms; examples that are alike share a block
+    maxima: np.ndarray  # frequent terms x blocks
+    starts: np.ndarray
+    holders: np.ndarray
+    held: np.ndarray
     labels: np.ndarray
     ids: np.ndarray  # smallest id among the merged examples
-    maxima: np.ndarray  # largest weight of each term in each block: terms x blocks
     slope: float
     shift: float
 
-    def votes(self, rows: np.ndarray, alone: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def numbers(self) -> dict[str, int]:
+        return {t: i for i, t in enumerate(self.terms)}
+
+    def votes(self, rows: Sparse, alone: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Weighted vote of each row's neighbours, their cosines and numbers; exact, ties to the smaller number.
 
-        Blocks whose upper bound is under a row's present k-th cosine are skipped for that row. ``alone`` leaves out
-        examples with the same vector (for calibration).
+        Rare terms add their few postings. A block's bound is what rare terms gave there at most, and its maxima; the
+        blocks with the highest bounds are searched first, and all that no row can find its k-th neighbour in are
+        skipped. ``alone`` leaves out examples with the same vector (for calibration).
         """
-        n, k = len(rows), min(NEIGHBOURS, len(self.labels))
+        n, k = len(rows.starts) - 1, min(NEIGHBOURS, len(self.labels))
         best, which = np.full((n, k), -1.0), np.full((n, k), -1)
-        bound = rows @ self.maxima
-        for b in np.argsort(-bound.max(axis=0), kind="stable") if n and k else []:
-            live = np.flatnonzero(bound[:, b] >= best[:, -1] - 1e-12)
-            if not len(live):
-                continue
-            own = np.arange(b * BLOCK, min((b + 1) * BLOCK, len(self.labels)))
-            cosine = np.round(rows[live] @ self.examples[own].T, 12)
-            if alone:
-                cosine[cosine > 1 - 1e-9] = -1
-            every = np.concatenate([best[live], cosine], axis=1)
-            number = np.concatenate([which[live], np.broadcast_to(own, cosine.shape)], axis=1)
-            order = np.lexsort((number, -every), axis=1)[:, :k]
-            best[live], which[live] = np.take_along_axis(every, order, 1), np.take_along_axis(number, order, 1)
-        weight = np.maximum(best, 0) ** POWER
-        vote = (weight * np.where(which >= 0, self.labels[which], 0)).sum(1) / np.maximum(weight.sum(1), 1e-12)
+        for s in range(0, n if k else 0, TOGETHER):
+            e = min(s + TOGETHER, n)
+            inside = slice(rows.starts[s], rows.starts[e])
+            owner = np.repeat(np.arange(e - s), np.diff(rows.starts[s : e + 1]))
+            best[s:e], which[s:e] = self.nearest(owner, rows.terms[inside], rows.weights[inside], e - s, k, alone)
+        weight = np.maximum(best, 0)
+        vote = (weight * np.where(which >= 0, self.labels[which], 0)).sum(1) / np.maximum(weight.sum(1), 1e-12) if k else np.zeros(n)
         return vote, best, which
 
+    def nearest(self, owner: np.ndarray, terms: np.ndarray, weights: np.ndarray, n: int, k: int, alone: bool) -> tuple[np.ndarray, np.ndarray]:
+        often = terms < self.frequent
+        dense = np.zeros((n, self.frequent))
+        dense[owner[often], terms[often]] = weights[often]
+        owner, terms, weights = owner[~often], terms[~often], weights[~often]
+        starts, ends = self.starts[terms - self.frequent], self.starts[terms - self.frequent + 1]
+        at, size = runs(starts, ends), ends - starts
+        count = len(self.labels)
+        cells = np.repeat(owner * count, size) + self.holders[at]
+        rare = np.bincount(cells, np.repeat(weights, size) * self.held[at], n * count).reshape(n, count)
+        blocks = np.arange(0, count, BLOCK)
+        bound = dense @ self.maxima + np.maximum.reduceat(rare, blocks, axis=1) + 1e-8
+        done = np.zeros(len(blocks), bool)
+        done[np.argsort(-bound.max(axis=0), kind="stable")[: -(-k // BLOCK) + 1]] = True  # enough for k neighbours
+        key = np.full((n, count), -1, "i8")
+        self.compare(key, np.flatnonzero(done), dense, rare, alone)
+        least = np.partition(key, count - k, axis=1)[:, count - k] // count  # present k-th cosine of each row
+        live = (bound * SCALE >= least[:, None]).any(axis=0) & ~done
+        self.compare(key, np.flatnonzero(live), dense, rare, alone)
+        top = np.argpartition(key, count - k, axis=1)[:, count - k :]
+        own = np.take_along_axis(key, top, 1)
+        order = np.argsort(-own, axis=1)
+        own, top = np.take_along_axis(own, order, 1), np.take_along_axis(top, order, 1)
+        return np.where(own < 0, -1.0, own // count / SCALE), np.where(own < 0, -1, top)
+
+    def compare(self, key: np.ndarray, blocks: np.ndarray, dense: np.ndarray, rare: np.ndarray, alone: bool) -> None:
+        """Puts cosine and number of these blocks' examples, as one integer that orders them, ties to the smaller number."""
+        count = key.shape[1]
+        own = np.concatenate([np.arange(b * BLOCK, min((b + 1) * BLOCK, count)) for b in blocks]) if len(blocks) else np.zeros(0, "i8")
+        cosine = dense @ self.blocks[own].T + rare[:, own]
+        found = np.rint(cosine * SCALE).astype("i8") * count + (count - 1 - own)
+        key[:, own] = np.where(cosine > 1 - 1e-6, -1, found) if alone else found
+
     def scores(self, vote: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.slope * vote + self.shift, -30, 30)))
 
@@ -129,13 +156,31 @@ def calibrated(vote: np.ndarray, label: np.ndarray, weight: np.ndarray) -> tuple
     return float(max(w[0], 1e-6)), float(w[1])
 
 
+def relevance(terms: np.ndarray, labels: np.ndarray, size: int) -> np.ndarray:
+    """How far each term's shares in the two classes of examples lie apart, in standard errors; 1 where a class is missing."""
+    n1, n0 = labels.sum(), len(labels) - labels.sum()
+    if not n1 or not n0:
+        return np.ones(size)
+    a, b = np.bincount(terms[0][terms[1] == 1], minlength=size), np.bincount(terms[0][terms[1] == 0], minlength=size)
+    p = (a + b + 1) / (n1 + n0 + 2)
+    return np.abs(a / n1 - b / n0) / np.sqrt(p * (1 - p) * (1 / n1 + 1 / n0))
+
+
+def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        own = [terms_of(v.as_py()) for v in batch.column(2)]
+        kinds = (pa.list_(pa.string()), pa.list_(pa.int64()))
+        yield pa.record_batch([batch.column(0), batch.column(1), pa.array([[*c] for c in own], kinds[0]), pa.array([[*c.values()] for c in own], kinds[1])], names=["id", "label", "terms", "counts"])
+
+
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic") -> Model:
     """A model from ``labels`` (``key``, ``label`` 0/1) and the texts of ``docs``.
 
-    The examples are at most EXAMPLES of each class, those whose key has the smallest hash. The terms are the TERMS
-    that tell the classes of the examples apart best (chi-square) among those commoner in class 1; how many documents
-    have each of them is counted over all of ``docs``. Class weights follow all of ``labels``. Rows with a null key,
-    label or text count as absent; with one class or none every score is the share of class 1 (0.5 if unknown).
+    The examples are at most EXAMPLES of each class, those whose key has the smallest hash; only they reach the driver.
+    Every term of theirs is indexed. A term weighs by its inverse document frequency, counted over all of ``docs``, times
+    its relevance: by frequency alone the nearest texts are those that share rare words, whatever their label. Class
+    weights follow all of ``labels``. Rows with a null key, label or text count as absent; with one class or none every
+    score is the share of class 1 (0.5 if unknown).
     """
     common.bounded_batches(docs.sparkSession)
     known = labels.select(F.col(key).alias("id"), F.col(label).cast("int").alias("label")).where("id is not null and label in (0, 1)").groupBy("id").agg(F.max("label").alias("label"))
@@ -143,71 +188,65 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     every = {c: known.where(F.col("label") == c).orderBy(F.xxhash64("id"), "id").limit(EXAMPLES) for c in (0, 1)}
     chosen = every[0].unionByName(every[1])
     texts = docs.select(F.col(key).alias("id"), F.col(text).alias("text")).where("text is not null")
-    sample = common.durable(texts.join(F.broadcast(chosen), "id"))  # 2 x EXAMPLES short rows at most
-
-    def present(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found: Counter = Counter()
-            for value, y in zip(batch.column(0), batch.column(1).to_pylist()):
-                found.update((t, y) for t in terms_of(value.as_py()))
-            yield pa.record_batch([pa.array([t for t, _ in found], pa.string()), pa.array([y for _, y in found], pa.int32()), pa.array([*found.values()], pa.int64())], names=["term", "label", "n"])
-
-    size = {r["label"]: r["count"] for r in sample.groupBy("label").count().collect()}
-    n0, n1 = size.get(0, 0), size.get(1, 0)
-    terms: list[str] = []
-    if n0 and n1:
-        has = sample.select("text", "label").mapInArrow(present, "term string, label int, n bigint").groupBy("term")
-        has = has.agg(F.sum(F.when(F.col("label") == 1, F.col("n")).otherwise(0)).alias("a"), F.sum(F.when(F.col("label") == 0, F.col("n")).otherwise(0)).alias("b"))
-        has = has.where((F.col("a") + F.col("b") >= 3) & (F.col("a") * n0 > F.col("b") * n1))
-        apart = F.pow(F.col("a").cast("double") * (n0 - F.col("b")) - F.col("b").cast("double") * (n1 - F.col("a")), 2) / ((F.col("a") + F.col("b")) * (n0 + n1 - F.col("a") - F.col("b")) + 1)
-        terms = [r["term"] for r in has.orderBy(apart.desc(), "term").limit(TERMS).collect()]
-    matcher = Matcher(terms)
+    sample = texts.join(F.broadcast(chosen), "id").select("id", "label", "text")  # 2 x EXAMPLES short rows at most are broadcast
+    gathered = sample.mapInArrow(counted, COUNTED).toArrow()
+    ids, own_label, own_terms, counts = (gathered.column(c).to_pylist() for c in ("id", "label", "terms", "counts"))
+    held = Counter(t for own in own_terms for t in own)
+    terms = sorted(held, key=lambda t: (-held[t], t))
+    number = {t: i for i, t in enumerate(terms)}
+    shared = docs.sparkSession.sparkContext.broadcast(number)
 
     def frequency(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Matcher(terms)
-        total = np.zeros(own.size + 1, "i8")
+        known, found, n = shared.value, Counter(), 0
         for batch in batches:
             for value in batch.column(0):
-                total[-1] += 1
-                for i in own.counts(value.as_py()):
-                    total[i] += 1
-        yield pa.record_batch([pa.array(np.arange(own.size + 1)), pa.array(total)], names=["term", "n"])
-
-    seen = docs.select(common.text_of(text).alias("text")).mapInArrow(frequency, "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n"))
+                n += 1
+                found.update(set(WORD.findall(value.as_py().lower())))
+            if len(found) > 4 * len(known):  # words that no example has
+                found = Counter({t: found[t] for t in found.keys() & known.keys()})
+        rows = [(known[t], found[t]) for t in found.keys() & known.keys()] + [(-1, n)]
+        yield pa.record_batch([pa.array([i for i, _ in rows], pa.int64()), pa.array([n for _, n in rows], pa.int64())], names=["term", "n"])
+
+    seen = docs.select(common.text_of(text).alias("text")).mapInArrow(frequency, "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
     df = np.zeros(len(terms) + 1)
-    for r in seen.collect():  # TERMS + 1 rows
-        df[r["term"]] = r["n"]
-    idf = np.log((df[-1] + 1) / (df[:-1] + 1)) + 1e-3
-
-    def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Matcher(terms)
-        for batch in batches:
-            rows = vectors([v.as_py() for v in batch.column(1)], own, idf).round(12)
-            yield pa.record_batch([batch.column(0), batch.column(2), pa.array([r.tobytes() for r in rows], pa.binary())], names=["id", "label", "v"])
-
-    gathered = sample.select("id", "text", "label").mapInArrow(coded, "id bigint, label int, v binary").toArrow()
-    weight = {c: share.get(c, 0) / max(1, size.get(c, 0)) for c in (0, 1)}
-    merged: dict[bytes, list] = {}
-    for i, y, v in zip(*(gathered.column(c).to_pylist() for c in ("id", "label", "v"))):
-        one = merged.setdefault(v, [0.0, 0.0, i])
-        one[y] += weight[y]
+    df[seen.column("term").to_numpy()] = seen.column("n").to_numpy()
+    numbered = [[number[t] for t in own] for own in own_terms]
+    y = np.array(own_label, "i8")
+    flat = np.array([t for own in numbered for t in own], "i8")
+    weight = np.log((df[-1] + 1) / (df[:-1] + 1)) + 1e-3
+    weight *= relevance(np.stack([flat, np.repeat(y, [len(own) for own in numbered])]), y, len(terms)) + 1e-3
+    size = {c: int((y == c).sum()) for c in (0, 1)}
+    mass = {c: share.get(c, 0) / max(1, size[c]) for c in (0, 1)}
+    merged: dict[tuple, list] = {}
+    for i, c, own, often in zip(ids, own_label, numbered, counts):
+        one = merged.setdefault(tuple(sorted(zip(own, often))), [0.0, 0.0, i])
+        one[c] += mass[c]
         one[2] = min(one[2], i)
-    rows = np.array([np.frombuffer(v) for v in merged]).reshape(len(merged), len(terms) + 1)
-    masses = np.array([m[:2] for m in merged.values()]).reshape(-1, 2)
-    ids = np.array([m[2] for m in merged.values()], "i8")
-    lead = rows[:, :-1].argmax(axis=1) if len(terms) and len(rows) else np.zeros(len(rows), int)
-    order = np.lexsort((ids, rows[:, -1], lead))
-    rows, masses, ids = rows[order], masses[order], ids[order]
-    blocks = max(1, -(-len(rows) // BLOCK))
-    maxima = np.stack([rows[b * BLOCK : (b + 1) * BLOCK].max(axis=0, initial=0) for b in range(blocks)], axis=1)
+    first = sparse((([t for t, _ in m], [n for _, n in m]) for m in merged), weight)
+    lead = [int(first.terms[s + first.weights[s:e].argmax()]) if e > s else -1 for s, e in zip(first.starts, first.starts[1:])]
+    order = sorted(zip(merged.items(), lead), key=lambda x: (x[1], x[0][1][2]))
+    masses, ids = np.array([x[0][1][:2] for x in order]).reshape(-1, 2), np.array([x[0][1][2] for x in order], "i8")
+    rows = sparse((([t for t, _ in m], [n for _, n in m]) for (m, _), _ in order), weight)
     prior = share.get(1, 0) / max(1, sum(share.values())) if share else 0.5
-    model = Model(terms, idf, rows, masses[:, 1] / np.maximum(masses.sum(1), 1e-12), ids, maxima, 0.0, float(np.log((prior + 1e-6) / (1 - prior + 1e-6))))
-    if n0 and n1:
+    model = indexed(terms, weight, int(sum(n > FREQUENT * len(y) for n in held.values())), rows, masses[:, 1] / np.maximum(masses.sum(1), 1e-12), ids)
+    model.slope, model.shift = 0.0, float(np.log((prior + 1e-6) / (1 - prior + 1e-6)))
+    if size[0] and size[1]:
         vote, _, _ = model.votes(rows, alone=True)
-        model.slope, model.shift = calibrated(np.concatenate([vote, vote]), np.repeat([0.0, 1.0], len(rows)), np.concatenate([masses[:, 0], masses[:, 1]]))
+        model.slope, model.shift = calibrated(np.concatenate([vote, vote]), np.repeat([0.0, 1.0], len(ids)), np.concatenate([masses[:, 0], masses[:, 1]]))
     return model
 
 
+def indexed(terms: list[str], weight: np.ndarray, frequent: int, rows: Sparse, labels: np.ndarray, ids: np.ndarray) -> Model:
+    count, owner = len(ids), rows.owners()
+    often = rows.terms < frequent
+    blocks = np.zeros((count, frequent))
+    blocks[owner[often], rows.terms[often]] = rows.weights[often]
+    maxima = np.stack([blocks[s : s + BLOCK].max(axis=0, initial=0) for s in range(0, max(1, count), BLOCK)], axis=1)
+    order = np.lexsort((owner[~often], rows.terms[~often]))
+    starts = np.searchsorted(rows.terms[~often][order], np.arange(frequent, len(terms) + 1))
+    return Model(terms, weight, frequent, blocks, maxima, starts, owner[~often][order].astype("i4"), rows.weights[~often][order], labels, ids, 0.0, 0.0)
+
+
 def score(docs: DataFrame, model: Model, text: str = "text", name: str = "toxicity") -> DataFrame:
     """``docs`` with a struct column ``name``: score (0 to 1, calibrated) and evidence, the three nearest examples.
 
@@ -215,14 +254,13 @@ def score(docs: DataFrame, model: Model, text: str = "text", name: str = "toxici
     and columns stay, and a clash of names appends underscores.
     """
     common.bounded_batches(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast((model, model.numbers()))  # the terms of 2 x EXAMPLES texts
     kind = "struct<score:double,evidence:array<struct<id:bigint,cosine:double,label:double>>>"
 
     @arrow_udf(kind)
     def judged(texts: pa.Array) -> pa.Array:
-        model = shared.value
-        matcher = Matcher(model.terms)
-        vote, best, which = model.votes(vectors([t.as_py() for t in texts], matcher, model.idf))
+        model, number = shared.value
+        vote, best, which = model.votes(vectors([t.as_py() for t in texts], number, model.weight))
         top = min(3, best.shape[1])
         flat = which[:, :top].ravel()
         seen = pa.StructArray.from_arrays([pa.array(model.ids[flat]), pa.array(best[:, :top].ravel()), pa.array(model.labels[flat])], ["id", "cosine", "label"])
@@ -232,6 +270,11 @@ def score(docs: DataFrame, model: Model, text: str = "text", name: str = "toxici
     return docs.withColumn(common.fresh(docs, name)[0], judged(common.text_of(text)))
 
 
+def vectors(texts: list[str], number: dict[str, int], weight: np.ndarray) -> Sparse:
+    found = [[(number[t], n) for t, n in terms_of(text).items() if t in number] for text in texts]
+    return sparse((([t for t, _ in own], [n for _, n in own]) for own in found), weight)
+
+
 def held_out(key: str = "doc_id"):
     return F.crc32(F.col(key).cast("string").cast("binary")) % 5 == 0
 
