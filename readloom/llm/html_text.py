@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from heapq import heappop, heappush
 from html import unescape
 
 import pyarrow as pa
@@ -15,7 +16,9 @@ from readloom.llm import common
 #: Element names by what HTML makes of them.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 RAW = "script style noscript template textarea title iframe svg math canvas object".split()
-DROPPED = set("nav aside footer form button select option dialog menu label fieldset input audio video figure head".split()) | set(RAW)
+DROPPED = set("nav aside footer button select option menu label input audio video figure head".split()) | set(RAW)
+#: Dropped as well, unless the page's text is in them.
+WRAPPING = set("form fieldset dialog header".split())
 BLOCKS = set("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul caption".split())
 PARAGRAPHS = set("p pre blockquote td li dd h1 h2 h3 h4 h5 h6".split())
 #: Parts of lists and tables hold no article by themselves; points pass through them.
@@ -26,22 +29,34 @@ SCOPES = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"
 CLOSES_P = BLOCKS - {"body", "html", "td", "th", "tr", "tbody", "thead", "tfoot", "caption"}
 #: Elements nested deeper than this stay empty and their content goes on in the element around them, as in browsers.
 DEEPEST = 512
-UNLIKELY = re.compile(r"(?:^|[-_\s])(?:ad|ads|advert\w*|adsense|banner\w*|breadcrumbs?|comments?|commentlist|disqus|cookies?|consent|disclaimer|footer|footnav|gdpr|header|masthead|menu\w*|modal|nav|navbar|navigation|newsletter|notices?|notification|overlay|pager|pagination|popup|promo\w*|related|recommended|replies|reply|rss|share\w*|sharing|shoutbox|sidebar|side|skip|social|sponsor\w*|subscribe|subscription|tags?|toolbar|topbar|widgets?|alert|signup|login|search)(?:$|[-_\s\d])", re.I)
+#: Words that name what is no article, as a whole class or id or as the first or last part of one ("site-footer"), unless
+#: a part before says that they tell of the page's state ("no-sidebar").
+UNLIKELY = set("""ad ads advert adverts advertisement advertising adsense banner breadcrumb breadcrumbs comment comments commentlist disqus cookie cookies consent disclaimer
+footer footnav gdpr header masthead menu menus modal nav navbar navigation newsletter notice notices notification overlay pager pagination popup promo promos promotion related
+recommended replies reply rss share sharing shoutbox sidebar side skip social sponsor sponsored subscribe subscription tag tags toolbar topbar widget widgets alert signup login search""".split())
+STATES = set("has no not with without is js layout single page body template wp".split())
+REMARKS = set("comment comments commentlist reply replies disqus".split())
+#: What is cut only as long as so large a share of the page's running text stands outside of it; and how long a text must be
+#: to count as running.
+OUTSIDE, RUNNING = 0.1, 20
+#: What the score of a container with such a name is worth, where it stays.
+DOUBTED = 0.25
 LIKELY = re.compile(r"article|body|content|entry|main|page|post|story|text", re.I)
 TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<(?P<raw>{'|'.join(RAW)})(?=[\s/>])[^>]*+>(?:.*?)(?:</(?P=raw)\s*+[^>]*+>|\Z)|<[!?][^>]*+(?:>|\Z)|<(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*+)(?P<rest>(?:[^>\"']|\"[^\"]*+\"|'[^']*+')*+)>|<(?P<close2>/?)(?P<name2>[a-zA-Z][^\s/>]*+)(?P<rest2>[^>]*+)(?:>|\Z)", re.S | re.I)
+PART = re.compile(r"[-_]+|\d+")
 HINTS = re.compile(r"""(?:^|\s)(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
 
 
 class Node:
-    __slots__ = ("tag", "hints", "hidden", "parent", "children", "score", "size", "linked", "depth")
+    __slots__ = ("tag", "hints", "hidden", "parent", "children", "score", "size", "linked", "depth", "doubted", "running")
 
     def __init__(self, tag: str, rest: str = "", parent: Node | None = None) -> None:
         self.tag, self.parent, self.children = tag, parent, []
         self.depth = parent.depth + 1 if parent is not None else 0
         self.hints = " ".join(a or b or c for a, b, c in HINTS.findall(rest)) if rest else ""
         self.hidden = bool(rest) and HIDDEN.search(rest) is not None
-        self.score, self.size, self.linked = 0.0, 0, 0
+        self.score, self.size, self.linked, self.running, self.doubted = 0.0, 0, 0, 0, False
 
 
 def tree(html: str) -> Node:
@@ -102,21 +117,66 @@ def inside(node: Node, tags: tuple[str, ...]) -> bool:
     return False
 
 
-def unwanted(node: Node) -> bool:
-    if node.tag in DROPPED or node.hidden:
-        return True
+def doubted(node: Node) -> bool:
+    """Whether tag, style or names speak against ``node``."""
     if node.tag == "header":
         return not inside(node, ("article", "main"))
-    return bool(node.hints) and node.tag not in ("html", "body", "main", "article") and UNLIKELY.search(node.hints) is not None or node.tag == "article" and re.search(r"\bcomment", node.hints, re.I) is not None
+    if node.tag in WRAPPING or node.hidden:
+        return True
+    if not node.hints or node.tag in ("html", "body", "main"):
+        return False
+    names = REMARKS if node.tag == "article" else UNLIKELY
+    for hint in node.hints.lower().split():
+        parts = [p for p in PART.split(hint) if p]
+        if parts and parts[0] not in STATES and (parts[0] in names or parts[-1] in names):
+            return True
+    return False
 
 
 def pruned(root: Node) -> list[Node]:
-    """All nodes that stay, parents first, after unwanted ones are cut off."""
+    """All nodes that stay, parents first, after unwanted ones are cut off.
+
+    Doubted ones stay if nearly all running text of the page is inside: the largest first, and then what is doubted in it
+    is judged in the same way.
+    """
+    order, stack = [], [root]
+    while stack:
+        node = stack.pop()
+        order.append(node)
+        node.children = [c for c in node.children if isinstance(c, str) or c.tag not in DROPPED]
+        stack += [c for c in reversed(node.children) if not isinstance(c, str)]
+    for node in reversed(order):
+        node.doubted = doubted(node)
+        if node.tag != "a":
+            texts = (len(c.strip()) if isinstance(c, str) else c.running for c in node.children)
+            node.running = sum(n for c, n in zip(node.children, texts) if not isinstance(c, str) or n >= RUNNING)
+    total, suspects, outside, kept = root.running, [], root.running, set()
+
+    def found(node: Node) -> None:
+        """The outermost doubted nodes under ``node``."""
+        nonlocal outside
+        stack = [c for c in node.children if not isinstance(c, str)]
+        while stack:
+            one = stack.pop()
+            if one.doubted:
+                heappush(suspects, (-one.running, len(suspects), id(one), one))
+                outside -= one.running
+            else:
+                stack += [c for c in one.children if not isinstance(c, str)]
+
+    found(root)
+    while suspects and outside < OUTSIDE * total:
+        largest = heappop(suspects)[-1]
+        if not largest.running:
+            break
+        kept.add(id(largest))
+        outside += largest.running
+        found(largest)
     order, stack = [], [root]
     while stack:
         node = stack.pop()
         order.append(node)
-        node.children = [c for c in node.children if isinstance(c, str) or not unwanted(c)]
+        node.children = [c for c in node.children if isinstance(c, str) or not c.doubted or id(c) in kept]
         stack += [c for c in reversed(node.children) if not isinstance(c, str)]
     return order
 
@@ -148,6 +208,7 @@ def scored(order: list[Node]) -> None:
         elif node.hints and LIKELY.search(node.hints):
             node.score += 5 if node.size else 0
         node.score *= 1 - node.linked / node.size if node.size else 0
+        node.score *= DOUBTED if node.doubted else 1
 
 
 def texts(node: Node):
