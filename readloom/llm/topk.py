@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,20 +12,29 @@ from pyspark.sql import functions as F
 
 from readloom.llm import common
 
-#: Candidates in a bucket; queries searched at once (more are searched in further blocks, each over all candidates).
-BUCKET = 4096
-QUERIES = 4096
+#: Candidates in a bucket, and in a range of buckets that one task searches.
+BUCKET, RANGE = 4096, 1 << 16
+#: Queries of alike thresholds that are searched together.
+TOGETHER = 64
 #: From this local cosine threshold on coordinates prune more than lengths do; so many coordinates are looked at.
 STEEP = 0.6
 FOCUS = 3
 SLACK = 1 + 1e-9
+#: Dimensions, the commonest ones, whose longest candidates give their queries a first threshold.
+SEEDED = 8
+MIXED = "range int, width int, kind int, id bigint, v array<bigint>, squares double, least bigint"
 
 
 def integers(vectors: DataFrame, key: str, vector: str, scale: int) -> DataFrame:
-    """(id, v, squares): components floor(scale * x) of vectors without null or non-finite components."""
+    """(id, v, squares): components floor(scale * x) of vectors without null or non-finite components.
+
+    A component so large that a product could exceed 64 bits fails the job.
+    """
     usable = f"`{vector}` is not null and `{key}` is not null and forall(`{vector}`, x -> x is not null and not isnan(x) and abs(double(x)) < double('infinity'))"
-    out = vectors.where(usable).select(F.col(key).cast("long").alias("id"), F.expr(f"transform(`{vector}`, x -> cast(floor({scale}D * double(x)) as bigint))").alias("v"))
-    return out.withColumn("squares", F.expr("aggregate(v, 0D, (s, x) -> s + double(x) * double(x))"))
+    small = f"forall(`{vector}`, x -> abs({scale}D * double(x)) + 1 < sqrt(9.2e18D / greatest(1, size(`{vector}`))))"
+    whole = f"transform(`{vector}`, x -> cast(floor({scale}D * double(x)) as bigint))"
+    out = vectors.where(usable).select(F.col(key).cast("long").alias("id"), F.expr(f"if({small}, {whole}, raise_error('a component is too large for 64-bit products'))").alias("v"))
+    return out.withColumns({"squares": F.expr("aggregate(v, 0D, (s, x) -> s + double(x) * double(x))"), "width": F.size("v")})
 
 
 def matrix(rows: pa.Array, width: int) -> np.ndarray:
@@ -33,7 +43,7 @@ def matrix(rows: pa.Array, width: int) -> np.ndarray:
 
 def products(queries: np.ndarray, candidates: np.ndarray) -> np.ndarray:
     """Exact integer products: by floats while every sum stays under 2^53, else by integers."""
-    if not len(queries) or not len(candidates):
+    if not queries.size or not candidates.size:
         return np.zeros((len(queries), len(candidates)), "i8")
     top = float(np.abs(queries).max()) * float(np.abs(candidates).max()) * queries.shape[1]
     if top < 2.0**53:
@@ -74,11 +84,13 @@ class Best:
         local = np.where(np.isnan(local), np.inf, local)
         steep = np.flatnonzero((local > STEEP) & (local <= 1))
         flat = np.flatnonzero(local <= STEEP)
-        if len(flat):  # by length: only candidates long enough for the least demanding of these queries
-            with np.errstate(divide="ignore", invalid="ignore"):
-                need = np.where(self.least()[flat] <= 0, 0.0, self.least()[flat] / (self.norms[flat] * SLACK))
-            reach = int(np.searchsorted(-norms, -np.nan_to_num(need, nan=0.0).min(), side="right"))
-            self.offer(flat, products(self.vectors[flat], vectors[:reach]), ids[:reach])
+        with np.errstate(divide="ignore", invalid="ignore"):
+            need = np.nan_to_num(np.where(least <= 0, 0.0, least / (self.norms * SLACK)), nan=0.0)
+        flat = flat[np.argsort(-need[flat], kind="stable")]
+        for s in range(0, len(flat), TOGETHER):  # by length: only candidates long enough for the least demanding of these queries
+            some = flat[s : s + TOGETHER]
+            reach = int(np.searchsorted(-norms, -need[some[-1]], side="right"))
+            self.offer(some, products(self.vectors[some], vectors[:reach]), ids[:reach])
         if len(steep):
             self.by_coordinates(steep, local[steep], ids, vectors, norms)
 
@@ -107,52 +119,97 @@ class Best:
         return pa.record_batch([pa.array(self.ids[q]), pa.array(self.which[q, j]), pa.array(self.scores[q, j])], names=["query_id", "vec_id", "score"])
 
 
+def searched(k: int):
+    """Over rows sorted by (range, width, kind): the candidates of a range, longest first, then the queries that may find
+    something there. Queries are answered batch by batch, so a task holds one range and one batch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, ids, vectors, norms = None, [], [], []
+        for batch in batches:
+            keys = np.stack([batch.column(i).to_numpy() for i in range(3)], axis=1)
+            edges = [0, *(np.flatnonzero((np.diff(keys, axis=0) != 0).any(axis=1)) + 1).tolist(), len(keys)]
+            for s, e in zip(edges, edges[1:]):
+                if s == e:
+                    continue
+                part, (spot, width, kind) = batch.slice(s, e - s), keys[s].tolist()
+                own = matrix(part.column(4), width) if width else np.zeros((e - s, 0), "i8")
+                if (spot, width) != now:
+                    now, ids, vectors, norms = (spot, width), [], [], []
+                if kind == 0:
+                    ids.append(part.column(3).to_numpy())
+                    vectors.append(own)
+                    norms.append(np.sqrt(part.column(5).to_numpy()))
+                    continue
+                ids, vectors, norms = ([np.concatenate(x)] if x else [] for x in (ids, vectors, norms))
+                best = Best(part.column(3).to_numpy(), own, k, part.column(6).to_numpy())
+                for at in range(0, len(ids[0]) if ids else 0, BUCKET):
+                    best.search(ids[0][at : at + BUCKET], vectors[0][at : at + BUCKET], norms[0][at : at + BUCKET])
+                yield best.rows()
+
+    return run
+
+
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, key: str = "vec_id", vector: str = "embedding", scale: int = 1024) -> DataFrame:
     """For each row of ``queries`` its ``k`` best rows of ``vectors`` by the inner product of floor(scale * x).
 
     Result: query_id, rank (from 1), vec_id, score; ties to the smaller vec_id, all rows if there are fewer than k,
     rows with the query's own key left out. Vectors that are null or hold a null or non-finite component take no
     part, nor do candidates of another dimension than the query's. Of queries that repeat a key the smallest vector
-    counts; candidates that repeat a key count each. Sums are 64-bit.
+    counts; candidates that repeat a key count each. Sums are 64-bit; components too large for that fail the job.
 
-    Candidates are dealt by length, so a partition is a run of norm buckets. The longest candidates are searched
-    first; what a query finds there is the threshold by which every other bucket is pruned.
+    Candidates are dealt by length into ranges of norm buckets. The longest candidates give each query a threshold; with
+    it the query goes to those ranges only whose longest candidate can reach it, and prunes each bucket there. It is one
+    plan however many queries there are: neither queries nor candidates pass the driver, but for SEEDED buckets.
     """
     common.bounded_batches(vectors.sparkSession)
-    context = vectors.sparkSession.sparkContext
+    context, conf = vectors.sparkSession.sparkContext, vectors.sparkSession.conf
     base = common.durable(integers(vectors, key, vector, scale))
-    asked = integers(queries, key, vector, scale).groupBy("id").agg(F.min("v").alias("v")).withColumn("width", F.size("v"))
-    asked = common.durable(asked)
-    found = None
-    widths = sorted(r["width"] for r in asked.select("width").distinct().collect())
-    for width in widths:
-        same = base.where(F.size("v") == width)
-        dealt = same.repartitionByRange(F.col("squares").desc(), "id").sortWithinPartitions(F.col("squares").desc(), "id")
-        number = asked.where(F.col("width") == width).count()
-        parts = -(-number // QUERIES)
-        first = same.orderBy(F.col("squares").desc(), "id").limit(BUCKET).toArrow() if width else None
-        for part in range(parts):
-            block = asked.where((F.col("width") == width) & (F.pmod(F.xxhash64("id"), F.lit(parts)) == part)).orderBy("id").toArrow()
-            ids, own = block.column("id").to_numpy(), matrix(block.column("v").combine_chunks(), width) if width else np.zeros((block.num_rows, 0), "i8")
-            seed = Best(ids, own, k)
-            if first is not None and first.num_rows:
-                seed.search(first.column("id").to_numpy(), matrix(first.column("v").combine_chunks(), width), np.sqrt(first.column("squares").to_numpy()))
-            shared = context.broadcast((ids, own, seed.least()))
-
-            def searched(batches: Iterator[pa.RecordBatch], shared=shared, width=width) -> Iterator[pa.RecordBatch]:
-                ids, own, floor = shared.value
-                best = Best(ids, own, k, floor)
-                for batch in batches:
-                    if not batch.num_rows:
-                        continue
-                    those = matrix(batch.column(1), width) if width else np.zeros((batch.num_rows, 0), "i8")
-                    best.search(batch.column(0).to_numpy(), those, np.sqrt(batch.column(2).to_numpy()))
-                yield best.rows()
+    parts = max(int(conf.get("spark.sql.shuffle.partitions")), -(-base.count() // RANGE))
+    order = ("width", F.col("squares").desc(), "id")
+    dealt = common.durable(base.repartitionByRange(parts, *order).withColumn("range", F.spark_partition_id()))
+    ranges = dealt.groupBy("width", "range").agg(F.max("squares").alias("longest"), F.count(F.lit(1)).alias("n")).orderBy("width", F.desc("longest"), "range").toArrow().to_pylist()  # one row for RANGE candidates
+    spots: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    for width in {r["width"] for r in ranges}:
+        own = [r for r in ranges if r["width"] == width]
+        spots[width] = np.array([r["range"] for r in own], "i4"), np.sqrt(np.array([r["longest"] for r in own]))
+    seeds, often = {}, Counter()
+    for r in ranges:
+        often[r["width"]] += r["n"]
+    for width, _ in often.most_common(SEEDED):
+        first = dealt.where(F.col("width") == width).orderBy(F.col("squares").desc(), "id").limit(BUCKET).toArrow()
+        if width and first.num_rows:
+            seeds[width] = first.column("id").to_numpy(), matrix(first.column("v").combine_chunks(), width), np.sqrt(first.column("squares").to_numpy())
+    shared = context.broadcast((spots, seeds))
+
+    def sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each query once for every range whose longest candidate its threshold allows."""
+        spots, seeds = shared.value
+        for batch in batches:
+            widths = batch.column(2).to_numpy()
+            for width in np.unique(widths).tolist():
+                rows = batch.filter(pa.array(widths == width))
+                if width not in spots:
+                    continue
+                own = matrix(rows.column(1), width) if width else np.zeros((rows.num_rows, 0), "i8")
+                best = Best(rows.column(0).to_numpy(), own, k)
+                if width in seeds:
+                    best.search(*seeds[width])
+                least, (which, longest) = best.least(), spots[width]
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    need = np.nan_to_num(np.where(least <= 0, 0.0, least / (best.norms * SLACK)), nan=0.0)
+                reach = np.searchsorted(-longest, -need, side="right")
+                at = np.repeat(np.arange(rows.num_rows), reach)
+                spot = which[np.concatenate([np.arange(r) for r in reach])] if len(at) else np.zeros(0, "i4")
+                for s in range(0, len(at), common.BATCH_ROWS):
+                    some, n = at[s : s + common.BATCH_ROWS], len(at[s : s + common.BATCH_ROWS])
+                    fixed = [pa.array(spot[s : s + n]), pa.array(np.full(n, width, "i4")), pa.array(np.ones(n, "i4"))]
+                    yield pa.record_batch([*fixed, rows.column(0).take(pa.array(some)), rows.column(1).take(pa.array(some)), pa.array(-need[some]), pa.array(least[some])], names=["range", "width", "kind", "id", "v", "squares", "least"])
 
-            some = dealt.mapInArrow(searched, "query_id bigint, vec_id bigint, score bigint")
-            found = some if found is None else found.unionByName(some)
-    if found is None:
-        found = base.select(F.col("id").alias("query_id"), F.col("id").alias("vec_id"), F.col("id").alias("score")).limit(0)
+    asked = integers(queries, key, vector, scale).groupBy("id").agg(F.min("v").alias("v")).withColumn("width", F.size("v"))
+    asked = asked.mapInArrow(sent, MIXED)  # squares: the less, the more demanding
+    those = dealt.select("range", "width", F.lit(0).alias("kind"), "id", "v", "squares", F.lit(0).cast("long").alias("least"))
+    mixed = those.unionByName(asked).repartitionByRange(parts, "range").sortWithinPartitions("range", "width", "kind", F.when(F.col("kind") == 0, -F.col("squares")).otherwise(F.col("squares")), "id")
+    found = mixed.mapInArrow(searched(k), "query_id bigint, vec_id bigint, score bigint")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
     return found.select("query_id", rank.alias("rank"), "vec_id", "score").where(F.col("rank") <= k)
 

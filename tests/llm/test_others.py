@@ -102,9 +102,11 @@ def plain_top(vectors, queries, k, scale=1024):
     return out
 
 
-@pytest.mark.parametrize("bucket", [7, 4096])
-def test_top_k(spark, monkeypatch, bucket):
+@pytest.mark.parametrize("bucket, size, together", [(7, 50, 3), (4096, 1 << 16, 64), (64, 40, 1000)])
+def test_top_k(spark, monkeypatch, bucket, size, together):
     monkeypatch.setattr(topk, "BUCKET", bucket)
+    monkeypatch.setattr(topk, "RANGE", size)
+    monkeypatch.setattr(topk, "TOGETHER", together)
     draw = random.Random(bucket)
     rows = [(i, [draw.gauss(0, 1) * (10 if i % 50 == 0 else 1) for _ in range(8)]) for i in range(400)]
     rows += [(500 + i, [1.0] * 8) for i in range(30)] + [(600, [0.0] * 8), (601, None), (602, [None] * 8), (603, [float("nan")] * 8), (604, [1.0, 2.0]), (605, [-3.0] * 8)]
@@ -116,6 +118,17 @@ def test_top_k(spark, monkeypatch, bucket):
     assert topk.top_k(df.where("vec_id in (604, 0)"), df.where("vec_id = 0")).count() == 0
 
 
+def test_top_k_odd_tables(spark):
+    kind = "query_id long, vec_id long, embedding array<double>, v string, range int, width int"
+    rows = [(0, 1, [1.0, 2.0], "a", 1, 1), (0, 1, [3.0, 0.0], "a", 1, 1), (0, 2, [1.0, 1.0], "a", 1, 1), (0, 2, [1.0, 1.0], "b", 1, 1), (0, None, [9.0, 9.0], "a", 1, 1), (0, 3, [], "a", 1, 1), (0, 4, [], "a", 1, 1)]
+    df = spark.createDataFrame(rows, kind)
+    got = sorted(tuple(r) for r in topk.top_k(df, df.where("vec_id in (1, 3)")).collect())
+    unit = 1024 * 1024  # the smaller vector of query 1 asks; candidates that repeat a key count each
+    assert got == [(1, 1, 2, 3 * unit), (1, 2, 2, 3 * unit), (3, 1, 4, 0)]
+    with pytest.raises(Exception, match="too large"):
+        topk.top_k(spark.createDataFrame([(1, [1e30]), (2, [1.0])], "vec_id long, embedding array<double>"), df.where("vec_id = 2").select("vec_id", "embedding")).collect()
+
+
 def test_top_k_sql(spark, duck, sf_dir):
     same(topk.op2_top_k(spark, sf_dir).toPandas(), duck.execute(topk.OP2_SQL).df())
 
