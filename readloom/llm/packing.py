@@ -12,14 +12,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
+from pyspark.sql.types import LongType, StructField, StructType
 
 from readloom.llm import common
 from readloom.llm.token_counts import PATTERN, byte_letters
 
 #: Pieces that are packed together, on average: one task's share, whatever the size of the corpus.
-GROUP_PIECES = 8192
-#: The local search gives up on a group after so many bins in a row that it could not empty.
-PATIENCE = 48
+GROUP_PIECES = 4096
 PIECE = "array<struct<piece:int,start:bigint,length:bigint,ids_crc32:bigint>>"
 
 
@@ -45,7 +44,8 @@ def encoder(path: str) -> Encoder:
 
 
 def token_pieces(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", capacity: int = 2048, end: int = 0) -> DataFrame:
-    """One row per piece of each document: ``key``, piece, start, length, ids_crc32.
+    """One row per piece of each document: the columns of ``docs`` but the text, piece, start, length, ids_crc32 (a clash
+    of names appends underscores to the document's own column).
 
     A document is its ids and the id ``end``; only one longer than ``capacity`` is cut, and then its first piece
     takes what is over, so that all the others are full. Null and empty texts are the end id alone.
@@ -66,8 +66,12 @@ def token_pieces(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str
         piece, start, length, crc = (pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.int64(), pa.int64(), pa.int64()))) if rows else (pa.array([], t) for t in (pa.int32(), pa.int64(), pa.int64(), pa.int64()))
         return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays([piece, start, length, crc], ["piece", "start", "length", "ids_crc32"]))
 
-    cuts = docs.select(F.col(key), cut(common.text_of(text)).alias("pieces"))
-    return cuts.select(key, F.inline("pieces"))
+    made = {"piece", "start", "length", "ids_crc32"}
+    rest = [c for c in docs.columns if c != text or c == key]
+    shown = {c: common.fresh(docs, f"{c}_")[0] if c.lower() in made else c for c in rest}
+    whole = common.fresh(docs, "_pieces")[0]
+    cuts = docs.select(*(F.col(f"`{c}`") for c in rest), cut(common.text_of(text)).alias(whole))
+    return cuts.select(*(F.col(f"`{c}`").alias(n) for c, n in shown.items()), F.inline(whole))
 
 
 def best_fit(lengths: list[int], capacity: int) -> list[list[int]]:
@@ -96,42 +100,40 @@ def exchange(lengths: list[int], bins: list[list[int]], capacity: int) -> list[l
     """Local search between underfull bins: moves, one-for-one and two-for-one exchanges that raise the sum of squared fills.
 
     The emptiest bin gives and the fuller ones take, until it is empty; each step makes a fuller bin fuller still, so
-    the sum of squares rises and the search ends. It stops at the fewest bins there can be, or after PATIENCE bins in
-    a row that could not be emptied.
+    the sum of squares rises and the search ends: at the fewest bins there can be, or when a pass in which every
+    underfull bin has given what it can changes nothing.
     """
     fill = [sum(lengths[i] for i in b) for b in bins]
     fewest = -(-sum(fill) // capacity)
     count = sum(1 for b in bins if b)
     held: dict[int, list[tuple[int, int]]] = {b: sorted((lengths[i], i) for i in bins[b]) for b in range(len(bins)) if fill[b] < capacity}
-    stuck = 0
-    givers = sorted(held, key=lambda b: (fill[b], b))
-    for d in givers:
-        if count <= fewest or stuck >= PATIENCE:
-            break
-        moved = True
-        while moved and held[d]:
-            moved = False
-            for r in sorted((b for b in held if b != d and held[b] and fill[b] < capacity and fill[b] >= fill[d]), key=lambda b: (-fill[b], b)):
-                while held[d] and fill[r] < capacity and (step := best_step(held[r], held[d], capacity - fill[r])):
-                    gone, got = step
-                    gain = sum(x[0] for x in got) - sum(x[0] for x in gone)
-                    if fill[r] + gain <= fill[d]:
+    changed = True
+    while changed and count > fewest:
+        changed = False
+        for d in sorted((b for b in held if held[b] and fill[b] < capacity), key=lambda b: (fill[b], b)):
+            if count <= fewest:
+                break
+            moved = True
+            while moved and held[d]:
+                moved = False
+                for r in sorted((b for b in held if b != d and held[b] and fill[b] < capacity and fill[b] >= fill[d]), key=lambda b: (-fill[b], b)):
+                    while held[d] and fill[r] < capacity and (step := best_step(held[r], held[d], capacity - fill[r])):
+                        gone, got = step
+                        gain = sum(x[0] for x in got) - sum(x[0] for x in gone)
+                        if fill[r] + gain <= fill[d]:
+                            break
+                        for x in gone:
+                            held[r].remove(x)
+                            insort(held[d], x)
+                        for x in got:
+                            held[d].remove(x)
+                            insort(held[r], x)
+                        fill[r] += gain
+                        fill[d] -= gain
+                        moved = changed = True
+                    if not held[d]:
                         break
-                    for x in gone:
-                        held[r].remove(x)
-                        insort(held[d], x)
-                    for x in got:
-                        held[d].remove(x)
-                        insort(held[r], x)
-                    fill[r] += gain
-                    fill[d] -= gain
-                    moved = True
-                if not held[d]:
-                    break
-        if held[d]:
-            stuck += 1
-        else:
-            stuck, count = 0, count - 1
+            count -= not held[d]
     for b, items in held.items():
         bins[b] = [i for _, i in items]
     return [b for b in bins if b]
@@ -166,38 +168,42 @@ def best_step(taker: list[tuple[int, int]], giver: list[tuple[int, int]], room:
 
 
 def pack(pieces: DataFrame, capacity: int = 2048, keys: tuple[str, ...] = ("doc_id", "piece")) -> DataFrame:
-    """``pieces`` with sequence_id and offset: no sequence is over ``capacity`` and offsets leave no gaps.
+    """``pieces`` with sequence_id and offset (a clash of names appends underscores): no sequence is over ``capacity`` and
+    offsets leave no gaps.
 
-    Full pieces are sequences by themselves. The others are dealt by a hash into groups of GROUP_PIECES on average,
-    and each group is packed by one task: the number of groups follows the input. Rows that repeat are packed each.
+    Full pieces are sequences by themselves. The others are dealt evenly into groups of GROUP_PIECES on average, whatever
+    repeats among them, and each group is packed by one task: the number of groups follows the input. Rows that repeat
+    are packed each; all columns stay. ``length`` must be 1 or more, and of a length over ``capacity`` the row is a
+    sequence by itself.
     """
     pieces = common.durable(pieces)
-    full = pieces.where(F.col("length") >= capacity).withColumn("sequence_id", -1 - F.monotonically_increasing_id()).withColumn("offset", F.lit(0).cast("long"))
-    rest = pieces.where(F.col("length") < capacity)
+    sequence_id, offset, group_of = common.fresh(pieces, "sequence_id", "offset", "_group")
+    number = F.monotonically_increasing_id()  # of checkpointed rows, so a task that is run again deals them alike
+    full = pieces.withColumn(sequence_id, -1 - number).where(F.col("length") >= capacity).withColumn(offset, F.lit(0).cast("long"))
+    rest = pieces.withColumn(group_of, number).where(F.col("length") < capacity)
     groups = max(1, -(-rest.count() // GROUP_PIECES))
-    out = pieces.schema.simpleString()[len("struct<") : -1]
     names = pieces.columns
 
     def packed(data: pa.Table) -> pa.Table:
-        group = data.column("_group")[0].as_py()
-        data = data.drop_columns(["_group"])
-        data = data.sort_by([("length", "descending"), *((k, "ascending") for k in keys)])
+        group = data.column(group_of)[0].as_py()
+        data = data.drop_columns([group_of]).sort_by([("length", "descending"), *((k, "ascending") for k in keys)])
         lengths = data.column("length").to_pylist()
-        sequence, offset = np.zeros(len(lengths), "i8"), np.zeros(len(lengths), "i8")
+        sequence, place = np.zeros(len(lengths), "i8"), np.zeros(len(lengths), "i8")
         for b, items in enumerate(exchange(lengths, best_fit(lengths, capacity), capacity)):
             at = 0
             for i in items:
-                sequence[i], offset[i] = group << 32 | b, at
+                sequence[i], place[i] = group << 32 | b, at
                 at += lengths[i]
-        return data.append_column("sequence_id", pa.array(sequence)).append_column("offset", pa.array(offset))
+        return data.append_column(sequence_id, pa.array(sequence)).append_column(offset, pa.array(place))
 
-    dealt = rest.withColumn("_group", F.pmod(F.xxhash64(*keys, F.lit(8)), F.lit(groups)))
-    fitted = dealt.groupBy("_group").applyInArrow(packed, f"{out}, sequence_id bigint, offset bigint")
-    return full.select(*names, "sequence_id", "offset").unionByName(fitted)
+    dealt = rest.withColumn(group_of, F.pmod(F.xxhash64(group_of, F.lit(8)), F.lit(groups)))
+    kind = StructType([*pieces.schema.fields, StructField(sequence_id, LongType()), StructField(offset, LongType())])
+    fitted = dealt.groupBy(group_of).applyInArrow(packed, kind)
+    return full.select(*(F.col(f"`{c}`") for c in names), sequence_id, offset).unionByName(fitted)
 
 
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    pieces = token_pieces(common.table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    pieces = token_pieces(common.table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"))
     return pack(pieces)

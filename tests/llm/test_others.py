@@ -191,6 +191,17 @@ def test_media_round_trip(spark, sf_dir):
         assert (r["n_bytes"], r["payload_bytes"], r["tail_crc32"]) == (len(data), len(payload), zlib.crc32(payload[-16:]))
         assert r["payload_sha256"] == hashlib.sha256(payload).hexdigest()
         assert r["media_sha256"] == hashlib.sha256(media.wav(payload)).hexdigest() and r["media_bytes"] == len(payload) + 44
+        assert r["media_type"] == "audio/wav" and r["declared_right"] == (r["declared_type"] == "audio/wav")
+
+
+def test_media_in_texts_are_carved(spark, tmp_path):
+    inside = b"%PDF-1.4\nstuff\nstartxref\n9\n%%EOF"
+    rows = [(1, "before " + inside.decode() + " after"), (2, None), (3, "GIF89a only by name"), (4, "before " + inside.decode() + " after")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r for r in media.op4_media_columns(spark, str(tmp_path)).collect()}
+    assert [(e["type"], e["start"], e["length"], e["sha256"]) for e in got[1]["embedded"]] == [("application/pdf", 44 + 7, len(inside), hashlib.sha256(inside).hexdigest())]
+    assert not got[2]["embedded"] and not got[3]["embedded"] and got[2]["payload_bytes"] == 192
+    assert {k: v for k, v in got[1].asDict().items() if k != "doc_id"} == {k: v for k, v in got[4].asDict().items() if k != "doc_id"}
 
 
 def labelled(spark):
