@@ -18,9 +18,14 @@ BLANKS = b" \t\n\x0b\x0c\r"
 LAST = (1 << 63) - 1
 
 
-def row_of(key: str, text: str, doc: str, mark: str) -> tuple[Column, Column]:
-    """The document of a row, and a hash of its text: rows of one document are equal in both only if their texts are."""
-    return F.coalesce(F.col(key).cast("long"), F.lit(LAST)).alias(doc), F.xxhash64(common.text_of(text)).alias(mark)
+def row_of(docs: DataFrame, key: str, text: str, doc: str, mark: str) -> list[Column]:
+    """The document of a row, and a hash of its text: rows of one document are equal in both only if their texts are.
+
+    Where no key comes twice, and at most one is missing, the hash is not needed and is 0.
+    """
+    several = not docs.groupBy(F.col(key).alias("id")).count().where("count > 1").isEmpty()
+    told = F.xxhash64(common.text_of(text)) if several else F.lit(0).cast("long")
+    return [F.coalesce(F.col(key).cast("long"), F.lit(LAST)).alias(doc), told.alias(mark)]
 
 
 def earliest(rows: DataFrame, *digest: str) -> DataFrame:
@@ -70,7 +75,7 @@ def repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", lea
             at = np.repeat(np.arange(len(owners)), np.array(owners, "i8"))[hit]
             yield pa.record_batch([pa.array(batch.column(0).to_numpy()[at]), pa.array(batch.column(1).to_numpy()[at]), pa.array([digest(keys[i]) for i in hit], pa.binary())], names=["doc", "mark", "digest"])
 
-    own = docs.select(*row_of(key, text, "doc", "mark"), common.text_of(text).alias("text"))
+    own = docs.select(*row_of(docs, key, text, "doc", "mark"), common.text_of(text).alias("text"))
     suspects = own.mapInArrow(suspected, "doc bigint, mark bigint, digest binary")
     confirmed = earliest(suspects, "digest").withColumnRenamed("digest", "known")
     confirmed = common.durable(confirmed)  # so that the join's hot digests can be split
@@ -107,7 +112,7 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", least:
             dropped.append(len(every) - len(stay))
         return pa.StructArray.from_arrays([pa.array(out, pa.string()), pa.array(lines, pa.int64()), pa.array(dropped, pa.int64())], ["text", "lines", "dropped"])
 
-    joined = docs.select("*", *row_of(key, text, own, mark)).join(drops, (F.col(own) == F.col(other)) & (F.col(mark) == F.col(other_mark)), "left")
+    joined = docs.select("*", *row_of(docs, key, text, own, mark)).join(drops, (F.col(own) == F.col(other)) & (F.col(mark) == F.col(other_mark)), "left")
     joined = joined.withColumn(kept, without(common.text_of(text), F.col(gone)))
     names = common.fresh(docs, "kept_text", "n_lines", "n_dropped")
     return joined.select(*(F.col(f"`{c}`") for c in docs.columns), *(F.col(f"{kept}.{f}").alias(n) for f, n in zip(("text", "lines", "dropped"), names)))

@@ -128,7 +128,7 @@ def repeated_units(docs: DataFrame, key: str = "doc_id", text: str = "text", wit
     """(doc, mark, unit) of every unit whose digest stands in a document that ranks earlier, or, with ``within``, earlier
     in its own text. ``mark`` tells the texts of one document apart. Digests are combined before they are shuffled."""
     common.bounded_batches(docs.sparkSession)
-    own = docs.select(*row_of(key, text, "doc", "mark"), common.text_of(text).alias("text"))
+    own = docs.select(*row_of(docs, key, text, "doc", "mark"), common.text_of(text).alias("text"))
     every = own.mapInArrow(digested(within), "doc bigint, mark bigint, place int, d1 bigint, d2 int")
     often = earliest(every, "d1", "d2").withColumnsRenamed({"d1": "e1", "d2": "e2"})
     often = common.durable(often)  # so that the join's hot digests can be split
@@ -167,7 +167,7 @@ def dedup_substrings(docs: DataFrame, key: str = "doc_id", text: str = "text", m
         pairs = pa.StructArray.from_arrays([pa.array([s for s, _ in spans], pa.int64()), pa.array([e for _, e in spans], pa.int64())], ["start", "end"])
         return pa.StructArray.from_arrays([pa.array(out, pa.string()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pairs)], ["text", "removed"])
 
-    joined = docs.select("*", *row_of(key, text, own, mark)).join(drops, (F.col(own) == F.col(other)) & (F.col(mark) == F.col(other_mark)), "left")
+    joined = docs.select("*", *row_of(docs, key, text, own, mark)).join(drops, (F.col(own) == F.col(other)) & (F.col(mark) == F.col(other_mark)), "left")
     joined = joined.withColumn(kept, without(common.text_of(text), F.col(gone)))
     names = common.fresh(docs, "kept_text", "removed")
     return joined.select(*(F.col(f"`{c}`") for c in docs.columns), *(F.col(f"{kept}.{f}").alias(n) for f, n in zip(("text", "removed"), names)))
