@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -16,7 +17,7 @@ from pyspark.sql.functions import arrow_udf
 from readloom.llm import common
 
 #: Bound of the fitted part: labelled examples of each class. All their terms are indexed.
-EXAMPLES = 3000
+EXAMPLES = 1500
 #: Examples in a block of the index; neighbours that vote, each by its cosine; texts that are searched together.
 BLOCK = 64
 NEIGHBOURS = 51
@@ -45,16 +46,12 @@ class Sparse:
         return np.repeat(np.arange(len(self.starts) - 1), np.diff(self.starts))
 
 
-def sparse(counted: Iterable[tuple[list[int], list[int]]], weight: np.ndarray) -> Sparse:
-    """Unit rows of (1 + log count) x weight for the (terms, counts) of each text; a text without known terms is zero."""
-    starts, terms, counts = [0], [], []
-    for own, often in counted:
-        terms += own
-        counts += often
-        starts.append(len(terms))
-    out = Sparse(np.array(starts), np.array(terms, "i8"), (1 + np.log(np.array(counts, "f8"))) * weight[np.array(terms, "i8")])
-    norm = np.sqrt(np.bincount(out.owners(), out.weights**2, len(starts) - 1))
-    out.weights /= np.maximum(norm, 1e-300)[out.owners()]
+def unit(starts: np.ndarray, terms: np.ndarray, counts: np.ndarray, weight: np.ndarray) -> Sparse:
+    """Unit rows of (1 + log count) x weight; a text without known terms is zero."""
+    out = Sparse(starts, terms, (1 + np.log(counts.astype("f8"))) * weight[terms])
+    owner = out.owners()
+    norm = np.sqrt(np.bincount(owner, out.weights**2, len(starts) - 1))
+    out.weights /= np.maximum(norm, 1e-300)[owner]
     return out
 
 
@@ -86,6 +83,7 @@ class Model:
     slope: float
     shift: float
 
+    @cached_property
     def numbers(self) -> dict[str, int]:
         return {t: i for i, t in enumerate(self.terms)}
 
@@ -156,12 +154,15 @@ def calibrated(vote: np.ndarray, label: np.ndarray, weight: np.ndarray) -> tuple
     return float(max(w[0], 1e-6)), float(w[1])
 
 
-def relevance(terms: np.ndarray, labels: np.ndarray, size: int) -> np.ndarray:
-    """How far each term's shares in the two classes of examples lie apart, in standard errors; 1 where a class is missing."""
+def relevance(terms: np.ndarray, label: np.ndarray, labels: np.ndarray, size: int) -> np.ndarray:
+    """How far each term's shares in the two classes of examples lie apart, in standard errors; 1 where a class is missing.
+
+    ``terms`` and ``label`` are the terms of all examples and the label of the example that has each.
+    """
     n1, n0 = labels.sum(), len(labels) - labels.sum()
     if not n1 or not n0:
         return np.ones(size)
-    a, b = np.bincount(terms[0][terms[1] == 1], minlength=size), np.bincount(terms[0][terms[1] == 0], minlength=size)
+    a, b = np.bincount(terms[label == 1], minlength=size), np.bincount(terms[label == 0], minlength=size)
     p = (a + b + 1) / (n1 + n0 + 2)
     return np.abs(a / n1 - b / n0) / np.sqrt(p * (1 - p) * (1 / n1 + 1 / n0))
 
@@ -189,12 +190,11 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     chosen = every[0].unionByName(every[1])
     texts = docs.select(F.col(key).alias("id"), F.col(text).alias("text")).where("text is not null")
     sample = texts.join(F.broadcast(chosen), "id").select("id", "label", "text")  # 2 x EXAMPLES short rows at most are broadcast
-    gathered = sample.mapInArrow(counted, COUNTED).toArrow()
-    ids, own_label, own_terms, counts = (gathered.column(c).to_pylist() for c in ("id", "label", "terms", "counts"))
-    held = Counter(t for own in own_terms for t in own)
-    terms = sorted(held, key=lambda t: (-held[t], t))
-    number = {t: i for i, t in enumerate(terms)}
-    shared = docs.sparkSession.sparkContext.broadcast(number)
+    gathered = sample.mapInArrow(counted, COUNTED).toArrow().combine_chunks()
+    ids, y = gathered.column("id").to_numpy(), gathered.column("label").to_numpy().astype("i8")
+    spelled, flat, starts, often, held = encoded(gathered)
+    del gathered
+    shared = docs.sparkSession.sparkContext.broadcast({t: i for i, t in enumerate(spelled)})
 
     def frequency(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, found, n = shared.value, Counter(), 0
@@ -202,40 +202,58 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
             for value in batch.column(0):
                 n += 1
                 found.update(set(WORD.findall(value.as_py().lower())))
-            if len(found) > 4 * len(known):  # words that no example has
+            if len(found) > 4 * len(known) + (1 << 16):  # words that no example has
                 found = Counter({t: found[t] for t in found.keys() & known.keys()})
         rows = [(known[t], found[t]) for t in found.keys() & known.keys()] + [(-1, n)]
         yield pa.record_batch([pa.array([i for i, _ in rows], pa.int64()), pa.array([n for _, n in rows], pa.int64())], names=["term", "n"])
 
     seen = docs.select(common.text_of(text).alias("text")).mapInArrow(frequency, "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
-    df = np.zeros(len(terms) + 1)
+    shared.unpersist()
+    df = np.zeros(len(spelled) + 1)
     df[seen.column("term").to_numpy()] = seen.column("n").to_numpy()
-    numbered = [[number[t] for t in own] for own in own_terms]
-    y = np.array(own_label, "i8")
-    flat = np.array([t for own in numbered for t in own], "i8")
-    weight = np.log((df[-1] + 1) / (df[:-1] + 1)) + 1e-3
-    weight *= relevance(np.stack([flat, np.repeat(y, [len(own) for own in numbered])]), y, len(terms)) + 1e-3
+    owner = np.repeat(np.arange(len(y)), np.diff(starts))
+    weight = (np.log((df[-1] + 1) / (df[:-1] + 1)) + 1e-3) * (relevance(flat, y[owner], y, len(spelled)) + 1e-3)
     size = {c: int((y == c).sum()) for c in (0, 1)}
     mass = {c: share.get(c, 0) / max(1, size[c]) for c in (0, 1)}
-    merged: dict[tuple, list] = {}
-    for i, c, own, often in zip(ids, own_label, numbered, counts):
-        one = merged.setdefault(tuple(sorted(zip(own, often))), [0.0, 0.0, i])
-        one[c] += mass[c]
-        one[2] = min(one[2], i)
-    first = sparse((([t for t, _ in m], [n for _, n in m]) for m in merged), weight)
-    lead = [int(first.terms[s + first.weights[s:e].argmax()]) if e > s else -1 for s, e in zip(first.starts, first.starts[1:])]
-    order = sorted(zip(merged.items(), lead), key=lambda x: (x[1], x[0][1][2]))
-    masses, ids = np.array([x[0][1][:2] for x in order]).reshape(-1, 2), np.array([x[0][1][2] for x in order], "i8")
-    rows = sparse((([t for t, _ in m], [n for _, n in m]) for (m, _), _ in order), weight)
+    merged: dict[bytes, list] = {}
+    for row in np.lexsort((ids,)).tolist():
+        inside = slice(starts[row], starts[row + 1])
+        one = merged.setdefault(flat[inside].tobytes() + often[inside].tobytes(), [0.0, 0.0, row])
+        one[y[row]] += mass[int(y[row])]
+    masses, chosen_rows = np.array([m[:2] for m in merged.values()]).reshape(-1, 2), np.array([m[2] for m in merged.values()], "i8")
+    every_row = unit(starts, flat, often, weight)
+    lead = np.array([every_row.terms[s : e][every_row.weights[s:e].argmax()] if e > s else -1 for s, e in zip(starts[chosen_rows], starts[chosen_rows + 1])], "i8")
+    order = np.lexsort((ids[chosen_rows], lead))
+    masses, chosen_rows = masses[order], chosen_rows[order]
+    at = runs(starts[chosen_rows], starts[chosen_rows + 1])
+    rows = Sparse(np.concatenate([[0], np.cumsum(np.diff(starts)[chosen_rows])]), every_row.terms[at], every_row.weights[at])
     prior = share.get(1, 0) / max(1, sum(share.values())) if share else 0.5
-    model = indexed(terms, weight, int(sum(n > FREQUENT * len(y) for n in held.values())), rows, masses[:, 1] / np.maximum(masses.sum(1), 1e-12), ids)
+    model = indexed(spelled, weight, int((held > FREQUENT * len(y)).sum()), rows, masses[:, 1] / np.maximum(masses.sum(1), 1e-12), ids[chosen_rows])
     model.slope, model.shift = 0.0, float(np.log((prior + 1e-6) / (1 - prior + 1e-6)))
     if size[0] and size[1]:
         vote, _, _ = model.votes(rows, alone=True)
-        model.slope, model.shift = calibrated(np.concatenate([vote, vote]), np.repeat([0.0, 1.0], len(ids)), np.concatenate([masses[:, 0], masses[:, 1]]))
+        model.slope, model.shift = calibrated(np.concatenate([vote, vote]), np.repeat([0.0, 1.0], len(rows.starts) - 1), np.concatenate([masses[:, 0], masses[:, 1]]))
     return model
 
 
+def encoded(gathered: pa.Table) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(terms, number of each entry's term, start of each text's entries, counts, how many texts have each term): terms are
+    numbered by that, most first, then as spelled; a text's entries follow their numbers."""
+    lists = gathered.column("terms").combine_chunks()
+    lengths = np.array(lists.value_lengths().to_numpy(zero_copy_only=False), "i8")
+    starts = np.concatenate([[0], np.cumsum(lengths)])
+    code = lists.flatten().dictionary_encode()
+    counts = gathered.column("counts").combine_chunks().flatten().to_numpy()
+    numbers, spelled = code.indices.to_numpy().astype("i8"), code.dictionary.to_pylist()
+    held = np.bincount(numbers, minlength=len(spelled))
+    order = sorted(range(len(spelled)), key=lambda i: (-held[i], spelled[i]))
+    place = np.empty(len(spelled), "i8")
+    place[order] = np.arange(len(spelled))
+    numbers = place[numbers]
+    sort = np.lexsort((numbers, np.repeat(np.arange(len(lengths)), lengths)))
+    return [spelled[i] for i in order], numbers[sort], starts, counts[sort], held[order]
+
+
 def indexed(terms: list[str], weight: np.ndarray, frequent: int, rows: Sparse, labels: np.ndarray, ids: np.ndarray) -> Model:
     count, owner = len(ids), rows.owners()
     often = rows.terms < frequent
@@ -254,13 +272,13 @@ def score(docs: DataFrame, model: Model, text: str = "text", name: str = "toxici
     and columns stay, and a clash of names appends underscores.
     """
     common.bounded_batches(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast((model, model.numbers()))  # the terms of 2 x EXAMPLES texts
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # the terms of 2 x EXAMPLES texts
     kind = "struct<score:double,evidence:array<struct<id:bigint,cosine:double,label:double>>>"
 
     @arrow_udf(kind)
     def judged(texts: pa.Array) -> pa.Array:
-        model, number = shared.value
-        vote, best, which = model.votes(vectors([t.as_py() for t in texts], number, model.weight))
+        model = shared.value
+        vote, best, which = model.votes(vectors([t.as_py() for t in texts], model.numbers, model.weight))
         top = min(3, best.shape[1])
         flat = which[:, :top].ravel()
         seen = pa.StructArray.from_arrays([pa.array(model.ids[flat]), pa.array(best[:, :top].ravel()), pa.array(model.labels[flat])], ["id", "cosine", "label"])
@@ -271,8 +289,14 @@ def score(docs: DataFrame, model: Model, text: str = "text", name: str = "toxici
 
 
 def vectors(texts: list[str], number: dict[str, int], weight: np.ndarray) -> Sparse:
-    found = [[(number[t], n) for t, n in terms_of(text).items() if t in number] for text in texts]
-    return sparse((([t for t, _ in own], [n for _, n in own]) for own in found), weight)
+    starts, terms, counts = [0], [], []
+    for text in texts:
+        found = terms_of(text)
+        known = found.keys() & number.keys()
+        terms += [number[t] for t in known]
+        counts += [found[t] for t in known]
+        starts.append(len(terms))
+    return unit(np.array(starts), np.array(terms, "i8"), np.array(counts, "i8"), weight)
 
 
 def held_out(key: str = "doc_id"):

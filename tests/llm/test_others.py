@@ -241,7 +241,7 @@ def test_neighbours_are_exact(spark, monkeypatch, block, together, frequent):
     model = toxicity.fit(docs, labels)
     texts = [r["text"] or "" for r in docs.collect()]
     assert set(model.terms) == {t for i, x in enumerate(texts[:300]) for t in toxicity.WORD.findall(x.lower())}
-    number = model.numbers()
+    number = model.numbers
     _, best, which = model.votes(toxicity.vectors(texts, number, model.weight))
 
     def unit(text):
