@@ -126,6 +126,21 @@ def trim_two_to_two(spark: SparkSession, d: str) -> DataFrame:
     return trimmer.trimmer(side_inputs(spark, d), CHAIN, outputs=2, min_length=MIN).outputs[1].select("ord", "sequence", "quality")
 
 
+@register("trim_one_to_two", chain().add(PAIRS).sql("pair_idx AS ord, header, sequence, quality", "WHERE kept AND ord % 2 = 0"))
+def trim_one_to_two(spark: SparkSession, d: str) -> DataFrame:
+    return trimmer.trimmer([whole_pairs(spark, d)], CHAIN, outputs=2, min_length=MIN).outputs[0].select("ord", "header", "sequence", "quality")
+
+
+@register("trim_one_to_two_widows", WIDOWS.sql("pair_idx AS ord, header, sequence, quality", "WHERE both_kept AND ord % 2 = 1"))
+def trim_one_to_two_widows(spark: SparkSession, d: str) -> DataFrame:
+    return trimmer.trimmer([whole_pairs(spark, d)], CHAIN, outputs=2, filter_widows=True, min_length=MIN).outputs[1].select("ord", "header", "sequence", "quality")
+
+
+@register("trim_two_to_one_widows", WIDOWS.sql("ord, header, sequence, quality", "WHERE both_kept"))
+def trim_two_to_one_widows(spark: SparkSession, d: str) -> DataFrame:
+    return trimmer.trimmer(side_inputs(spark, d), CHAIN, filter_widows=True, min_length=MIN).outputs[0].select("ord", "header", "sequence", "quality")
+
+
 def surplus_inputs(spark: SparkSession, d: str) -> list[DataFrame]:
     """Two inputs of unequal length, every read in them: the second side's reads follow the first side's once more."""
     first, second = side_inputs(spark, d)
@@ -423,7 +438,7 @@ def align_best(spark: SparkSession, d: str) -> DataFrame:
     return align.sam_rows(align.align(few_reads(spark, d), views.references(spark, d), SCORING, rev_comp=True, best_match=True))
 
 
-@register("align_tallies", f"SELECT count(*) AS queries, {SUM.format('length(sequence) <= 300')} AS queries_at_most_300, (SELECT count(*) FROM region) AS \"references\", CAST(64 AS BIGINT) AS first_reference_length, count(*) * (SELECT count(*) FROM region) AS alignments, count(*) * (SELECT count(*) FROM region) AS scores_fitting FROM ({views.READS_SQL})")
+@register("align_tallies", f"SELECT count(*) AS queries, {SUM.format('length(sequence) <= 300')} AS queries_at_most_300, (SELECT count(*) FROM region) AS \"references\", (SELECT length(ref) FROM ({views.REFS_SQL}) ORDER BY ref_ord LIMIT 1) AS first_reference_length, count(*) * (SELECT count(*) FROM region) AS alignments, count(*) * (SELECT count(*) FROM region) AS scores_fitting FROM ({views.READS_SQL})")
 def align_tallies(spark: SparkSession, d: str) -> DataFrame:
     queries, references = few_reads(spark, d), views.references(spark, d)
     return align.tallies(queries, references, align.align(queries, references, SCORING))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from readloom.runtime import spread
+
 ADAPTER = "AGATCGGAAG"
 BARCODE = "CTGACTAC"
 PRIMERS = ("ACGTACGGTCA", "TTGCAGTCAGG")
@@ -74,7 +76,7 @@ EDGES_SQL = f"SELECT {EDGES} FROM (SELECT row, step FROM ({TAGS_SQL}), (SELECT u
 
 
 def view(spark: SparkSession, sf_dir: str, table: str, inner: str, outer: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet").selectExpr(*split(inner)).selectExpr(*split(outer))
+    return spread(spark.read.parquet(f"{sf_dir}/{table}.parquet").selectExpr(*split(inner))).selectExpr(*split(outer))
 
 
 def split(expressions: str) -> list[str]:

@@ -9,6 +9,9 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: A partition that is dealt out anew gets so many rows at least.
+SPREAD_ROWS = 1000
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder that spark.checkpoint.dir names. Where nothing names one a temporary one is set in a local session; on a
@@ -28,6 +31,19 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df``, dealt out anew if it lies in fewer partitions with rows than there are cores, as tables of few row groups do.
+
+    Larger inputs, of four partitions a core or more, are left as they are without being looked at.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= 4 * cores:
+        return df
+    counts = df.groupBy(F.spark_partition_id()).count().agg(F.count(F.lit(1)).alias("parts"), F.sum("count").alias("rows")).first()
+    wanted = min(cores, (counts["rows"] or 0) // SPREAD_ROWS)
+    return df.repartition(wanted) if counts["parts"] < wanted else df
+
+
 def ranked(df: DataFrame, *order: Column, name: str = "rank") -> DataFrame:
     """``df`` with 0, 1, 2 ... in ``order`` as a long column, without bringing all rows to one task.
 
