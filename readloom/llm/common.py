@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from readloom.operators.graph import components
-from readloom.runtime import durable, shared_folder
+from readloom.runtime import durable, shared_folder, spread
 
 __all__ = ["bounded_batches", "components", "durable", "fresh", "shared_folder", "table", "text_of"]
 
@@ -16,7 +16,7 @@ BATCH_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def bounded_batches(spark: SparkSession) -> None:
