@@ -1,4 +1,4 @@
-"""Two Bloom filters over the keys of all texts: what came once, and what came again. Only the second is kept."""
+"""Bloom filters: over the keys of all texts, of what came once and what came again (the second is kept); and over given hashes."""
 
 from __future__ import annotations
 
@@ -59,16 +59,23 @@ class Shape:
 
 
 @dataclass
-class Twice:
-    """The twice-seen filter."""
+class Filter:
+    """The twice-seen filter, or one of given hashes."""
 
     shape: Shape
     bitmap: np.ndarray
 
+    def holds(self, hashes: np.ndarray) -> np.ndarray:
+        places = self.shape.places(hashes)
+        return (self.bitmap[places >> 3] >> (places & 7) & 1).all(axis=-1)
+
     def suspects(self, keys: list[bytes]) -> np.ndarray:
         """Which of ``keys`` the filter holds: all that came again, and a few that did not."""
-        places = self.shape.places(hashes_of(keys))
-        return (self.bitmap[places >> 3] >> (places & 7) & 1).all(axis=-1)
+        return self.holds(hashes_of(keys))
+
+
+def shape_for(keys: int) -> Shape:
+    return Shape(min(MOST_BITS, max(LEAST_BITS, 1 << (BITS_A_KEY * keys).bit_length())))
 
 
 def pack(bitmap: np.ndarray) -> bytes:
@@ -95,7 +102,7 @@ def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([pa.array([s], pa.int64()), pa.array([pack(again)], pa.binary())], names=["slice", "bitmap"])
 
 
-def twice_seen(texts: DataFrame, text: Column, keys_of: Callable[[str], Iterable[bytes]], most: Column) -> Twice:
+def twice_seen(texts: DataFrame, text: Column, keys_of: Callable[[str], Iterable[bytes]], most: Column) -> Filter:
     """The twice-seen filter over the keys of every text; ``most`` is how many keys a text can have.
 
     Its size follows the sum of ``most`` between LEAST_BITS and MOST_BITS. Both filters are built where the texts are
@@ -103,7 +110,7 @@ def twice_seen(texts: DataFrame, text: Column, keys_of: Callable[[str], Iterable
     filter suspects more keys; it never misses one that came again.
     """
     keys = texts.agg(F.sum(most.cast("long")).alias("n")).first()["n"] or 0
-    shape = Shape(min(MOST_BITS, max(LEAST_BITS, 1 << (BITS_A_KEY * keys).bit_length())))
+    shape = shape_for(keys)
 
     def built(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
@@ -117,13 +124,37 @@ def twice_seen(texts: DataFrame, text: Column, keys_of: Callable[[str], Iterable
             yield from sliced(np.concatenate(held))
 
     def sliced(hashes: np.ndarray) -> Iterator[pa.RecordBatch]:
-        once, twice = (f.reshape(shape.slices, -1) for f in shape.filters(hashes))
-        for s in np.flatnonzero(once.any(axis=1)):
-            yield pa.record_batch([pa.array([s], pa.int64()), pa.array([pack(once[s])], pa.binary()), pa.array([pack(twice[s])], pa.binary())], names=["slice", "once", "twice"])
+        yield from slices_of(shape, *shape.filters(hashes))
+
+    return collected(texts.select(text.alias("text")).mapInArrow(built, PARTS), shape)
+
+
+#: Slices of the filters of what came once and what came again.
+PARTS = "slice bigint, once binary, twice binary"
+
 
-    parts = texts.select(text.alias("text")).mapInArrow(built, "slice bigint, once binary, twice binary")
+def slices_of(shape: Shape, once: np.ndarray, twice: np.ndarray) -> Iterator[pa.RecordBatch]:
+    once, twice = (f.reshape(shape.slices, -1) for f in (once, twice))
+    for s in np.flatnonzero(once.any(axis=1)):
+        yield pa.record_batch([pa.array([s], pa.int64()), pa.array([pack(once[s])], pa.binary()), pa.array([pack(twice[s])], pa.binary())], names=["slice", "once", "twice"])
+
+
+def collected(parts: DataFrame, shape: Shape) -> Filter:
     slices = parts.repartition("slice").mapInArrow(merged, "slice bigint, bitmap binary")
     whole = np.zeros((shape.slices, shape.bits // 8 // shape.slices), "u1")
     for row in slices.collect():  # MOST_BITS bits at most
         whole[row["slice"]] |= unpack(row["bitmap"])
-    return Twice(shape, whole.ravel())
+    return Filter(shape, whole.ravel())
+
+
+def seen(hashes: DataFrame) -> Filter:
+    """The filter of a table of one column of 64-bit hashes, which should be cheap to read twice."""
+    shape = shape_for(hashes.count())
+
+    def built(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = np.zeros(shape.bits // 8, "u1")
+        for batch in batches:
+            put(own, shape.places(batch.column(0).to_numpy().view("u8")))
+        yield from slices_of(shape, own, own)
+
+    return collected(hashes.mapInArrow(built, PARTS), shape)

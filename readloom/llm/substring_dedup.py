@@ -9,11 +9,12 @@ from zlib import crc32
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from readloom.llm import common
+from readloom.llm import bloom, common
 from readloom.llm.line_dedup import earliest, foreign, row_of
 
 #: A unit ends with its line, with its sentence, or after a word chosen by its own hash (one word in CUT_EVERY), so that a
@@ -99,8 +100,9 @@ def removed_spans(text: str, repeated: set[int], min_words: int) -> list[tuple[i
     return [(starts[s], starts[e]) for s, e in runs]
 
 
-def digested(within: bool):
-    """Over rows (doc, mark, text): (doc, mark, place, d1, d2), 96 bits of the digest of every unit."""
+def digested(within: bool, known: Broadcast | None = None):
+    """Over rows (doc, mark, text): (doc, mark, place, d1, d2), 96 bits of the digest of every unit, or of those whose d1
+    the filter ``known`` holds or that their own text had before."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -115,9 +117,12 @@ def digested(within: bool):
                 digests += own
                 counts.append(len(own))
             halves = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
-            owner = np.repeat(np.arange(len(counts)), np.array(counts, "i8"))
+            owner, places = np.repeat(np.arange(len(counts)), np.array(counts, "i8")), np.array(places, "i4")
+            if known is not None:
+                asked = np.flatnonzero(known.value.holds(halves[:, 0].view("u8")) | (places % 2 == 1))
+                owner, places, halves = owner[asked], places[asked], halves[asked]
             yield pa.record_batch(
-                [pa.array(batch.column(i).to_numpy()[owner]) for i in (0, 1)] + [pa.array(places, pa.int32()), pa.array(halves[:, 0].copy()), pa.array(halves[:, 1].astype("i4"))],
+                [pa.array(batch.column(i).to_numpy()[owner]) for i in (0, 1)] + [pa.array(places), pa.array(halves[:, 0].copy()), pa.array(halves[:, 1].astype("i4"))],
                 names=["doc", "mark", "place", "d1", "d2"],
             )
 
@@ -126,12 +131,15 @@ def digested(within: bool):
 
 def repeated_units(docs: DataFrame, key: str = "doc_id", text: str = "text", within: bool = False) -> DataFrame:
     """(doc, mark, unit) of every unit whose digest stands in a document that ranks earlier, or, with ``within``, earlier
-    in its own text. ``mark`` tells the texts of one document apart. Digests are combined before they are shuffled."""
+    in its own text. ``mark`` tells the texts of one document apart. Digests are combined before they are shuffled; the
+    repeated ones make a Bloom filter, and only units that it holds are shuffled to be joined with them."""
     common.bounded_batches(docs.sparkSession)
     own = docs.select(*row_of(docs, key, text, "doc", "mark"), common.text_of(text).alias("text"))
-    every = own.mapInArrow(digested(within), "doc bigint, mark bigint, place int, d1 bigint, d2 int")
-    often = earliest(every, "d1", "d2").withColumnsRenamed({"d1": "e1", "d2": "e2"})
+    kinds = "doc bigint, mark bigint, place int, d1 bigint, d2 int"
+    often = earliest(own.mapInArrow(digested(within), kinds), "d1", "d2").withColumnsRenamed({"d1": "e1", "d2": "e2"})
     often = common.durable(often)  # so that the join's hot digests can be split
+    known = docs.sparkSession.sparkContext.broadcast(bloom.seen(often.select("e1")))
+    every = own.mapInArrow(digested(within, known), kinds)
     found = every.join(often, (every.d1 == often.e1) & (every.d2 == often.e2), "left" if within else "inner")
     return found.where(foreign() | (F.col("place") % 2 == 1)).select("doc", "mark", F.shiftright("place", 1).alias("unit"))
 

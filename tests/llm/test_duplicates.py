@@ -168,6 +168,14 @@ def test_filter_never_misses(spark, monkeypatch, held, most):
     assert sum(hit) < len(often) + 30 or most < 1 << 20
 
 
+def test_filter_of_hashes(spark):
+    """It holds all that were given, and few others."""
+    given, others = (np.random.default_rng(n).integers(-1 << 63, 1 << 63, 3000, "i8") for n in (1, 2))
+    made = bloom.seen(spark.createDataFrame([(int(h),) for h in [*given, *given[:9]]], "h long"))
+    assert made.holds(given.view("u8")).all() and made.holds(others.view("u8")).sum() < 9
+    assert not bloom.seen(spark.createDataFrame([], "h long")).holds(others.view("u8")).any()
+
+
 def test_filter_grows():
     shape = bloom.Shape(1 << 24)
     assert shape.slices == 64 and bloom.Shape(1 << 29).slices == 1024
