@@ -1,5 +1,10 @@
+import numpy as np
+import pytest
+
 import corpus_pipeline
 import __spark_entry__ as entry
+from readloom.llm import near_copies
+from readloom.llm.common import components
 
 
 def test_stages_over_the_small_tables(spark, sf_dir):
@@ -49,3 +54,22 @@ def test_near_copies_go(spark, sf_dir):
     assert sorted(map(str, (r["doc_id"] for r in got.collect()))) == sorted(map(str, want))
     assert any(near) and not all(near)
     assert corpus_pipeline.without_near_duplicates(spark, docs.limit(0), sf_dir).count() == 0
+
+
+@pytest.mark.parametrize("group", [1 << 12, 16])
+def test_large_bands_are_dealt_out(spark, monkeypatch, group):
+    """However a band is dealt, whatever is surely alike ends in one group, and what has nothing in common stays apart."""
+    monkeypatch.setattr(near_copies, "GROUP", group)
+    draw, rows = np.random.default_rng(5), []
+    bases = draw.integers(0, 256, (110, near_copies.BANDS * near_copies.ROWS))
+    for n in range(400):  # band 1: ten large groups of near copies; band 2: a hundred texts unlike each other, and a copy of each
+        band, kind = (1, n % 10) if n < 200 else (2, 10 + n % 100)
+        sketch = bases[kind].copy()
+        sketch[draw.integers(0, len(sketch), 6)] = draw.integers(0, 256, 6)
+        rows.append((band, n, n.to_bytes(16, "big"), sketch.astype("u1").tobytes(), kind))
+    kinds = {r[2]: r[4] for r in rows}
+    banded = spark.createDataFrame([r[:4] for r in rows], "band long, first long, mark binary, sketch binary")
+    links = near_copies.candidates(banded)
+    assert all(kinds[bytes(r["a"])] == kinds[bytes(r["b"])] for r in links.collect())
+    label = {bytes(r["node"]): bytes(r["label"]) for r in components(links).collect()}
+    assert len(label) == len(rows) and len(set(label.values())) == 110
