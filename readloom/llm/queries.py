@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from readloom.llm.bpe_reuse import op6_bpe_round_trip
+from readloom.llm.cross_tokens import op11_cross_tokens
 from readloom.llm.html_text import op1_html_extraction
 from readloom.llm.line_dedup import OP10_SQL, op10_line_dedup
 from readloom.llm.media import op4_media_columns
@@ -30,6 +31,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_best_fit_packing": op8_best_fit_packing,
         "op9_substring_dedup": op9_substring_dedup,
         "op10_line_dedup": op10_line_dedup,
+        "op11_cross_tokens": op11_cross_tokens,
     }
 
 
