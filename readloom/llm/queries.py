@@ -11,6 +11,7 @@ from readloom.llm.cross_tokens import op11_cross_tokens
 from readloom.llm.html_text import op1_html_extraction
 from readloom.llm.line_dedup import OP10_SQL, op10_line_dedup
 from readloom.llm.media import op4_media_columns
+from readloom.llm.mixing import OP12_SQL, op12_source_mix
 from readloom.llm.packing import op8_best_fit_packing
 from readloom.llm.simhash import op5_simhash
 from readloom.llm.substring_dedup import op9_substring_dedup
@@ -32,8 +33,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_substring_dedup": op9_substring_dedup,
         "op10_line_dedup": op10_line_dedup,
         "op11_cross_tokens": op11_cross_tokens,
+        "op12_source_mix": op12_source_mix,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_top_k": OP2_SQL, "op10_line_dedup": OP10_SQL}
+    return {"op2_top_k": OP2_SQL, "op10_line_dedup": OP10_SQL, "op12_source_mix": OP12_SQL}
