@@ -20,6 +20,13 @@ BROADCAST_LETTERS = 8 << 20
 FITTING = 254
 #: Cells of one table that pairs are swept in together (a longer pair stands alone).
 CELLS = 1 << 21
+#: Scores past this are errors, as is usual; tables have 32-bit cells where no cell can come near it.
+CAPACITY = (1 << 31) - 1
+#: The way to an alignment: one sweep over whole tables; three sweeps of which only a band is kept; its score alone.
+METHODS = ("1pass", "3pass", "scores")
+#: A band begins so wide on either side of the straight way, and doubles until it holds a best alignment.
+BAND = 16
+Found = tuple[int, int, str]
 
 
 @dataclass(frozen=True)
@@ -68,36 +75,161 @@ def encoded(s: str, alphabet: str) -> np.ndarray:
     return table[np.frombuffer(s.encode("latin-1", "replace"), "u1")].astype("i4")
 
 
-def local_alignment(query: str, reference: str, scoring: Scoring) -> tuple[int, int, str] | None:
+def local_alignment(query: str, reference: str, scoring: Scoring, method: str = "1pass") -> Found | None:
     """(score, 0-based start on the reference, CIGAR with soft-clipped ends) of the best local alignment; none at score 0."""
-    return local_alignments([query], [reference], scoring)[0]
+    return local_alignments([query], [reference], scoring, method)[0]
 
 
-def local_alignments(queries: list[str], references: list[str], scoring: Scoring) -> list[tuple[int, int, str] | None]:
+def local_alignments(queries: list[str], references: list[str], scoring: Scoring, method: str = "1pass") -> list[Found | None]:
     """The best local alignment of each query with its reference, in order.
 
     Pairs are swept together, those of like sizes in one array, a query letter at a time over whole references: a gap
-    along the reference is a running maximum, as opening costs at least extending.
+    along the reference is a running maximum, as opening costs at least extending. "1pass" keeps the tables of all
+    letters; "3pass" keeps one row, first for the end, then backwards for the start, and then the tables of a band
+    between them, so its memory grows with the lengths and not with their product. Both give the same score and end;
+    of several best alignments they may show different ones.
     """
-    out: list[tuple[int, int, str] | None] = [None] * len(queries)
+    out: list[Found | None] = [None] * len(queries)
+    if method == "1pass":
+        for group in grouped(queries, references, lambda n, m: (n + 1) * (m + 1)):
+            for i, found in zip(group, swept([queries[i] for i in group], [references[i] for i in group], scoring)):
+                out[i] = found
+        return out
+    if method != "3pass":
+        raise ValueError(f"no method {method}")
+    ends = best_cells(queries, references, scoring)
+    back = [(queries[i][:n][::-1], references[i][:m][::-1]) if score > 0 else ("", "") for i, (score, n, m) in enumerate(ends)]
+    starts = best_cells([q for q, _ in back], [r for _, r in back], scoring, anchored=True)
+    for i, ((score, n, m), (again, left, up)) in enumerate(zip(ends, starts)):
+        if score > 0:
+            if again != score:
+                raise AssertionError("an alignment scores differently backwards")
+            core = banded(queries[i][n - left : n], references[i][m - up : m], score, scoring)
+            clips = (n - left, len(queries[i]) - n)
+            out[i] = score, m - up, "".join([f"{clips[0]}S" if clips[0] else "", core, f"{clips[1]}S" if clips[1] else ""])
+    return out
+
+
+def local_scores(queries: list[str], references: list[str], scoring: Scoring) -> list[int]:
+    """The best local score of each query with its reference, 0 if nothing matches."""
+    return [score for score, _, _ in best_cells(queries, references, scoring)]
+
+
+def grouped(queries: list[str], references: list[str], cells_of) -> list[list[int]]:
+    """Numbers of the pairs with letters on both sides, in lots of like sizes whose tables stay within CELLS."""
     order = sorted((i for i in range(len(queries)) if queries[i] and references[i]), key=lambda i: (len(references[i]), len(queries[i])))
-    at = 0
-    while at < len(order):
-        end, cells = at, 0
-        while end < len(order):  # as many as keep the three tables within CELLS
-            m = len(references[order[end]])
-            n = max(len(queries[i]) for i in order[at : end + 1]) if end == at else max(n, len(queries[order[end]]))
-            cells = (end - at + 1) * (n + 1) * (m + 1)
-            if cells > CELLS and end > at:
-                break
-            end += 1
-        group = order[at:end]
-        for i, found in zip(group, swept([queries[i] for i in group], [references[i] for i in group], scoring)):
-            out[i] = found
-        at = end
+    lots, longest = [], 0
+    for i in order:
+        longest = max(longest, len(queries[i])) if lots else len(queries[i])
+        if not lots or (len(lots[-1]) + 1) * cells_of(longest, len(references[i])) > CELLS:
+            lots.append([])
+            longest = len(queries[i])
+        lots[-1].append(i)
+    return lots
+
+
+def cell_type(n: int, m: int, scoring: Scoring) -> tuple[str, int]:
+    """The type of a table's cells, and a number below all sums in it."""
+    most = max(scoring.gap_open, *(abs(w) for row in scoring.weights for w in row))
+    return ("i4", -(1 << 29)) if (n + m + 2) * most < 1 << 29 else ("i8", -(1 << 60))
+
+
+def capable(score: int) -> int:
+    if score > CAPACITY:
+        raise OverflowError("the score exceeds the capacity of a signed 32-bit number")
+    return score
+
+
+def weights_of(scoring: Scoring, kind: str, low: int) -> np.ndarray:
+    """The weights with a last letter that pads texts and matches nothing."""
+    size = len(scoring.alphabet)
+    out = np.full((size + 1, size + 1), low, kind)
+    out[:size, :size] = scoring.weights
+    return out
+
+
+def best_cells(queries: list[str], references: list[str], scoring: Scoring, anchored: bool = False) -> list[tuple[int, int, int]]:
+    """(score, query letters, reference letters) up to the first best cell, of alignments from anywhere, or from both starts if ``anchored``."""
+    out = [(0, 0, 0)] * len(queries)
+    first, more = scoring.gap_open, scoring.gap_extend
+    for group in grouped(queries, references, lambda n, m: m + 1):
+        q, r = (padded([side[i] for i in group], scoring.alphabet) for side in (queries, references))
+        count, n, m = len(q), q.shape[1], r.shape[1]
+        kind, low = cell_type(n, m, scoring)
+        weights, ramp = weights_of(scoring, kind, low), (more * np.arange(m + 1)).astype(kind)
+        best, down, right = np.zeros((count, m + 1), kind), np.full((count, m + 1), low, kind), np.full((count, m + 1), low, kind)
+        if anchored:
+            best[:, 1:] = -first - ramp[:-1]
+        score, left, up = np.zeros(count, kind), np.zeros(count, "i8"), np.zeros(count, "i8")
+        for i in range(1, n + 1):
+            down = np.maximum(best - first, down - more)
+            row = down.copy() if anchored else np.maximum(down, 0)
+            np.maximum(row[:, 1:], best[:, :-1] + weights[q[:, i - 1, None], r], out=row[:, 1:])
+            right[:, 1:] = np.maximum.accumulate(row + ramp, axis=1)[:, :-1] - first - ramp[1:] + more
+            best = np.maximum(row, right)
+            peak = best.max(axis=1)
+            for k in np.flatnonzero(peak > score):
+                score[k], left[k], up[k] = peak[k], i, best[k].argmax()
+        for k, i in enumerate(group):
+            out[i] = capable(int(score[k])), int(left[k]), int(up[k])
     return out
 
 
+def banded(query: str, reference: str, score: int, scoring: Scoring) -> str:
+    """The CIGAR of an alignment of both whole texts with this score, within the first band that holds one."""
+    n, m, width = len(query), len(reference), BAND
+    first, more = scoring.gap_open, scoring.gap_extend
+    kind, low = cell_type(n, m, scoring)
+    weights, q, r = weights_of(scoring, kind, low), encoded(query, scoring.alphabet), encoded(reference, scoring.alphabet)
+    while True:
+        shift, wide = min(0, m - n) - width, 2 * width + abs(m - n) + 1  # column k of row i is reference letter i + shift + k
+        ramp = (more * np.arange(wide)).astype(kind)
+        best, down, right = (np.full((n + 1, wide), low, kind) for _ in range(3))
+        place = shift + np.arange(wide)
+        top = (place >= 0) & (place <= m)
+        best[0, top] = np.where(place[top] > 0, -first - more * (place[top] - 1), 0)
+        right[0, top & (place > 0)] = best[0, top & (place > 0)]
+        for i in range(1, n + 1):
+            place += 1
+            inside = (place >= 0) & (place <= m)
+            down[i, :-1] = np.maximum(best[i - 1, 1:] - first, down[i - 1, 1:] - more)
+            letters = np.where(inside & (place > 0), r[np.clip(place - 1, 0, m - 1)], len(scoring.alphabet))
+            row = np.where(inside, np.maximum(down[i], best[i - 1] + weights[q[i - 1], letters]), low)
+            right[i, 1:] = np.maximum.accumulate(row + ramp)[:-1] - first - ramp[1:] + more
+            best[i] = np.where(inside, np.maximum(row, right[i]), low)
+        end = m - n - shift
+        if best[n, end] == score:
+            return path(best, down, right, n, end, shift, first, more)
+        if width > n + m:
+            raise AssertionError("no band holds the alignment")
+        width *= 2
+
+
+def path(best: np.ndarray, down: np.ndarray, right: np.ndarray, i: int, k: int, shift: int, first: int, more: int) -> str:
+    runs: list[list] = []
+    state = "M"
+    while state != "M" or i or i + shift + k:
+        if state == "M":
+            state = "D" if best[i, k] == right[i, k] else "I" if best[i, k] == down[i, k] else "M"
+            op = "M" if state == "M" else ""
+        else:
+            op = state
+        if op:
+            if runs and runs[-1][1] == op:
+                runs[-1][0] += 1
+            else:
+                runs.append([1, op])
+        if op == "M":
+            i -= 1
+        elif op == "D":
+            state = "D" if right[i, k] == right[i, k - 1] - more and right[i, k] != best[i, k - 1] - first else "M"
+            k -= 1
+        elif op == "I":
+            state = "I" if down[i, k] == down[i - 1, k + 1] - more and down[i, k] != best[i - 1, k + 1] - first else "M"
+            i, k = i - 1, k + 1
+    return "".join(f"{n}{op}" for n, op in reversed(runs))
+
+
 def padded(texts: list[str], alphabet: str) -> np.ndarray:
     out = np.full((len(texts), max(map(len, texts))), len(alphabet), "i4")
     for row, text in zip(out, texts):
@@ -105,17 +237,15 @@ def padded(texts: list[str], alphabet: str) -> np.ndarray:
     return out
 
 
-def swept(queries: list[str], references: list[str], scoring: Scoring) -> list[tuple[int, int, str] | None]:
-    low = -(1 << 29)
-    size = len(scoring.alphabet)
-    weights = np.full((size + 1, size + 1), low, "i4")  # what pads a text matches nothing
-    weights[:size, :size] = scoring.weights
+def swept(queries: list[str], references: list[str], scoring: Scoring) -> list[Found | None]:
     q, r = padded(queries, scoring.alphabet), padded(references, scoring.alphabet)
     count, n, m = len(q), q.shape[1], r.shape[1]
+    kind, low = cell_type(n, m, scoring)
+    weights = weights_of(scoring, kind, low)
     first, more = scoring.gap_open, scoring.gap_extend
-    best, down, right = (np.zeros((n + 1, count, m + 1), "i4") for _ in range(3))
+    best, down, right = (np.zeros((n + 1, count, m + 1), kind) for _ in range(3))
     down[0], right[:] = low, low  # down ends in a query letter against a gap, right in a reference letter against one
-    ramp = (more * np.arange(m + 1)).astype("i4")
+    ramp = (more * np.arange(m + 1)).astype(kind)
     for i in range(1, n + 1):
         np.maximum(best[i - 1] - first, down[i - 1] - more, out=down[i])
         row = np.maximum(down[i], 0)
@@ -126,12 +256,12 @@ def swept(queries: list[str], references: list[str], scoring: Scoring) -> list[t
     return [traced(best[:, k], down[:, k], right[:, k], len(queries[k]), len(references[k]), first, more) for k in range(count)]
 
 
-def traced(best: np.ndarray, down: np.ndarray, right: np.ndarray, n: int, m: int, first: int, more: int) -> tuple[int, int, str] | None:
+def traced(best: np.ndarray, down: np.ndarray, right: np.ndarray, n: int, m: int, first: int, more: int) -> Found | None:
     """The way back from the first best cell; gaps go before matches."""
     inner = best[: n + 1, : m + 1]
     end = int(inner.argmax())
     i, j = divmod(end, m + 1)
-    score = int(inner[i, j])
+    score = capable(int(inner[i, j]))
     if score <= 0:
         return None
     runs: list[list] = [[n - i, "S"]]
@@ -165,23 +295,31 @@ def traced(best: np.ndarray, down: np.ndarray, right: np.ndarray, n: int, m: int
     return score, j, "".join(f"{k}{op}" for k, op in reversed(runs) if k)
 
 
-def mapping(query: Column, reference: Column, scoring: Scoring) -> Column:
+def mapping(query: Column, reference: Column, scoring: Scoring, method: str = "1pass") -> Column:
+    kind = pa.struct([("score", pa.int64()), ("ref_start", pa.int32()), ("cigar", pa.string())])
+
     @arrow_udf(MAPPING)
     def aligned(queries: pa.Array, references: pa.Array) -> pa.Array:
-        rows = local_alignments(queries.to_pylist(), references.to_pylist(), scoring)
-        kind = pa.struct([("score", pa.int64()), ("ref_start", pa.int32()), ("cigar", pa.string())])
+        sides = queries.to_pylist(), references.to_pylist()
+        if method == "scores":
+            rows = [(score, None, None) if score > 0 else None for score in local_scores(*sides, scoring)]
+        else:
+            rows = local_alignments(*sides, scoring, method)
         return pa.array([None if x is None else dict(zip(("score", "ref_start", "cigar"), x)) for x in rows], kind)
 
     return aligned(query, reference)
 
 
-def align(queries: DataFrame, references: DataFrame, scoring: Scoring, rev_comp: bool = False, best_match: bool = False) -> DataFrame:
+def align(queries: DataFrame, references: DataFrame, scoring: Scoring, rev_comp: bool = False, best_match: bool = False, method: str = "1pass") -> DataFrame:
     """Every query (ord, header, sequence, quality) against every reference (ref_ord, name, ref): strand, score, ref_start, cigar.
 
     Unmapped pairs have a null score. ``rev_comp`` also aligns the query's reverse complement, which wins if strictly
-    better; ``best_match`` keeps a query's best reference, the last of equals. References are few against the queries
-    and their letters are counted: within BROADCAST_LETTERS they go to all tasks, else the pairs are shuffled.
+    better; ``best_match`` keeps a query's best reference, the last of equals. ``method`` is one of METHODS: "3pass" for
+    long references, "scores" where starts and CIGARs are not needed and stay null. References are few against the
+    queries and their letters are counted: within BROADCAST_LETTERS they go to all tasks, else the pairs are shuffled.
     """
+    if method not in METHODS:
+        raise ValueError(f"the method is one of {', '.join(METHODS)}")
     if rev_comp and scoring.alphabet != DNA:
         raise ValueError("only DNA has a reverse complement")
     size = references.agg(F.sum(F.length("ref")).alias("n")).first()["n"] or 0
@@ -189,9 +327,9 @@ def align(queries: DataFrame, references: DataFrame, scoring: Scoring, rev_comp:
     pairs = queries.crossJoin(few)  # asked for: each query against each reference
     if size > BROADCAST_LETTERS:
         pairs = pairs.join(references.select("ref_ord", "ref"), "ref_ord")
-    forward = pairs.withColumn("f", mapping(F.col("sequence"), F.col("ref"), scoring))
+    forward = pairs.withColumn("f", mapping(F.col("sequence"), F.col("ref"), scoring, method))
     if rev_comp:
-        forward = forward.withColumn("b", mapping(bases.reverse_complement(F.col("sequence")), F.col("ref"), scoring))
+        forward = forward.withColumn("b", mapping(bases.reverse_complement(F.col("sequence")), F.col("ref"), scoring, method))
         wins = F.coalesce(F.col("b.score"), F.lit(0)) > F.coalesce(F.col("f.score"), F.lit(0))
         forward = forward.withColumns({"strand": F.when(wins, F.lit("-")).otherwise(F.lit("+")), "f": F.when(wins, F.col("b")).otherwise(F.col("f"))}).drop("b")
     else:

@@ -51,10 +51,52 @@ def test_against_recurrence(scoring):
     draw = random.Random(5)
     for _ in range(150):
         q, r = ("".join(draw.choice("ACGTN") for _ in range(draw.randrange(1, 14))) for _ in range(2))
-        found = align.local_alignment(q, r, scoring)
-        assert (found[0] if found else 0) == brute(q, r, scoring)
-        if found:
-            assert rescored(q, r, found, scoring) == found[0]
+        for method in ("1pass", "3pass"):
+            found = align.local_alignment(q, r, scoring, method)
+            assert (found[0] if found else 0) == brute(q, r, scoring)
+            if found:
+                assert rescored(q, r, found, scoring) == found[0]
+        assert align.local_scores([q], [r], scoring) == [brute(q, r, scoring)]
+
+
+def test_three_passes_over_long_references():
+    """Gaps wider than the first band, many pairs at once, and the same scores and ends as one sweep gives."""
+    draw = random.Random(9)
+    letters = lambda n: "".join(draw.choice("ACGT") for _ in range(n))
+    queries, references = [], []
+    for _ in range(30):
+        r = letters(draw.randrange(200, 900))
+        a, b, c = sorted(draw.sample(range(len(r)), 3))
+        q = r[a:b] + letters(draw.choice([0, 3, 60])) + r[draw.choice([b, c]) :]
+        queries.append("".join(x if draw.random() > 0.05 else draw.choice("ACGT") for x in q))
+        references.append(r)
+    scoring = align.simple(2, 3, gap_open=4, gap_extend=1)
+    one, three = (align.local_alignments(queries, references, scoring, m) for m in ("1pass", "3pass"))
+    for q, r, x, y in zip(queries, references, one, three):
+        assert x[0] == y[0] == rescored(q, r, y, scoring)
+    assert any("D" in y[2] and max(int(n) for n, op in __import__("re").findall(r"(\d+)([ID])", y[2])) > align.BAND for y in three if "D" in y[2] or "I" in y[2])
+
+
+def test_memory_of_three_passes_grows_with_the_lengths():
+    import tracemalloc
+
+    draw = random.Random(2)
+    r = "".join(draw.choice("ACGT") for _ in range(20_000))
+    q = r[3000:9000]
+    tracemalloc.start()
+    found = align.local_alignment(q, r, align.simple(), "3pass")
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found == (12_000, 3000, "6000M") and most < 40 << 20  # one table of 6000 x 20,000 cells takes 480 MB
+
+
+def test_scores_past_the_capacity_are_errors(monkeypatch):
+    monkeypatch.setattr(align, "CAPACITY", 20)
+    for method in ("1pass", "3pass"):
+        assert align.local_alignment("A" * 10, "A" * 10, align.simple(), method)[0] == 20
+        with pytest.raises(OverflowError):
+            align.local_alignment("A" * 11, "A" * 11, align.simple(), method)
+    assert align.cell_type(10, 10, align.simple())[0] == "i4" and align.cell_type(1 << 26, 1 << 26, align.simple(127))[0] == "i8"
 
 
 def test_strands_best_match_and_lines(spark):
