@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,12 +34,75 @@ def zip_pairs(first: DataFrame, second: DataFrame, check: bool = True) -> DataFr
 
 
 def deinterleave(reads: DataFrame, check: bool = True) -> DataFrame:
-    """(pair_idx, r1, r2): reads 0 and 1, 2 and 3, ... of one input; an odd read out fails the job."""
-    one = F.struct(*READ)
-    pairs = reads.groupBy(F.floor(F.col("ord") / 2).alias("pair_idx")).agg(
-        F.max(F.when(F.col("ord") % 2 == 0, one)).alias("r1"), F.max(F.when(F.col("ord") % 2 == 1, one)).alias("r2")
-    )
-    return checked(pairs, check)
+    """(pair_idx, r1, r2): reads 0 and 1, 2 and 3, ... of one input; an odd read out fails the job.
+
+    Mates are neighbours, so most are paired by the task that reads both. Only reads whose mate is not next to them,
+    at the ends of partitions, are shuffled; for them the input is read a second time. Input in any other order is right too.
+    """
+    own = reads.select(*READ)
+    one = "struct<" + ",".join(f"{c}:{t}" for c, t in own.dtypes) + ">"
+    pairs = f"pair_idx bigint, r1 {one}, r2 {one}"
+    whole = own.mapInArrow(lambda batches: neighbours(batches, alone=False), pairs)
+    ends = own.mapInArrow(lambda batches: neighbours(batches, alone=True), pairs)
+    return checked(whole.unionByName(ends.groupBy("pair_idx").agg(F.max("r1").alias("r1"), F.max("r2").alias("r2"))), check)
+
+
+def adjacent(reads: DataFrame) -> DataFrame:
+    """(pair_idx, r1, r2) of reads of which each has its mate next to it, as interleave gives them; without a shuffle."""
+    one = "struct<" + ",".join(f"{c}:{t}" for c, t in reads.dtypes) + ">"
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        read, given = 0, 0
+
+        def counted() -> Iterator[pa.RecordBatch]:
+            nonlocal read
+            for batch in batches:
+                read += batch.num_rows
+                yield batch
+
+        for out in neighbours(counted(), alone=False):
+            given += out.num_rows
+            yield out
+        if read != 2 * given:
+            raise ValueError("mates are not next to each other")
+
+    return reads.mapInArrow(pairs, f"pair_idx bigint, r1 {one}, r2 {one}")
+
+
+def neighbours(batches: Iterator[pa.RecordBatch], alone: bool) -> Iterator[pa.RecordBatch]:
+    """(pair_idx, r1, r2) of rows with ``ord``: those whose mate is the next row, or only the others, if ``alone``."""
+    held = None
+    for batch in batches:
+        rows = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+        rows = rows.combine_chunks()
+        ords = rows["ord"].to_numpy()
+        first = np.flatnonzero((ords[:-1] % 2 == 0) & (ords[1:] == ords[:-1] + 1))
+        open_end = len(ords) > 0 and ords[-1] % 2 == 0  # its mate may begin the next batch
+        held = rows.slice(len(ords) - 1) if open_end else None
+        if alone:
+            left = np.ones(len(ords), bool)
+            left[first] = left[first + 1] = False
+            left[len(ords) - 1 :] &= not open_end
+            yield from halves(rows.take(pa.array(np.flatnonzero(left))))
+        elif len(first):
+            yield paired(ords[first] // 2, as_struct(rows.take(pa.array(first))), as_struct(rows.take(pa.array(first + 1))))
+    if alone and held is not None:
+        yield from halves(held)
+
+
+def as_struct(rows: pa.Table) -> pa.Array:
+    return rows.combine_chunks().to_struct_array().combine_chunks() if rows.num_rows else pa.array([], pa.struct(list(rows.schema)))
+
+
+def paired(places: np.ndarray, first: pa.Array, second: pa.Array) -> pa.RecordBatch:
+    return pa.record_batch([pa.array(places, pa.int64()), first, second], names=["pair_idx", "r1", "r2"])
+
+
+def halves(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+    if rows.num_rows:
+        ords, own = rows["ord"].to_numpy(), as_struct(rows)
+        sides = [pc.if_else(pa.array(ords % 2 == n), own, pa.scalar(None, own.type)) for n in (0, 1)]
+        yield paired(ords // 2, *sides)
 
 
 def checked(pairs: DataFrame, ids: bool = True) -> DataFrame:

@@ -3,17 +3,30 @@
 from __future__ import annotations
 
 import warnings
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
+from readloom.runtime import durable
+
 BITS = 16
 
 
-def sample_fraction(df: DataFrame, percent: int, seed: int = 0) -> DataFrame:
-    """Each row with a chance of ``percent`` in 100."""
+def sample_fraction(df: DataFrame, percent: int, *keys: str, seed: int = 0, lot: Column | None = None, bits: int = 64) -> DataFrame:
+    """Each row with a chance of ``percent`` in 100, in one pass over an input of unknown size.
+
+    With ``keys`` a row's lot decides, so that reruns and rows that share their keys agree; without, Spark's own sampler.
+    ``lot`` is another lot of ``bits`` bits, at least 0; the default is signed.
+    """
     check_percent(percent)
-    return df.sample(False, percent / 100, seed)
+    if not keys and lot is None:
+        return df.sample(False, percent / 100, seed)
+    if percent == 100:
+        return df
+    below = (percent << bits) // 100
+    return df.where(draw(*keys, seed=seed) < below - (1 << 63) if lot is None else lot < below)
 
 
 def check_percent(percent: int) -> None:
@@ -51,6 +64,26 @@ def sample_exact(df: DataFrame, n: int, *keys: str, seed: int = 0, lot: Column |
     return inside.drop("_lot")
 
 
+def sample_reservoir(df: DataFrame, n: int, *keys: str, seed: int = 0, lot: Column | None = None) -> tuple[DataFrame, int]:
+    """(what sample_exact takes, the number of all rows), from one pass over an input of unknown size.
+
+    Each partition keeps the rows of its ``n`` smallest lots; of n rows of each, the n smallest are those of all. They are
+    written to the shared folder, and the choice among them is sample_exact's, so no task holds n rows of all partitions.
+    """
+    seen = Observation()
+    lots = df.withColumn("_lot", draw(*keys, seed=seed) if lot is None else lot).observe(seen, F.count(F.lit(1)).alias("rows"))
+
+    def smallest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        left = n
+        for batch in batches:
+            if left > 0:
+                yield batch.slice(0, left)
+            left -= batch.num_rows  # the rest is read to its end, as it counts
+
+    held = durable(lots.sortWithinPartitions("_lot", *keys).mapInArrow(smallest, lots.schema))
+    return sample_exact(held.withColumnRenamed("_lot", "_own"), n, *keys, lot=F.col("_own")).drop("_own"), seen.get["rows"]
+
+
 def sample(df: DataFrame, *keys: str, target: int | None = None, percent: int | None = None, seed: int = 0) -> DataFrame:
     """``target`` rows, or ``percent`` of 100 of the known number of rows, rounded down. One of the two is given."""
     if (target is None) == (percent is None):

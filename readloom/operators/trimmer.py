@@ -60,15 +60,13 @@ def trimmer(inputs: list[DataFrame], options: Clipping, outputs: int = 1, filter
         placed = [k.withColumn("ord", F.col("ord") * 2 + i) for i, k in enumerate(kept)]
         return Trimmed([placed[0].unionByName(placed[1])], tally(both))
     pairs = pairing.deinterleave(inputs[0]) if len(inputs) == 1 else pairing.zip_pairs(*inputs)
-    single = pairing.interleave(pairs)  # trimmed as single reads, then brought together by position
+    single = pairing.interleave(pairs)  # trimmed as single reads, of which mates stay next to each other
     done = judged(single, options, mask, min_length)
     if not filter_widows:
         kept = done.where("kept")
         sides = [kept.where(F.col("src") == i).select(*pairing.READ).withColumn("ord", F.floor(F.col("ord") / 2)) for i in (1, 2)]
         return Trimmed(sides, tally(done))
-    one = F.struct("kept", *FLAGS, *pairing.READ)
-    joined = done.groupBy(F.floor(F.col("ord") / 2).alias("pair_idx")).agg(F.max(F.when(F.col("src") == 1, one)).alias("a"), F.max(F.when(F.col("src") == 2, one)).alias("b"))
-    rows = joined.withColumns({"a_in": F.col("a.kept"), "b_in": F.col("a.kept") & F.col("b.kept")})
+    rows = pairing.adjacent(done.select("kept", *FLAGS, *pairing.READ)).withColumnsRenamed({"r1": "a", "r2": "b"}).withColumns({"a_in": F.col("a.kept"), "b_in": F.col("a.kept") & F.col("b.kept")})
     flags = lambda s: [F.col(f"{s}.{c}") for c in ("kept", *FLAGS)]
     # the first mate is always seen and is a widow if it stands but the second fell; the second is seen only if the first stands, and else is the widow
     first = rows.select(*flags("a"), F.lit(True).alias("seen"), (F.col("a.kept") & ~F.col("b.kept")).alias("widow"))

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from readloom.operators.pairing import READ
-from readloom.sources import text
+from readloom.sources import ranges, text
 
 
 def sniff(spark: SparkSession, path: str) -> str:
@@ -21,11 +21,22 @@ def sniff(spark: SparkSession, path: str) -> str:
     return kind
 
 
-def scan_fastq(spark: SparkSession, path: str, src: int = 1) -> DataFrame:
+def scan_fastq(spark: SparkSession, path: str, src: int = 1, dense: bool = True) -> DataFrame:
     """Reads of a four-line FASTQ file. A bad record fails the job with its number.
 
-    Records are put together where they are read; only those that straddle two splits are brought together.
+    Where executors can open the file (see ranges.openable), each reads a range of it that begins and ends at records;
+    files are counted first only if ``dense`` asks for numbers without gaps, as pairing by position does. Files in other
+    stores come through Spark's reader: records are put together where they are read, and those that straddle two
+    splits are brought together.
     """
+    if ranges.openable(path):
+        found = ranges.ranges(spark, path, "fastq")
+        return (ranges.counted(found) if dense else ranges.placed(found)).select(F.lit(src).alias("src"), "ord", "header", "sequence", "quality")
+    return scan_fastq_lines(spark, path, src)
+
+
+def scan_fastq_lines(spark: SparkSession, path: str, src: int = 1) -> DataFrame:
+    """Reads of a FASTQ file in any store that Spark reads, from its numbered lines."""
     numbered = text.numbered(spark, path)
     first = text.lines(spark, path).where("split = 0").first()
     if first is not None and not first["value"].strip():  # the file begins with blank lines
@@ -78,17 +89,17 @@ def scan_fasta(spark: SparkSession, path: str, src: int = 1) -> DataFrame:
     return pieces.select(F.lit(src).alias("src"), F.col("n").alias("ord"), header.alias("header"), sequence.alias("sequence"), F.lit(None).cast("string").alias("quality"))
 
 
-def scan(spark: SparkSession, path: str, src: int = 1) -> DataFrame:
-    """Reads of either format, told by the first character."""
-    return scan_fastq(spark, path, src) if sniff(spark, path) == "fastq" else scan_fasta(spark, path, src)
+def scan(spark: SparkSession, path: str, src: int = 1, dense: bool = True) -> DataFrame:
+    """Reads of either format, told by the first character; numbers ascend, without gaps if ``dense``."""
+    return scan_fastq(spark, path, src, dense) if sniff(spark, path) == "fastq" else scan_fasta(spark, path, src)
 
 
-def scan_paired(spark: SparkSession, first: str, second: str | None = None) -> list[DataFrame]:
-    """One or two inputs; two of different formats are an error."""
+def scan_paired(spark: SparkSession, first: str, second: str | None = None, dense: bool = True) -> list[DataFrame]:
+    """One or two inputs; two of different formats are an error. Reads that are paired by position need ``dense`` numbers."""
     kinds = [sniff(spark, p) for p in (first, second) if p]
     if len(set(kinds)) > 1:
         raise ValueError("one input is FASTQ and the other FASTA")
-    return [scan(spark, p, i + 1) for i, p in enumerate(p for p in (first, second) if p)]
+    return [scan(spark, p, i + 1, dense) for i, p in enumerate(p for p in (first, second) if p)]
 
 
 def references(reads: DataFrame) -> DataFrame:
@@ -112,4 +123,4 @@ def rendered(reads: DataFrame) -> DataFrame:
     return reads.select("ord", F.coalesce(fastq, F.concat(F.lit(">"), "header", F.lit("\n"), "sequence")).alias("text"))
 
 
-__all__ = ["READ", "first_reference", "references", "rendered", "scan", "scan_fasta", "scan_fastq", "scan_paired", "sniff"]
+__all__ = ["READ", "first_reference", "references", "rendered", "scan", "scan_fasta", "scan_fastq", "scan_fastq_lines", "scan_paired", "sniff"]

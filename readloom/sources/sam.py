@@ -10,7 +10,7 @@ from readloom.sources import text
 
 def scan_sam(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(header lines with ord, rows with ord and the eleven fields' used ones and tags). A short row fails the job."""
-    lines = text.numbered(spark, path).where("trim(value) <> ''")
+    lines = text.ordered(spark, path).where("trim(value) <> ''")
     head = lines.where("value like '@%'").select(F.col("n").alias("ord"), F.col("value").alias("line"))
     f = F.split("value", "\t")
     rows = lines.where("value not like '@%'").withColumn("f", F.when(F.size(f) >= 11, f).otherwise(F.raise_error(F.concat(F.lit(f"{path}: short SAM row "), F.col("n").cast("string"))).cast("array<string>")))

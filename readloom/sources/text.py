@@ -8,9 +8,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from readloom.sources import ranges
+
 #: Splits of one scan whose first numbers are broadcast: at 128 MB a split, this is a scan of 128 TB.
 MOST_SPLITS = 1 << 20
 
@@ -56,3 +58,8 @@ def numbered(spark: SparkSession, path: str, separator: str | None = None, blank
             yield pa.record_batch([pa.array(out, pa.int64()), batch.column(2)], names=["n", "value"])
 
     return pieces.mapInArrow(number, "n bigint, value string")
+
+
+def ordered(spark: SparkSession, path: str) -> DataFrame:
+    """(n, value): lines with numbers that ascend in the input's order, with gaps where executors open the files themselves."""
+    return ranges.placed(ranges.ranges(spark, path, "lines"), "n") if ranges.openable(path) else numbered(spark, path)
