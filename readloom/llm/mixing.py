@@ -53,6 +53,12 @@ def allotted(sources: DataFrame, weights: Sequence[int], share: float, most: flo
         left, among = now
 
 
+def cut_of(ranges: DataFrame, name: str) -> DataFrame:
+    """Of (tag, range, words, rest, earlier): the range of each tag in which ``rest`` words end, and ``before``, the words ahead of it."""
+    before = F.col("earlier") + F.sum("words").over(Window.partitionBy("tag").orderBy(name)) - F.col("words")
+    return ranges.withColumn("before", before).where((F.col("before") <= F.col("rest")) & (F.col("rest") < F.col("before") + F.col("words")))
+
+
 def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", weights: Sequence[int] = (3, 1, 2), share: float = 1.5, most: float = 2.0, seed: int = 0) -> DataFrame:
     """``docs`` with size (words), source_size, target (its source's) and taken (words the mix takes, repeats counted).
 
@@ -63,8 +69,9 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     0. Rows with equal keys and texts are told apart by size only, which gives equal rows equal chances. All rows and
     columns stay; clashing names get underscores.
 
-    Only sums for ranges of keys are shuffled. The ranges' prefix sums name the one range that holds a source's cut;
-    its rows alone are sorted, a 65,536th of the source, so a source that holds most rows is no hot task.
+    Only sums for ranges of keys are shuffled. Prefix sums over 256 wide ranges, and over the 256 ranges of one of them,
+    name the range that holds a source's cut; its rows alone are sorted, a 65,536th of the source, so a source that
+    holds most rows is no hot task.
     """
     tag, cell, order, size_ = common.fresh(docs, "_tag", "_cell", "_order", "_size")
     value = common.text_of(F.col(f"`{text}`"))
@@ -77,9 +84,10 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     budget = F.floor("target").cast("long")
     plan = plan.withColumn("whole", F.coalesce(F.expr("try_divide(floor(target), source_size)"), F.lit(0.0)).cast("long"))
     plan = plan.withColumn("rest", budget - F.col("whole") * F.col("source_size"))
-    before = F.sum("words").over(Window.partitionBy("tag").orderBy("cell")) - F.col("words")
-    cuts = cells.withColumn("before", before).join(plan.select("tag", "rest"), "tag")
-    cuts = cuts.where((F.col("before") <= F.col("rest")) & (F.col("rest") < F.col("before") + F.col("words"))).select("tag", F.col("cell").alias("cut"), "before")
+    wide = cells.withColumn("wide", F.shiftright("cell", CELL_BITS // 2)).groupBy("tag", "wide").agg(F.sum("words").alias("words"))
+    wide = cut_of(wide.join(plan.select("tag", "rest"), "tag").withColumn("earlier", F.lit(0)), "wide").select(F.col("tag").alias("_t"), F.col("wide").alias("_w"), "rest", F.col("before").alias("earlier"))
+    inside = cells.join(wide, (F.col("tag") == F.col("_t")) & (F.shiftright("cell", CELL_BITS // 2) == F.col("_w")))
+    cuts = cut_of(inside, "cell").select("tag", F.col("cell").alias("cut"), "before")
     plan = common.durable(plan.join(cuts, "tag", "left"))
 
     names = dict(zip(("tag", "cell", "source_size", "target", "whole", "rest", "cut", "before"), common.fresh(docs, "_tag2", "_cell2", "_source_size", "_target", "_whole", "_rest", "_cut", "_before")))
