@@ -5,12 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from readloom.functions import cigar, headers
+from readloom.functions import headers
+from readloom.operators.pair_kernel import OUT, STATS, merge_batches
 
 FIELDS = ("ord", "qname", "flag", "rname", "pos", "mapq", "cigar", "seq", "qual")
-STATS = ("observations", "true_variations", "variant_errors", "deletion_errors", "insert_obs", "insert_errors")
 LABELS = ("obs", "tmv", "fmv", "dmv", "insObs", "insErr")
-INSERTS = "array<struct<r:int,s:string,q:string>>"
 
 
 def pair_up(sam: DataFrame, rname: str) -> DataFrame:
@@ -29,128 +28,17 @@ def pair_up(sam: DataFrame, rname: str) -> DataFrame:
     return rows.groupBy("mol").agg(take(1), take(2), F.sum((F.col("nth") > 1).cast("long")).alias("dropped"))
 
 
-def unmapped(r: Column) -> Column:
-    return (r["flag"].bitwiseAND(4) != 0) | r["cigar"].isin("*", "")
-
-
-def walked(r: Column) -> Column:
-    """struct(q, r, aln, qal, ins): the read laid along the reference from its 0-based start, and its insertions."""
-    start = F.struct(
-        F.lit(0).alias("q"), (r["pos"] - 1).cast("int").alias("r"), F.lit("").alias("aln"), F.lit("").alias("qal"), F.array().cast(INSERTS).alias("ins")
-    )
-
-    def step(s: Column, x: Column) -> Column:
-        n, op = x["n"], x["op"]
-        along, inserted = op.isin("M", "=", "X"), op == "I"
-        bases = F.when(along, F.substring(r["seq"], s["q"] + 1, n)).when(op == "D", F.repeat(F.lit("-"), n)).when(op == "N", F.repeat(F.lit("N"), n)).otherwise(F.lit(""))
-        quals = F.when(along, F.substring(r["qual"], s["q"] + 1, n)).when(op.isin("D", "N"), F.repeat(F.lit("!"), n)).otherwise(F.lit(""))
-        insert = F.struct((s["r"] - 1).alias("r"), F.substring(r["seq"], s["q"] + 1, n).alias("s"), F.substring(r["qual"], s["q"] + 1, n).alias("q"))
-        return F.struct(
-            (s["q"] + F.when(along | op.isin("I", "S"), n).otherwise(0)).alias("q"),
-            (s["r"] + F.when(along | op.isin("D", "N"), n).when(op == "P", F.raise_error(F.lit("padding in a CIGAR string is not supported")).cast("int")).otherwise(0)).alias("r"),
-            F.concat(s["aln"], bases).alias("aln"), F.concat(s["qal"], quals).alias("qal"),
-            F.concat(s["ins"], F.when(inserted, F.array(insert)).otherwise(F.array()).cast(INSERTS)).alias("ins"),
-        )
-
-    return F.aggregate(cigar.runs(r["cigar"]), start, step)
-
-
-def clipped(r: Column, front: bool) -> Column:
-    """Bases clipped at one end, hard and soft."""
-    text = F.regexp_extract(r["cigar"], r"^((?:\d+[HS])*)" if front else r"[MIDNP=X]((?:\d+[HS])*)$", 1)
-    return F.aggregate(cigar.runs(text), F.lit(0), lambda s, x: s + x["n"])
-
-
-def code(q: Column) -> Column:
-    return F.ascii(q)
-
-
-def site(p: Column) -> Column:
-    """One reference position with bases x and y (null where a mate does not reach) and their insertions after it."""
-    x, y, qx, qy, r = p["x"], p["y"], p["qx"], p["qy"], p["r"]
-    both, gap = x.isNotNull() & y.isNotNull(), F.lit("-")
-    acgt = lambda b: b.isin("A", "C", "G", "T")
-    first = F.struct(x.alias("s"), qx.alias("q"))
-    second = F.struct(y.alias("s"), qy.alias("q"))
-    neither = F.struct(F.lit("N").alias("s"), F.char(F.floor((code(qx) + code(qy)) / 2).cast("int")).alias("q"))
-    empty = F.struct(F.lit("").alias("s"), F.lit("").alias("q"))
-    differ = (
-        F.when(x == r, first).when(y == r, second).when(y == gap, first).when(x == gap, second)
-        .when(acgt(x) & ~acgt(y), first).when(acgt(y) & ~acgt(x), second)
-        .when(code(qx) > code(qy) + 4, first).when(code(qy) > code(qx) + 4, second).otherwise(neither)
-    )
-    base = (
-        F.when(both & (x != y), differ)
-        .when(both, F.when(x == gap, empty).otherwise(F.struct(x.alias("s"), F.greatest(qx, qy).alias("q"))))
-        .when(x.isNotNull(), F.when(x == gap, empty).otherwise(first))
-        .when(y.isNotNull(), F.when(y == gap, empty).otherwise(second))
-        .otherwise(empty)
-    )
-    op = F.when(both & (x != y), F.lit("M")).when(x.isNull() & y.isNull(), F.lit("N")).when(F.coalesce(x, y) == gap, F.lit("D")).otherwise(F.lit("M"))
-    i, j = p["i1"], p["i2"]
-    doubled, lone = i.isNotNull() & j.isNotNull(), F.coalesce(i, j)
-    mate = F.when(j.isNull(), p["two_reaches"]).otherwise(p["one_reaches"])
-    better = F.array_join(F.transform(F.sequence(F.lit(1), F.length(i["s"])), lambda k: F.greatest(F.substring(i["q"], k, F.lit(1)), F.substring(j["q"], k, F.lit(1)))), "")
-    piece = lambda s, q: F.struct(F.lower(s).alias("s"), q.alias("q"))
-    insert = (
-        F.when(doubled & (i["s"] == j["s"]), piece(i["s"], better))
-        .when(doubled & F.contains(j["s"], i["s"]), piece(i["s"], i["q"]))
-        .when(doubled & F.contains(i["s"], j["s"]), piece(j["s"], j["q"]))
-        .when(~doubled & lone.isNotNull() & ~mate, piece(lone["s"], lone["q"]))
-        .otherwise(empty)
-    )
-    flag = lambda c: F.coalesce(c, F.lit(False)).cast("int")
-    discord = ~doubled & lone.isNotNull() & mate
-    return F.struct(
-        F.concat(op, F.repeat(F.lit("I"), F.length(insert["s"]))).alias("c"), F.concat(base["s"], insert["s"]).alias("s"), F.concat(base["q"], insert["q"]).alias("q"),
-        flag(both).alias(STATS[0]), flag(both & (x == y) & ((x == gap) | (x != r))).alias(STATS[1]), flag(both & (x != y)).alias(STATS[2]),
-        flag(both & (x != y) & ((x == gap) | (y == gap))).alias(STATS[3]), flag(doubled | discord).alias(STATS[4]), flag((doubled & (i["s"] != j["s"])) | discord).alias(STATS[5]),
-    )
-
-
 def merged(pairs: DataFrame, reference: str, bowtie: bool = False) -> DataFrame:
     """``pairs`` with both mates and qualities as merged rows: mol, the SAM fields, and the six counters.
 
-    ``reference`` is one sequence and goes into the plan as a literal. One unmapped mate leaves the other as it is but
-    for the name; two leave an unmapped row; neither counts.
+    ``reference`` is one sequence and goes to every task. One unmapped mate leaves the other as it is but for the name; two
+    leave an unmapped row; neither counts. Batches of pairs are merged in arrays (pair_kernel).
     """
-    ref = F.lit(reference)
-    whole = pairs.withColumn("name", F.col("r1.qname") if bowtie else headers.merged_name(F.col("r1.qname")))
-    whole = whole.withColumns({f"u{n}": unmapped(F.col(f"r{n}")) for n in (1, 2)})
-    whole = whole.withColumns({f"a{n}": F.when(~F.col("u1") & ~F.col("u2"), walked(F.col(f"r{n}"))) for n in (1, 2)})
-    whole = whole.withColumns({f"s{n}": F.col(f"r{n}.pos") - 1 for n in (1, 2)} | {f"e{n}": F.col(f"a{n}.r") for n in (1, 2)})
-    whole = whole.withColumns({"start": F.least("s1", "s2"), "end": F.greatest("e1", "e2")})
-    reach = lambda n, i: (i >= F.col(f"s{n}")) & (i < F.col(f"e{n}"))
-    at = lambda n, what, i: F.when(reach(n, i), F.substring(F.col(f"a{n}.{what}"), i - F.col(f"s{n}") + 1, F.lit(1)))
-    inserted = lambda n, i: F.get(F.filter(F.col(f"a{n}.ins"), lambda x: x["r"] == i), F.lit(0))
-    base_of = F.when(F.col("end").isNull() | (F.length(ref) >= F.col("end")), F.lit(True)).otherwise(F.raise_error(F.lit("an alignment goes past the end of the reference")).cast("boolean"))
-
-    def laid(i: Column) -> Column:
-        return F.struct(
-            at(1, "aln", i).alias("x"), at(2, "aln", i).alias("y"), at(1, "qal", i).alias("qx"), at(2, "qal", i).alias("qy"), F.substring(ref, i + 1, F.lit(1)).alias("r"),
-            inserted(1, i).alias("i1"), inserted(2, i).alias("i2"), (reach(1, i) & reach(1, i + 1)).alias("one_reaches"), (reach(2, i) & reach(2, i + 1)).alias("two_reaches"),
-        )
-
-    sites = F.when((F.col("end") > F.col("start")) & base_of, F.transform(F.sequence(F.col("start"), F.col("end") - 1), laid))
-    whole = whole.withColumn("sites", sites).withColumn("sites", F.transform("sites", site))
-    text = lambda f: F.array_join(F.transform("sites", lambda p: p[f]), "")
-    over = lambda n, front: F.greatest(F.lit(0), clipped(F.col(f"r{n}"), front) - (F.col(f"s{n}") - F.col("start") if front else F.col("end") - F.col(f"e{n}")))
-    hard = lambda front: F.repeat(F.lit("H"), F.greatest(over(1, front), over(2, front)))
-    alone = F.when(F.col("u2") & ~F.col("u1"), F.col("r1")).when(F.col("u1") & ~F.col("u2"), F.col("r2"))
-    none = F.col("u1") & F.col("u2")
-    pick = lambda f, both, nothing: F.when(none, nothing).when(F.col("u1") | F.col("u2"), alone[f]).otherwise(both)
-    return whole.select(
-        "mol", F.col("r1.ord").alias("ord"), F.col("name").alias("qname"),
-        pick("flag", F.lit(0), F.lit(4)).alias("flag"), pick("rname", F.col("r1.rname"), F.col("r1.rname")).alias("rname"),
-        pick("pos", F.col("start") + 1, F.lit(0)).alias("pos"), pick("mapq", F.floor((F.col("r1.mapq") + F.col("r2.mapq")) / 2).cast("int"), F.lit(255)).alias("mapq"),
-        pick("cigar", cigar.condensed(F.concat(hard(True), text("c"), hard(False))), F.lit("*")).alias("cigar"),
-        pick("seq", text("s"), F.lit("*")).alias("seq"), pick("qual", text("q"), F.lit("*")).alias("qual"),
-        *(F.coalesce(F.aggregate("sites", F.lit(0), adding(f)), F.lit(0)).cast("long").alias(f) for f in STATS),
-    )
-
-
-def adding(field: str):
-    return lambda total, p: total + p[field]
+    name = F.col("r1.qname") if bowtie else headers.merged_name(F.col("r1.qname"))
+    fields = [c for c in FIELDS if c != "qname"]
+    flat = pairs.select("mol", name.alias("name"), *(F.col(f"r{n}.{c}").alias(f"{c}{n}") for n in (1, 2) for c in fields))
+    letters = reference.encode("latin-1")
+    return flat.mapInArrow(lambda batches: merge_batches(batches, letters), OUT)
 
 
 def mergeable() -> Column:

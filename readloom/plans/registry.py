@@ -91,9 +91,6 @@ def whole_pairs(spark: SparkSession, d: str) -> DataFrame:
     return views.reads(spark, d).select(*pairing.READ)
 
 
-EVEN = "SELECT max(event_id) FROM events"
-
-
 def without_last(reads: DataFrame) -> DataFrame:
     return reads.where(F.col("ord") < reads.agg(F.max("ord")).first()[0])
 
@@ -121,19 +118,32 @@ def widow_counts(spark: SparkSession, d: str) -> DataFrame:
     return trimmer.trimmer(side_inputs(spark, d), CHAIN, outputs=2, filter_widows=True, min_length=MIN).counts
 
 
-@register("trim_two_to_two", chain().add(PAIRS).sql("CAST(floor(ord / 2) AS BIGINT) AS ord, sequence, quality", "WHERE kept AND ord % 2 = 1"))
+def both_outputs(done: trimmer.Trimmed) -> DataFrame:
+    first, second = done.outputs
+    return first.unionByName(second).select("src", "ord", "header", "sequence", "quality")
+
+
+OUTPUTS = "CAST(1 + ord % 2 AS INT) AS src, pair_idx AS ord, header, sequence, quality"
+
+
+@register("trim_two_to_two", chain().add(PAIRS).sql(OUTPUTS, "WHERE kept"))
 def trim_two_to_two(spark: SparkSession, d: str) -> DataFrame:
-    return trimmer.trimmer(side_inputs(spark, d), CHAIN, outputs=2, min_length=MIN).outputs[1].select("ord", "sequence", "quality")
+    return both_outputs(trimmer.trimmer(side_inputs(spark, d), CHAIN, outputs=2, min_length=MIN))
 
 
-@register("trim_one_to_two", chain().add(PAIRS).sql("pair_idx AS ord, header, sequence, quality", "WHERE kept AND ord % 2 = 0"))
+@register("trim_one_to_two", chain().add(PAIRS).sql(OUTPUTS, "WHERE kept"))
 def trim_one_to_two(spark: SparkSession, d: str) -> DataFrame:
-    return trimmer.trimmer([whole_pairs(spark, d)], CHAIN, outputs=2, min_length=MIN).outputs[0].select("ord", "header", "sequence", "quality")
+    return both_outputs(trimmer.trimmer([whole_pairs(spark, d)], CHAIN, outputs=2, min_length=MIN))
 
 
-@register("trim_one_to_two_widows", WIDOWS.sql("pair_idx AS ord, header, sequence, quality", "WHERE both_kept AND ord % 2 = 1"))
+@register("trim_one_to_two_widows", WIDOWS.sql(OUTPUTS, "WHERE both_kept"))
 def trim_one_to_two_widows(spark: SparkSession, d: str) -> DataFrame:
-    return trimmer.trimmer([whole_pairs(spark, d)], CHAIN, outputs=2, filter_widows=True, min_length=MIN).outputs[1].select("ord", "header", "sequence", "quality")
+    return both_outputs(trimmer.trimmer([whole_pairs(spark, d)], CHAIN, outputs=2, filter_widows=True, min_length=MIN))
+
+
+@register("trim_two_to_two_widows", WIDOWS.sql(OUTPUTS, "WHERE both_kept"))
+def trim_two_to_two_widows(spark: SparkSession, d: str) -> DataFrame:
+    return both_outputs(trimmer.trimmer(side_inputs(spark, d), CHAIN, outputs=2, filter_widows=True, min_length=MIN))
 
 
 @register("trim_two_to_one_widows", WIDOWS.sql("ord, header, sequence, quality", "WHERE both_kept"))
@@ -168,9 +178,10 @@ def interleave(spark: SparkSession, d: str) -> DataFrame:
     return pairing.interleave(pairing.zip_pairs(*side_inputs(spark, d))).select("ord", "src", "header", "sequence", "quality")
 
 
-@register("deinterleave", f"SELECT CAST(floor(ord / 2) AS BIGINT) AS ord, header, sequence, quality FROM ({views.READS_SQL}) WHERE ord % 2 = 1")
+@register("deinterleave", f"SELECT src, CAST(floor(ord / 2) AS BIGINT) AS ord, header, sequence, quality FROM ({views.READS_SQL})")
 def deinterleave(spark: SparkSession, d: str) -> DataFrame:
-    return pairing.mates(pairing.deinterleave(whole_pairs(spark, d)), 2).select("ord", "header", "sequence", "quality")
+    pairs = pairing.deinterleave(whole_pairs(spark, d))
+    return pairing.mates(pairs, 1).unionByName(pairing.mates(pairs, 2)).select("src", "ord", "header", "sequence", "quality")
 
 
 @register("pair_zip_check", f"""WITH r AS (SELECT src, CAST(floor(ord / 2) AS BIGINT) AS pair_idx, header FROM ({views.READS_SQL})), z AS (SELECT * FROM r UNION ALL SELECT 1, pair_idx + {AGAIN}, header FROM r WHERE src = 2)
@@ -361,9 +372,15 @@ def sample_overtarget(spark: SparkSession, d: str) -> DataFrame:
     return sampling.sample_exact(views.reads(spark, d), 1 << 40, "ord").select("ord", "sequence")
 
 
-@register("sample_bernoulli")
+@register("sample_bernoulli", f"SELECT ord, sequence FROM ({views.READS_SQL}) WHERE {LOT.format('ord')} < '400000000000000'")
 def sample_bernoulli(spark: SparkSession, d: str) -> DataFrame:
-    return sampling.sample_fraction(views.reads(spark, d), 25, seed=7).select("ord", "sequence")
+    return sampling.sample_fraction(views.reads(spark, d), 25, "ord", lot=lot("ord"), bits=60).select("ord", "sequence")
+
+
+@register("sample_reservoir", f"SELECT ord, sequence, (SELECT count(*) FROM events) AS seen FROM ({views.READS_SQL}) ORDER BY {LOT.format('ord')}, ord LIMIT 250")
+def sample_reservoir(spark: SparkSession, d: str) -> DataFrame:
+    kept, seen = sampling.sample_reservoir(views.reads(spark, d), 250, "ord", lot=lot("ord"))
+    return kept.select("ord", "sequence", F.lit(seen).cast("long").alias("seen"))
 
 
 def aligned(spark: SparkSession, d: str) -> DataFrame:
@@ -401,7 +418,40 @@ def sam_pairs(spark: SparkSession, d: str) -> DataFrame:
     return sam_merge.pair_up(aligned(spark, d), views.RNAME).select(mol.alias("mol"), F.coalesce("r1.ord", F.lit(-1)).alias("o1"), F.coalesce("r2.ord", F.lit(-1)).alias("o2"))
 
 
-@register("sam_merge_records")
+# Merged rows for the second engine: bases, qualities and insertions laid along every reference position of a pair.
+LAID = """CASE cigar WHEN '8M2D10M' THEN substring({0}, 1, 8) || '{1}{1}' || substring({0}, 9, 10) WHEN '9M2I11M' THEN substring({0}, 1, 9) || substring({0}, 12, 11)
+   WHEN '3S20M' THEN substring({0}, 4, 20) WHEN '9M1I11M' THEN substring({0}, 1, 9) || substring({0}, 11, 11) ELSE {0} END"""
+INSERTED = "CASE cigar WHEN '9M2I11M' THEN substring({0}, 10, 2) WHEN '9M1I11M' THEN substring({0}, 10, 1) END"
+ACGT = "{} IN ('A', 'C', 'G', 'T')"
+RECORDS_SQL = PAIR_SQL + f""",
+ v AS (SELECT c.*, {LAID.format('seq', '-')} AS aln, {LAID.format('qual', '!')} AS qal, {INSERTED.format('seq')} AS ins, {INSERTED.format('qual')} AS insq,
+   CASE cigar WHEN '3S20M' THEN 3 WHEN '2H20M4H' THEN 2 ELSE 0 END AS front, CASE cigar WHEN '2H20M4H' THEN 4 ELSE 0 END AS back, pos - 1 AS s0, pos + 19 AS e0 FROM c JOIN p USING (mol)),
+ h AS (SELECT x.mol, x.ord, x.qname, x.rname, least(x.s0, y.s0) AS s, greatest(x.e0, y.e0) AS e, (x.mapq + y.mapq) // 2 AS mapq,
+   greatest(0, x.front - (x.s0 - least(x.s0, y.s0)), y.front - (y.s0 - least(x.s0, y.s0))) AS front, greatest(0, x.back - (greatest(x.e0, y.e0) - x.e0), y.back - (greatest(x.e0, y.e0) - y.e0)) AS back
+   FROM v x JOIN v y ON x.mol = y.mol AND x.slot = 1 AND y.slot = 2),
+ g AS (SELECT mol, unnest(range(s, e)) AS r FROM h),
+ k AS (SELECT mol, slot, s0 + i AS r, substring(aln, CAST(i + 1 AS BIGINT), 1) AS base, substring(qal, CAST(i + 1 AS BIGINT), 1) AS q, CASE WHEN i = 8 THEN ins END AS ins, CASE WHEN i = 8 THEN insq END AS insq, i < 19 AS more
+   FROM (SELECT *, unnest(range(0, 20)) AS i FROM v)),
+ m AS (SELECT g.mol, g.r, x.base AS x, y.base AS y, x.q AS qx, y.q AS qy, x.ins AS i, y.ins AS j, x.insq AS iq, y.insq AS jq, coalesce(x.more, FALSE) AS xmore, coalesce(y.more, FALSE) AS ymore, substring('{views.REFERENCE}', CAST(g.r + 1 AS BIGINT), 1) AS f
+   FROM g LEFT JOIN k x ON x.mol = g.mol AND x.r = g.r AND x.slot = 1 LEFT JOIN k y ON y.mol = g.mol AND y.r = g.r AND y.slot = 2),
+ n AS (SELECT *, CASE WHEN x <> y THEN CASE WHEN x = f THEN 1 WHEN y = f THEN 2 WHEN y = '-' THEN 1 WHEN x = '-' THEN 2 WHEN {ACGT.format('x')} AND NOT {ACGT.format('y')} THEN 1 WHEN {ACGT.format('y')} AND NOT {ACGT.format('x')} THEN 2
+    WHEN ascii(qx) > ascii(qy) + 4 THEN 1 WHEN ascii(qy) > ascii(qx) + 4 THEN 2 ELSE 0 END WHEN x IS NOT NULL AND y IS NOT NULL THEN 3 WHEN x IS NOT NULL THEN 1 WHEN y IS NOT NULL THEN 2 END AS way,
+   CASE WHEN i IS NOT NULL AND j IS NOT NULL THEN CASE WHEN i = j OR contains(j, i) THEN i WHEN contains(i, j) THEN j END WHEN i IS NOT NULL AND NOT (y IS NOT NULL AND ymore) THEN i WHEN j IS NOT NULL AND NOT (x IS NOT NULL AND xmore) THEN j END AS piece,
+   CASE WHEN i = j THEN array_to_string(list_transform(range(1, length(i) + 1), lambda t: greatest(substring(iq, t, 1), substring(jq, t, 1))), '') WHEN i IS NOT NULL AND j IS NOT NULL THEN CASE WHEN contains(j, i) THEN iq WHEN contains(i, j) THEN jq END ELSE coalesce(iq, jq) END AS pieceq FROM m),
+ o AS (SELECT mol, r, CASE WHEN x <> y THEN 'M' WHEN way IS NULL THEN 'N' WHEN coalesce(x, y) = '-' THEN 'D' ELSE 'M' END || CASE WHEN piece IS NULL THEN '' ELSE repeat('I', length(piece)) END AS ops,
+   CASE way WHEN 0 THEN 'N' WHEN 1 THEN replace(x, '-', '') WHEN 2 THEN replace(y, '-', '') WHEN 3 THEN replace(x, '-', '') ELSE '' END || coalesce(lower(piece), '') AS s,
+   CASE way WHEN 0 THEN chr(CAST((ascii(qx) + ascii(qy)) // 2 AS INT)) WHEN 1 THEN CASE x WHEN '-' THEN '' ELSE qx END WHEN 2 THEN CASE y WHEN '-' THEN '' ELSE qy END WHEN 3 THEN CASE x WHEN '-' THEN '' ELSE greatest(qx, qy) END ELSE '' END || CASE WHEN piece IS NULL THEN '' ELSE pieceq END AS q FROM n),
+ z AS (SELECT mol, string_agg(ops, '' ORDER BY r) AS ops, string_agg(s, '' ORDER BY r) AS seq, string_agg(q, '' ORDER BY r) AS qual FROM o GROUP BY mol),
+ l AS (SELECT mol, i, substring(ops, CAST(i AS BIGINT), 1) AS op FROM (SELECT mol, ops, unnest(range(1, length(ops) + 1)) AS i FROM z)),
+ d AS (SELECT mol, op, count(*) AS n, min(i) AS i FROM (SELECT *, row_number() OVER (PARTITION BY mol ORDER BY i) - row_number() OVER (PARTITION BY mol, op ORDER BY i) AS run FROM l) GROUP BY mol, op, run),
+ y AS (SELECT mol, string_agg(n || op, '' ORDER BY i) AS cigar FROM d GROUP BY mol)
+SELECT h.ord, split_part(h.qname, ' ', 1) || ' 3' || substring(split_part(h.qname, ' ', 2), strpos(split_part(h.qname, ' ', 2), ':')) AS qname, CAST(0 AS INT) AS flag, h.rname, CAST(h.s + 1 AS INT) AS pos, CAST(h.mapq AS INT) AS mapq,
+  CASE WHEN front > 0 THEN front || 'H' ELSE '' END || y.cigar || CASE WHEN back > 0 THEN back || 'H' ELSE '' END AS cigar, z.seq, z.qual FROM h JOIN z USING (mol) JOIN y USING (mol)
+UNION ALL SELECT ord, qname, flag, rname, pos, mapq, cigar, seq, qual FROM c WHERE mol NOT IN (SELECT mol FROM p)
+"""
+
+
+@register("sam_merge_records", RECORDS_SQL)
 def sam_merge_records(spark: SparkSession, d: str) -> DataFrame:
     return sam_merge.merge_sam(aligned(spark, d), views.RNAME, views.REFERENCE)[0]
 
