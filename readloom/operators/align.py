@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Iterator, Mapping
 from dataclasses import dataclass
 
 import numpy as np
@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from readloom.functions import bases, headers
 
@@ -17,6 +19,8 @@ DNA, PROTEIN = "ACGTN", "ACDEFGHIKLMNPQRSTVWY*BJZX"
 MAPPING = "struct<score:bigint,ref_start:int,cigar:string>"
 #: References up to this many letters in all are broadcast to the queries; more are joined by shuffled pairs.
 BROADCAST_LETTERS = 8 << 20
+#: Letters of queries in a block of the grid that larger references are aligned in, and pairs that a task aligns at a time.
+LINE_LETTERS, CELL_PAIRS = 1 << 16, 1 << 14
 FITTING = 254
 #: Cells of one table that pairs are swept in together (a longer pair stands alone).
 CELLS = 1 << 21
@@ -295,16 +299,19 @@ def traced(best: np.ndarray, down: np.ndarray, right: np.ndarray, n: int, m: int
     return score, j, "".join(f"{k}{op}" for k, op in reversed(runs) if k)
 
 
+def aligned_pairs(queries: list[str], references: list[str], scoring: Scoring, method: str) -> list[tuple | None]:
+    """(score, ref_start, cigar) by one of METHODS, none for pairs that don't match."""
+    if method == "scores":
+        return [(score, None, None) if score > 0 else None for score in local_scores(queries, references, scoring)]
+    return local_alignments(queries, references, scoring, method)
+
+
 def mapping(query: Column, reference: Column, scoring: Scoring, method: str = "1pass") -> Column:
     kind = pa.struct([("score", pa.int64()), ("ref_start", pa.int32()), ("cigar", pa.string())])
 
     @arrow_udf(MAPPING)
     def aligned(queries: pa.Array, references: pa.Array) -> pa.Array:
-        sides = queries.to_pylist(), references.to_pylist()
-        if method == "scores":
-            rows = [(score, None, None) if score > 0 else None for score in local_scores(*sides, scoring)]
-        else:
-            rows = local_alignments(*sides, scoring, method)
+        rows = aligned_pairs(queries.to_pylist(), references.to_pylist(), scoring, method)
         return pa.array([None if x is None else dict(zip(("score", "ref_start", "cigar"), x)) for x in rows], kind)
 
     return aligned(query, reference)
@@ -315,18 +322,18 @@ def align(queries: DataFrame, references: DataFrame, scoring: Scoring, rev_comp:
 
     Unmapped pairs have a null score. ``rev_comp`` also aligns the query's reverse complement, which wins if strictly
     better; ``best_match`` keeps a query's best reference, the last of equals. ``method`` is one of METHODS: "3pass" for
-    long references, "scores" where starts and CIGARs are not needed and stay null. References are few against the
-    queries and their letters are counted: within BROADCAST_LETTERS they go to all tasks, else the pairs are shuffled.
+    long references, "scores" where starts and CIGARs are not needed and stay null. The references' letters are
+    counted: within BROADCAST_LETTERS they go to all tasks. Beyond that both sides are cut into blocks and each block of
+    queries meets each block of references in one task, which keeps only the best of its references for ``best_match``.
     """
     if method not in METHODS:
         raise ValueError(f"the method is one of {', '.join(METHODS)}")
     if rev_comp and scoring.alphabet != DNA:
         raise ValueError("only DNA has a reverse complement")
     size = references.agg(F.sum(F.length("ref")).alias("n")).first()["n"] or 0
-    few = F.broadcast(references) if size <= BROADCAST_LETTERS else F.broadcast(references.select("ref_ord", "name"))
-    pairs = queries.crossJoin(few)  # asked for: each query against each reference
     if size > BROADCAST_LETTERS:
-        pairs = pairs.join(references.select("ref_ord", "ref"), "ref_ord")
+        return gridded(queries, references, scoring, rev_comp, best_match, method, -(-size // BROADCAST_LETTERS))
+    pairs = queries.crossJoin(F.broadcast(references))  # asked for: each query against each reference
     forward = pairs.withColumn("f", mapping(F.col("sequence"), F.col("ref"), scoring, method))
     if rev_comp:
         forward = forward.withColumn("b", mapping(bases.reverse_complement(F.col("sequence")), F.col("ref"), scoring, method))
@@ -337,8 +344,68 @@ def align(queries: DataFrame, references: DataFrame, scoring: Scoring, rev_comp:
     out = forward.select("ord", "header", "sequence", "quality", "ref_ord", "name", F.length("ref").alias("ref_length"), "strand", "f.score", "f.ref_start", "f.cigar")
     if not best_match:
         return out
-    rest = F.struct(*(c for c in out.columns if c != "ord"))
-    return out.groupBy("ord").agg(F.max_by(rest, F.struct(F.coalesce("score", F.lit(0)), "ref_ord")).alias("x")).select("ord", "x.*")
+    return best_of(out)
+
+
+def gridded(queries: DataFrame, references: DataFrame, scoring: Scoring, rev_comp: bool, best_match: bool, method: str, columns: int) -> DataFrame:
+    """``align`` for references of any size: a grid of blocks, each a group of at most LINE_LETTERS letters of queries and
+    about BROADCAST_LETTERS of references.
+
+    Each query is sent to every block of references and each reference to every block of queries, which is all that
+    is shuffled; products are made inside of tasks. With ``best_match`` a task gives a query's best reference of its block,
+    and only those meet.
+    """
+    letters = queries.agg(F.sum(F.length("sequence") + 1).alias("n")).first()["n"] or 0
+    lines = max(1, -(-letters // LINE_LETTERS))
+    own = [f for f in queries.schema.fields if f.name in ("ord", "header", "sequence", "quality")]
+    block = lambda keys, n: F.pmod(F.xxhash64(*keys), F.lit(n)).cast("long")
+    q = queries.select(*(f.name for f in own), block(["ord", "header"], lines).alias("line"), F.explode(F.sequence(F.lit(0), F.lit(columns - 1)).cast("array<bigint>")).alias("column"))
+    r = references.select("ref_ord", "name", "ref", block(["ref_ord", "name"], columns).alias("column"), F.explode(F.sequence(F.lit(0), F.lit(lines - 1)).cast("array<bigint>")).alias("line"))
+    ref_type = references.schema["ref_ord"].dataType.simpleString()
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own) + f", ref_ord {ref_type}, name string, ref_length int, strand string, score bigint, ref_start int, cigar string"
+
+    def cell(left: pa.Table, right: pa.Table) -> Iterator[pa.RecordBatch]:
+        known = right.to_pylist()
+        for batch in left.select([f.name for f in own]).to_batches(max_chunksize=max(1, CELL_PAIRS // max(1, len(known)))):
+            rows = batch.to_pylist()
+            pairs = [(i, ref) for i in range(len(rows)) for ref in known]
+            found = placed([rows[i]["sequence"] for i, _ in pairs], [ref["ref"] for _, ref in pairs])
+            if best_match:
+                best: dict[int, tuple] = {}
+                for (i, ref), x in zip(pairs, found):
+                    mark = (x[1] or 0, ref["ref_ord"])
+                    if i not in best or mark > best[i][0]:
+                        best[i] = (mark, ref, x)
+                pairs, found = [(i, b[1]) for i, b in best.items()], [b[2] for b in best.values()]
+            names = ["ref_ord", "name", "ref_length", "strand", "score", "ref_start", "cigar"]
+            values = [(ref["ref_ord"], ref["name"], len(ref["ref"]), *x) for (_, ref), x in zip(pairs, found)]
+            kinds = [right.schema.field("ref_ord").type, pa.string(), pa.int32(), pa.string(), pa.int64(), pa.int32(), pa.string()]
+            more = [pa.array([v[k] for v in values], t) for k, t in enumerate(kinds)]
+            yield pa.record_batch([*batch.take(pa.array([i for i, _ in pairs], pa.int64())).columns, *more], names=[*batch.schema.names, *names])
+
+    def placed(sequences: list[str], refs: list[str]) -> list[tuple]:
+        """(strand, score, ref_start, cigar) of each pair."""
+        ways = [aligned_pairs(sequences, refs, scoring, method)]
+        if rev_comp:
+            ways.append(aligned_pairs([bases.complemented(s) for s in sequences], refs, scoring, method))
+        out = []
+        for way in zip(*ways):
+            back = len(way) > 1 and (way[1][0] if way[1] else 0) > (way[0][0] if way[0] else 0)
+            out.append(("-" if back else "+", *(way[back] or (None, None, None))))
+        return out
+
+    def tables(left: pa.Table, right: pa.Table) -> pa.Table:
+        batches = list(cell(left, right)) if right.num_rows else []
+        return pa.Table.from_batches(batches) if batches else pa.table({name: pa.array([], kind) for name, kind in zip(arrow.names, arrow.types)})
+
+    arrow = to_arrow_schema(StructType.fromDDL(schema))
+    done = q.groupBy("line", "column").cogroup(r.groupBy("line", "column")).applyInArrow(tables, schema)
+    return best_of(done) if best_match else done
+
+
+def best_of(alignments: DataFrame) -> DataFrame:
+    rest = F.struct(*(c for c in alignments.columns if c != "ord"))
+    return alignments.groupBy("ord").agg(F.max_by(rest, F.struct(F.coalesce("score", F.lit(0)), "ref_ord")).alias("x")).select("ord", "x.*")
 
 
 def sam_rows(alignments: DataFrame, exclude_unmapped: bool = False) -> DataFrame:

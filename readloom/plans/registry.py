@@ -488,10 +488,50 @@ def align_best(spark: SparkSession, d: str) -> DataFrame:
     return align.sam_rows(align.align(few_reads(spark, d), views.references(spark, d), SCORING, rev_comp=True, best_match=True))
 
 
+@register("align_three_pass", f"SELECT r.ord, CAST(0 AS INT) AS ref_ord, CAST(2 * length(r.sequence) AS BIGINT) AS score, CAST(strpos(g.ref, r.sequence) - 1 AS INT) AS ref_start, length(r.sequence) || 'M' AS cigar FROM ({views.PIECES_SQL}) r, ({views.LONG_REF_SQL}) g")
+def align_three_pass(spark: SparkSession, d: str) -> DataFrame:
+    """Pieces of one long reference, made of all suppliers' references end to end, found again by three sweeps."""
+    return align.align(views.pieces(spark, d), views.long_reference(spark, d), SCORING, method="3pass").select("ord", "ref_ord", "score", "ref_start", "cigar")
+
+
+# Scores for the second engine: both gap tables and the best scores of a query letter at a time, a list over the reference.
+CELLS = f"""
+WITH RECURSIVE q AS ({views.TAGS_READ_SQL}), r AS ({views.SHORT_REFS_SQL}),
+w(ord, ref_ord, s, ref, i, best, down, top) AS (
+ SELECT q.ord, r.ref_ord, q.sequence, r.ref, 0, list_transform(range(0, length(r.ref) + 1), lambda j: CAST(0 AS BIGINT)), list_transform(range(0, length(r.ref) + 1), lambda j: CAST(-100000 AS BIGINT)), CAST(0 AS BIGINT) FROM q, r
+ UNION ALL
+ SELECT ord, ref_ord, s, ref, i + 1, now, nextdown, greatest(top, list_max(now)) FROM (
+  SELECT *, list_transform(range(1, length(ref) + 2), lambda j: greatest(line[j], CASE WHEN j > 1 THEN list_max(list_transform(range(1, j), lambda k: line[k] - {{open}} - {{extend}} * (j - k - 1))) ELSE -100000 END)) AS now FROM (
+   SELECT *, list_transform(range(1, length(ref) + 2), lambda j: greatest(0, CASE WHEN j = 1 THEN 0 ELSE greatest(nextdown[j], best[j - 1] + CASE WHEN substring(s, i + 1, 1) = substring(ref, j - 1, 1) THEN {{match}} ELSE -{{mismatch}} END) END)) AS line FROM (
+    SELECT *, list_transform(range(1, length(ref) + 2), lambda j: greatest(best[j] - {{open}}, down[j] - {{extend}})) AS nextdown FROM w WHERE i < length(s))))
+), a AS (SELECT ord, ref_ord, max(top) AS score FROM w GROUP BY ord, ref_ord)
+"""
+LARGE = align.simple(60, 50, gap_open=70, gap_extend=20)
+
+
+@register("align_short_scores", CELLS.format(match=2, mismatch=3, open=4, extend=1) + "SELECT ord, ref_ord, nullif(score, 0) AS score FROM a")
+def align_short_scores(spark: SparkSession, d: str) -> DataFrame:
+    """Short tags of all customers against short references, gaps and all."""
+    return align.align(views.tag_reads(spark, d), views.short_references(spark, d), SCORING, method="scores").select("ord", "ref_ord", "score")
+
+
+@register("align_short_best", CELLS.format(match=2, mismatch=3, open=4, extend=1) + "SELECT ord, max_by(ref_ord, score * 1000 + ref_ord) AS ref_ord, nullif(max(score), 0) AS score FROM a GROUP BY ord")
+def align_short_best(spark: SparkSession, d: str) -> DataFrame:
+    """The best reference of each tag, by whole alignments."""
+    return align.align(views.tag_reads(spark, d), views.short_references(spark, d), SCORING, best_match=True).select("ord", "ref_ord", "score")
+
+
+@register("align_short_tallies", CELLS.format(match=60, mismatch=50, open=70, extend=20) + f"SELECT (SELECT count(*) FROM q) AS queries, (SELECT {SUM.format('length(sequence) <= 300')} FROM q) AS queries_at_most_300, (SELECT count(*) FROM r) AS \"references\", (SELECT length(ref) FROM r ORDER BY ref_ord LIMIT 1) AS first_reference_length, count(*) AS alignments, {SUM.format(f'score <= {align.FITTING}')} AS scores_fitting FROM a")
+def align_short_tallies(spark: SparkSession, d: str) -> DataFrame:
+    """Tallies where part of the scores don't fit."""
+    queries, references = views.tag_reads(spark, d), views.short_references(spark, d)
+    return align.tallies(queries, references, align.align(queries, references, LARGE, method="scores"))
+
+
 @register("align_tallies", f"SELECT count(*) AS queries, {SUM.format('length(sequence) <= 300')} AS queries_at_most_300, (SELECT count(*) FROM region) AS \"references\", (SELECT length(ref) FROM ({views.REFS_SQL}) ORDER BY ref_ord LIMIT 1) AS first_reference_length, count(*) * (SELECT count(*) FROM region) AS alignments, count(*) * (SELECT count(*) FROM region) AS scores_fitting FROM ({views.READS_SQL})")
 def align_tallies(spark: SparkSession, d: str) -> DataFrame:
     queries, references = few_reads(spark, d), views.references(spark, d)
-    return align.tallies(queries, references, align.align(queries, references, SCORING))
+    return align.tallies(queries, references, align.align(queries, references, SCORING, method="scores"))
 
 
 @register("sam_header", f"SELECT CAST(0 AS BIGINT) AS row, '@HD' || chr(9) || 'VN:1.4' AS line UNION ALL SELECT CAST(ref_ord + 1 AS BIGINT), '@SQ' || chr(9) || 'SN:' || split_part(name, ' ', 1) || chr(9) || 'LN:' || length(ref) FROM ({views.REFS_SQL})")

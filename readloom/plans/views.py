@@ -62,6 +62,13 @@ EDGES = "CAST(row AS INT) AS row, CAST(row + step AS INT) AS col, CAST(ascii(sub
 IN_REFS = "r_regionkey AS id"
 REFS = "CAST(id AS INT) AS ref_ord, concat('region', CAST(id AS STRING), ' of five') AS name, translate(concat(md5(concat('r', CAST(id AS STRING))), md5(concat('s', CAST(id AS STRING)))), '0123456789abcdef', 'ACGTACGTACGTACGT') AS ref"
 
+IN_TAG_READS = "c_custkey AS id"
+#: Short reads and references, of letters that often agree, for alignments cell by cell.
+TAG_READS = "CAST(id AS BIGINT) AS ord, concat('c', CAST(id AS STRING)) AS header, translate(substring(md5(concat('t', CAST(id AS STRING))), 1, CAST(5 + id % 6 AS INT)), '0123456789abcdef', 'AACCGGTTACGTAACC') AS sequence, CAST(NULL AS STRING) AS quality"
+SHORT_REFS = "CAST(id AS INT) AS ref_ord, concat('s', CAST(id AS STRING)) AS name, translate(substring(md5(concat('u', CAST(id AS STRING))), 1, CAST(10 + id % 4 AS INT)), '0123456789abcdef', 'AACCGGTTACGTAACC') AS ref"
+IN_PARTS = "s_suppkey AS id"
+PARTS = "id, translate(concat(md5(concat('g', CAST(id AS STRING))), md5(concat('h', CAST(id AS STRING)))), '0123456789abcdef', 'ACGTACGTACGTACGT') AS ref"
+
 
 def sql(table: str, inner: str, outer: str) -> str:
     return f"SELECT {outer} FROM (SELECT {inner} FROM {table})"
@@ -72,6 +79,12 @@ DUP_SQL = sql("documents", IN_DUP, DUP)
 SAM_SQL = sql("lineitem", IN_SAM, SAM)
 TAGS_SQL = sql("part", IN_TAGS, TAGS)
 REFS_SQL = sql("region", IN_REFS, REFS)
+TAGS_READ_SQL = sql("customer", IN_TAG_READS, TAG_READS)
+SHORT_REFS_SQL = sql("region", IN_REFS, SHORT_REFS)
+PARTS_SQL = sql("supplier", IN_PARTS, PARTS)
+#: All parts end to end, in order; pieces are a part with half of the next one, so that each stands in one place only.
+LONG_REF_SQL = f"SELECT string_agg(ref, '' ORDER BY id) AS ref FROM ({PARTS_SQL})"
+PIECES_SQL = f"SELECT CAST(id AS BIGINT) AS ord, ref || coalesce(substring(lead(ref) OVER (ORDER BY id), 1, 32), '') AS sequence FROM ({PARTS_SQL})"
 EDGES_SQL = f"SELECT {EDGES} FROM (SELECT row, step FROM ({TAGS_SQL}), (SELECT unnest(range(1, 6)) AS step)) WHERE row + step < (SELECT count(*) FROM part)"
 
 
@@ -117,3 +130,27 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def references(spark: SparkSession, sf_dir: str) -> DataFrame:
     return view(spark, sf_dir, "region", IN_REFS, REFS)
+
+
+def tag_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return view(spark, sf_dir, "customer", IN_TAG_READS, TAG_READS)
+
+
+def short_references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return view(spark, sf_dir, "region", IN_REFS, SHORT_REFS)
+
+
+def parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return view(spark, sf_dir, "supplier", IN_PARTS, PARTS)
+
+
+def long_reference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All parts as one reference: one row, as long as the table has rows."""
+    joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("id", "ref"))), lambda x: x["ref"]), "")
+    return parts(spark, sf_dir).agg(joined.alias("ref")).select(F.lit(0).alias("ref_ord"), F.lit("long").alias("name"), "ref")
+
+
+def pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = parts(spark, sf_dir)
+    later = own.select((F.col("id") - 1).alias("id"), F.substring("ref", 1, 32).alias("after"))  # numbers have no gaps
+    return own.join(later, "id", "left").select(F.col("id").cast("long").alias("ord"), F.lit("p").alias("header"), F.concat("ref", F.coalesce("after", F.lit(""))).alias("sequence"), F.lit(None).cast("string").alias("quality"))

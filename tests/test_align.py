@@ -111,6 +111,24 @@ def test_strands_best_match_and_lines(spark):
     assert [r["line"] for r in align.sam_header(refs).orderBy("row").collect()] == ["@HD\tVN:1.4", "@SQ\tSN:a\tLN:11", "@SQ\tSN:b\tLN:7"]
 
 
+@pytest.mark.parametrize("method, rev_comp, best_match", [("1pass", True, True), ("3pass", False, False), ("scores", True, False), ("1pass", False, True)])
+def test_grid_of_blocks_gives_what_a_broadcast_gives(spark, monkeypatch, method, rev_comp, best_match):
+    draw = random.Random(8)
+    letters = lambda n: "".join(draw.choice("ACGT") for _ in range(n))
+    queries = spark.createDataFrame([(i, f"q{i}", letters(i % 23), None if i % 3 else "I" * (i % 23)) for i in range(60)], "ord long, header string, sequence string, quality string")
+    refs = spark.createDataFrame([(i, f"r{i}", letters(30) if i % 4 else "ACGTACGTACGT") for i in range(13)], "ref_ord int, name string, ref string")
+    scoring = align.simple(2, 3, gap_open=4, gap_extend=1)
+    wanted = align.align(queries, refs, scoring, rev_comp, best_match, method)
+    wanted_rows = sorted(wanted.collect(), key=str)
+    monkeypatch.setattr(align, "BROADCAST_LETTERS", 60)
+    monkeypatch.setattr(align, "LINE_LETTERS", 100)
+    monkeypatch.setattr(align, "CELL_PAIRS", 7)
+    found = align.align(queries, refs, scoring, rev_comp, best_match, method)
+    assert "CartesianProduct" not in found._jdf.queryExecution().executedPlan().toString()
+    assert found.columns == wanted.columns and sorted(found.collect(), key=str) == wanted_rows
+    assert align.align(queries.limit(0), refs, scoring, rev_comp, best_match, method).count() == 0
+
+
 def test_options():
     with pytest.raises(ValueError):
         align.simple(gap_open=1, gap_extend=2)
