@@ -24,26 +24,27 @@ from readloom.llm import common, packing
 #: a token across such a place (checked when they are loaded), so stretches are encoded and aligned once and used again.
 STRETCH = re.compile(r"\s*+\S++(?:(?![ \n])\s++(?:\S++|\Z))*+|\s++")
 #: Texts of so many bytes are put together in one block, a row of the table that both passes share.
-BLOCK_BYTES = 8 << 20
-#: Letters of stretches that a Python worker remembers; beyond that it forgets all. Longer stretches are not remembered.
-REMEMBERED, LONGEST = 8 << 20, 256
+BLOCK_BYTES = 4 << 20
+#: Letters of stretches that a Python worker remembers: of so many, those not met again while half as many were new are
+#: forgotten. Longer stretches are not remembered.
+REMEMBERED, LONGEST = 4 << 20, 256
 #: Transitions that a worker remembers for either side.
 STEPS = 1 << 20
-#: Stretches of a text that are joined at a time for its digest.
-AT_ONCE = 1 << 16
+#: Stretches that are encoded, or joined for a text's digest, at a time.
+AT_ONCE = 1 << 13
 SHIFT = 32
 BLOCK = "block bigint, keys {}, n_a array<bigint>, n_b array<bigint>, n_groups array<bigint>, groups_sha256 array<string>, stretches binary, ends binary, links binary, link_ends binary, pairs array<bigint>, times array<bigint>"
 GROUPS = "array<struct<a:array<int>,b:array<int>,start:bigint,end:bigint>>"
 
 
 class Aligned(NamedTuple):
-    """A stretch: its numbers of A tokens, B tokens and groups, the groups as text, and its linked pairs (A id << 32 | B id)."""
+    """A stretch: its numbers of A tokens, B tokens and groups, the groups as text, and its linked pairs (A id << 32 | B id) as int64."""
 
     n_a: int
     n_b: int
     n_groups: int
     shown: str
-    links: np.ndarray
+    links: bytes
 
 
 class Aligner:
@@ -136,7 +137,7 @@ class Aligner:
             ends, links = found
             starts = [(0, 0), *ends[:-1]]
             shown = ";".join(f"{','.join(map(str, a[i:k]))}|{','.join(map(str, b[j:m]))}" for (i, j), (k, m) in zip(starts, ends))
-            yield Aligned(len(a), len(b), len(ends), shown, np.array(links, "i8"))
+            yield Aligned(len(a), len(b), len(ends), shown, np.array(links, "i8").tobytes())
 
 
 class Lazy(dict):
@@ -157,17 +158,19 @@ class Numbers(dict):
 
 
 class Remembered:
-    """Alignments of stretches that a worker has met, bounded by their letters."""
+    """Alignments of stretches that a worker has met, bounded by their letters: what was met lately, and what was before."""
 
     def __init__(self, aligner: Aligner) -> None:
-        self.aligner, self.known, self.letters = aligner, {}, 0
+        self.aligner, self.known, self.before, self.letters = aligner, {}, {}, 0
 
     def of(self, stretches: Iterable[str]) -> list[Aligned | None]:
         stretches = list(stretches)
-        if self.letters > REMEMBERED:
-            self.known, self.letters = {}, 0
-        new = [s for s in stretches if s not in self.known]
-        found = dict(zip(new, self.aligner.aligned(new)))
+        if self.letters > REMEMBERED // 2:
+            self.known, self.before, self.letters = {}, self.known, 0
+        found = {s: self.before[s] for s in stretches if s not in self.known and s in self.before}
+        new = [s for s in stretches if s not in self.known and s not in found]
+        for at in range(0, len(new), AT_ONCE):
+            found.update(zip(new[at : at + AT_ONCE], self.aligner.aligned(new[at : at + AT_ONCE])))
         out = [found[s] if s in found else self.known[s] for s in stretches]
         short = {s: x for s, x in found.items() if len(s) <= LONGEST}
         self.known |= short
@@ -210,12 +213,11 @@ class Block:
         sums = lambda name: np.array([0 if x is None else getattr(x, name) for x in every], "i8")
         totals = {name: [int(own[t].sum()) for t in texts] for name in ("n_a", "n_b", "n_groups") for own in [sums(name)]}
         shown = [x and x.shown for x in every]
-        links = [x.links if x is not None else np.empty(0, "i8") for x in every]
-        flat = np.concatenate(links) if links else np.empty(0, "i8")
-        pairs, at = np.unique(flat, return_inverse=True)
+        links = [b"" if x is None else x.links for x in every]
+        pairs, at = np.unique(np.frombuffer(b"".join(links), "i8"), return_inverse=True)
         met = np.concatenate([*texts, np.empty(0, "i4")])
         often = np.bincount(met, minlength=len(every)).astype("i8")
-        lengths = np.array([len(x) for x in links], "i8")
+        lengths = np.array([len(x) // 8 for x in links], "i8")
         times = np.zeros(len(pairs), "i8")
         np.add.at(times, at, np.repeat(often, lengths))
         list_of = lambda values, kind: pa.array([values], pa.list_(kind))
