@@ -1,12 +1,15 @@
 """The nine commands, as ``python -m readloom.cli COMMAND ...``; each reads files, runs one DataFrame plan, and writes files.
 
-Outputs are folders of text parts in order (gzip if the path ends in .gz), or standard output if no path is given.
+Outputs are folders of text parts in order (gzip if the path ends in .gz), one file each with --one-file, or standard output
+if no path is given. ``-`` is standard input; pipes and devices are read too.
 """
 
 from __future__ import annotations
 
 import argparse
+import os
 import sys
+from contextlib import ExitStack
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,7 +17,7 @@ from pyspark.sql import functions as F
 from readloom import runtime
 from readloom.operators import align, dedup, pairing, phase, preprocess, sam_merge, sampling, trimmer
 from readloom.operators.trim import Clipping, clipping
-from readloom.sources import fastx, sam, sinks, variants, xfl
+from readloom.sources import fastx, sam, sinks, spool, variants, xfl
 
 
 def positive(value: str) -> int:
@@ -57,9 +60,11 @@ def clipping_of(spark: SparkSession, a: argparse.Namespace) -> Clipping:
     )
 
 
-def put(rows: DataFrame, path: str | None, order: str = "ord") -> None:
-    if path:
-        sinks.write_text(rows, path, order)
+def put(rows: DataFrame, path: str | None, order: str = "ord", one_file: bool = False, sort: bool = True) -> None:
+    if path and one_file:
+        sinks.write_file(rows, path, order, sort=sort)
+    elif path:
+        sinks.write_text(rows, path, order, sort=sort)
     else:
         sinks.print_text(rows, order)
 
@@ -68,71 +73,85 @@ def run_trimmer(spark: SparkSession, a: argparse.Namespace) -> None:
     sinks.check_paths([a.input1, a.input2, a.primer_trim], [a.output, a.output2])
     options = clipping_of(spark, a)
     outputs = 2 if a.output2 else 1
-    done = trimmer.trimmer(fastx.scan_paired(spark, a.input1, a.input2), options, outputs, a.filter_widows, a.mask, a.min_length)
+    single = not (a.input2 or a.output2 or a.filter_widows)  # reads in their order, one by one
+    done = trimmer.trimmer(fastx.scan_paired(spark, a.input1, a.input2, dense=not single), options, outputs, a.filter_widows, a.mask, a.min_length)
     for reads, path in zip(done.outputs, (a.output, a.output2)):
-        put(fastx.rendered(reads), path)
+        put(fastx.rendered(reads), path, one_file=a.one_file, sort=not single)
     if a.verbose:
-        print(trimmer.report(done.counts, options, "two files" if a.input2 else "one file", a.mask, a.min_length, a.filter_widows, a.primer_trim), file=sys.stderr)
+        counts = done.observed.get if single and a.output else done.counts
+        print(trimmer.report(counts, options, "two files" if a.input2 else "one file", a.mask, a.min_length, a.filter_widows, a.primer_trim), file=sys.stderr)
 
 
 def run_sampler(spark: SparkSession, a: argparse.Namespace) -> None:
+    """A known number of records is sampled exactly; of an unknown one, as of streams and gzip files, a share is drawn record by
+    record and a number of records through a reservoir, both in one pass."""
     sinks.check_paths([a.input1, a.input2], [a.output, a.output2])
     if a.output2 and not a.output:
         raise SystemExit("--output2 goes with --output")
-    inputs = fastx.scan_paired(spark, a.input1, a.input2)
-    paired = len(inputs) == 2 or bool(a.output2)
-    units = (pairing.zip_pairs(*inputs) if len(inputs) == 2 else pairing.deinterleave(inputs[0])) if paired else inputs[0]
-    key = "pair_idx" if paired else "ord"
-    before = units.count()
-    target = a.target if a.percent is None else before * a.percent // 100
     if a.percent is not None:
         sampling.check_percent(a.percent)
-    chosen = sampling.sample_exact(units, target, key, seed=a.rng_seed)
+    paired = bool(a.input2 or a.output2)
+    inputs = fastx.scan_paired(spark, a.input1, a.input2, dense=paired)
+    units = (pairing.zip_pairs(*inputs) if len(inputs) == 2 else pairing.deinterleave(inputs[0])) if paired else inputs[0]
+    key = "pair_idx" if paired else "ord"
+    before = None
+    if any(p and p not in a.streams and spool.sized(p) for p in (a.input1, a.input2)):
+        before = units.count()
+        chosen = sampling.sample_exact(units, a.target if a.percent is None else before * a.percent // 100, key, seed=a.rng_seed)
+        after = min(before, a.target if a.percent is None else before * a.percent // 100)
+    elif a.percent is not None:
+        chosen = sampling.sample_fraction(units, a.percent, key, seed=a.rng_seed)
+    else:
+        chosen, before = sampling.sample_reservoir(units, a.target, key, seed=a.rng_seed)
+        after = min(before, a.target)
     if not paired:
-        put(fastx.rendered(chosen), a.output)
+        put(fastx.rendered(chosen), a.output, one_file=a.one_file)
     elif a.output2:
-        put(fastx.rendered(pairing.mates(chosen, 1)), a.output)
-        put(fastx.rendered(pairing.mates(chosen, 2)), a.output2)
+        put(fastx.rendered(pairing.mates(chosen, 1)), a.output, one_file=a.one_file)
+        put(fastx.rendered(pairing.mates(chosen, 2)), a.output2, one_file=a.one_file)
     else:
-        put(fastx.rendered(pairing.interleave(chosen)), a.output)
+        put(fastx.rendered(pairing.interleave(chosen)), a.output, one_file=a.one_file)
     if a.verbose:
-        print(sampling.summary(before, min(before, target)), file=sys.stderr)
+        if before is None:
+            before, after = units.count(), chosen.count()
+        print(sampling.summary(before, after), file=sys.stderr)
 
 
 def run_xleave(spark: SparkSession, a: argparse.Namespace) -> None:
     sinks.check_paths([a.input1, a.input2], [a.output, a.output2])
     inputs = fastx.scan_paired(spark, a.input1, a.input2)
     if len(inputs) == 2 and not a.output2:
-        put(fastx.rendered(pairing.interleave(pairing.zip_pairs(*inputs))), a.output)
+        put(fastx.rendered(pairing.interleave(pairing.zip_pairs(*inputs))), a.output, one_file=a.one_file)
     elif len(inputs) == 1 and a.output2:
         pairs = pairing.deinterleave(inputs[0])
-        put(fastx.rendered(pairing.mates(pairs, 1)), a.output)
-        put(fastx.rendered(pairing.mates(pairs, 2)), a.output2)
+        put(fastx.rendered(pairing.mates(pairs, 1)), a.output, one_file=a.one_file)
+        put(fastx.rendered(pairing.mates(pairs, 2)), a.output2, one_file=a.one_file)
     else:
         raise SystemExit("two inputs and one output, or one input and two outputs")
 
 
 def scoring_of(a: argparse.Namespace) -> align.Scoring:
-    if a.matrix:
-        if a.alphabet == "dna" or a.ignore_n or a.matching is not None or a.mismatch is not None:
-            raise SystemExit("a matrix goes with the aa alphabet and without scores")
-        with open(a.matrix, encoding="utf-8") as f:
-            return align.named(f.read(), a.gap_open, a.gap_extend)
+    if a.matrix and (a.alphabet == "dna" or a.ignore_n or a.matching is not None or a.mismatch is not None):
+        raise SystemExit("a matrix goes with the aa alphabet and without scores")
+    if a.ignore_n and a.alphabet == "aa":
+        raise SystemExit("--ignore-n goes with the dna alphabet")
+    if a.matrix or a.alphabet == "aa" and a.matching is None and a.mismatch is None:
+        return align.named(align.matrix_text(a.matrix or align.DEFAULT_MATRIX, a.matrix_folder), a.gap_open, a.gap_extend)
     return align.simple(a.matching, a.mismatch, a.alphabet or "dna", a.ignore_n, a.gap_open, a.gap_extend)
 
 
 def run_aligner(spark: SparkSession, a: argparse.Namespace) -> None:
     sinks.check_paths([a.ref_file, a.query_file], [a.output, a.tally_diagnostics])
-    references, queries = fastx.references(fastx.scan(spark, a.ref_file)), fastx.scan(spark, a.query_file)
-    done = align.align(queries, references, scoring_of(a), a.rev_comp, a.best_match)
+    references, queries = fastx.references(fastx.scan(spark, a.ref_file)), fastx.scan(spark, a.query_file, dense=False)
+    done = align.align(queries, references, scoring_of(a), a.rev_comp, a.best_match, a.method)
     rows = align.sam_rows(done, a.exclude_unmapped).select("ord", "ref_ord", F.col("line").alias("text"))
     rows = rows.select(F.struct("ord", "ref_ord").alias("place"), "text")
     if a.header:
         head = align.sam_header(references).select(F.struct(F.lit(-1).cast("long").alias("ord"), F.col("row").cast("int").alias("ref_ord")).alias("place"), F.col("line").alias("text"))
         rows = head.unionByName(rows)
-    put(rows, a.output, "place")
+    put(rows, a.output, "place", one_file=a.one_file)
     if a.tally_diagnostics:
-        every = done if not a.best_match else align.align(queries, references, scoring_of(a), a.rev_comp)
+        every = align.align(queries, references, scoring_of(a), a.rev_comp, method="scores")
         row = align.tallies(queries, references, every, a.rev_comp).first()
         labels = ["Number of queries", "Queries at most length 300", "Number of references", "Length of first reference", "Number of alignments performed", "Estimated number of alignments fitting i8"]
         lines = spark.createDataFrame([(i, f"{k}: {v}") for i, (k, v) in enumerate(zip(labels, row))], "ord int, text string")
@@ -185,14 +204,17 @@ def run_xflate(spark: SparkSession, a: argparse.Namespace) -> None:
 
 
 def run_phase(spark: SparkSession, a: argparse.Namespace) -> None:
-    sinks.check_paths([a.variants_file, a.sqm_file], [a.output])
+    sinks.check_paths([a.variants_file, a.sqm_file], [a.output] if a.output else [])
     head, rows = variants.scan_variants(spark, a.variants_file)
     if rows.limit(2).count() < 2:  # the matrix is not read
         done = rows.withColumn("phase", F.lit(1))
     else:
         tags, edges = variants.scan_matrix(spark, a.sqm_file)
         done = phase.with_phase(rows, phase.phases(tags, edges, a.tree_height))
-    variants.write_phases(done, head, a.output)
+    if a.output:
+        variants.write_phases(done, head, a.output)
+    else:
+        variants.rewrite_phases(done, head, a.variants_file)
 
 
 def run_num_procs(_: object, a: argparse.Namespace) -> None:
@@ -217,6 +239,7 @@ def parser() -> argparse.ArgumentParser:
     def outputs(p: argparse.ArgumentParser) -> None:
         p.add_argument("-1", "-o", "--output", "--output1")
         p.add_argument("-2", "--output2")
+        p.add_argument("--one-file", action="store_true", help="one file instead of a folder of parts")
 
     p = command("trimmer", run_trimmer, inputs=True)
     outputs(p)
@@ -235,13 +258,15 @@ def parser() -> argparse.ArgumentParser:
     outputs(command("xleave", run_xleave, inputs=True))
     p = command("aligner", run_aligner, "ref_file", "query_file")
     p.add_argument("--output", "--out")
+    p.add_argument("--one-file", action="store_true", help="one file instead of a folder of parts")
     for short, name, default in (("-m", "--matching", None), ("-x", "--mismatch", None), ("-o", "--gap-open", 10), ("-e", "--gap-extend", 1)):
         p.add_argument(short, name, type=int, choices=range(128), default=default, metavar="0..127")
     p.add_argument("-r", "--rev-comp", action="store_true")
-    p.add_argument("--matrix", help="path of a published protein matrix file")
+    p.add_argument("--matrix", help="a published protein matrix: the path of its file, or its name in the matrix folder")
+    p.add_argument("--matrix-folder", default=os.environ.get("READLOOM_MATRICES"), help="where matrix files lie, named as their matrices are")
     p.add_argument("--alphabet", choices=("dna", "aa"))
     p.add_argument("--tally-diagnostics")
-    p.add_argument("--method", help="accepted; the plan is the same")
+    p.add_argument("--method", choices=("1pass", "3pass"), default="1pass", help="3pass takes memory by the lengths and not by their product")
     for name in ("--ignore-n", "--exclude-unmapped", "--best-match", "--header", "--profile-from-ref", "--profile-from-query", "--single-thread"):
         p.add_argument(name, action="store_true")
     p = command("preprocess", run_preprocess, "table_file", inputs=True)
@@ -259,7 +284,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("seq_files", nargs="+")
     p.add_argument("-i", "--inflate", action="store_true")
     p = command("phase", run_phase, "variants_file", "sqm_file")
-    p.add_argument("output", help="folder for the table with phases; inputs are never overwritten")
+    p.add_argument("output", nargs="?", help="folder for the table with phases; without it the variants file is rewritten")
     p.add_argument("-t", "--tree-height", type=float, default=phase.HEIGHT)
     p = command("num-procs", run_num_procs)
     kind = p.add_mutually_exclusive_group(required=True)
@@ -270,11 +295,31 @@ def parser() -> argparse.ArgumentParser:
     return top
 
 
+#: Arguments that name inputs.
+INPUTS = ("input1", "input2", "ref_file", "query_file", "fasta_reference", "sam_file", "seq_files", "sqm_file")
+
+
 def main(arguments: list[str] | None = None, spark: SparkSession | None = None) -> None:
     a = parser().parse_args(arguments)
-    if a.run is not run_num_procs and spark is None:
-        spark = SparkSession.builder.appName("readloom").getOrCreate()
-    a.run(spark, a)
+    if a.run is run_num_procs:
+        return a.run(spark, a)
+    spark = spark or SparkSession.builder.appName("readloom").getOrCreate()
+    a.streams = set()
+    with ExitStack() as spools:
+
+        def readable(path: str) -> str:
+            found = spools.enter_context(spool.spooled(spark, path))
+            if found != path:
+                a.streams.add(found)
+            return found
+
+        for name in INPUTS:
+            value = getattr(a, name, None)
+            if value and isinstance(value, list):
+                setattr(a, name, [readable(v) for v in value])
+            elif value:
+                setattr(a, name, readable(value))
+        a.run(spark, a)
 
 
 if __name__ == "__main__":

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator, Mapping
 from dataclasses import dataclass
 
@@ -31,6 +32,8 @@ METHODS = ("1pass", "3pass", "scores")
 #: A band begins so wide on either side of the straight way, and doubles until it holds a best alignment.
 BAND = 16
 Found = tuple[int, int, str]
+#: What proteins are scored by where nothing is said.
+DEFAULT_MATRIX = "blosum62"
 
 
 @dataclass(frozen=True)
@@ -72,6 +75,22 @@ def named(table: str | Mapping[tuple[str, str], int], gap_open: int = 10, gap_ex
     return Scoring(PROTEIN, tuple(tuple(table.get((a, b), table.get((b, a), least)) for b in PROTEIN) for a in PROTEIN), gap_open, gap_extend)
 
 
+def matrix_text(name: str, folder: str | None = None) -> str:
+    """The text of a matrix: of the file that ``name`` is the path of, or of the file of that name, in any case, in ``folder``.
+
+    Published matrices are files of some 600 numbers and not part of the library.
+    """
+    if os.path.isfile(name):
+        found = name
+    else:
+        files = {f.rsplit(".", 1)[0].lower(): f for f in sorted(os.listdir(folder))} if folder and os.path.isdir(folder) else {}
+        if name.lower() not in files:
+            raise ValueError(f"no matrix {name}: give the path of its file, or a folder with it as --matrix-folder or READLOOM_MATRICES")
+        found = os.path.join(folder, files[name.lower()])
+    with open(found, encoding="utf-8") as f:
+        return f.read()
+
+
 def encoded(s: str, alphabet: str) -> np.ndarray:
     table = np.full(256, len(alphabet) - 1, "i8")
     for i, c in enumerate(alphabet):

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from readloom.operators import pairing
@@ -19,6 +19,8 @@ class Trimmed:
 
     outputs: list[DataFrame]
     counts: DataFrame
+    #: The same tallies, known once the only output has been written (Observation.get), where a stream of single reads allows it.
+    observed: Observation | None = None
 
 
 def judged(reads: DataFrame, options: Clipping, mask: bool, min_length: int) -> DataFrame:
@@ -26,14 +28,18 @@ def judged(reads: DataFrame, options: Clipping, mask: bool, min_length: int) ->
     return trim(reads, options, mask, counts=True).withColumn("kept", F.length("sequence") >= min_length)
 
 
-def tally(judgements: DataFrame, extra_widows: bool = False) -> DataFrame:
+def sums(extra_widows: bool = False) -> list[Column]:
     """Counts over judged reads; ``seen`` is whether a read was trimmed at all, ``widow`` whether its mate fell."""
     total = lambda c: F.sum(c.cast("long"))
     seen = F.col("seen") if extra_widows else F.lit(True)
     widow = F.col("widow") if extra_widows else F.lit(False)
-    sums = {"total_processed": F.count(F.lit(1))} | {c.removeprefix("trimmed_"): total(F.col(c) & seen) for c in FLAGS}
-    sums |= {"length_filtered": total(~F.col("kept") & seen), "widow_filtered": total(widow)}
-    return judgements.agg(*(F.coalesce(v, F.lit(0)).alias({"any": "total_trimmed"}.get(k, k)) for k, v in sums.items()))
+    found = {"total_processed": F.count(F.lit(1))} | {c.removeprefix("trimmed_"): total(F.col(c) & seen) for c in FLAGS}
+    found |= {"length_filtered": total(~F.col("kept") & seen), "widow_filtered": total(widow)}
+    return [F.coalesce(v, F.lit(0)).alias({"any": "total_trimmed"}.get(k, k)) for k, v in found.items()]
+
+
+def tally(judgements: DataFrame, extra_widows: bool = False) -> DataFrame:
+    return judgements.agg(*sums(extra_widows))
 
 
 def trimmer(inputs: list[DataFrame], options: Clipping, outputs: int = 1, filter_widows: bool = False, mask: bool = False, min_length: int = 1) -> Trimmed:
@@ -49,8 +55,8 @@ def trimmer(inputs: list[DataFrame], options: Clipping, outputs: int = 1, filter
     if min_length < 1:
         raise ValueError("the minimum length is 1 or more")
     if len(inputs) == 1 and outputs == 1 and not filter_widows:
-        done = judged(inputs[0], options, mask, min_length)
-        return Trimmed([done.where("kept").select(*pairing.READ)], tally(done))
+        done, seen = judged(inputs[0], options, mask, min_length), Observation()
+        return Trimmed([done.observe(seen, *sums()).where("kept").select(*pairing.READ)], tally(done), seen)
     if len(inputs) == 2 and not filter_widows:
         sides = [judged(x.withColumn("src", F.lit(i + 1)), options, mask, min_length) for i, x in enumerate(inputs)]
         both = sides[0].unionByName(sides[1])
@@ -76,9 +82,9 @@ def trimmer(inputs: list[DataFrame], options: Clipping, outputs: int = 1, filter
     return Trimmed([pairing.interleave(whole)] if outputs == 1 else [pairing.mates(whole, 1), pairing.mates(whole, 2)], counts)
 
 
-def report(counts: DataFrame, options: Clipping, source: str, mask: bool = False, min_length: int = 1, widows: bool = False, primers: str | None = None) -> str:
+def report(counts: DataFrame | dict[str, int], options: Clipping, source: str, mask: bool = False, min_length: int = 1, widows: bool = False, primers: str | None = None) -> str:
     """The counts as aligned lines with percentages (0.00 of no reads)."""
-    row = counts.first().asDict()
+    row = counts if isinstance(counts, dict) else counts.first().asDict()
     total, verb = row["total_processed"], "masked" if mask else "trimmed"
 
     def line(label: str, n: int, tail: str = "") -> str:

@@ -271,8 +271,7 @@ def columns_of(lines: list[bytes], own: Range, nth: int) -> list[list[bytes]]:
 def ranges(spark: SparkSession, path: str, kind: str, range_bytes: int | None = None) -> DataFrame:
     """The rows of SCHEMAS[kind]: the range's number, the row's place in it, and the line or record."""
     spark.dataSource.register(RangeSource)
-    reader = spark.read.format(RangeSource.name()).option("kind", kind).option("path", path)
-    return (reader.option("rangeBytes", range_bytes) if range_bytes else reader).load()
+    return spark.read.format(RangeSource.name()).option("kind", kind).option("path", path).option("rangeBytes", range_bytes or RANGE_BYTES).load()
 
 
 def placed(rows: DataFrame, name: str = "ord") -> DataFrame:

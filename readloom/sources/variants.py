@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from readloom.sources import text
+from readloom.sources import sinks, text
 
 TAG = "^([0-9]+)([A-Za-z])$"
 
@@ -44,8 +44,21 @@ def scan_matrix(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return tags, edges
 
 
+def rewrite_phases(rows: DataFrame, header: str, path: str) -> None:
+    """The table with a Phase column in the place of the file it was read from.
+
+    The new table is written aside and whole before it is renamed over the old one, so a failing row or a lost driver
+    leaves the file as it was.
+    """
+    sinks.write_file(phase_lines(rows, header), path)
+
+
 def write_phases(rows: DataFrame, header: str, path: str) -> None:
     """The table with a Phase column as its last, to another folder than it was read from."""
+    phase_lines(rows, header).orderBy("ord").select("text").write.text(path)
+
+
+def phase_lines(rows: DataFrame, header: str) -> DataFrame:
     lines = rows.select("ord", F.concat("line", F.lit("\t"), F.col("phase").cast("string")).alias("text"))
     top = rows.sparkSession.range(1).select(F.lit(-1).cast("long").alias("ord"), F.lit(f"{header}\tPhase").alias("text"))
-    top.unionByName(lines).orderBy("ord").select("text").write.text(path)
+    return top.unionByName(lines)

@@ -76,3 +76,88 @@ def test_num_procs(capsys, monkeypatch):
     monkeypatch.setenv("LOCAL_PROCS_OVERRIDE", "5")
     cli.main(["num-procs", "-L", "-H"])
     assert capsys.readouterr().out == "5 2\n"
+
+
+def run_stdin(monkeypatch, data, arguments, spark):
+    import io
+    import types
+
+    monkeypatch.setattr("sys.stdin", types.SimpleNamespace(buffer=io.BytesIO(data)))
+    cli.main(arguments, spark)
+
+
+def test_standard_input_and_pipes(spark, tmp_path, pair, monkeypatch):
+    import gzip
+    import os
+    import threading
+
+    data = open(pair[0], "rb").read()
+    cli.main(["trimmer", pair[0], "-o", str(tmp_path / "file"), "-G", "3"], spark)
+    for i, sent in enumerate((data, gzip.compress(data[:9]) + gzip.compress(data[9:]))):
+        run_stdin(monkeypatch, sent, ["trimmer", "-", "-o", str(tmp_path / f"in{i}"), "-G", "3"], spark)
+        assert lines(spark, tmp_path / f"in{i}") == lines(spark, tmp_path / "file")
+    fifo = str(tmp_path / "pipe")
+    os.mkfifo(fifo)
+    writer = threading.Thread(target=lambda: open(fifo, "wb").write(data))
+    writer.start()
+    cli.main(["trimmer", fifo, pair[1], "-o", str(tmp_path / "x"), "-2", str(tmp_path / "y")], spark)
+    writer.join()
+    assert lines(spark, tmp_path / "x") == data.decode().splitlines() and lines(spark, tmp_path / "y")[1] == "TTTTCCCC"
+    assert not [f for f in os.listdir(spark.sparkContext.getCheckpointDir().removeprefix("file:")) if f.startswith("spool-")]
+
+
+def test_sampling_of_unknown_numbers(spark, tmp_path, pair, monkeypatch, capsys):
+    data = "".join(READ.format(i, 1, "ACGT", "IIII") for i in range(200)).encode()
+    run_stdin(monkeypatch, data, ["sampler", "-", "-o", str(tmp_path / "a"), "-t", "30", "-v"], spark)
+    assert "Downsampled 200 records to 30 (15.00 %)" in capsys.readouterr().err and len(lines(spark, tmp_path / "a")) == 120
+    run_stdin(monkeypatch, data, ["sampler", "-", "-o", str(tmp_path / "b"), "-p", "50", "-s", "3"], spark)
+    kept = [x for x in lines(spark, tmp_path / "b")[0::4]]
+    assert 60 < len(kept) < 140 and kept == sorted(kept, key=lambda x: int(x[2:].split()[0]))
+    run_stdin(monkeypatch, data, ["sampler", "-", "-o", str(tmp_path / "c"), "-p", "100"], spark)
+    assert len(lines(spark, tmp_path / "c")) == 800
+
+
+def test_one_file(spark, tmp_path, capsys):
+    import gzip
+
+    text = "".join(READ.format(i, 1, "GGGG" + "ACGT" * (i % 5), "I" * (4 + 4 * (i % 5))) for i in range(2000))
+    (tmp_path / "r.fq").write_text(text)
+    from readloom.sources import ranges
+
+    old, ranges.RANGE_BYTES = ranges.RANGE_BYTES, 9000
+    try:
+        cli.main(["trimmer", str(tmp_path / "r.fq"), "-o", str(tmp_path / "o.fq.gz"), "-n", "1", "--one-file", "-v"], spark)
+        cli.main(["trimmer", str(tmp_path / "r.fq"), "-o", str(tmp_path / "o.fq"), "-G", "3", "-n", "5", "--one-file"], spark)
+    finally:
+        ranges.RANGE_BYTES = old
+    assert "Input:                     2000 reads" in capsys.readouterr().err
+    raw = (tmp_path / "o.fq.gz").read_bytes()
+    assert gzip.decompress(raw).decode() == text and raw.count(b"\x1f\x8b\x08") > 5
+    assert (tmp_path / "o.fq").read_text().count("@") == 1200
+    assert sorted(p.name for p in tmp_path.iterdir() if not p.name.startswith(".")) == ["o.fq", "o.fq.gz", "r.fq"]
+    cli.main(["trimmer", str(tmp_path / "r.fq"), "-o", str(tmp_path / "o.fq"), "-G", "3", "-n", "9", "--one-file"], spark)
+    assert (tmp_path / "o.fq").read_text().count("@") == 800
+
+
+def test_phase_in_place_and_a_failure(spark, tmp_path):
+    table = "R\tPosition\tC\tD\tMinority_Allele\nr\t10\tx\ty\tA\nr\t20\tx\ty\tC\n"
+    (tmp_path / "v.txt").write_text(table)
+    (tmp_path / "m.sqm").write_text("10A\t0\t0.5\n30C\t0.5\t0\n")
+    with pytest.raises(Exception, match="no phase"):
+        cli.main(["phase", str(tmp_path / "v.txt"), str(tmp_path / "m.sqm")], spark)
+    assert (tmp_path / "v.txt").read_text() == table and len(list(tmp_path.glob("*.parts*"))) == 0
+    (tmp_path / "m.sqm").write_text("10A\t0\t0.5\n20C\t0.5\t0\n")
+    cli.main(["phase", str(tmp_path / "v.txt"), str(tmp_path / "m.sqm"), "-t", "0.4"], spark)
+    assert [x.split("\t")[-1] for x in (tmp_path / "v.txt").read_text().splitlines()] == ["Phase", "1", "2"]
+
+
+def test_proteins_and_methods(spark, tmp_path, capsys):
+    (tmp_path / "ref.fa").write_text(">r\nARARRA\n")
+    (tmp_path / "q.fa").write_text(">q\nARRA\n")
+    (tmp_path / "m").mkdir()
+    (tmp_path / "m" / "BLOSUM62.txt").write_text("# two letters of one\n   A  R\nA  4 -1\nR -1  5\n")
+    for more in (["--alphabet", "aa"], ["--matrix", "blosum62", "--method", "3pass"], ["--matrix", str(tmp_path / "m" / "BLOSUM62.txt")]):
+        cli.main(["aligner", str(tmp_path / "ref.fa"), str(tmp_path / "q.fa"), "--matrix-folder", str(tmp_path / "m"), *more], spark)
+        assert capsys.readouterr().out.split("\t")[2:6] == ["r", "3", "255", "4M"]
+    with pytest.raises(ValueError, match="no matrix pam30"):
+        cli.main(["aligner", str(tmp_path / "ref.fa"), str(tmp_path / "q.fa"), "--matrix", "pam30"], spark)
