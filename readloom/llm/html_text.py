@@ -15,8 +15,8 @@ from readloom.llm import common
 
 #: Element names by what HTML makes of them.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-RAW = "script style noscript template textarea title iframe svg math canvas object".split()
-DROPPED = set("nav aside footer button select option menu label input audio video figure head".split()) | set(RAW)
+RAW = "script style noscript template textarea title iframe svg canvas".split()
+DROPPED = set("nav aside footer button select option menu label input audio video head annotation annotation-xml".split()) | set(RAW)
 #: Dropped as well, unless the page's text is in them.
 WRAPPING = set("form fieldset dialog header".split())
 BLOCKS = set("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul caption".split())
@@ -29,23 +29,45 @@ SCOPES = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"
 CLOSES_P = BLOCKS - {"body", "html", "td", "th", "tr", "tbody", "thead", "tfoot", "caption"}
 #: Elements nested deeper than this stay empty and their content goes on in the element around them, as in browsers.
 DEEPEST = 512
-#: Words that name what is no article, as a whole class or id or as the first or last part of one ("site-footer"), unless
-#: a part before says that they tell of the page's state ("no-sidebar").
+#: Words that name what is no article, as a whole class or id or as the first or last part of one ("site-footer"; parts of
+#: MAKEUP at the end don't count), unless a part before says that they tell of the page's state ("no-sidebar").
 UNLIKELY = set("""ad ads advert adverts advertisement advertising adsense banner breadcrumb breadcrumbs comment comments commentlist disqus cookie cookies consent disclaimer
 footer footnav gdpr header masthead menu menus modal nav navbar navigation newsletter notice notices notification overlay pager pagination popup promo promos promotion related
-recommended replies reply rss share sharing shoutbox sidebar side skip social sponsor sponsored subscribe subscription tag tags toolbar topbar widget widgets alert signup login search""".split())
+recommended replies reply responses rss share sharing shoutbox sidebar side skip social sponsor sponsored subscribe subscription tag tags toolbar topbar widget widgets alert signup login search""".split())
+#: Of these, words that articles are about too ("share-prices", "social-history"): as a part of a name whose other parts
+#: say nothing of a page's make-up, they count only where the content looks like boilerplate: little running text, or links.
+TOPICAL = set("""ad ads advertisement advertising alert banner comment consent cookie cookies disclaimer gdpr header login menu menus navigation newsletter notice notices notification overlay popup promotion
+related recommended reply responses search share sharing side signup skip social sponsor subscription tag tags widget widgets""".split())
+MAKEUP = set("""area articles bar block body bottom box button buttons col column container content entries entry form group heading icon icons inner item items left link links list main outer page panel
+post posts primary right row secondary section site slot stories story text title top unit wrap wrapper""".split())
+PLAIN_TEXT, PLAIN_LINKS = 140, 0.33
 STATES = set("has no not with without is js layout single page body template wp".split())
-REMARKS = set("comment comments commentlist reply replies disqus".split())
+REMARKS = set("comment comments commentlist reply replies responses disqus".split())
 #: What is cut only as long as so large a share of the page's running text stands outside of it; and how long a text must be
 #: to count as running.
 OUTSIDE, RUNNING = 0.1, 20
 #: What the score of a container with such a name is worth, where it stays.
 DOUBTED = 0.25
 LIKELY = re.compile(r"article|body|content|entry|main|page|post|story|text", re.I)
-TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<(?P<raw>{'|'.join(RAW)})(?=[\s/>])[^>]*+>(?:.*?)(?:</(?P=raw)\s*+[^>]*+>|\Z)|<[!?][^>]*+(?:>|\Z)|<(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*+)(?P<rest>(?:[^>\"']|\"[^\"]*+\"|'[^']*+')*+)>|<(?P<close2>/?)(?P<name2>[a-zA-Z][^\s/>]*+)(?P<rest2>[^>]*+)(?:>|\Z)", re.S | re.I)
+ATTRIBUTES = r"(?:[^>\"']|\"[^\"]*+\"|'[^']*+')*+"
+TOKEN = re.compile(
+    rf"<!--.*?(?:-->|\Z)|<(?P<raw>{'|'.join(RAW)})(?=[\s/>])(?:(?P<inside>{ATTRIBUTES})>|[^>]*+(?:>|\Z))|<[!?][^>]*+(?:>|\Z)"
+    rf"|<(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*+)(?P<rest>{ATTRIBUTES})>|<(?P<close2>/?)(?P<name2>[a-zA-Z][^\s/>]*+)(?P<rest2>[^>]*+)(?:>|\Z)",
+    re.S | re.I,
+)
+RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>])[^>]*+(?:>|\Z)", re.I) for tag in RAW}
+#: Without an end tag these take the rest of the page, as in browsers; the others end where the element around them does.
+TO_THE_END = {"script", "style", "textarea", "title"}
 PART = re.compile(r"[-_]+|\d+")
-HINTS = re.compile(r"""(?:^|\s)(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
-HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
+ATTRIBUTE = re.compile(r"""([^\s=>"'/]++)(?:\s*+=\s*+(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+NO_DISPLAY = re.compile(r"display\s*:\s*none", re.I)
+
+
+def attributes(rest: str) -> dict[str, str]:
+    found: dict[str, str] = {}
+    for name, a, b, c in ATTRIBUTE.findall(rest):
+        found.setdefault(name.lower(), a or b or c)
+    return found
 
 
 class Node:
@@ -54,23 +76,35 @@ class Node:
     def __init__(self, tag: str, rest: str = "", parent: Node | None = None) -> None:
         self.tag, self.parent, self.children = tag, parent, []
         self.depth = parent.depth + 1 if parent is not None else 0
-        self.hints = " ".join(a or b or c for a, b, c in HINTS.findall(rest)) if rest else ""
-        self.hidden = bool(rest) and HIDDEN.search(rest) is not None
+        own = attributes(rest) if rest.strip(" /") else {}
+        self.hints = " ".join(own[name] for name in ("class", "id", "role") if own.get(name))
+        self.hidden = "hidden" in own or own.get("aria-hidden", "").lower() == "true" or NO_DISPLAY.search(own.get("style", "")) is not None
         self.score, self.size, self.linked, self.running, self.doubted = 0.0, 0, 0, 0, False
 
 
 def tree(html: str) -> Node:
     """Elements and texts as browsers roughly nest them; void elements but br are left out, open ones end with the page."""
     root = now = Node("#root")
-    at = 0
-    for m in TOKEN.finditer(html):
+    at, open_ended = 0, set()
+    while m := TOKEN.search(html, at):
         if m.start() > at:
             now.children.append(html[at : m.start()])
         at = m.end()
         name = m["name"] or m["name2"]
+        if m["raw"]:
+            tag = m["raw"].lower()
+            if (m["inside"] or "").endswith("/"):  # it has ended at once
+                continue
+            end = None if tag in open_ended else RAW_END[tag].search(html, at)
+            if end is not None:
+                at = end.end()
+                continue
+            open_ended.add(tag)  # none follows
+            if tag in TO_THE_END:
+                at = len(html)
+                break
+            name = tag
         if not name:
-            if m["raw"] and not now.children:
-                now.children.append(" ")
             continue
         name = name.lower()
         if m["close"] or m["close2"]:
@@ -100,9 +134,10 @@ def tree(html: str) -> Node:
                 open_ = open_.parent
             if last is not None:
                 now = last.parent
-        node = Node(name, m["rest"] or m["rest2"] or "", now)
+        rest = m["rest"] or m["rest2"] or ""
+        node = Node(name, rest, now)
         now.children.append(node)
-        if node.depth < DEEPEST and (name in BLOCKS or not (m["rest"] or m["rest2"] or "").endswith("/")):
+        if node.depth < DEEPEST and (name in BLOCKS or not rest.endswith("/")):
             now = node
     if at < len(html):
         now.children.append(html[at:])
@@ -128,7 +163,11 @@ def doubted(node: Node) -> bool:
     names = REMARKS if node.tag == "article" else UNLIKELY
     for hint in node.hints.lower().split():
         parts = [p for p in PART.split(hint) if p]
-        if parts and parts[0] not in STATES and (parts[0] in names or parts[-1] in names):
+        if not parts or parts[0] in STATES:
+            continue
+        last = next((p for p in reversed(parts) if p not in MAKEUP), parts[-1])
+        told = {parts[0], last} & names
+        if told - TOPICAL or told and (set(parts) <= names | MAKEUP or node.running < PLAIN_TEXT or node.linked > PLAIN_LINKS * node.size):
             return True
     return False
 
@@ -146,10 +185,11 @@ def pruned(root: Node) -> list[Node]:
         node.children = [c for c in node.children if isinstance(c, str) or c.tag not in DROPPED]
         stack += [c for c in reversed(node.children) if not isinstance(c, str)]
     for node in reversed(order):
-        node.doubted = doubted(node)
+        measured(node)
         if node.tag != "a":
             texts = (len(c.strip()) if isinstance(c, str) else c.running for c in node.children)
             node.running = sum(n for c, n in zip(node.children, texts) if not isinstance(c, str) or n >= RUNNING)
+        node.doubted = doubted(node)
     total, suspects, outside, kept = root.running, [], root.running, set()
 
     def found(node: Node) -> None:
@@ -181,11 +221,16 @@ def pruned(root: Node) -> list[Node]:
     return order
 
 
+def measured(node: Node) -> None:
+    """Sets the letters of a node's text and of its links, once those of its children are."""
+    own = sum(len(" ".join(c.split())) for c in node.children if isinstance(c, str))
+    node.size = own + sum(c.size for c in node.children if not isinstance(c, str))
+    node.linked = node.size if node.tag == "a" else sum(c.linked for c in node.children if not isinstance(c, str))
+
+
 def scored(order: list[Node]) -> None:
     for node in reversed(order):
-        own = sum(len(" ".join(c.split())) for c in node.children if isinstance(c, str))
-        node.size = own + sum(c.size for c in node.children if not isinstance(c, str))
-        node.linked = node.size if node.tag == "a" else sum(c.linked for c in node.children if not isinstance(c, str))
+        measured(node)
     for node in order:
         loose = node.tag not in PARAGRAPHS and node.tag in BLOCKS and any(isinstance(c, str) and c.strip() for c in node.children)
         if not (node.tag in PARAGRAPHS or loose) or not node.size:
