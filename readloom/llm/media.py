@@ -5,7 +5,8 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
-from functools import lru_cache
+from collections.abc import Callable
+from functools import cached_property, lru_cache
 
 import ahocorasick
 import numpy as np
@@ -138,8 +139,8 @@ def riff_end(d: bytes, at: int) -> tuple[str, int] | None:
     return kind, at + 8 + struct.unpack_from("<I", d, at + 4)[0]
 
 
-def ogg_end(d: bytes, at: int) -> int | None:
-    """Pages in a row, up to the last that is whole."""
+def ogg_end(d: bytes, at: int) -> tuple[int | None, int]:
+    """Pages in a row, up to the last that is whole; twice."""
     i, end = at, None
     while d[i : i + 4] == b"OggS" and i + 27 <= len(d) and d[i + 4] == 0:
         table = d[i + 27 : i + 27 + d[i + 26]]
@@ -147,7 +148,7 @@ def ogg_end(d: bytes, at: int) -> int | None:
         if i > len(d) or len(table) == 0:
             break
         end = i
-    return end
+    return end, end or at
 
 
 def flac_end(d: bytes, at: int) -> int | None:
@@ -163,8 +164,8 @@ def flac_end(d: bytes, at: int) -> int | None:
     return None
 
 
-def mp4_end(d: bytes, at: int) -> int | None:
-    """Boxes with printable names in a row, moov or mdat among them."""
+def mp4_end(d: bytes, at: int) -> tuple[int | None, int]:
+    """Boxes with printable names in a row, moov or mdat among them; and up to where they go in any case."""
     i, names = at, set()
     while i + 8 <= len(d):
         n, name = struct.unpack_from(">I4s", d, i)
@@ -174,23 +175,54 @@ def mp4_end(d: bytes, at: int) -> int | None:
             break
         names.add(name)
         i += n
-    return i if names & {b"moov", b"mdat"} else None
+    return i if names & {b"moov", b"mdat"} else None, i
 
 
-def pdf_end(d: bytes, at: int) -> int | None:
-    end = d.rfind(b"%%EOF", at)
-    return end + 5 if d[at + 5 : at + 6].isdigit() and 0 <= d.rfind(b"startxref", at, max(at, end)) else None
+class Marks:
+    """What is looked up once for all signatures of some bytes, so that many of them cost no more than a few."""
 
+    def __init__(self, data: bytes) -> None:
+        self.data = data
+        #: per kind, up to where the last medium reaches that was found: a begin inside of it is a part of it
+        self.until: dict[str, int] = {}
 
-def zip_end(d: bytes, at: int) -> int | None:
-    """An end record whose central directory stands right before it and counts from ``at``."""
-    i = d.find(b"PK\x05\x06", at)
-    while i >= 0 and i + 22 <= len(d):
-        size, offset, comment = struct.unpack_from("<IIH", d, i + 12)
-        if at + offset + size == i and i + 22 + comment <= len(d):
-            return i + 22 + comment
-        i = d.find(b"PK\x05\x06", i + 4)
-    return None
+    @cached_property
+    def pdf(self) -> tuple[int, int]:
+        """The last trailer, and the last reference to a table before it."""
+        end = self.data.rfind(b"%%EOF")
+        return end, self.data.rfind(b"startxref", 0, max(0, end))
+
+    @cached_property
+    def zips(self) -> dict[int, int]:
+        """begin -> end of each archive that an end record tells of; the central directory stands right before that record."""
+        found, i = {}, self.data.find(b"PK\x05\x06")
+        while i >= 0 and i + 22 <= len(self.data):
+            size, offset, comment = struct.unpack_from("<IIH", self.data, i + 12)
+            if i + 22 + comment <= len(self.data):
+                found.setdefault(i - offset - size, i + 22 + comment)
+            i = self.data.find(b"PK\x05\x06", i + 4)
+        return found
+
+
+def pdf_end(marks: Marks, at: int) -> int | None:
+    end, table = marks.pdf
+    return end + 5 if marks.data[at + 5 : at + 6].isdigit() and at <= table < end else None
+
+
+def zip_end(marks: Marks, at: int) -> int | None:
+    return marks.zips.get(at)
+
+
+def once(kind: str, end_of: Callable[[bytes, int], tuple[int | None, int]]) -> Callable[[Marks, int], int | None]:
+    """The end of a medium that is a row of parts which each begin like one: begins inside what was walked are none."""
+
+    def end(marks: Marks, at: int) -> int | None:
+        if at < marks.until.get(kind, 0):
+            return None
+        found, marks.until[kind] = end_of(marks.data, at)
+        return found
+
+    return end
 
 
 def gzip_end(d: bytes, at: int) -> int | None:
@@ -207,7 +239,8 @@ def gzip_end(d: bytes, at: int) -> int | None:
     return min(i, len(d)) - len(stream.unused_data) if stream.eof else None
 
 
-ENDS = {"image/png": png_end, "image/jpeg": jpeg_end, "image/gif": gif_end, "image/bmp": bmp_end, "application/ogg": ogg_end, "audio/flac": flac_end, "video/mp4": mp4_end, "application/pdf": pdf_end, "application/zip": zip_end, "application/gzip": gzip_end}
+ENDS = {"image/png": png_end, "image/jpeg": jpeg_end, "image/gif": gif_end, "image/bmp": bmp_end, "audio/flac": flac_end, "application/gzip": gzip_end}
+MARKED_ENDS = {"application/ogg": once("application/ogg", ogg_end), "video/mp4": once("video/mp4", mp4_end), "application/pdf": pdf_end, "application/zip": zip_end}
 
 
 @lru_cache(1)
@@ -221,7 +254,7 @@ def automaton() -> ahocorasick.Automaton:
 
 def confirmed(data: bytes) -> list[tuple[int, int, str]]:
     """(start, end, type) of every medium in ``data``, by start; a signature without a right structure is none."""
-    found = []
+    found, marks = [], Marks(data)
     for last, (back, kind) in automaton().iter(data.decode("latin-1")):
         start = last + 1 - back
         if start < 0:
@@ -229,7 +262,7 @@ def confirmed(data: bytes) -> list[tuple[int, int, str]]:
         if kind == "riff":
             if got := riff_end(data, start):
                 found.append((start, got[1], got[0]))
-        elif (end := ENDS[kind](data, start)) is not None:
+        elif (end := MARKED_ENDS[kind](marks, start) if kind in MARKED_ENDS else ENDS[kind](data, start)) is not None:
             found.append((start, end, kind))
     return sorted(set(found))
 
