@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from array import array
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from itertools import islice
@@ -27,7 +28,8 @@ STRETCH = re.compile(r"\s*+\S++(?:(?![ \n])\s++(?:\S++|\Z))*+|\s++")
 BLOCK_BYTES = 4 << 20
 #: Letters of stretches that a Python worker remembers: of so many, those not met again while half as many were new are
 #: forgotten. Longer stretches are not remembered.
-REMEMBERED, LONGEST = 4 << 20, 256
+REMEMBERED, LONGEST = 6 << 20, 256
+LONG_TEXT = 1 << 20
 #: Transitions that a worker remembers for either side.
 STEPS = 1 << 20
 #: Stretches that are encoded, or joined for a text's digest, at a time.
@@ -94,30 +96,35 @@ class Aligner:
         The side that leads has one token reaching past all of the other side; the next token of the lagging side
         overlaps that one and no other. When nothing dangles, a group is closed.
         """
-        ends, links, i, j, dangling, a_leads = [], [], 0, 0, b"", True
+        ends, links, i, j, n, m, dangling, a_leads = [], [], 0, 0, len(a), len(b), b"", True
+        lag_a, lag_b = self.steps
         while True:
             if not dangling:
-                if i or j:
+                if i:
                     ends.append((i, j))
-                if i == len(a) or j == len(b):
-                    return (ends, links) if i == len(a) and j == len(b) else None
-                dangling, a_leads = self.bytes_a[a[i]], True
+                if i == n or j == m:
+                    return (ends, links) if i == n and j == m else None
+                own_a, a_leads = a[i], True
+                dangling = self.bytes_a[own_a]
                 i += 1
             if a_leads:
-                if j == len(b):
+                if j == m:
                     return None
-                found = self.step(1, dangling, b[j])
+                own_b = b[j]
                 j += 1
+                found = lag_b.get((dangling, own_b), 0) or self.step(1, dangling, own_b)
             else:
-                if i == len(a):
+                if i == n:
                     return None
-                found = self.step(0, dangling, a[i])
+                own_a = a[i]
                 i += 1
+                found = lag_a.get((dangling, own_a), 0) or self.step(0, dangling, own_a)
             if found is None:
                 return None
-            links.append(a[i - 1] << SHIFT | b[j - 1])
+            links.append(own_a << SHIFT | own_b)
             dangling, flips = found
-            a_leads ^= flips
+            if flips:
+                a_leads = not a_leads
 
     def tokens(self, stretches: list[str]) -> Iterator[tuple[list[int], list[int]]]:
         """The ids of both sides for each stretch. A dummy space goes in front of what B gets: it is the stretch's own or is taken away."""
@@ -135,9 +142,11 @@ class Aligner:
                 yield None
                 continue
             ends, links = found
-            starts = [(0, 0), *ends[:-1]]
-            shown = ";".join(f"{','.join(map(str, a[i:k]))}|{','.join(map(str, b[j:m]))}" for (i, j), (k, m) in zip(starts, ends))
-            yield Aligned(len(a), len(b), len(ends), shown, np.array(links, "i8").tobytes())
+            names_a, names_b, parts, i, j = [*map(str, a)], [*map(str, b)], [], 0, 0
+            for k, m in ends:
+                parts.append(",".join(names_a[i:k]) + "|" + ",".join(names_b[j:m]))
+                i, j = k, m
+            yield Aligned(len(a), len(b), len(ends), ";".join(parts), array("q", links).tobytes())
 
 
 class Lazy(dict):
@@ -202,7 +211,10 @@ class Block:
 
     def add(self, key: object, text: str) -> None:
         self.keys.append(key)
-        found = (m.group() for m in STRETCH.finditer(f" {text}")) if text else ()
+        if len(text) < LONG_TEXT:
+            found = STRETCH.findall(f" {text}") if text else ()
+        else:  # a long text's stretches are not held all at once
+            found = (m.group() for m in STRETCH.finditer(f" {text}"))
         self.texts.append(np.fromiter(map(self.numbers.__getitem__, found), "i4"))
         self.size += len(text)
 
