@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from readloom import runtime
 from readloom.functions import bases, cigar, headers, quality
 from readloom.operators import align, dedup, pairing, phase, preprocess, sam_merge, sampling, trimmer
 from readloom.operators.trim import Clipping, clipping, primer_kmers, trim
 from readloom.plans import views
 from readloom.plans.trim_sql import VIEW, Steps
-from readloom.sources import fastx, sam, xfl
+from readloom.sources import fastx, sam, sinks, xfl
 from readloom.streaming.reads import trim_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -299,6 +301,19 @@ def fastq_text(spark: SparkSession, d: str) -> DataFrame:
     return fastx.rendered(views.reads(spark, d))
 
 
+@register("gzip_file_roundtrip", f"SELECT src, CAST(floor(ord / 2) AS BIGINT) AS ord, header, sequence, quality FROM ({views.READS_SQL})")
+def gzip_file_roundtrip(spark: SparkSession, d: str) -> DataFrame:
+    """All reads written as two ordered gzip files of many members, and scanned again by ranges of their bytes."""
+    folder = f"{runtime.shared_folder(spark)}/files-{uuid.uuid4().hex}"
+    paths = [f"{folder}/{i}.fq.gz" for i in (1, 2)]
+    for side, path in zip(side_inputs(spark, d), paths):
+        sinks.write_file(fastx.rendered(side), path)
+    first, second = fastx.scan_paired(spark, *paths)
+    read = runtime.durable(first.unionByName(second))
+    sinks.delete(spark, folder)
+    return read
+
+
 @register("sam_text", f"SELECT ord, concat_ws(chr(9), qname, flag, rname, pos, mapq, cigar, '*', '0', '0', seq, qual) AS text FROM ({views.SAM_SQL})")
 def sam_text(spark: SparkSession, d: str) -> DataFrame:
     return sam.rendered(views.alignments(spark, d))
@@ -317,14 +332,14 @@ def prepared(spark: SparkSession, d: str, widows: bool = False) -> tuple[DataFra
     return preprocess.preprocess(side_inputs(spark, d), PREPARE, 30, 20, enforce_clipped=True, filter_widows=widows)
 
 
-LOG_KEYS = ["NUMBER_INPUT_FILES", "OBSERVED_RAW_READS_OR_R1", "OBSERVED_R2_READS", "OBSERVED_MAX_READ_LEN", "OBSERVED_MAX_CLIPPED_READ_LENGTH", "READ_COUNT_PASSING_ONLY_LENGTH_FILTER", "READ_COUNT_PASSING_ALL_QUALITY_CONTROL_FILTERS", "READ_PATTERN_COUNT_PASSING", "MIN_PHRED_QUALITY_THRESHOLD", "MIN_READ_LENGTH_THRESHOLD", "QUALITY_MEASURE"]
-LOG_VALUES = ["'2'", "sum(CASE WHEN src = 1 THEN 1 ELSE 0 END)", "sum(CASE WHEN src = 2 THEN 1 ELSE 0 END)", "max(raw_length)", "max(CASE WHEN long_raw THEN length(sequence) END)", "sum(CASE WHEN long_clipped THEN 1 ELSE 0 END)", "sum(CASE WHEN passed THEN 1 ELSE 0 END)", "count(DISTINCT CASE WHEN passed THEN sequence END)", "'20'", "'30'", "'average'"]
+LOG_KEYS = ["NUMBER_INPUT_FILES", "OBSERVED_RAW_READS_OR_R1", "OBSERVED_R2_READS", "OBSERVED_MAX_READ_LEN", "OBSERVED_MAX_CLIPPED_READ_LENGTH", "OBSERVED_MAX_QUALITY", "READ_COUNT_PASSING_ONLY_LENGTH_FILTER", "READ_COUNT_PASSING_ALL_QUALITY_CONTROL_FILTERS", "READ_PATTERN_COUNT_PASSING", "MIN_PHRED_QUALITY_THRESHOLD", "MIN_READ_LENGTH_THRESHOLD", "QUALITY_MEASURE"]
+LOG_VALUES = ["'2'", "sum(CASE WHEN src = 1 THEN 1 ELSE 0 END)", "sum(CASE WHEN src = 2 THEN 1 ELSE 0 END)", "max(raw_length)", "max(CASE WHEN long_raw THEN length(sequence) END)", "regexp_replace(CAST(CAST(max(CASE WHEN long_clipped THEN q END) AS FLOAT) AS VARCHAR), '[.]0$', '')", "sum(CASE WHEN long_clipped THEN 1 ELSE 0 END)", "sum(CASE WHEN passed THEN 1 ELSE 0 END)", "count(DISTINCT CASE WHEN passed THEN sequence END)", "'20'", "'30'", "'average'"]
 
 
 @register("preprocess_log", PREPARED.sql("unnest([" + ", ".join(f"'{k}'" for k in LOG_KEYS) + "]) AS key, unnest([" + ", ".join(f"CAST({v} AS STRING)" for v in LOG_VALUES) + "]) AS value"))
 def preprocess_log(spark: SparkSession, d: str) -> DataFrame:
     stored, figures = prepared(spark, d)
-    return preprocess.log(stored, figures, 2, 30, 20).where("key <> 'OBSERVED_MAX_QUALITY'").select("key", "value")
+    return preprocess.log(stored, figures, 2, 30, 20).select("key", "value")
 
 
 @register("preprocess_max_quality", PREPARED.sql("round(max(CASE WHEN long_clipped THEN q END), 3) AS q"))
@@ -456,7 +471,10 @@ def sam_merge_records(spark: SparkSession, d: str) -> DataFrame:
     return sam_merge.merge_sam(aligned(spark, d), views.RNAME, views.REFERENCE)[0]
 
 
-@register("cigar_round_trip", f"SELECT cigar, CASE cigar WHEN '20M' THEN repeat('M', 20) WHEN '8M2D10M' THEN repeat('M', 8) || 'DD' || repeat('M', 10) WHEN '9M2I11M' THEN repeat('M', 9) || 'II' || repeat('M', 11) WHEN '3S20M' THEN 'SSS' || repeat('M', 20) WHEN '2H20M4H' THEN 'HH' || repeat('M', 20) || 'HHHH' ELSE repeat('M', 9) || 'I' || repeat('M', 11) END AS long_form, cigar AS again, count(*) AS n FROM ({views.SAM_SQL}) GROUP BY ALL")
+LONG_FORM = "array_to_string(list_transform(regexp_extract_all(cigar, '[0-9]+[MIDNSHP=X]'), lambda x: repeat(right(x, 1), CAST(left(x, length(x) - 1) AS INT))), '')"
+
+
+@register("cigar_round_trip", f"SELECT cigar, {LONG_FORM} AS long_form, cigar AS again, count(*) AS n FROM ({views.SAM_SQL}) GROUP BY ALL")
 def cigar_round_trip(spark: SparkSession, d: str) -> DataFrame:
     long_form = cigar.expanded(F.col("cigar"))
     return aligned(spark, d).groupBy("cigar").agg(F.count(F.lit(1)).alias("n")).select("cigar", long_form.alias("long_form"), cigar.condensed(long_form).alias("again"), "n")

@@ -31,6 +31,15 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def forget(df: DataFrame) -> None:
+    """Deletes what ``durable`` wrote for ``df``, once nothing reads it any more: of rounds, all but the last copy."""
+    context = df.sparkSession.sparkContext
+    found = df._jdf.queryExecution().logical().rdd().getCheckpointFile()
+    if found.isDefined():
+        path = context._jvm.org.apache.hadoop.fs.Path(found.get())
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """``df``, dealt out anew if it lies in fewer partitions with rows than there are cores, as tables of few row groups do.
 

@@ -49,7 +49,7 @@ def write_file(rows: DataFrame, path: str, order: str = "ord", text: str = "text
         replace(spark, f"{aside}.joined", path)
     finally:
         for name in (f"{aside}.gz", aside, f"{aside}.joined"):
-            files.delete(fs.Path(name), True)
+            delete(spark, name)
 
 
 def replace(spark: SparkSession, source: str, target: str) -> None:
@@ -63,6 +63,11 @@ def replace(spark: SparkSession, source: str, target: str) -> None:
     fs.FileContext.getFileContext(uri, conf).rename(files.makeQualified(fs.Path(source)), files.makeQualified(fs.Path(target)), over)
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def print_text(rows: DataFrame, order: str = "ord", text: str = "text", out=None) -> None:
     """``rows`` in ``order`` on standard output, a partition at a time."""
     for row in rows.orderBy(order).select(text).toLocalIterator():
