@@ -230,19 +230,21 @@ def test_toxicity_held_out(spark):
     assert len(got[300]["evidence"]) == 3 and got[901]["score"] < 0.5
 
 
-@pytest.mark.parametrize("block, together, frequent", [(64, 64, 1 / 32), (7, 5, 0.5), (16, 64, 0)])
-def test_neighbours_are_exact(spark, monkeypatch, block, together, frequent):
-    """The index gives what all cosines of all terms give, by a plain computation on the whole texts."""
+@pytest.mark.parametrize("block, together, neighbours", [(64, 64, 201), (7, 5, 20), (16, 64, 51), (5, 3, 1)])
+def test_neighbours_are_exact(spark, monkeypatch, block, together, neighbours):
+    """The index gives what all TF-IDF cosines of all terms give, by a plain computation on the whole texts, and so do the votes."""
     from collections import Counter
 
-    for name, value in (("BLOCK", block), ("TOGETHER", together), ("FREQUENT", frequent)):
+    for name, value in (("BLOCK", block), ("TOGETHER", together), ("NEIGHBOURS", neighbours)):
         monkeypatch.setattr(toxicity, name, value)
     docs, labels = labelled(spark)
     model = toxicity.fit(docs, labels)
     texts = [r["text"] or "" for r in docs.collect()]
     assert set(model.terms) == {t for i, x in enumerate(texts[:300]) for t in toxicity.WORD.findall(x.lower())}
     number = model.numbers
-    _, best, which = model.votes(toxicity.vectors(texts, number, model.weight))
+    held = Counter(t for x in texts for t in set(toxicity.WORD.findall(x.lower())))
+    assert np.allclose(model.weight, [np.log((len(texts) + 1) / (held[t] + 1)) + 1e-3 for t in model.terms])
+    vote, best, which = model.votes(toxicity.vectors(texts, number, model.weight))
 
     def unit(text):
         out = np.zeros(len(model.terms))
@@ -257,7 +259,31 @@ def test_neighbours_are_exact(spark, monkeypatch, block, together, frequent):
     assert np.allclose(best, top, atol=2e-9)
     assert np.allclose(np.take_along_axis(cosines, which, 1), best, atol=2e-9)
     assert all(len(set(w)) == len(w) for w in which.tolist())
-    assert model.weight[number["zounds"]] > 5 * np.median(model.weight)
+    assert model.relevance[number["zounds"]] > 5 * np.median(model.relevance)
+    told = [np.array([unit(t) for t in side]) * model.relevance for side in (texts, [by_id[i] for i in model.ids])]
+    told = [x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12) for x in told]
+    weight = np.take_along_axis(told[0] @ told[1].T, which, 1)
+    assert np.allclose(vote, (weight * model.labels[which]).sum(1) / np.maximum(weight.sum(1), 1e-12), atol=1e-6)
+
+
+def test_the_query_gives_all_pairs_cosines(spark, sf_dir):
+    """The registered query against neighbours and votes over all pairs of texts and examples."""
+    from readloom.llm import common
+
+    docs, labels = common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels").where(~toxicity.held_out())
+    model = toxicity.fit(docs.select("doc_id", "text"), labels)
+    texts = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+    keys = sorted(texts)
+    dense = lambda rows: np.stack([np.bincount(rows.terms[s:e], rows.weights[s:e], len(model.terms)) for s, e in zip(rows.starts, rows.starts[1:])])
+    own, examples = (dense(toxicity.vectors([texts[k] for k in side], model.numbers, model.weight)) for side in (keys, model.ids.tolist()))
+    k = min(toxicity.NEIGHBOURS, len(model.ids))
+    near = np.argsort(-np.rint(own @ examples.T * 1e9), axis=1, kind="stable")[:, :k]
+    a, b = (x * model.relevance for x in (own, examples))
+    a, b = (x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12) for x in (a, b))
+    weight = np.take_along_axis(a @ b.T, near, 1)
+    wanted = model.scores((weight * model.labels[near]).sum(1) / np.maximum(weight.sum(1), 1e-12))
+    got = {r["doc_id"]: r["score"] for r in toxicity.op7_toxicity(spark, sf_dir).collect()}
+    assert np.allclose([got[x] for x in keys], wanted, atol=1e-4)
 
 
 def test_toxicity_is_calibrated(spark):
