@@ -23,8 +23,8 @@ from readloom.llm.token_counts import byte_letters
 WINDOW_DOUBLINGS = 4
 MASK_BITS = 10
 MIN, MAX = 256, 1 << 14
-#: Words and digests that a Python worker remembers; beyond that it forgets all and begins anew.
-REMEMBERED = 400_000
+#: Words, up to LONGEST letters, and digests that a Python worker remembers; beyond that it forgets all and begins anew.
+REMEMBERED, LONGEST = 400_000, 256
 SPACE = regex.compile(r"\s")
 PART = "t1 bigint, t2 bigint, seq int, head string, ids binary, tail string, whole boolean, n bigint, ids_sha256 string, decoded_sha256 string"
 
@@ -78,12 +78,16 @@ class WordCoder(dict):
         self.model = tokenizer.model
         self.letters = byte_letters()
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
+        if any(SPACE.search(s) for s in self.special):  # joins are encoded anew between white space
+            raise ValueError(f"{path} has special strings with white space")
         self.parts = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")").split
         self.names = [tokenizer.id_to_token(i) or "" for i in range(tokenizer.get_vocab_size(with_added_tokens=True))]
 
     def __missing__(self, word: str) -> bytes:
         spelled = "".join([self.letters[b] for b in word.encode("utf-8")])
-        ids = self[word] = np.array([t.id for t in self.model.tokenize(spelled)], "<u4").tobytes()
+        ids = np.array([t.id for t in self.model.tokenize(spelled)], "<u4").tobytes()
+        if len(word) <= LONGEST:
+            self[word] = ids
         return ids
 
     def encode(self, text: str) -> bytes:
@@ -287,6 +291,7 @@ def encode_documents(docs: DataFrame, tokenizer: str, text: str = "text", name:
 
 
 def op6_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, tokens of ``word_bpe_49k.json``, and the digests of the ids and of the text decoded from them; see encode_documents."""
     import public_tokenizers
 
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")

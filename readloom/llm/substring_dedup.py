@@ -26,8 +26,8 @@ SAID_OVER = 4
 #: Runs of repeated units go from so many words on: passages of 50 words, less what their cut ends may lose.
 MIN_WORDS = 40
 WORD = re.compile(r"\S+")
-#: Words whose choice a Python worker remembers; beyond that it forgets all and begins anew.
-REMEMBERED = 1_000_000
+#: Words, up to LONGEST letters, whose choice a Python worker remembers; beyond that it forgets all and begins anew.
+REMEMBERED, LONGEST = 1_000_000, 256
 
 
 class Chosen(dict):
@@ -36,7 +36,9 @@ class Chosen(dict):
     def __missing__(self, word: str) -> bool:
         if len(self) > REMEMBERED:
             self.clear()
-        out = self[word] = word[-1] in ".!?" or not crc32(word.encode("utf-8")) % CUT_EVERY
+        out = word[-1] in ".!?" or not crc32(word.encode("utf-8")) % CUT_EVERY
+        if len(word) <= LONGEST:
+            self[word] = out
         return out
 
 

@@ -16,8 +16,8 @@ from readloom.llm import common
 
 #: Fixed value: the split pattern that byte-level BPE of this kind applies before merging.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Counts remembered by a Python worker; beyond that it forgets all and begins anew.
-REMEMBERED = 500_000
+#: Counts remembered by a Python worker, of words up to LONGEST letters; beyond that it forgets all and begins anew.
+REMEMBERED, LONGEST = 500_000, 256
 SHIFT = 20
 
 
@@ -48,7 +48,9 @@ class MergeCounter(dict):
         self.special = regex.compile("|".join(map(regex.escape, sorted(special, key=len, reverse=True)))) if special else None
 
     def __missing__(self, word: str) -> int:
-        n = self[word] = self.merged(word.encode("utf-8"))
+        n = self.merged(word.encode("utf-8"))
+        if len(word) <= LONGEST:
+            self[word] = n
         return n
 
     def merged(self, word: bytes) -> int:
@@ -108,6 +110,7 @@ def count_tokens(docs: DataFrame, tokenizer: str, text: str = "text", name: str
 
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, UTF-8 bytes, tokens of ``byte_bpe_50k.json``, and whether they are over 1024; see count_tokens."""
     import public_tokenizers
 
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
