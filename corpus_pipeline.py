@@ -22,24 +22,29 @@ def edited(docs: DataFrame, out: DataFrame) -> DataFrame:
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents whose score is under REJECTED, by a model of the labels that are not held out."""
     labels = common.table(spark, sf_dir, "labels").where(~toxicity.held_out())
     scored = toxicity.score(docs, toxicity.fit(docs, labels))
     return scored.where(F.col("toxicity.score") < REJECTED).select(docs.columns)
 
 
 def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, each line of 10 code points or more only in the first document that holds it."""
     return edited(docs, line_dedup.dedup_lines(docs))
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The first document of each group that links of a Jaccard similarity of 0.8 over five-word shingles make."""
     return near_copies.keep_one(docs, words_each=5, least=0.8)
 
 
 def without_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, each passage of 40 words or more only in the first document that holds it."""
     return edited(docs, substring_dedup.dedup_substrings(docs))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents' pieces in sequences of 2048 tokens."""
     import public_tokenizers
 
     pieces = packing.token_pieces(docs.select("doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"))

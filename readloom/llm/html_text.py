@@ -333,5 +333,6 @@ def extract_text(pages: DataFrame, html: str = "html", name: str = "text") -> Da
 
 
 def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """page_id, url, the main text of every page and its code points; see extract_text."""
     out = extract_text(common.table(spark, sf_dir, "pages").select("page_id", "url", "html"))
     return out.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))

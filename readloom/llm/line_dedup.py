@@ -119,6 +119,7 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", least:
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, its lines, those that it loses, and the digest of the rest; see dedup_lines."""
     out = dedup_lines(common.table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 

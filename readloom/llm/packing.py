@@ -203,6 +203,7 @@ def pack(pieces: DataFrame, capacity: int = 2048, keys: tuple[str, ...] = ("doc_
 
 
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces of all documents and their places in sequences of 2048 tokens; see token_pieces and pack."""
     import public_tokenizers
 
     pieces = token_pieces(common.table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"))

@@ -248,5 +248,6 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", words_eac
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, its fingerprint in hex, and the smallest doc_id that links of 3 bits or fewer reach; see near_duplicates."""
     out = near_duplicates(common.table(spark, sf_dir, "documents").select("doc_id", "text"), drop_text=True)
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

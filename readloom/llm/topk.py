@@ -215,6 +215,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, key: str = "vec_i
 
 
 def op2_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 highest integer products of every hundredth vector with all others; see top_k."""
     vectors = common.table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     return top_k(vectors, vectors.where("vec_id % 100 = 0"))
 

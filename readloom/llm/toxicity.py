@@ -315,6 +315,7 @@ def held_out(key: str = "doc_id"):
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, whether its label is held out, the score of its text, and whether that is 0.5 or more; see fit and score."""
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = common.table(spark, sf_dir, "labels").where(~held_out())
     out = score(docs, fit(docs, labels))
