@@ -73,12 +73,12 @@ def run_trimmer(spark: SparkSession, a: argparse.Namespace) -> None:
     sinks.check_paths([a.input1, a.input2, a.primer_trim], [a.output, a.output2])
     options = clipping_of(spark, a)
     outputs = 2 if a.output2 else 1
-    single = not (a.input2 or a.output2 or a.filter_widows)  # reads in their order, one by one
-    done = trimmer.trimmer(fastx.scan_paired(spark, a.input1, a.input2, dense=not single), options, outputs, a.filter_widows, a.mask, a.min_length)
+    ordered = bool(a.input2) == bool(a.output2) and not a.filter_widows  # every output has its input's reads, in their order
+    done = trimmer.trimmer(fastx.scan_paired(spark, a.input1, a.input2, dense=not ordered), options, outputs, a.filter_widows, a.mask, a.min_length)
     for reads, path in zip(done.outputs, (a.output, a.output2)):
-        put(fastx.rendered(reads), path, one_file=a.one_file, sort=not single)
+        put(fastx.rendered(reads), path, one_file=a.one_file, sort=not ordered)
     if a.verbose:
-        counts = done.observed.get if single and a.output else done.counts
+        counts = done.told() if a.output else done.counts
         print(trimmer.report(counts, options, "two files" if a.input2 else "one file", a.mask, a.min_length, a.filter_widows, a.primer_trim), file=sys.stderr)
 
 

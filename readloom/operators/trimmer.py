@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
@@ -19,8 +19,15 @@ class Trimmed:
 
     outputs: list[DataFrame]
     counts: DataFrame
-    #: The same tallies, known once the only output has been written (Observation.get), where a stream of single reads allows it.
-    observed: Observation | None = None
+    #: One for each output, where reads stay in their order: the tallies of what it was written from (``told`` adds them up).
+    observed: list[Observation] = field(default_factory=list)
+
+    def told(self) -> dict[str, int]:
+        """The tallies, once all outputs have been written; without another pass where they were observed."""
+        if not self.observed:
+            return self.counts.first().asDict()
+        found = [o.get for o in self.observed]
+        return {name: sum(f[name] for f in found) for name in found[0]}
 
 
 def judged(reads: DataFrame, options: Clipping, mask: bool, min_length: int) -> DataFrame:
@@ -56,13 +63,14 @@ def trimmer(inputs: list[DataFrame], options: Clipping, outputs: int = 1, filter
         raise ValueError("the minimum length is 1 or more")
     if len(inputs) == 1 and outputs == 1 and not filter_widows:
         done, seen = judged(inputs[0], options, mask, min_length), Observation()
-        return Trimmed([done.observe(seen, *sums()).where("kept").select(*pairing.READ)], tally(done), seen)
+        return Trimmed([done.observe(seen, *sums()).where("kept").select(*pairing.READ)], tally(done), [seen])
     if len(inputs) == 2 and not filter_widows:
         sides = [judged(x.withColumn("src", F.lit(i + 1)), options, mask, min_length) for i, x in enumerate(inputs)]
         both = sides[0].unionByName(sides[1])
-        kept = [s.where("kept").select(*pairing.READ) for s in sides]
         if outputs == 2:
-            return Trimmed(kept, tally(both))
+            seen = [Observation(), Observation()]
+            return Trimmed([s.observe(o, *sums()).where("kept").select(*pairing.READ) for s, o in zip(sides, seen)], tally(both), seen)
+        kept = [s.where("kept").select(*pairing.READ) for s in sides]
         placed = [k.withColumn("ord", F.col("ord") * 2 + i) for i, k in enumerate(kept)]
         return Trimmed([placed[0].unionByName(placed[1])], tally(both))
     pairs = pairing.deinterleave(inputs[0]) if len(inputs) == 1 else pairing.zip_pairs(*inputs)

@@ -139,6 +139,21 @@ def test_one_file(spark, tmp_path, capsys):
     assert (tmp_path / "o.fq").read_text().count("@") == 800
 
 
+def test_counts_of_two_files_come_with_their_reads(spark, tmp_path, pair, capsys):
+    cli.main(["trimmer", *pair, "-o", str(tmp_path / "a"), "-2", str(tmp_path / "b"), "-G", "3", "-n", "3", "-v"], spark)
+    assert lines(spark, tmp_path / "a")[1::4] == ["ACGT", "ACGTACGT"] and lines(spark, tmp_path / "b")[1::4] == ["TTTTCCCC", "AACC"]
+    said = capsys.readouterr().err
+    assert "Input:                        6 reads" in said and "Length filtered:              2 reads" in said and "PolyG trimmed:                2 reads" in said
+    from readloom.operators import trimmer
+    from readloom.operators.trim import clipping
+    from readloom.sources import fastx
+
+    done = trimmer.trimmer(fastx.scan_paired(spark, *pair, dense=False), clipping(polyg_trim=3), 2, min_length=3)
+    for out in done.outputs:
+        out.collect()
+    assert done.told() == done.counts.first().asDict()
+
+
 def test_phase_in_place_and_a_failure(spark, tmp_path):
     table = "R\tPosition\tC\tD\tMinority_Allele\nr\t10\tx\ty\tA\nr\t20\tx\ty\tC\n"
     (tmp_path / "v.txt").write_text(table)
