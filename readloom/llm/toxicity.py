@@ -26,9 +26,11 @@ EXAMPLES = 1500
 #: Examples in a block of the index; neighbours that vote; texts that are searched together.
 BLOCK = 64
 NEIGHBOURS = 201
-TOGETHER = 16
+TOGETHER = 64
 #: Cosines are compared as integers of this scale.
 SCALE = 10**9
+#: The postings of terms in more than this share of the examples are dense: a weight for every example, 0 where a term is not.
+FREQUENT = 1 / 32
 WORD = regex.compile(r"\p{L}+")
 COUNTED = "id bigint, label int, terms array<string>, counts array<bigint>"
 
@@ -68,17 +70,18 @@ def runs(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
 class Model:
     """At most 2 x EXAMPLES examples with all their terms; those with equal vectors are one, with their mean label.
 
-    A term's postings are cut where a block of BLOCK examples ends: segment s of term t (segments[t] <= s < segments[t + 1])
-    is of block block[s], has the largest weight maximum[s], and holds entries[s] to entries[s + 1] of holders and held.
+    Terms are numbered by how many examples have them, most first. The first ``frequent`` terms have dense postings, in
+    blocks of BLOCK examples with the largest weight of each term in each block; the postings of the others follow each
+    other, from ``starts[t]`` on for term t, and what a text's give a block is added to its bound as it is.
     """
 
     terms: list[str]
     weight: np.ndarray  # of each term in any text: inverse document frequency
     relevance: np.ndarray
-    segments: np.ndarray
-    block: np.ndarray
-    maximum: np.ndarray
-    entries: np.ndarray
+    frequent: int
+    blocks: np.ndarray  # examples x frequent terms; examples that are alike share a block
+    maxima: np.ndarray  # frequent terms x blocks
+    starts: np.ndarray
     holders: np.ndarray
     held: np.ndarray
     lengths: np.ndarray  # of the examples' vectors times relevance
@@ -91,6 +94,11 @@ class Model:
     def numbers(self) -> dict[str, int]:
         return {t: i for i, t in enumerate(self.terms)}
 
+    @cached_property
+    def telling(self) -> np.ndarray:
+        """The blocks times squared relevance; votes need no double precision."""
+        return np.ascontiguousarray((self.blocks * self.relevance[: self.frequent] ** 2).T.astype("f4"))
+
     def votes(self, rows: Sparse, alone: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Weighted vote of each row's neighbours, their cosines and numbers; exact, ties to the smaller number.
 
@@ -109,45 +117,50 @@ class Model:
     def nearest(self, owner: np.ndarray, terms: np.ndarray, weights: np.ndarray, n: int, k: int, alone: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Cosines, numbers and vote weights of the k nearest examples of n rows.
 
-        A row's bound for a block is what its terms give there with their largest weights. Its blocks with the highest
-        bounds are searched first, as many as hold k examples; then those alone in which it can find a better k-th.
+        A block's bound is what rare terms give there at most, and its maxima. The blocks with the highest bounds are
+        searched first, and all that no row can find its k-th neighbour in are skipped.
         """
         count = len(self.labels)
-        blocks = -(-count // BLOCK)
-        at, size = runs(self.segments[terms], self.segments[terms + 1]), self.segments[terms + 1] - self.segments[terms]
-        row, own, gain = np.repeat(owner, size), np.repeat(weights, size), np.repeat(weights * self.relevance[terms] ** 2, size)
-        cell = row * blocks + self.block[at]
-        bound = np.bincount(cell, own * self.maximum[at], n * blocks).reshape(n, blocks) + 1e-8
-        key, shared = np.full((n, count), -1, "i8"), np.zeros((n, count))
-        done, first = np.zeros((n, blocks), bool), min(blocks, -(-k // BLOCK) + 1)  # one may not be full
-        np.put_along_axis(done, np.argsort(-bound, axis=1, kind="stable")[:, :first], True, axis=1)
-        examples = np.arange(count)
-
-        def compare(chosen: np.ndarray) -> None:
-            live = chosen.ravel()[cell]
-            starts, ends = self.entries[at[live]], self.entries[at[live] + 1]
-            where, some = runs(starts, ends), ends - starts
-            places = np.repeat(row[live] * count, some) + self.holders[where]
-            cosine = np.bincount(places, np.repeat(own[live], some) * self.held[where], n * count).reshape(n, count)
-            inside = np.repeat(chosen, BLOCK, axis=1)[:, :count]
-            found = np.rint(cosine * SCALE).astype("i8") * count + (count - 1 - examples)
-            key[inside] = (np.where(cosine > 1 - 1e-6, -1, found) if alone else found)[inside]
-            shared[...] += np.bincount(places, np.repeat(gain[live], some) * self.held[where], n * count).reshape(n, count)
-
-        compare(done)
+        length = np.sqrt(np.bincount(owner, (weights * self.relevance[terms]) ** 2, n))
+        often = terms < self.frequent
+        dense = np.zeros((n, self.frequent))
+        dense[owner[often], terms[often]] = weights[often]
+        owner, terms, weights = owner[~often], terms[~often], weights[~often]
+        starts, ends = self.starts[terms - self.frequent], self.starts[terms - self.frequent + 1]
+        at, size = runs(starts, ends), ends - starts
+        cells, gain = np.repeat(owner * count, size) + self.holders[at], np.repeat(weights, size) * self.held[at]
+        rare = np.bincount(cells, gain, n * count).reshape(n, count)
+        blocks = np.arange(0, count, BLOCK)
+        bound = dense @ self.maxima + np.maximum.reduceat(rare, blocks, axis=1) + 1e-8
+        done = np.zeros(len(blocks), bool)
+        done[np.argsort(-bound.max(axis=0), kind="stable")[: -(-k // BLOCK) + 1]] = True  # enough for k neighbours
+        key = np.full((n, count), -1, "i8")
+        self.compare(key, np.flatnonzero(done), dense, rare, alone)
         least = np.partition(key, count - k, axis=1)[:, count - k] // count  # present k-th cosine of each row
-        live = (bound * SCALE >= least[:, None]) & ~done
-        if live.any():
-            compare(live)
+        live = (bound * SCALE >= least[:, None]).any(axis=0) & ~done
+        self.compare(key, np.flatnonzero(live), dense, rare, alone)
         top = np.argpartition(key, count - k, axis=1)[:, count - k :]
         order = np.argsort(-np.take_along_axis(key, top, 1), axis=1)
         top = np.take_along_axis(top, order, 1)
         best = np.take_along_axis(key, top, 1)
-        length = np.sqrt(np.bincount(owner, (weights * self.relevance[terms]) ** 2, n))
+        shared = dense.astype("f4") @ self.telling
+        shared += np.bincount(cells, gain * np.repeat(self.relevance[terms] ** 2, size), n * count).reshape(n, count).astype("f4")
         weight = np.take_along_axis(shared, top, 1) / np.maximum(length[:, None] * self.lengths[top], 1e-12)
         none = best < 0
         return np.where(none, -1.0, best // count / SCALE), np.where(none, -1, top), np.where(none, 0, weight)
 
+    def compare(self, key: np.ndarray, blocks: np.ndarray, dense: np.ndarray, rare: np.ndarray, alone: bool) -> None:
+        """Puts cosine and number of these blocks' examples, as one integer that orders them, ties to the smaller number."""
+        count = key.shape[1]
+        if len(blocks) * BLOCK >= count:
+            own = slice(None)
+            numbers = np.arange(count)
+        else:
+            own = numbers = np.concatenate([np.arange(b * BLOCK, min((b + 1) * BLOCK, count)) for b in blocks]) if len(blocks) else np.zeros(0, "i8")
+        cosine = dense @ self.blocks[own].T + rare[:, own]
+        found = np.rint(cosine * SCALE).astype("i8") * count + (count - 1 - numbers)
+        key[:, own] = np.where(cosine > 1 - 1e-6, -1, found) if alone else found
+
     def scores(self, vote: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.slope * vote + self.shift, -30, 30)))
 
@@ -201,7 +214,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     sample = texts.join(F.broadcast(chosen), "id").groupBy("id", "label").agg(F.min("text").alias("text"))  # 2 x EXAMPLES short rows at most are broadcast
     gathered = sample.mapInArrow(counted, COUNTED).toArrow().combine_chunks()
     ids, y = gathered.column("id").to_numpy(), gathered.column("label").to_numpy().astype("i8")
-    spelled, flat, starts, often = encoded(gathered)
+    spelled, flat, starts, often, held = encoded(gathered)
     del gathered
     shared = docs.sparkSession.sparkContext.broadcast({t: i for i, t in enumerate(spelled)})
 
@@ -238,7 +251,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     rows = Sparse(np.concatenate([[0], np.cumsum(np.diff(starts)[chosen_rows])]), every_row.terms[at], every_row.weights[at])
     prior = share.get(1, 0) / max(1, sum(share.values())) if share else 0.5
     telling = relevance(flat, y[owner], y, len(spelled)) + 1e-3
-    model = indexed(spelled, weight, telling, rows, masses[:, 1] / np.maximum(masses.sum(1), 1e-12), ids[chosen_rows])
+    model = indexed(spelled, weight, telling, int((held > FREQUENT * len(y)).sum()), rows, masses[:, 1] / np.maximum(masses.sum(1), 1e-12), ids[chosen_rows])
     model.slope, model.shift = 0.0, float(np.log((prior + 1e-6) / (1 - prior + 1e-6)))
     if size[0] and size[1]:
         vote, _, _ = model.votes(rows, alone=True)
@@ -246,33 +259,34 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     return model
 
 
-def encoded(gathered: pa.Table) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
-    """(terms, number of each entry's term, start of each text's entries, counts): terms are numbered as spelled; a text's
-    entries follow their numbers."""
+def encoded(gathered: pa.Table) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(terms, number of each entry's term, start of each text's entries, counts, how many texts have each term): terms are
+    numbered by that, most first, then as spelled; a text's entries follow their numbers."""
     lists = gathered.column("terms").combine_chunks()
     lengths = np.array(lists.value_lengths().to_numpy(zero_copy_only=False), "i8")
     starts = np.concatenate([[0], np.cumsum(lengths)])
     code = lists.flatten().dictionary_encode()
     counts = gathered.column("counts").combine_chunks().flatten().to_numpy()
     numbers, spelled = code.indices.to_numpy().astype("i8"), code.dictionary.to_pylist()
-    order = sorted(range(len(spelled)), key=spelled.__getitem__)
+    held = np.bincount(numbers, minlength=len(spelled))
+    order = sorted(range(len(spelled)), key=lambda i: (-held[i], spelled[i]))
     place = np.empty(len(spelled), "i8")
     place[order] = np.arange(len(spelled))
     numbers = place[numbers]
     sort = np.lexsort((numbers, np.repeat(np.arange(len(lengths)), lengths)))
-    return [spelled[i] for i in order], numbers[sort], starts, counts[sort]
-
-
-def indexed(terms: list[str], weight: np.ndarray, telling: np.ndarray, rows: Sparse, labels: np.ndarray, ids: np.ndarray) -> Model:
-    owner = rows.owners()
-    order = np.lexsort((owner, rows.terms))
-    term, holder, held = rows.terms[order], owner[order].astype("i4"), rows.weights[order]
-    block = holder // BLOCK
-    first = np.flatnonzero(np.concatenate([[True], (term[1:] != term[:-1]) | (block[1:] != block[:-1])])) if len(term) else np.zeros(0, "i8")
-    maximum = np.maximum.reduceat(held, first) if len(first) else held
-    segments = np.searchsorted(term[first], np.arange(len(terms) + 1))
-    lengths = np.sqrt(np.bincount(owner, (rows.weights * telling[rows.terms]) ** 2, len(ids)))
-    return Model(terms, weight, telling, segments, block[first], maximum, np.concatenate([first, [len(term)]]), holder, held, lengths, labels, ids, 0.0, 0.0)
+    return [spelled[i] for i in order], numbers[sort], starts, counts[sort], held[order]
+
+
+def indexed(terms: list[str], weight: np.ndarray, telling: np.ndarray, frequent: int, rows: Sparse, labels: np.ndarray, ids: np.ndarray) -> Model:
+    count, owner = len(ids), rows.owners()
+    often = rows.terms < frequent
+    blocks = np.zeros((count, frequent))
+    blocks[owner[often], rows.terms[often]] = rows.weights[often]
+    maxima = np.stack([blocks[s : s + BLOCK].max(axis=0, initial=0) for s in range(0, max(1, count), BLOCK)], axis=1)
+    order = np.lexsort((owner[~often], rows.terms[~often]))
+    starts = np.searchsorted(rows.terms[~often][order], np.arange(frequent, len(terms) + 1))
+    lengths = np.sqrt(np.bincount(owner, (rows.weights * telling[rows.terms]) ** 2, count))
+    return Model(terms, weight, telling, frequent, blocks, maxima, starts, owner[~often][order].astype("i4"), rows.weights[~often][order], lengths, labels, ids, 0.0, 0.0)
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", name: str = "toxicity") -> DataFrame:
