@@ -27,7 +27,7 @@ def test_stages_over_the_small_tables(spark, sf_dir):
 
 def test_registered():
     names = entry.queries()
-    assert "pipeline" in names and all(any(n.startswith(f"op{i}_") for n in names) for i in range(1, 11))
+    assert "pipeline" in names and all(any(n.startswith(f"op{i}_") for n in names) for i in range(1, 14))
 
 
 def test_near_copies_go(spark, sf_dir):
