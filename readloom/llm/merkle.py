@@ -301,3 +301,34 @@ def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     again = folded(F.coalesce(F.lower(F.hex("changed")), F.col("leaf")), F.struct("index", "width", "group_index", "groups", "proof"))
     done = done.select("doc_id", "leaf", "subroot", "root", F.sha2("proof", 256).alias("proof_sha256"), again.alias("folded_root"))
     return done.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+FIELD_SQL = "CASE WHEN {0} IS NULL THEN '-' ELSE strlen(CAST({0} AS VARCHAR)) || ':' || CAST({0} AS VARCHAR) END"
+LEAF_SQL = "sha256(" + " || ".join(FIELD_SQL.format(c) for c in FIELDS) + ")"
+BYTES_SQL = "list_transform(range(1, length(CAST(doc_id AS VARCHAR)) + 1), lambda i: CAST(ascii(substring(CAST(doc_id AS VARCHAR), i, 1)) AS BIGINT))"
+#: The checksum a bit at a time; 3988292384 is its polynomial.
+BITS_SQL = "list_reduce(list_concat([xor(c, b)], [0, 0, 0, 0, 0, 0, 0, 0]), lambda x, y: xor(x >> 1, CASE WHEN x & 1 = 1 THEN 3988292384 ELSE 0 END))"
+CRC32_SQL = f"xor(4294967295, list_reduce(list_concat([4294967295], {BYTES_SQL}), lambda c, b: {BITS_SQL}))"
+STEP_SQL = "sha256(CASE WHEN s.h IS NULL THEN f.h WHEN f.idx % 2 = 0 THEN f.h || s.h ELSE s.h || f.h END), f.proof || coalesce(s.h, '')"
+OP13_SQL = f"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, lang, {LEAF_SQL} AS leaf, CASE WHEN {CRC32_SQL} % 7 = 0 AND n_chars IS NOT NULL THEN {LEAF_SQL.replace("n_chars", "(n_chars + 1)")} END AS changed FROM documents
+), r AS (
+  SELECT *, coalesce('=' || lang, '') AS g, row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS idx, count(*) OVER (PARTITION BY lang) AS n FROM d
+), lv(g, level, idx, h, n) AS (
+  SELECT g, 0, idx, leaf, n FROM r UNION ALL
+  SELECT g, level + 1, idx // 2, sha256(string_agg(h, '' ORDER BY idx)), (n + 1) // 2 FROM lv WHERE n > 1 GROUP BY g, level, idx // 2, n
+), sub AS (
+  SELECT g, h, row_number() OVER (ORDER BY g) - 1 AS idx, count(*) OVER () AS n FROM lv WHERE n = 1
+), up(level, idx, h, n) AS (
+  SELECT 0, idx, h, n FROM sub UNION ALL SELECT level + 1, idx // 2, sha256(string_agg(h, '' ORDER BY idx)), (n + 1) // 2 FROM up WHERE n > 1 GROUP BY level, idx // 2, n
+), f1(doc_id, g, level, idx, n, h, proof) AS (
+  SELECT doc_id, g, 0, idx, n, coalesce(changed, leaf), '' FROM r UNION ALL
+  SELECT f.doc_id, f.g, f.level + 1, f.idx // 2, (f.n + 1) // 2, {STEP_SQL} FROM f1 f LEFT JOIN lv s ON s.g = f.g AND s.level = f.level AND s.idx = xor(f.idx, 1) WHERE f.n > 1
+), f2(doc_id, g, level, idx, n, h, proof) AS (
+  SELECT f.doc_id, f.g, 0, sub.idx, sub.n, f.h, f.proof FROM f1 f JOIN sub ON f.g = sub.g WHERE f.n = 1 UNION ALL
+  SELECT f.doc_id, f.g, f.level + 1, f.idx // 2, (f.n + 1) // 2, {STEP_SQL} FROM f2 f LEFT JOIN up s ON s.level = f.level AND s.idx = xor(f.idx, 1) WHERE f.n > 1
+)
+SELECT r.doc_id, r.leaf, sub.h AS subroot, up.h AS root, sha256(f2.proof) AS proof_sha256, f2.h AS folded_root, f2.h = up.h AS verified
+FROM r JOIN sub USING (g) JOIN f2 ON f2.doc_id = r.doc_id AND f2.n = 1 JOIN up ON up.n = 1
+"""

@@ -11,7 +11,7 @@ from readloom.llm.cross_tokens import op11_cross_tokens
 from readloom.llm.html_text import op1_html_extraction
 from readloom.llm.line_dedup import OP10_SQL, op10_line_dedup
 from readloom.llm.media import op4_media_columns
-from readloom.llm.merkle import op13_merkle_manifest
+from readloom.llm.merkle import OP13_SQL, op13_merkle_manifest
 from readloom.llm.mixing import OP12_SQL, op12_source_mix
 from readloom.llm.packing import op8_best_fit_packing
 from readloom.llm.simhash import op5_simhash
@@ -40,4 +40,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_top_k": OP2_SQL, "op10_line_dedup": OP10_SQL, "op12_source_mix": OP12_SQL}
+    return {"op2_top_k": OP2_SQL, "op10_line_dedup": OP10_SQL, "op12_source_mix": OP12_SQL, "op13_merkle_manifest": OP13_SQL}

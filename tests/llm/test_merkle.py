@@ -2,12 +2,17 @@
 
 import hashlib
 import random
+import sys
 from collections import defaultdict
+from pathlib import Path
 from zlib import crc32
 
 import pytest
 from pyspark.sql import functions as F
 
+sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
+from compare import same
+
 from readloom.llm import common, merkle
 
 FIELDS = "doc_id long, source string, lang string, n_chars long, text string"
@@ -94,6 +99,10 @@ def test_query(spark, sf_dir):
     assert all((r["folded_root"] == r["root"]) == r["verified"] and len(r["folded_root"]) == 64 for r in out)
 
 
+def test_query_against_sql(spark, duck, sf_dir):
+    same(merkle.op13_merkle_manifest(spark, sf_dir).toPandas(), duck.execute(merkle.OP13_SQL).df())
+
+
 def test_empty_tables_and_clashes(spark):
     docs = spark.createDataFrame([], FIELDS).withColumn("leaf", merkle.leaf_of([F.col(c) for c in merkle.FIELDS]))
     assert merkle.manifest(docs, "leaf").count() == 0
