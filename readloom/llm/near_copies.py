@@ -7,13 +7,14 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
 from readloom.llm import common
 from readloom.llm.line_dedup import LAST
 from readloom.llm.simhash import links, majority, shingle_hashes
+from readloom.runtime import forget
 
 #: Texts that share j of their shingles meet in a band with probability 1 - (1 - j ** ROWS) ** BANDS: 0.998 for 0.8.
 BANDS, ROWS = 20, 6
@@ -21,6 +22,8 @@ BANDS, ROWS = 20, 6
 SURE, WORTH = 0.8, 0.6
 #: Texts of one band that one task holds against each other.
 GROUP = 1 << 12
+#: Documents whose numbers are broadcast, to read their texts without a shuffle of all texts.
+BROADCAST_IDS = 1_000_000
 #: Shingles that are permuted at once.
 BLOCK = 1 << 12
 DRAWN = np.random.default_rng(42).integers(0, 1 << 63, (3, BANDS * ROWS), "u8")
@@ -43,7 +46,7 @@ def text_mark(text: str) -> bytes:
 
 
 def signed(docs: DataFrame, words_each: int) -> DataFrame:
-    """(id, mark, fp, bands, sketch, text) of rows (id, text); texts of the same words have the same mark."""
+    """(id, mark, fp, bands, sketch) of rows (id, text); texts of the same words have the same mark."""
     common.bounded_batches(docs.sparkSession)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -60,9 +63,17 @@ def signed(docs: DataFrame, words_each: int) -> DataFrame:
             offsets = pa.array(np.arange(len(marks) + 1, dtype="i4") * BANDS)
             keys = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([np.zeros(0, "i8"), *bands])))
             fps = pa.array(np.concatenate([np.zeros(0, "u8"), *prints]).view("i8"))
-            yield pa.record_batch([batch.column(0), pa.array(marks, pa.binary()), fps, keys, pa.array(sketches, pa.binary()), batch.column(1)], names=["id", "mark", "fp", "bands", "sketch", "text"])
+            yield pa.record_batch([batch.column(0), pa.array(marks, pa.binary()), fps, keys, pa.array(sketches, pa.binary())], names=["id", "mark", "fp", "bands", "sketch"])
 
-    return docs.mapInArrow(sign, "id bigint, mark binary, fp bigint, bands array<bigint>, sketch binary, text string")
+    return docs.mapInArrow(sign, "id bigint, mark binary, fp bigint, bands array<bigint>, sketch binary")
+
+
+def marked(text: Column) -> Column:
+    @arrow_udf("binary")
+    def mark(values: pa.Array) -> pa.Array:
+        return pa.array([text_mark(v.as_py()) for v in values], pa.binary())
+
+    return mark(text)
 
 
 def leaders(sketches: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -151,7 +162,8 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", words_eac
     one stays.
     """
     at = F.coalesce(F.col(key).cast("long"), F.lit(LAST))
-    every = common.durable(signed(docs.select(at.alias("id"), common.text_of(text).alias("text")), words_each))
+    own = docs.select(at.alias("id"), common.text_of(text).alias("text"))
+    every = common.durable(signed(own, words_each))
     nodes = common.durable(every.groupBy("mark").agg(F.min("id").alias("first"), F.first("fp").alias("fp"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")))
     near = candidates(nodes.select(F.explode("bands").alias("band"), "first", "mark", "sketch"))
     heads = nodes.groupBy("fp").agg(F.min(F.struct("first", "mark")).alias("head")).select("fp", F.col("head.mark").alias("head"))
@@ -162,8 +174,11 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", words_eac
     wide = by_fp.join(left, "a").join(right, "b").select(F.col("one").alias("a"), F.col("other").alias("b"))
     pairs = common.durable(near.union(same).union(wide).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
 
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("mark")).distinct().join(nodes.select("mark", F.col("first").alias("id")), "mark")
-    texts = common.durable(every.select("mark", "id", "text").join(needed, ["mark", "id"], "left_semi").groupBy("mark").agg(F.first("text").alias("text")))
+    needed = common.durable(pairs.select(F.explode(F.array("a", "b")).alias("mark")).distinct().join(nodes.select("mark", F.col("first").alias("id")), "mark"))
+    wanted = needed.select("id").distinct()
+    wanted = F.broadcast(wanted) if needed.count() <= BROADCAST_IDS else wanted
+    found = own.join(wanted, "id", "left_semi").withColumn("mark", marked(F.col("text")))  # the texts are read again, not kept
+    texts = common.durable(found.join(needed, ["mark", "id"], "left_semi").groupBy("mark").agg(F.first("text").alias("text")))
 
     @arrow_udf("boolean")
     def alike(ones: pa.Array, others: pa.Array) -> pa.Array:
@@ -175,16 +190,16 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", words_eac
         return pa.array(out, pa.bool_())
 
     sides = pairs.join(texts.select(F.col("mark").alias("a"), F.col("text").alias("one")), "a").join(texts.select(F.col("mark").alias("b"), F.col("text").alias("other")), "b")
-    label = common.components(common.durable(sides.where(alike("one", "other")).select("a", "b")))
+    linked = common.durable(sides.where(alike("one", "other")).select("a", "b"))
+    for done in (texts, pairs, needed):
+        forget(done)
+    label = common.components(linked)
+    forget(linked)
     named = nodes.select("mark", "first").join(label, nodes.mark == label.node, "left").select("first", "mark", F.coalesce("label", "mark").alias("label"))
     keep = common.durable(named.groupBy("label").agg(F.min(F.struct("first", "mark")).alias("one")).select("one.first", F.col("one.mark").alias("kept_mark")))
     if every.groupBy("id").count().where("count > 1").isEmpty():
         return docs.join(keep, at == keep["first"], "left_semi")
 
-    @arrow_udf("binary")
-    def marked(values: pa.Array) -> pa.Array:
-        return pa.array([text_mark(v.as_py()) for v in values], pa.binary())
-
     mark = common.fresh(docs, "_mark")[0]
-    own = docs.withColumn(mark, marked(common.text_of(text)))
-    return own.join(keep, (at == keep["first"]) & (F.col(mark) == keep.kept_mark), "left_semi").dropDuplicates([key, mark]).drop(mark)
+    told = docs.withColumn(mark, marked(common.text_of(text)))
+    return told.join(keep, (at == keep["first"]) & (F.col(mark) == keep.kept_mark), "left_semi").dropDuplicates([key, mark]).drop(mark)
