@@ -11,9 +11,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from readloom.llm import common
+from readloom.runtime import forget
 
-#: Candidates in a bucket, and in a range of buckets that one task searches.
-BUCKET, RANGE = 4096, 1 << 16
+#: Candidates in a bucket, and in a range of buckets that one task searches; and bytes of such a range.
+BUCKET, RANGE, RANGE_BYTES = 4096, 1 << 16, 32 << 20
 #: Queries of alike thresholds that are searched together.
 TOGETHER = 64
 #: From this local cosine threshold on coordinates prune more than lengths do; so many coordinates are looked at.
@@ -164,9 +165,11 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, key: str = "vec_i
     common.bounded_batches(vectors.sparkSession)
     context, conf = vectors.sparkSession.sparkContext, vectors.sparkSession.conf
     base = common.durable(integers(vectors, key, vector, scale))
-    parts = max(int(conf.get("spark.sql.shuffle.partitions")), -(-base.count() // RANGE))
+    size = base.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(F.col("width").cast("long")), F.lit(0)).alias("components")).first()
+    parts = max(int(conf.get("spark.sql.shuffle.partitions")), -(-size["rows"] // RANGE), -(-8 * size["components"] // RANGE_BYTES))
     order = ("width", F.col("squares").desc(), "id")
     dealt = common.durable(base.repartitionByRange(parts, *order).withColumn("range", F.spark_partition_id()))
+    forget(base)
     ranges = dealt.groupBy("width", "range").agg(F.max("squares").alias("longest"), F.count(F.lit(1)).alias("n")).orderBy("width", F.desc("longest"), "range").toArrow().to_pylist()  # one row for RANGE candidates
     spots: dict[int, tuple[np.ndarray, np.ndarray]] = {}
     for width in {r["width"] for r in ranges}:
