@@ -27,7 +27,7 @@ SAID_OVER = 4
 MIN_WORDS = 40
 WORD = re.compile(r"\S+")
 #: Words, up to LONGEST letters, whose choice a Python worker remembers; beyond that it forgets all and begins anew.
-REMEMBERED, LONGEST = 1_000_000, 256
+REMEMBERED, LONGEST = 200_000, 256
 
 
 class Chosen(dict):
