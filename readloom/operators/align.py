@@ -3,28 +3,39 @@
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Iterator, Mapping
 from dataclasses import dataclass
+from functools import lru_cache
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import StructType
+from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 from readloom.functions import bases, headers
 
 DNA, PROTEIN = "ACGTN", "ACDEFGHIKLMNPQRSTVWY*BJZX"
-MAPPING = "struct<score:bigint,ref_start:int,cigar:string>"
+PLACED = "struct<at:int,strand:string,score:bigint,ref_start:int,cigar:string>"
 #: References up to this many letters in all are broadcast to the queries; more are joined by shuffled pairs.
 BROADCAST_LETTERS = 8 << 20
 #: Letters of queries in a block of the grid that larger references are aligned in, and pairs that a task aligns at a time.
 LINE_LETTERS, CELL_PAIRS = 1 << 16, 1 << 14
+#: Such blocks hold up to this many letters once there are four for each core.
+LARGEST_LINE = 1 << 20
+#: References that a row of queries and references stands for, where all pairs are asked for.
+BLOCK = 16
 FITTING = 254
 #: Cells of one table that pairs are swept in together (a longer pair stands alone).
 CELLS = 1 << 21
+#: Cells of one row that queries of a shared reference are swept in together, and queries that make that worth it.
+ROW_CELLS, SHARED = 1 << 17, 8
+#: References from this many letters on are searched by seeds; queries with more hits than this are swept.
+LONG, HITS = 1 << 14, 1 << 18
 #: Scores past this are errors, as is usual; tables have 32-bit cells where no cell can come near it.
 CAPACITY = (1 << 31) - 1
 #: The way to an alignment: one sweep over whole tables; three sweeps of which only a band is kept; its score alone.
@@ -32,6 +43,8 @@ METHODS = ("1pass", "3pass", "scores")
 #: A band begins so wide on either side of the straight way, and doubles until it holds a best alignment.
 BAND = 16
 Found = tuple[int, int, str]
+#: Runs of one operation.
+RUNS = re.compile(r"((.)\2*)")
 #: What proteins are scored by where nothing is said.
 DEFAULT_MATRIX = "blosum62"
 
@@ -92,10 +105,15 @@ def matrix_text(name: str, folder: str | None = None) -> str:
 
 
 def encoded(s: str, alphabet: str) -> np.ndarray:
-    table = np.full(256, len(alphabet) - 1, "i8")
+    return letter_numbers(alphabet)[np.frombuffer(s.encode("latin-1", "replace"), "u1")]
+
+
+@lru_cache(8)
+def letter_numbers(alphabet: str) -> np.ndarray:
+    table = np.full(256, len(alphabet) - 1, "i4")
     for i, c in enumerate(alphabet):
         table[ord(c)] = table[ord(c.lower())] = i
-    return table[np.frombuffer(s.encode("latin-1", "replace"), "u1")].astype("i4")
+    return table
 
 
 def local_alignment(query: str, reference: str, scoring: Scoring, method: str = "1pass") -> Found | None:
@@ -114,20 +132,30 @@ def local_alignments(queries: list[str], references: list[str], scoring: Scoring
     """
     out: list[Found | None] = [None] * len(queries)
     if method == "1pass":
-        for group in grouped(queries, references, lambda n, m: (n + 1) * (m + 1)):
+        alike, rest = shared(queries, references)
+        for reference, own in alike:
+            for i, found in zip(own, traced_alike([queries[i] for i in own], reference, scoring)):
+                out[i] = found
+        for group in ([rest[i] for i in g] for g in grouped([queries[i] for i in rest], [references[i] for i in rest], lambda n, m: (n + 1) * (m + 1))):
             for i, found in zip(group, swept([queries[i] for i in group], [references[i] for i in group], scoring)):
                 out[i] = found
         return out
     if method != "3pass":
         raise ValueError(f"no method {method}")
     ends = best_cells(queries, references, scoring)
-    back = [(queries[i][:n][::-1], references[i][:m][::-1]) if score > 0 else ("", "") for i, (score, n, m) in enumerate(ends)]
+    lossless = [score > 0 and bounds(encoded(queries[i][:n], scoring.alphabet), scoring).loss(score) == 0 for i, (score, n, m) in enumerate(ends)]
+    far = [0 if score <= 0 or done else m - reach(queries[i][:n], score, m, scoring) for i, ((score, n, m), done) in enumerate(zip(ends, lossless))]
+    back = [(queries[i][:n][::-1], references[i][far[i] : m][::-1]) if score > 0 and not lossless[i] else ("", "") for i, (score, n, m) in enumerate(ends)]
     starts = best_cells([q for q, _ in back], [r for _, r in back], scoring, anchored=True)
     for i, ((score, n, m), (again, left, up)) in enumerate(zip(ends, starts)):
         if score > 0:
-            if again != score:
+            if lossless[i]:
+                left = up = n
+                core = f"{n}M"
+            elif again != score:
                 raise AssertionError("an alignment scores differently backwards")
-            core = banded(queries[i][n - left : n], references[i][m - up : m], score, scoring)
+            else:
+                core = banded(queries[i][n - left : n], references[i][m - up : m], score, scoring)
             clips = (n - left, len(queries[i]) - n)
             out[i] = score, m - up, "".join([f"{clips[0]}S" if clips[0] else "", core, f"{clips[1]}S" if clips[1] else ""])
     return out
@@ -135,7 +163,115 @@ def local_alignments(queries: list[str], references: list[str], scoring: Scoring
 
 def local_scores(queries: list[str], references: list[str], scoring: Scoring) -> list[int]:
     """The best local score of each query with its reference, 0 if nothing matches."""
-    return [score for score, _, _ in best_cells(queries, references, scoring)]
+    out = [0] * len(queries)
+    alike, rest = shared(queries, references)
+    for reference, own in alike:
+        for i, score in zip(own, scores_alike([queries[i] for i in own], reference, scoring)):
+            out[i] = score
+    for i, (score, _, _) in zip(rest, best_cells([queries[i] for i in rest], [references[i] for i in rest], scoring)):
+        out[i] = score
+    return out
+
+
+def shared(queries: list[str], references: list[str]) -> tuple[list[tuple[str, list[int]]], list[int]]:
+    """Pairs with letters on both sides: those of each reference that at least SHARED queries meet, and the numbers of the others."""
+    found: dict[str, list[int]] = {}
+    for i, (q, r) in enumerate(zip(queries, references)):
+        if q and r:
+            found.setdefault(r, []).append(i)
+    alike = [(r, own) for r, own in found.items() if len(own) >= SHARED and len(r) < LONG]
+    taken = {r for r, _ in alike}
+    return alike, [i for r, own in found.items() if r not in taken for i in own]
+
+
+def rows_alike(queries: list[str], reference: str, scoring: Scoring, keep: bool) -> Iterator[tuple[list[int], np.ndarray, tuple]]:
+    """(numbers of queries, best score after each of their letters, whole tables if ``keep``) of lots of queries of like lengths.
+
+    Queries lie side by side along the last axis, so that a step over the reference is one over whole rows; what a query
+    letter weighs against each letter of the alphabet is looked up once and copied to where the reference has it.
+    """
+    order = sorted(range(len(queries)), key=lambda i: len(queries[i]))
+    r, first, more = encoded(reference, scoring.alphabet), scoring.gap_open, scoring.gap_extend
+    m = len(r)
+    at = 0
+    while at < len(order):
+        count = max(1, ROW_CELLS // (m + 1))
+        if keep:
+            while count > 1 and count * (m + 1) * (len(queries[order[min(at + count, len(order)) - 1]]) + 1) > CELLS:
+                count //= 2
+        lot = order[at : at + count]
+        at += len(lot)
+        q = padded([queries[i] for i in lot], scoring.alphabet).T
+        n, count = q.shape
+        kind, low = cell_type(n, m, scoring)
+        if (n + m + 2) * max(first, *(abs(w) for row in scoring.weights for w in row)) < 1 << 14:
+            kind, low = "i2", -(1 << 14)
+        weighed = np.ascontiguousarray(np.take(weights_of(scoring, kind, low)[:-1].T, q, axis=0).transpose(0, 2, 1))
+        lines = n + 1 if keep else 2
+        best, down, right = (np.zeros((lines, m + 1, count), kind) for _ in range(3))
+        down[0], right[:, 0], right[0] = low, low, low
+        peaks, spare = np.empty((n, count), kind), np.empty((m + 1, count), kind)
+        for i in range(n):
+            a, b = (i, i + 1) if keep else (i % 2, 1 - i % 2)
+            np.subtract(best[a], first, out=spare)
+            np.subtract(down[a], more, out=down[b])
+            np.maximum(down[b], spare, out=down[b])
+            line = best[b]
+            np.take(weighed[i], r, axis=0, out=spare[1:], mode="clip")
+            np.add(spare[1:], best[a, :-1], out=spare[1:])
+            np.maximum(down[b], 0, out=line)
+            np.maximum(line[1:], spare[1:], out=line[1:])
+            line.max(axis=0, out=peaks[i])
+            most, gap, step = int(peaks[i].max()), right[b], 1
+            np.subtract(line[:-1], first, out=gap[1:])
+            while step < m and most - first - more * step > 0:  # what a longer gap leaves is no score
+                np.subtract(gap[:-step], more * step, out=spare[step:])
+                np.maximum(gap[step:], spare[step:], out=gap[step:])
+                step *= 2
+            np.maximum(line, gap, out=line)
+        yield lot, peaks, (best, down, right)
+
+
+def scores_alike(queries: list[str], reference: str, scoring: Scoring) -> list[int]:
+    """The best local score of each query with one reference."""
+    out = [0] * len(queries)
+    for lot, peaks, _ in rows_alike(queries, reference, scoring, False):
+        for i, score in zip(lot, peaks.max(axis=0).tolist()):
+            out[i] = capable(score)
+    return out
+
+
+def traced_alike(queries: list[str], reference: str, scoring: Scoring) -> list[Found | None]:
+    """What ``traced`` finds for each query with one reference; all ways of a lot are walked side by side."""
+    out: list[Found | None] = [None] * len(queries)
+    first, more = scoring.gap_open, scoring.gap_extend
+    for lot, peaks, (best, down, right) in rows_alike(queries, reference, scoring, True):
+        score, i = peaks.max(axis=0), peaks.argmax(axis=0) + 1
+        j = best[i, :, np.arange(len(lot))].argmax(axis=1)
+        ends, steps = i.copy(), []
+        k, gap = np.flatnonzero(score > 0), np.zeros(len(lot), "u1")
+        while len(k):
+            y, x, way = i[k], j[k], gap[k]
+            here, across, along = best[y, x, k], right[y, x, k], down[y, x, k]
+            way = np.where(way > 0, way, np.where(here == across, 2, np.where(here == along, 1, 0)))
+            ops = np.zeros(len(lot), "u1")
+            ops[k] = np.where(way == 0, ord("M"), np.where(way == 1, ord("I"), ord("D")))
+            steps.append(ops)
+            by, bx = np.maximum(y - (way < 2), 0), np.maximum(x - (way != 1), 0)
+            before = best[by, bx, k]
+            on_d = (way == 2) & (across == right[y, bx, k] - more) & (across != before - first)
+            on_i = (way == 1) & (along == down[by, x, k] - more) & (along != before - first)
+            gap[k] = np.where(on_d, 2, np.where(on_i, 1, 0))
+            i[k], j[k] = by, bx
+            k = k[(gap[k] > 0) | (before > 0)]
+        shown = np.stack(steps[::-1], axis=1) if steps else np.zeros((len(lot), 0), "u1")
+        for at, (number, top) in enumerate(zip(lot, score.tolist())):
+            if capable(top) > 0:
+                way = shown[at].tobytes().lstrip(b"\0").decode("latin-1")
+                clips = int(i[at]), len(queries[number]) - int(ends[at])
+                core = "".join(f"{len(run[0])}{run[1]}" for run in RUNS.findall(way))
+                out[number] = top, int(j[at]), "".join([f"{clips[0]}S" if clips[0] else "", core, f"{clips[1]}S" if clips[1] else ""])
+    return out
 
 
 def grouped(queries: list[str], references: list[str], cells_of) -> list[list[int]]:
@@ -175,6 +311,15 @@ def best_cells(queries: list[str], references: list[str], scoring: Scoring, anch
     """(score, query letters, reference letters) up to the first best cell, of alignments from anywhere, or from both starts if ``anchored``."""
     out = [(0, 0, 0)] * len(queries)
     first, more = scoring.gap_open, scoring.gap_extend
+    if not anchored:
+        for i, (q, r) in enumerate(zip(queries, references)):
+            if r and len(r) >= LONG and q and (found := seeded(q, r, scoring)):
+                out[i] = found
+        left_out = [i for i, found in enumerate(out) if not found[0]]
+        if len(left_out) < len(out):
+            for i, found in zip(left_out, best_cells([queries[i] for i in left_out], ["" if not references[i] else references[i] for i in left_out], scoring) if left_out else []):
+                out[i] = found
+            return out
     for group in grouped(queries, references, lambda n, m: m + 1):
         q, r = (padded([side[i] for i in group], scoring.alphabet) for side in (queries, references))
         count, n, m = len(q), q.shape[1], r.shape[1]
@@ -198,6 +343,104 @@ def best_cells(queries: list[str], references: list[str], scoring: Scoring, anch
     return out
 
 
+class Bounds(NamedTuple):
+    """What a query's letters can score at most, the least that a wrong letter costs it, and the least that a letter gives."""
+
+    most: int
+    wrong: int
+    least: int
+    sure: bool
+
+    def loss(self, score: int) -> int:
+        """What an alignment of this score is short of the most; -1 if equal letters aren't each letter's only best ones."""
+        return self.most - score if self.sure else -1
+
+
+def bounds(query: np.ndarray, scoring: Scoring) -> Bounds:
+    weights = np.array(scoring.weights, "i8")
+    own = weights.diagonal()
+    others = np.where(np.eye(len(weights), dtype=bool), -(1 << 30), weights).max(axis=1)
+    wrong, least = int((own - others)[query].min()), int(own[query].min())
+    return Bounds(int(own[query].sum()), wrong, least, wrong > 0 and least > 0 and scoring.gap_open > 0)
+
+
+def gap_letters(loss: int, scoring: Scoring) -> int | None:
+    """How many reference letters the gaps of an alignment can skip that loses so much; None if any number."""
+    if loss < scoring.gap_open:
+        return 0
+    return (loss - scoring.gap_open) // scoring.gap_extend + 1 if scoring.gap_extend else None
+
+
+def reach(query: str, score: int, m: int, scoring: Scoring) -> int:
+    """Reference letters before an alignment's end, of m, that it can cover."""
+    weights = np.array(scoring.weights, "i8")
+    skipped = gap_letters(int(weights.max(axis=1)[encoded(query, scoring.alphabet)].clip(0).sum()) - score, scoring)
+    return m if skipped is None else min(m, len(query) + skipped)
+
+
+@lru_cache(2)
+def words_of(reference: str, alphabet: str) -> tuple[int, np.ndarray, np.ndarray]:
+    """(letters of a word, all words of the reference as numbers in order, their places)."""
+    size = min(12, int(31 * np.log(2) / np.log(len(alphabet))))
+    codes = numbered(encoded(reference, alphabet), size, len(alphabet))
+    order = codes.argsort(kind="stable").astype("u4")
+    return size, codes[order], order
+
+
+def numbered(letters: np.ndarray, size: int, base: int) -> np.ndarray:
+    out = np.zeros(len(letters) - size + 1, "u4")
+    for t in range(size):
+        out = out * np.uint32(base) + letters[t : t + len(out)].astype("u4")
+    return out
+
+
+def seeded(query: str, reference: str, scoring: Scoring) -> tuple[int, int, int] | None:
+    """What ``best_cells`` gives for a long reference, from the places where words of the query stand; None where that isn't proven.
+
+    An alignment short of the query's most by some loss keeps all words of the query but those that a wrong letter, gap
+    or clipped letter falls in, so few that the loss pays for: a wrong letter or gap spoils at most one word a letter of
+    a word. One score found anywhere bounds the loss of the best. The words kept lie on diagonals that
+    differ by the letters in gaps at most, so all stretches of the reference are swept that hold enough words so near.
+    """
+    q = encoded(query, scoring.alphabet)
+    size, codes, places = words_of(reference, scoring.alphabet)
+    known, words = bounds(q, scoring), len(q) - size + 1
+    if words < 1 or not known.sure:
+        return None
+    own = numbered(q, size, len(scoring.alphabet))
+    low, high = np.searchsorted(codes, own, "left"), np.searchsorted(codes, own, "right")
+    counts = high - low
+    total = int(counts.sum())
+    if not 0 < total <= HITS:
+        return None
+    hits = np.arange(total) + np.repeat(low - np.cumsum(counts) + counts, counts)
+    diagonals = np.sort(places[hits].astype("i8") - np.repeat(np.arange(words), counts))
+    starts = np.flatnonzero(np.concatenate([[True], diagonals[1:] != diagonals[:-1]]))
+    sizes = np.diff(np.append(starts, total))
+    top = int(sizes.argmax())
+    if sizes[top] == words:  # all of the query; of several places the first
+        return capable(known.most), len(q), int(diagonals[starts[top]]) + len(q)
+    near = int(diagonals[starts[top]])
+    score = best_cells([query], [reference[max(0, near - 2 * BAND) : near + len(q) + 2 * BAND]], scoring)[0][0]
+    loss = known.loss(score)
+    skipped = gap_letters(loss, scoring)
+    needed = words - max(size * loss // min(known.wrong, scoring.gap_open), loss // known.least)
+    if skipped is None or needed < 1:
+        return None
+    last = np.arange(needed - 1, total)
+    dense = last[diagonals[last] - diagonals[last - needed + 1] <= skipped]
+    spans: list[list[int]] = []
+    for a, b in zip((diagonals[dense - needed + 1] - skipped).tolist(), (diagonals[dense] + skipped + len(q)).tolist()):
+        if spans and a <= spans[-1][1]:
+            spans[-1][1] = b
+        else:
+            spans.append([max(0, a), b])
+    if not spans or any(b - a >= LONG for a, b in spans):
+        return None
+    found = best_cells([query] * len(spans), [reference[a:b] for a, b in spans], scoring)
+    return min(((s, n, m + a) for (s, n, m), (a, _) in zip(found, spans)), key=lambda x: (-x[0], x[1], x[2]))
+
+
 def banded(query: str, reference: str, score: int, scoring: Scoring) -> str:
     """The CIGAR of an alignment of both whole texts with this score, within the first band that holds one."""
     n, m, width = len(query), len(reference), BAND
@@ -254,9 +497,9 @@ def path(best: np.ndarray, down: np.ndarray, right: np.ndarray, i: int, k: int,
 
 
 def padded(texts: list[str], alphabet: str) -> np.ndarray:
-    out = np.full((len(texts), max(map(len, texts))), len(alphabet), "i4")
-    for row, text in zip(out, texts):
-        row[: len(text)] = encoded(text, alphabet)
+    sizes = np.array([len(t) for t in texts])
+    out = np.full((len(texts), sizes.max()), len(alphabet), "i4")
+    out[np.arange(out.shape[1]) < sizes[:, None]] = encoded("".join(texts), alphabet)
     return out
 
 
@@ -325,15 +568,30 @@ def aligned_pairs(queries: list[str], references: list[str], scoring: Scoring, m
     return local_alignments(queries, references, scoring, method)
 
 
-def mapping(query: Column, reference: Column, scoring: Scoring, method: str = "1pass") -> Column:
-    kind = pa.struct([("score", pa.int64()), ("ref_start", pa.int32()), ("cigar", pa.string())])
+def placed(sequences: list[str], refs: list[str], scoring: Scoring, method: str, rev_comp: bool) -> list[tuple]:
+    """(strand, score, ref_start, cigar) of each pair; of two strands the better one, whose way alone is looked for."""
+    if not rev_comp:
+        return [("+", *(x or (None, None, None))) for x in aligned_pairs(sequences, refs, scoring, method)]
+    turned = {s: s and bases.complemented(s) for s in set(sequences)}
+    forward, backward = (local_scores(side, refs, scoring) for side in (sequences, [turned[s] for s in sequences]))
+    wins = [b > f for f, b in zip(forward, backward)]
+    if method == "scores":
+        return [("-" if w else "+", max(f, b) or None, None, None) for w, f, b in zip(wins, forward, backward)]
+    found = aligned_pairs([turned[s] if w else s for s, w in zip(sequences, wins)], refs, scoring, method)
+    return [("-" if w else "+", *(x or (None, None, None))) for w, x in zip(wins, found)]
 
-    @arrow_udf(MAPPING)
-    def aligned(queries: pa.Array, references: pa.Array) -> pa.Array:
-        rows = aligned_pairs(queries.to_pylist(), references.to_pylist(), scoring, method)
-        return pa.array([None if x is None else dict(zip(("score", "ref_start", "cigar"), x)) for x in rows], kind)
 
-    return aligned(query, reference)
+def best_placed(sequences: list[str], refs: list[str], ranks: list, scoring: Scoring, method: str, rev_comp: bool) -> list[tuple]:
+    """(number of the reference, strand, score, ref_start, cigar) of each query's best reference, the one of highest rank of equals; only
+    that one's way is looked for."""
+    order = sorted(range(len(refs)), key=lambda k: ranks[k])
+    tops, best = [-1] * len(sequences), [0] * len(sequences)
+    for k in order:
+        ways = placed(sequences, [refs[k]] * len(sequences), scoring, "scores", rev_comp)
+        for i, (_, score, _, _) in enumerate(ways):
+            if (score or 0) >= tops[i]:
+                tops[i], best[i] = score or 0, k
+    return [(k, *x) for k, x in zip(best, placed(sequences, [refs[k] for k in best], scoring, method, rev_comp))]
 
 
 def align(queries: DataFrame, references: DataFrame, scoring: Scoring, rev_comp: bool = False, best_match: bool = False, method: str = "1pass") -> DataFrame:
@@ -342,7 +600,7 @@ def align(queries: DataFrame, references: DataFrame, scoring: Scoring, rev_comp:
     Unmapped pairs have a null score. ``rev_comp`` also aligns the query's reverse complement, which wins if strictly
     better; ``best_match`` keeps a query's best reference, the last of equals. ``method`` is one of METHODS: "3pass" for
     long references, "scores" where starts and CIGARs are not needed and stay null. The references' letters are
-    counted: within BROADCAST_LETTERS they go to all tasks. Beyond that both sides are cut into blocks and each block of
+    counted: within BROADCAST_LETTERS they go to all tasks, and queries travel without them. Beyond that both sides are cut into blocks and each block of
     queries meets each block of references in one task, which keeps only the best of its references for ``best_match``.
     """
     if method not in METHODS:
@@ -352,18 +610,36 @@ def align(queries: DataFrame, references: DataFrame, scoring: Scoring, rev_comp:
     size = references.agg(F.sum(F.length("ref")).alias("n")).first()["n"] or 0
     if size > BROADCAST_LETTERS:
         return gridded(queries, references, scoring, rev_comp, best_match, method, -(-size // BROADCAST_LETTERS))
-    pairs = queries.crossJoin(F.broadcast(references))  # asked for: each query against each reference
-    forward = pairs.withColumn("f", mapping(F.col("sequence"), F.col("ref"), scoring, method))
-    if rev_comp:
-        forward = forward.withColumn("b", mapping(bases.reverse_complement(F.col("sequence")), F.col("ref"), scoring, method))
-        wins = F.coalesce(F.col("b.score"), F.lit(0)) > F.coalesce(F.col("f.score"), F.lit(0))
-        forward = forward.withColumns({"strand": F.when(wins, F.lit("-")).otherwise(F.lit("+")), "f": F.when(wins, F.col("b")).otherwise(F.col("f"))}).drop("b")
+    known = references.select("ref_ord", "name", "ref").orderBy("ref_ord", "name").collect()  # of BROADCAST_LETTERS at most
+    spark = queries.sparkSession
+    texts = spark.sparkContext.broadcast(([r["ref"] or "" for r in known], [r["ref_ord"] for r in known]))
+    kind = pa.struct([("at", pa.int32()), ("strand", pa.string()), ("score", pa.int64()), ("ref_start", pa.int32()), ("cigar", pa.string())])
+
+    @arrow_udf(PLACED)
+    def best(sequences: pa.Array) -> pa.Array:
+        rows = best_placed(sequences.to_pylist(), *texts.value, scoring, method, rev_comp)
+        return pa.StructArray.from_arrays([pa.array([x[k] for x in rows], f.type) for k, f in enumerate(kind)], fields=list(kind))
+
+    @arrow_udf(f"array<{PLACED}>")
+    def each(sequences: pa.Array, blocks: pa.Array) -> pa.Array:
+        refs, own = texts.value[0], sequences.to_pylist()
+        spans = [range(b * BLOCK, min(len(refs), (b + 1) * BLOCK)) for b in blocks.to_pylist()]
+        at = [k for span in spans for k in span]
+        rows = placed([s for s, span in zip(own, spans) for _ in span], [refs[k] for k in at], scoring, method, rev_comp)
+        columns = [pa.array(at, pa.int32()), *(pa.array([x[k] for x in rows], f.type) for k, f in enumerate(list(kind)[1:]))]
+        cuts = pa.array(np.cumsum([0, *map(len, spans)]), pa.int32())
+        return pa.ListArray.from_arrays(cuts, pa.StructArray.from_arrays(columns, fields=list(kind)))
+
+    own = ["ord", "header", "sequence", "quality"]
+    names = StructType([StructField("at", IntegerType()), references.schema["ref_ord"], StructField("name", StringType()), StructField("ref_length", IntegerType())])
+    named_refs = spark.createDataFrame([(k, r["ref_ord"], r["name"], None if r["ref"] is None else len(r["ref"])) for k, r in enumerate(known)], names)
+    if best_match:
+        found = queries.where(F.lit(bool(known))).select(*own, best("sequence").alias("x"))
     else:
-        forward = forward.withColumn("strand", F.lit("+"))
-    out = forward.select("ord", "header", "sequence", "quality", "ref_ord", "name", F.length("ref").alias("ref_length"), "strand", "f.score", "f.ref_start", "f.cigar")
-    if not best_match:
-        return out
-    return best_of(out)
+        blocks = spark.range(0, -(-len(known) // BLOCK), 1, 1).select(F.col("id").cast("int").alias("block"))
+        found = queries.crossJoin(F.broadcast(blocks)).select(*own, F.explode(each("sequence", "block")).alias("x"))  # asked for: each query against each reference
+    # (an inner join's filter of nulls would look for all of it a second time)
+    return found.select(*own, "x.*").join(F.broadcast(named_refs), "at", "left").select(*own, "ref_ord", "name", "ref_length", "strand", "score", "ref_start", "cigar")
 
 
 def gridded(queries: DataFrame, references: DataFrame, scoring: Scoring, rev_comp: bool, best_match: bool, method: str, columns: int) -> DataFrame:
@@ -377,6 +653,7 @@ def gridded(queries: DataFrame, references: DataFrame, scoring: Scoring, rev_com
     letters = queries.agg(F.sum(F.length("sequence") + 1).alias("n")).first()["n"] or 0
     lines = max(1, -(-letters // LINE_LETTERS))
     own = [f for f in queries.schema.fields if f.name in ("ord", "header", "sequence", "quality")]
+    lines = max(1, -(-letters // LARGEST_LINE), min(lines, 4 * queries.sparkSession.sparkContext.defaultParallelism))
     block = lambda keys, n: F.pmod(F.xxhash64(*keys), F.lit(n)).cast("long")
     q = queries.select(*(f.name for f in own), block(["ord", "header"], lines).alias("line"), F.explode(F.sequence(F.lit(0), F.lit(columns - 1)).cast("array<bigint>")).alias("column"))
     r = references.select("ref_ord", "name", "ref", block(["ref_ord", "name"], columns).alias("column"), F.explode(F.sequence(F.lit(0), F.lit(lines - 1)).cast("array<bigint>")).alias("line"))
@@ -387,32 +664,18 @@ def gridded(queries: DataFrame, references: DataFrame, scoring: Scoring, rev_com
         known = right.to_pylist()
         for batch in left.select([f.name for f in own]).to_batches(max_chunksize=max(1, CELL_PAIRS // max(1, len(known)))):
             rows = batch.to_pylist()
-            pairs = [(i, ref) for i in range(len(rows)) for ref in known]
-            found = placed([rows[i]["sequence"] for i, _ in pairs], [ref["ref"] for _, ref in pairs])
             if best_match:
-                best: dict[int, tuple] = {}
-                for (i, ref), x in zip(pairs, found):
-                    mark = (x[1] or 0, ref["ref_ord"])
-                    if i not in best or mark > best[i][0]:
-                        best[i] = (mark, ref, x)
-                pairs, found = [(i, b[1]) for i, b in best.items()], [b[2] for b in best.values()]
+                best = best_placed([row["sequence"] for row in rows], [ref["ref"] for ref in known], [ref["ref_ord"] for ref in known], scoring, method, rev_comp)
+                pairs, found = [(i, known[x[0]]) for i, x in enumerate(best)], [x[1:] for x in best]
+            else:
+                pairs = [(i, ref) for i in range(len(rows)) for ref in known]
+                found = placed([rows[i]["sequence"] for i, _ in pairs], [ref["ref"] for _, ref in pairs], scoring, method, rev_comp)
             names = ["ref_ord", "name", "ref_length", "strand", "score", "ref_start", "cigar"]
             values = [(ref["ref_ord"], ref["name"], len(ref["ref"]), *x) for (_, ref), x in zip(pairs, found)]
             kinds = [right.schema.field("ref_ord").type, pa.string(), pa.int32(), pa.string(), pa.int64(), pa.int32(), pa.string()]
             more = [pa.array([v[k] for v in values], t) for k, t in enumerate(kinds)]
             yield pa.record_batch([*batch.take(pa.array([i for i, _ in pairs], pa.int64())).columns, *more], names=[*batch.schema.names, *names])
 
-    def placed(sequences: list[str], refs: list[str]) -> list[tuple]:
-        """(strand, score, ref_start, cigar) of each pair."""
-        ways = [aligned_pairs(sequences, refs, scoring, method)]
-        if rev_comp:
-            ways.append(aligned_pairs([bases.complemented(s) for s in sequences], refs, scoring, method))
-        out = []
-        for way in zip(*ways):
-            back = len(way) > 1 and (way[1][0] if way[1] else 0) > (way[0][0] if way[0] else 0)
-            out.append(("-" if back else "+", *(way[back] or (None, None, None))))
-        return out
-
     def tables(left: pa.Table, right: pa.Table) -> pa.Table:
         batches = list(cell(left, right)) if right.num_rows else []
         return pa.Table.from_batches(batches) if batches else pa.table({name: pa.array([], kind) for name, kind in zip(arrow.names, arrow.types)})

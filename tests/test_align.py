@@ -136,3 +136,44 @@ def test_options():
         align.simple(alphabet="aa", match=1, ignore_n=True)
     scoring = align.named("# a comment\n   A  R\nA  4 -1\nR -1  5\n")
     assert align.local_alignment("ARA", "ARA", scoring)[0] == 13
+
+
+def test_long_references_are_not_swept_whole_for_what_stands_in_them():
+    """Pieces of two million letters, whole and with changes; a sweep of it takes seconds for each."""
+    import time
+
+    draw = random.Random(4)
+    reference = "".join(draw.choices("ACGT", k=2_000_000))
+    reference += reference[700_000:700_500]
+    queries, wanted = [], []
+    for k in range(40):
+        at = draw.randrange(len(reference) - 1000)
+        whole = reference[at : at + 96]
+        middle = {"A": "C", "C": "G", "G": "T", "T": "A"}[whole[48]]
+        queries += [whole, whole[:48] + middle + whole[49:]]
+        wanted += [(192, reference.index(whole), "96M"), (187, reference.index(whole), "96M")]
+    began = time.monotonic()
+    assert align.local_alignments(queries, [reference] * len(queries), align.simple(2, 3, gap_open=4, gap_extend=1), "3pass") == wanted
+    assert time.monotonic() - began < 60
+    assert align.local_alignments([reference[700_100:700_200]], [reference], align.simple(), "3pass") == [(200, 700_100, "100M")]  # the first of two
+
+
+@pytest.mark.parametrize("scoring", [align.simple(2, 3, gap_open=4, gap_extend=1), align.simple(3, 2, gap_open=3, gap_extend=3), align.simple(1, 1, gap_open=0, gap_extend=0), align.simple(2, 1, ignore_n=True, gap_open=2, gap_extend=0)])
+def test_seeds_give_what_a_sweep_gives(monkeypatch, scoring):
+    draw = random.Random(6)
+    letters = lambda n, of="ACGT": "".join(draw.choices(of, k=n))
+    reference = letters(6000)
+    reference += reference[500:700] + letters(50) + reference[5000:5060] + "N" + reference[5061:5100] + letters(300, "AC") + "A" * 100
+    queries = [reference[550:650], reference[5000:5100], letters(50), "ACGT", "A" * 40]
+    for _ in range(25):
+        at = draw.randrange(len(reference) - 120)
+        q = list(reference[at : at + 96])
+        for _ in range(draw.choice([0, 0, 1, 2, 3, 5])):
+            k = draw.randrange(len(q) - 3)
+            q[k : k + draw.choice([0, 1, 1, 3])] = letters(draw.choice([0, 1, 1, 2]), "ACGTN")
+        queries.append("".join(q))
+    found = {}
+    for long in (1 << 10, 1 << 30):
+        monkeypatch.setattr(align, "LONG", long)
+        found[long] = align.local_alignments(queries, [reference] * len(queries), scoring, "3pass"), align.best_cells(queries, [reference] * len(queries), scoring)
+    assert found[1 << 10] == found[1 << 30]
