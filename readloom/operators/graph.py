@@ -18,7 +18,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, label) of every node of an undirected edge table: label is the smallest node reachable.
 
     Tasks first contract the edges that they read, so that long paths inside of a partition cost no round. A round takes the smallest label among the neighbours and then jumps along labels, so the rounds follow the
-    logarithm of the longest path. Each is cut by a checkpoint; only whether anything changed reaches the driver.
+    logarithm of the longest path. Each is cut by a checkpoint; only whether anything changed reaches the driver. Joins are
+    merges: the size of what is read from a checkpoint is a guess, by which tables of all nodes would be broadcast.
     """
     ways = F.array(F.struct(F.col(a).alias("u"), F.col(b).alias("v")), F.struct(F.col(b).alias("u"), F.col(a).alias("v")))
     apart = edges.where(F.col(a) != F.col(b)).select(F.col(a).alias(a), F.col(b).alias(b))
@@ -26,10 +27,10 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     kept = durable(both.groupBy("u").agg(F.min("v").alias("least")).select(F.col("u").alias("node"), F.least("u", "least").alias("label")))
     labels = kept
     while True:
-        near = both.join(labels, both.v == labels.node).groupBy("u").agg(F.min("label").alias("near"))
-        step = labels.join(near, labels.node == near.u).select("node", "label", F.least("label", "near").alias("next"))
+        near = both.join(labels.hint("merge"), both.v == labels.node).groupBy("u").agg(F.min("label").alias("near"))
+        step = labels.join(near.hint("merge"), labels.node == near.u).select("node", "label", F.least("label", "near").alias("next"))
         heads = labels.select(F.col("node").alias("head"), F.col("label").alias("jump"))
-        step = step.join(heads, step.next == heads["head"], "left").select("node", "label", F.least("next", F.coalesce("jump", "next")).alias("next"))
+        step = step.join(heads.hint("merge"), step.next == heads["head"], "left").select("node", "label", F.least("next", F.coalesce("jump", "next")).alias("next"))
         step = durable(step)
         if step.where("next <> label").isEmpty():
             forget(step)

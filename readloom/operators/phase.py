@@ -23,10 +23,10 @@ def phases(tags: DataFrame, edges: DataFrame, height: float = HEIGHT) -> DataFra
         return tags.select("row", "position", "allele", F.lit(1).cast("long").alias("phase"))
     near = edges.where(F.col("dist") <= height)
     label = components(near, "row", "col")
-    placed = tags.join(label, tags.row == label.node, "left").select("row", "position", "allele", F.coalesce("label", "row").alias("root"))
+    placed = tags.join(label.hint("merge"), tags.row == label.node, "left").select("row", "position", "allele", F.coalesce("label", "row").alias("root"))
     sizes = placed.groupBy("root").agg(F.count(F.lit(1)).alias("size"), F.min("position").alias("first"), F.min("allele").alias("least"))
     order = runtime.ranked(sizes, F.col("size").desc(), F.col("first"), F.col("least"), F.col("root")).select("root", (F.col("rank") + 1).alias("phase"))
-    return placed.join(order, "root").select("row", "position", "allele", "phase")
+    return placed.join(order.hint("merge"), "root").select("row", "position", "allele", "phase")
 
 
 def with_phase(variants: DataFrame, found: DataFrame) -> DataFrame:

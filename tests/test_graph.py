@@ -45,3 +45,23 @@ def test_forgotten_copies_are_gone(spark):
     assert os.path.isdir(path) and df.count() == 100
     runtime.forget(df)
     assert not os.path.exists(path)
+
+
+def test_no_round_broadcasts_all_nodes(spark, monkeypatch):
+    """Checkpoints keep a guess of their size, by which tables of all nodes went through the driver."""
+    from readloom.operators import graph, phase
+
+    plans = []
+    durable = graph.durable
+
+    def watched(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return durable(df)
+
+    monkeypatch.setattr(graph, "durable", watched)
+    tags = spark.range(60).selectExpr("cast(id as int) as row", "id as position", "'A' as allele")
+    edges = spark.range(59).where("id % 20 <> 19").selectExpr("cast(id as int) as row", "cast(id + 1 as int) as col", "0.1D as dist")
+    found = phase.phases(tags, edges, 0.2)
+    plans.append(found._jdf.queryExecution().executedPlan().toString())
+    assert len(plans) >= 4 and not any("Broadcast" in p for p in plans)
+    assert sorted((r["row"], r["phase"]) for r in found.collect()) == [(i, 1 + i // 20) for i in range(60)]
