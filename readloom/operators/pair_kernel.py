@@ -9,6 +9,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 RUN = re.compile(r"(\d+)([MIDNSHP=X])")
 FRONT, BACK = re.compile(r"^(?:\d+[HS])*"), re.compile(r"[MIDNP=X]((?:\d+[HS])*)$")
@@ -174,8 +175,23 @@ def insertions(one: Mates, two: Mates, start: np.ndarray, end: np.ndarray) -> It
 
 
 def merge_batches(batches: Iterator[pa.RecordBatch], reference: bytes) -> Iterator[pa.RecordBatch]:
-    """Rows of OUT for batches of (mol, name, and of either mate ord, flag, rname, pos, mapq, cigar, seq, qual with its number)."""
-    for batch in batches:
+    """Rows of OUT for batches of (mol, whole, name, and of either mate ord, flag, rname, pos, mapq, cigar, seq, qual, qname, there with its number).
+
+    Pairs that aren't whole give the rows of the mates that are there.
+    """
+    kinds = {"string": pa.string(), "bigint": pa.int64(), "int": pa.int32()}
+    fields = [f.split(" ") for f in OUT.split(", ")]
+    for every in batches:
+        batch = every.filter(every.column("whole"))
+        rest = every.filter(pc.invert(every.column("whole")))
+        for n in (1, 2):
+            own = rest.filter(rest.column(f"there{n}"))
+            if own.num_rows:
+                zeros = pa.array(np.zeros(own.num_rows, "i8"))
+                columns = [own.column("mol") if c == "mol" else zeros if c in STATS else own.column(f"{c}{n}").cast(kinds[k]) for c, k in fields]
+                yield pa.record_batch(columns, names=[c for c, _ in fields])
+        if not batch.num_rows:
+            continue
         rows = {name: column.to_pylist() for name, column in zip(batch.schema.names, batch.columns)}
         gone = [[bool(f & 4) or c in ("*", "") for f, c in zip(rows[f"flag{n}"], rows[f"cigar{n}"])] for n in (1, 2)]
         whole = [i for i, (a, b) in enumerate(zip(*gone)) if not (a or b)]
@@ -193,7 +209,5 @@ def merge_batches(batches: Iterator[pa.RecordBatch], reference: bytes) -> Iterat
                 values = (0, rows["rname1"][i], out["pos"][i], (rows["mapq1"][i] + rows["mapq2"][i]) // 2, out["cigar"][i], out["seq"][i], out["qual"][i])
             for c, v in zip(("flag", "rname", "pos", "mapq", "cigar", "seq", "qual"), values):
                 out[c][i] = v
-        kinds = {"string": pa.string(), "bigint": pa.int64(), "int": pa.int32()}
         own = {"mol": rows["mol"], "ord": rows["ord1"], "qname": rows["name"], **out}
-        fields = [f.split(" ") for f in OUT.split(", ")]
         yield pa.record_batch([pa.array(own[n], kinds[k]) for n, k in fields], names=[n for n, _ in fields])

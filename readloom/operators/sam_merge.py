@@ -16,16 +16,18 @@ def pair_up(sam: DataFrame, rname: str) -> DataFrame:
     """(mol, r1, r2, dropped): rows on ``rname`` by molecule; either mate may be null, later ones of a slot are dropped.
 
     A header that says side 1 or 2 takes that slot; other rows take slot 1 if the molecule is new, else 2. The first
-    to come takes a slot. All steps share one shuffle by molecule.
+    to come takes a slot. All steps share one shuffle by molecule and one sort.
     """
-    rows = sam.where(F.col("rname") == rname).withColumn("m", headers.molecule(F.col("qname")))
+    once = F.get(F.transform(F.array("qname"), headers.molecule), F.lit(0))  # generated code of all dialects is too long to be compiled
+    rows = sam.where(F.col("rname") == rname).withColumn("m", once)
     rows = rows.select(*FIELDS, F.coalesce("m.id", "qname").alias("mol"), F.col("m.side").alias("side"))
     arrival = F.row_number().over(Window.partitionBy("mol").orderBy("ord"))
     slot = F.when(F.col("side").isin("1", "2"), F.col("side").cast("int")).when(arrival == 1, F.lit(1)).otherwise(F.lit(2))
-    rows = rows.withColumn("slot", slot).withColumn("nth", F.row_number().over(Window.partitionBy("mol", "slot").orderBy("ord")))
-    one = F.struct(*FIELDS)
-    take = lambda n: F.max(F.when((F.col("slot") == n) & (F.col("nth") == 1), one)).alias(f"r{n}")
-    return rows.groupBy("mol").agg(take(1), take(2), F.sum((F.col("nth") > 1).cast("long")).alias("dropped"))
+    one = F.struct(*FIELDS)  # the first by ord is the least
+    take = lambda n: F.min(F.when(F.col("slot") == n, one)).alias(f"r{n}")
+    taken = F.count_if(F.col("slot") == 1), F.count_if(F.col("slot") == 2)
+    dropped = sum((F.greatest(n - 1, F.lit(0)) for n in taken[1:]), F.greatest(taken[0] - 1, F.lit(0))).alias("dropped")
+    return rows.withColumn("slot", slot).groupBy("mol").agg(take(1), take(2), dropped)
 
 
 def merged(pairs: DataFrame, reference: str, bowtie: bool = False) -> DataFrame:
@@ -34,16 +36,24 @@ def merged(pairs: DataFrame, reference: str, bowtie: bool = False) -> DataFrame:
     ``reference`` is one sequence and goes to every task. One unmapped mate leaves the other as it is but for the name; two
     leave an unmapped row; neither counts. Batches of pairs are merged in arrays (pair_kernel).
     """
-    name = F.col("r1.qname") if bowtie else headers.merged_name(F.col("r1.qname"))
-    fields = [c for c in FIELDS if c != "qname"]
-    flat = pairs.select("mol", name.alias("name"), *(F.col(f"r{n}.{c}").alias(f"{c}{n}") for n in (1, 2) for c in fields))
+    return merged_or_not(pairs.withColumn("whole", F.lit(True)), reference, bowtie)
+
+
+def merged_or_not(pairs: DataFrame, reference: str, bowtie: bool) -> DataFrame:
+    """``merged`` of the ``whole`` pairs, and the rows of the others as they are, that count nothing: both from one reading."""
+    name = F.col("r1.qname") if bowtie else F.get(F.transform(F.array("r1.qname"), headers.merged_name), F.lit(0))
+    own = [F.col(f"r{n}.{c}").alias(f"{c}{n}") for n in (1, 2) for c in FIELDS if c != "qname"]
+    apart = [F.when(~F.col("whole"), F.col(f"r{n}.qname")).alias(f"qname{n}") for n in (1, 2)]
+    there = [F.col(f"r{n}").isNotNull().alias(f"there{n}") for n in (1, 2)]
+    flat = pairs.select("mol", "whole", F.when(F.col("whole"), name).alias("name"), *own, *apart, *there)
     letters = reference.encode("latin-1")
     return flat.mapInArrow(lambda batches: merge_batches(batches, letters), OUT)
 
 
 def mergeable() -> Column:
     """Both mates are there, with qualities."""
-    return F.col("r1").isNotNull() & F.col("r2").isNotNull() & ~F.col("r1.qual").isin("", "*") & ~F.col("r2.qual").isin("", "*")
+    found = F.col("r1").isNotNull() & F.col("r2").isNotNull() & ~F.col("r1.qual").isin("", "*") & ~F.col("r2.qual").isin("", "*")
+    return F.coalesce(found, F.lit(False))
 
 
 def merge_sam(sam: DataFrame, rname: str, reference: str, bowtie: bool = False) -> tuple[DataFrame, DataFrame]:
@@ -51,11 +61,9 @@ def merge_sam(sam: DataFrame, rname: str, reference: str, bowtie: bool = False)
 
     Rows on other references, and third and later records of a molecule, are left out (``pair_up`` counts those).
     """
-    pairs = pair_up(sam, rname)
-    done = merged(pairs.where(mergeable()), reference, bowtie)
-    rest = pairs.where(~mergeable()).select(F.explode(F.filter(F.array("r1", "r2"), lambda r: r.isNotNull())).alias("r")).select("r.*")
+    done = merged_or_not(pair_up(sam, rname).withColumn("whole", mergeable()), reference, bowtie)
     stats = done.agg(*(F.coalesce(F.sum(s), F.lit(0)).alias(s) for s in STATS))
-    return done.select(*FIELDS).unionByName(rest.select(*FIELDS)), stats
+    return done.select(*FIELDS), stats
 
 
 def stats_rows(stats: DataFrame, rname: str) -> DataFrame:

@@ -71,3 +71,20 @@ def test_cigar_round_trip(spark):
     got = df.select(cigar.expanded(F.col("c")).alias("e")).select("e", cigar.condensed(F.col("e")).alias("c")).collect()
     assert [r["c"] for r in got] == texts
     assert got[2]["e"] == "MMDMMM"
+
+
+def test_molecules_are_read_and_sorted_once(spark):
+    """Merged pairs, single reads and pairs without qualities (a missing one too) come of one reading."""
+    rows = [
+        (1, "M:1:F:1:2:3:5 1:N:0:A", 0, "r", 1, 20, "4M", "ACGT", "JJJJ"), (2, "M:1:F:1:2:3:5 2:N:0:A", 0, "r", 1, 20, "4M", "ACGT", "JJJJ"), (3, "M:1:F:1:2:3:5 2:N:0:A", 0, "r", 1, 20, "4M", "TTTT", "JJJJ"),
+        (4, "M:1:F:1:2:4:5 2:N:0:A", 0, "r", 1, 20, "4M", "ACGT", "JJJJ"),
+        (5, "M:1:F:1:2:5:5 1:N:0:A", 0, "r", 1, 20, "4M", "ACGT", "*"), (6, "M:1:F:1:2:5:5 2:N:0:A", 0, "r", 1, 20, "4M", "ACGT", "JJJJ"),
+        (7, "M:1:F:1:2:6:5 1:N:0:A", 0, "r", 1, 20, "4M", "ACGT", "JJJJ"), (8, "M:1:F:1:2:6:5 2:N:0:A", 0, "r", 1, 20, "4M", "ACGT", None),
+    ]
+    sam = spark.createDataFrame(rows, "ord long, qname string, flag int, rname string, pos int, mapq int, cigar string, seq string, qual string")
+    done, stats = sam_merge.merge_sam(sam, "r", "ACGT")
+    plan = done._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and plan.count("Window [") == 1
+    found = {r["ord"]: r for r in done.collect()}
+    assert sorted(found) == [1, 4, 5, 6, 7, 8] and found[1]["qname"] == "M:1:F:1:2:3:5 3:N:0:A" and found[8]["qual"] is None and found[4]["qname"] == rows[3][1]
+    assert stats.first()["observations"] == 4
