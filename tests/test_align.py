@@ -177,3 +177,17 @@ def test_seeds_give_what_a_sweep_gives(monkeypatch, scoring):
         monkeypatch.setattr(align, "LONG", long)
         found[long] = align.local_alignments(queries, [reference] * len(queries), scoring, "3pass"), align.best_cells(queries, [reference] * len(queries), scoring)
     assert found[1 << 10] == found[1 << 30]
+
+
+def test_scores_of_a_shared_reference_are_swept_side_by_side():
+    """Tallies: many short queries, few references; the plain recurrence's scores, in a fraction of a sweep by pairs."""
+    import time
+
+    draw = random.Random(12)
+    letters = lambda n: "".join(draw.choices("ACGTN", k=n))
+    scoring = align.simple(2, 3, gap_open=4, gap_extend=1)
+    reference, queries = letters(64), [letters(draw.randrange(0, 50)) for _ in range(20_000)]
+    began = time.process_time()
+    scores = align.local_scores(queries, [reference] * len(queries), scoring)
+    assert time.process_time() - began < 1.2  # some 2.5 s by pairs
+    assert [scores[i] for i in range(0, 20_000, 400)] == [brute(queries[i], reference, scoring) if queries[i] else 0 for i in range(0, 20_000, 400)]
