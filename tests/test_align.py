@@ -191,3 +191,12 @@ def test_scores_of_a_shared_reference_are_swept_side_by_side():
     scores = align.local_scores(queries, [reference] * len(queries), scoring)
     assert time.process_time() - began < 1.2  # some 2.5 s by pairs
     assert [scores[i] for i in range(0, 20_000, 400)] == [brute(queries[i], reference, scoring) if queries[i] else 0 for i in range(0, 20_000, 400)]
+
+
+def test_ways_of_a_shared_reference_are_those_of_pairs():
+    draw = random.Random(13)
+    letters = lambda n: "".join(draw.choices("ACGTN", k=n))
+    reference = letters(64)
+    queries = [reference[a : a + 20] + reference[a + 24 : a + 40] for a in range(0, 30, 3)] + [letters(draw.randrange(1, 50)) for _ in range(40)]
+    for scoring in (align.simple(2, 3, gap_open=4, gap_extend=1), align.simple(1, 1, gap_open=0, gap_extend=0), align.simple(127, 127, gap_open=127, gap_extend=1)):
+        assert align.traced_alike(queries, reference, scoring) == [align.local_alignment(q, reference, scoring) for q in queries]
