@@ -200,3 +200,12 @@ def test_ways_of_a_shared_reference_are_those_of_pairs():
     queries = [reference[a : a + 20] + reference[a + 24 : a + 40] for a in range(0, 30, 3)] + [letters(draw.randrange(1, 50)) for _ in range(40)]
     for scoring in (align.simple(2, 3, gap_open=4, gap_extend=1), align.simple(1, 1, gap_open=0, gap_extend=0), align.simple(127, 127, gap_open=127, gap_extend=1)):
         assert align.traced_alike(queries, reference, scoring) == [align.local_alignment(q, reference, scoring) for q in queries]
+
+
+def test_best_match_shuffles_nothing_and_looks_once(spark):
+    queries = spark.createDataFrame([(i, f"q{i}", "ACGTTGCATGCC"[i % 5 :], None) for i in range(20)], "ord long, header string, sequence string, quality string")
+    refs = spark.createDataFrame([(i, f"r{i}", "ACGTTGCATGCC") for i in range(3)], "ref_ord int, name string, ref string")
+    done = align.align(queries, refs, align.simple(), rev_comp=True, best_match=True)
+    plan = done._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and "Exchange hashpartitioning" not in plan
+    assert {(r["ref_ord"], r["strand"]) for r in done.collect()} == {(2, "+")}  # the last of equals
