@@ -32,8 +32,9 @@ BLOCK = 16
 FITTING = 254
 #: Cells of one table that pairs are swept in together (a longer pair stands alone).
 CELLS = 1 << 21
-#: Cells of one row that queries of a shared reference are swept in together, and queries that make that worth it.
-ROW_CELLS, SHARED = 1 << 17, 8
+#: Bytes of the cells of one row that queries of a shared reference are swept in together, and of one table; queries
+#: that make that worth it; references that go side by side.
+ROW_CELLS, DIAGONAL_CELLS, SHARED, SIDES = 1 << 18, 1 << 22, 8, 8
 #: References from this many letters on are searched by seeds; queries with more hits than this are swept.
 LONG, HITS = 1 << 14, 1 << 18
 #: Scores past this are errors, as is usual; tables have 32-bit cells where no cell can come near it.
@@ -43,6 +44,9 @@ METHODS = ("1pass", "3pass", "scores")
 #: A band begins so wide on either side of the straight way, and doubles until it holds a best alignment.
 BAND = 16
 Found = tuple[int, int, str]
+UNMAPPED = (None, None, None)
+#: Operations by way: from the diagonal, from a query letter against a gap, from a reference letter against one.
+OPERATIONS = np.frombuffer(b"MID", "u1")
 #: Runs of one operation.
 RUNS = re.compile(r"((.)\2*)")
 #: What proteins are scored by where nothing is said.
@@ -166,7 +170,7 @@ def local_scores(queries: list[str], references: list[str], scoring: Scoring) ->
     out = [0] * len(queries)
     alike, rest = shared(queries, references)
     for reference, own in alike:
-        for i, score in zip(own, scores_alike([queries[i] for i in own], reference, scoring)):
+        for i, score in zip(own, score_table([queries[i] for i in own], [reference], scoring)[0].tolist()):
             out[i] = score
     for i, (score, _, _) in zip(rest, best_cells([queries[i] for i in rest], [references[i] for i in rest], scoring)):
         out[i] = score
@@ -184,93 +188,153 @@ def shared(queries: list[str], references: list[str]) -> tuple[list[tuple[str, l
     return alike, [i for r, own in found.items() if r not in taken for i in own]
 
 
-def rows_alike(queries: list[str], reference: str, scoring: Scoring, keep: bool) -> Iterator[tuple[list[int], np.ndarray, tuple]]:
-    """(numbers of queries, best score after each of their letters, whole tables if ``keep``) of lots of queries of like lengths.
+class Lot(NamedTuple):
+    """Queries of like lengths side by side along the last axis: their numbers and lengths, what each of their letters weighs
+    against each letter of the alphabet and one that matches nothing (a row for each of both), and the number that stands for score 0.
 
-    Queries lie side by side along the last axis, so that a step over the reference is one over whole rows; what a query
-    letter weighs against each letter of the alphabet is looked up once and copied to where the reference has it.
+    Cells are as small as the largest score allows, mostly bytes; 0 stands so high that no sum falls below the type.
     """
-    order = sorted(range(len(queries)), key=lambda i: len(queries[i]))
-    r, first, more = encoded(reference, scoring.alphabet), scoring.gap_open, scoring.gap_extend
-    m = len(r)
-    at = 0
+
+    numbers: list[int]
+    sizes: np.ndarray
+    weighed: np.ndarray
+    zero: int
+
+
+def lots_of(queries: list[str], m: int, scoring: Scoring, count_of) -> Iterator[Lot]:
+    """All queries with letters in lots, ``count_of(letters, bytes of a cell)`` of a length in one, for references of up to ``m`` letters."""
+    order = sorted((i for i, q in enumerate(queries) if q), key=lambda i: len(queries[i]))
+    weights = np.array(scoring.weights, "i8")
+    size, zero = len(weights), max(scoring.gap_open + scoring.gap_extend, -int(weights.min()), 1)
+    code, at = letter_numbers(scoring.alphabet).astype("u1").tobytes(), 0
     while at < len(order):
-        count = max(1, ROW_CELLS // (m + 1))
-        if keep:
-            while count > 1 and count * (m + 1) * (len(queries[order[min(at + count, len(order)) - 1]]) + 1) > CELLS:
-                count //= 2
+        count = max(1, count_of(len(queries[order[at]]), 1))
+        n = len(queries[order[min(at + count, len(order)) - 1]])  # of the longest, which is the last
+        kind = next(k for k in ("u1", "i2", "i4", "i8") if max(0, int(weights.max())) * min(n, m) + zero <= np.iinfo(k).max)
+        count = min(count, max(1, count_of(n, np.dtype(kind).itemsize)))
         lot = order[at : at + count]
         at += len(lot)
-        q = padded([queries[i] for i in lot], scoring.alphabet).T
-        n, count = q.shape
-        kind, low = cell_type(n, m, scoring)
-        if (n + m + 2) * max(first, *(abs(w) for row in scoring.weights for w in row)) < 1 << 14:
-            kind, low = "i2", -(1 << 14)
-        weighed = np.ascontiguousarray(np.take(weights_of(scoring, kind, low)[:-1].T, q, axis=0).transpose(0, 2, 1))
-        lines = n + 1 if keep else 2
-        best, down, right = (np.zeros((lines, m + 1, count), kind) for _ in range(3))
-        down[0], right[:, 0], right[0] = low, low, low
-        peaks, spare = np.empty((n, count), kind), np.empty((m + 1, count), kind)
-        for i in range(n):
-            a, b = (i, i + 1) if keep else (i % 2, 1 - i % 2)
-            np.subtract(best[a], first, out=spare)
-            np.subtract(down[a], more, out=down[b])
-            np.maximum(down[b], spare, out=down[b])
-            line = best[b]
-            np.take(weighed[i], r, axis=0, out=spare[1:], mode="clip")
-            np.add(spare[1:], best[a, :-1], out=spare[1:])
-            np.maximum(down[b], 0, out=line)
-            np.maximum(line[1:], spare[1:], out=line[1:])
-            line.max(axis=0, out=peaks[i])
-            most, gap, step = int(peaks[i].max()), right[b], 1
-            np.subtract(line[:-1], first, out=gap[1:])
-            while step < m and most - first - more * step > 0:  # what a longer gap leaves is no score
-                np.subtract(gap[:-step], more * step, out=spare[step:])
-                np.maximum(gap[step:], spare[step:], out=gap[step:])
-                step *= 2
-            np.maximum(line, gap, out=line)
-        yield lot, peaks, (best, down, right)
-
-
-def scores_alike(queries: list[str], reference: str, scoring: Scoring) -> list[int]:
-    """The best local score of each query with one reference."""
-    out = [0] * len(queries)
-    for lot, peaks, _ in rows_alike(queries, reference, scoring, False):
-        for i, score in zip(lot, peaks.max(axis=0).tolist()):
-            out[i] = capable(score)
+        sizes = np.array([len(queries[i]) for i in lot])
+        letters = np.full((len(lot), sizes.max()), size, "u1")  # ends in a letter that matches nothing
+        letters[np.arange(sizes.max()) < sizes[:, None]] = np.frombuffer("".join([queries[i] for i in lot]).encode("latin-1", "replace").translate(code), "u1")
+        letters = np.ascontiguousarray(letters.T)
+        table = np.pad(weights, (0, 1), constant_values=-1).astype(kind)
+        weighed = np.empty((letters.shape[0], size + 1, len(lot)), kind)
+        for a in range(size + 1):
+            if kind == "u1":
+                weighed[:, a] = np.frombuffer(letters.tobytes().translate(table[:, a].tobytes() + bytes(255 - size)), "u1").reshape(letters.shape)
+            else:
+                weighed[:, a] = table[:, a][letters]
+        yield Lot(lot, sizes, weighed.reshape(-1, len(lot)), zero)
+
+
+def diagonals(lot: Lot, r: np.ndarray, scoring: Scoring, space: np.ndarray | None = None) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Best scores by query letter and pair of a lot with references (columns of letters), pairs of one reference side by side; where
+    ``space`` gives three rows of bytes, the whole tables lie in them: best, ending in a query letter against a gap, and in a
+    reference letter against one, by (query letter + reference letter, query letter, pair).
+
+    Cells of a diagonal need those of the two before only, so a step is one over all of them, gaps of any length included.
+    """
+    size, (m, sides), zero, kind = len(scoring.alphabet) + 1, r.shape, lot.zero, lot.weighed.dtype
+    n, count = len(lot.weighed) // size, lot.weighed.shape[1] * sides
+    first, more, low = (np.array(x, kind) for x in (scoring.gap_open, scoring.gap_extend, zero - scoring.gap_open))
+    lines = 3 if space is None else n + m + 1
+    cells = lines * (n + 1) * count
+    best, down, right = np.empty((3, lines, n + 1, count), kind) if space is None else (x[: cells * kind.itemsize].view(kind).reshape(lines, n + 1, count) for x in space)
+    floor, spare = np.full((n + 1, count), zero, kind), np.empty((n + 1, count), kind)
+    peaks, rows = floor.copy(), size * np.arange(n + 1)[:, None]
+    for d in range(n + m + 1):
+        now, one, two = (x % lines for x in (d, d - 1, d - 2))
+        best[now, 0], down[now, 0], right[now, 0] = zero, low, low
+        if d <= n:
+            best[now, d], right[now, d] = zero, low
+        a, b = max(1, d - m), min(n, d - 1) + 1  # query letters on this diagonal
+        if d < 2 or a >= b:
+            continue
+        left, up, here = right[now, a:b], down[now, a:b], best[now, a:b]
+        opened = np.subtract(best[one, a - 1 : b], first, out=spare[a - 1 : b])
+        np.subtract(right[one, a:b], more, out=left)
+        np.maximum(left, opened[1:], out=left)
+        np.subtract(down[one, a - 1 : b - 1], more, out=up)
+        np.maximum(up, opened[:-1], out=up)
+        np.take(lot.weighed, rows[a - 1 : b - 1] + r[d - b : d - a][::-1], axis=0, out=here.reshape(b - a, sides, -1), mode="clip")
+        np.add(here, best[two, a - 1 : b - 1], out=here)
+        np.maximum(here, left, out=here)
+        np.maximum(here, up, out=here)
+        np.maximum(here, floor[a:b], out=here)
+        np.maximum(peaks[a:b], here, out=peaks[a:b])
+    return peaks, (best, down, right)
+
+
+def score_table(queries: list[str], references: list[str], scoring: Scoring) -> np.ndarray:
+    """The best local score of each query (columns) with each reference (rows), 0 if nothing matches."""
+    out = np.zeros((len(references), len(queries)), "i8")
+    short = sorted((k for k, r in enumerate(references) if r and len(r) < LONG and len(queries) >= SHARED), key=lambda k: len(references[k]))
+    at = 0
+    while at < len(short):  # those that are at most an eighth longer go side by side
+        group = [k for k in short[at : at + SIDES] if 8 * len(references[k]) <= 9 * len(references[short[at]])]
+        at += len(group)
+        r = padded([references[k] for k in group], scoring.alphabet).T
+        for lot in lots_of(queries, len(r), scoring, lambda n, size: ROW_CELLS // (n + 1) // size // len(group)):
+            peaks = diagonals(lot, r, scoring)[0].max(axis=0).astype("i8") - lot.zero
+            out[np.ix_(group, lot.numbers)] = peaks.reshape(len(group), -1)
+    for k in set(range(len(references))) - set(short):
+        out[k] = [score for score, _, _ in best_cells(queries, [references[k]] * len(queries), scoring)]
+    capable(int(out.max(initial=0)))
     return out
 
 
 def traced_alike(queries: list[str], reference: str, scoring: Scoring) -> list[Found | None]:
     """What ``traced`` finds for each query with one reference; all ways of a lot are walked side by side."""
     out: list[Found | None] = [None] * len(queries)
-    first, more = scoring.gap_open, scoring.gap_extend
-    for lot, peaks, (best, down, right) in rows_alike(queries, reference, scoring, True):
-        score, i = peaks.max(axis=0), peaks.argmax(axis=0) + 1
-        j = best[i, :, np.arange(len(lot))].argmax(axis=1)
-        ends, steps = i.copy(), []
-        k, gap = np.flatnonzero(score > 0), np.zeros(len(lot), "u1")
+    r, first, more = encoded(reference, scoring.alphabet)[:, None], scoring.gap_open, scoring.gap_extend
+    m = len(r)
+    large = [i for i, q in enumerate(queries) if (len(q) + m + 1) * (len(q) + 1) > DIAGONAL_CELLS]
+    for group in ([large[i] for i in g] for g in grouped([queries[i] for i in large], [reference] * len(large), lambda n, m: (n + 1) * (m + 1))):
+        for i, found in zip(group, swept([queries[i] for i in group], [reference] * len(group), scoring)):
+            out[i] = found
+    small = queries if not large else ["" if (len(q) + m + 1) * (len(q) + 1) > DIAGONAL_CELLS else q for q in queries]
+    space = np.empty((3, DIAGONAL_CELLS * 8), "u1")  # of which bytes that nothing is written to take no memory
+    for lot in lots_of(small, m, scoring, lambda n, size: DIAGONAL_CELLS // ((n + m + 1) * (n + 1)) // size):
+        peaks, (best, down, right) = diagonals(lot, r, scoring, space)
+        lines, count = len(peaks), len(lot.numbers)
+        best, down, right, line = best.ravel(), down.ravel(), right.ravel(), lines * count
+        score, i = peaks.max(axis=0), peaks.argmax(axis=0)
+        k = np.flatnonzero(score > lot.zero)
+        row = (i[k] * lines + i[k]) * count + k
+        ends, last = np.zeros(count, "i8"), i.copy()
+        ends[k] = row + line * (1 + (best[row + line * np.arange(1, m + 1)[:, None]] == score[k]).argmax(axis=0))
+        back = np.array([2 * line + count, line + count, line])  # a cell's steps to those that it comes from, by way
+        at, gap, here, steps = ends[k], np.zeros(len(k), "u1"), score[k], []
         while len(k):
-            y, x, way = i[k], j[k], gap[k]
-            here, across, along = best[y, x, k], right[y, x, k], down[y, x, k]
-            way = np.where(way > 0, way, np.where(here == across, 2, np.where(here == along, 1, 0)))
-            ops = np.zeros(len(lot), "u1")
-            ops[k] = np.where(way == 0, ord("M"), np.where(way == 1, ord("I"), ord("D")))
+            across, along = right[at], down[at]
+            way = np.where(gap > 0, gap, np.where(here == across, 2, np.where(here == along, 1, 0))).astype("u1")
+            ops = np.zeros(count, "u1")
+            ops[k] = OPERATIONS[way]
             steps.append(ops)
-            by, bx = np.maximum(y - (way < 2), 0), np.maximum(x - (way != 1), 0)
-            before = best[by, bx, k]
-            on_d = (way == 2) & (across == right[y, bx, k] - more) & (across != before - first)
-            on_i = (way == 1) & (along == down[by, x, k] - more) & (along != before - first)
-            gap[k] = np.where(on_d, 2, np.where(on_i, 1, 0))
-            i[k], j[k] = by, bx
-            k = k[(gap[k] > 0) | (before > 0)]
-        shown = np.stack(steps[::-1], axis=1) if steps else np.zeros((len(lot), 0), "u1")
-        for at, (number, top) in enumerate(zip(lot, score.tolist())):
-            if capable(top) > 0:
-                way = shown[at].tobytes().lstrip(b"\0").decode("latin-1")
-                clips = int(i[at]), len(queries[number]) - int(ends[at])
-                core = "".join(f"{len(run[0])}{run[1]}" for run in RUNS.findall(way))
-                out[number] = top, int(j[at]), "".join([f"{clips[0]}S" if clips[0] else "", core, f"{clips[1]}S" if clips[1] else ""])
+            at = at - back[way]
+            here, gap = best[at], np.zeros(len(k), "u1")
+            ends[k] = at
+            for kind, own, table in ((1, along, down), (2, across, right)):
+                g = np.flatnonzero(way == kind)
+                if len(g):  # (values of types without signs, none of which falls below 0)
+                    gap[g] = np.where((own[g] == table[at[g]] - own.dtype.type(more)) & (own[g] != here[g] - own.dtype.type(first)), kind, 0)
+            alive = (gap > 0) | (here > lot.zero)
+            if not alive.all():
+                k, at, gap, here = k[alive], at[alive], gap[alive], here[alive]
+        if not steps:
+            continue
+        shown = np.stack(steps[::-1], axis=1)
+        plain, long = ((shown == 0) | (shown == ord("M"))).all(axis=1).tolist(), (shown > 0).sum(axis=1).tolist()
+        i = ends // count % lines
+        clip = ["", *(f"{x}S" for x in range(1, lines))]
+        tops = (score.astype("i8") - lot.zero).tolist()
+        capable(max(tops))
+        columns = zip(lot.numbers, tops, (ends // line - i).tolist(), i.tolist(), (lot.sizes - last).tolist(), plain, long)
+        for place, (number, top, start, head, tail, simple_way, length) in enumerate(columns):
+            if top:
+                core = f"{length}M" if simple_way else "".join(f"{len(run[0])}{run[1]}" for run in RUNS.findall(shown[place].tobytes().lstrip(b"\0").decode("latin-1")))
+                out[number] = top, start, clip[head] + core + clip[tail]
     return out
 
 
@@ -568,30 +632,50 @@ def aligned_pairs(queries: list[str], references: list[str], scoring: Scoring, m
     return local_alignments(queries, references, scoring, method)
 
 
-def placed(sequences: list[str], refs: list[str], scoring: Scoring, method: str, rev_comp: bool) -> list[tuple]:
-    """(strand, score, ref_start, cigar) of each pair; of two strands the better one, whose way alone is looked for."""
+def turned(sequences: list[str]) -> list[str]:
+    """The reverse complements."""
+    known = {s: s and bases.complemented(s) for s in set(sequences)}
+    return [known[s] for s in sequences]
+
+
+def placed(sequences: list[str], refs: list[str], scoring: Scoring, method: str, rev_comp: bool) -> tuple[np.ndarray, list[tuple | None]]:
+    """(whether the reverse strand is better; (score, ref_start, cigar) of the better strand, none if nothing matches) of each query with
+    each reference, references of a query side by side."""
+    if not rev_comp and method != "scores":
+        return np.zeros(len(sequences) * len(refs), bool), aligned_pairs([s for s in sequences for _ in refs], refs * len(sequences), scoring, method)
+    forward = score_table(sequences, refs, scoring).T.ravel()
     if not rev_comp:
-        return [("+", *(x or (None, None, None))) for x in aligned_pairs(sequences, refs, scoring, method)]
-    turned = {s: s and bases.complemented(s) for s in set(sequences)}
-    forward, backward = (local_scores(side, refs, scoring) for side in (sequences, [turned[s] for s in sequences]))
-    wins = [b > f for f, b in zip(forward, backward)]
+        return np.zeros(len(forward), bool), [(x, None, None) if x else None for x in forward.tolist()]
+    back = turned(sequences)
+    backward = score_table(back, refs, scoring).T.ravel()
+    wins = backward > forward
+    if method == "scores":
+        return wins, [(x, None, None) if x else None for x in np.maximum(forward, backward).tolist()]
+    strands = [x for pair in zip(sequences, back) for x in pair]
+    at = np.repeat(np.arange(len(sequences)), len(refs)) * 2 + wins
+    return wins, aligned_pairs([strands[k] for k in at.tolist()], refs * len(sequences), scoring, method)
+
+
+def best_placed(sequences: list[str], refs: list[str], ranks: list, scoring: Scoring, method: str, rev_comp: bool) -> tuple[np.ndarray, np.ndarray, list[tuple | None]]:
+    """(number of the reference, whether the reverse strand is better, (score, ref_start, cigar)) of each query's best reference, the one of
+    highest rank of equals; only that one's way is looked for."""
+    order = np.array(sorted(range(len(refs)), key=lambda k: ranks[k], reverse=True))
+    forward = score_table(sequences, refs, scoring)
+    back = turned(sequences) if rev_comp else sequences
+    backward = score_table(back, refs, scoring) if rev_comp else forward
+    scores = np.maximum(forward, backward)
+    best, all_of = order[scores[order].argmax(axis=0)], np.arange(len(sequences))
+    wins = backward[best, all_of] > forward[best, all_of]
     if method == "scores":
-        return [("-" if w else "+", max(f, b) or None, None, None) for w, f, b in zip(wins, forward, backward)]
-    found = aligned_pairs([turned[s] if w else s for s, w in zip(sequences, wins)], refs, scoring, method)
-    return [("-" if w else "+", *(x or (None, None, None))) for w, x in zip(wins, found)]
+        return best, wins, [(x, None, None) if x else None for x in scores[best, all_of].tolist()]
+    return best, wins, aligned_pairs([b if w else s for s, b, w in zip(sequences, back, wins.tolist())], [refs[k] for k in best.tolist()], scoring, method)
 
 
-def best_placed(sequences: list[str], refs: list[str], ranks: list, scoring: Scoring, method: str, rev_comp: bool) -> list[tuple]:
-    """(number of the reference, strand, score, ref_start, cigar) of each query's best reference, the one of highest rank of equals; only
-    that one's way is looked for."""
-    order = sorted(range(len(refs)), key=lambda k: ranks[k])
-    tops, best = [-1] * len(sequences), [0] * len(sequences)
-    for k in order:
-        ways = placed(sequences, [refs[k]] * len(sequences), scoring, "scores", rev_comp)
-        for i, (_, score, _, _) in enumerate(ways):
-            if (score or 0) >= tops[i]:
-                tops[i], best[i] = score or 0, k
-    return [(k, *x) for k, x in zip(best, placed(sequences, [refs[k] for k in best], scoring, method, rev_comp))]
+def columns_of(at: np.ndarray, wins: np.ndarray, found: list[tuple | None]) -> list[pa.Array]:
+    """The fields of PLACED."""
+    score, start, cigar = zip(*(x or UNMAPPED for x in found)) if found else ((), (), ())
+    strand = pa.DictionaryArray.from_arrays(pa.array(wins.astype("i4")), pa.array(["+", "-"])).cast(pa.string())
+    return [pa.array(at, pa.int32()), strand, pa.array(score, pa.int64()), pa.array(start, pa.int32()), pa.array(cigar, pa.string())]
 
 
 def align(queries: DataFrame, references: DataFrame, scoring: Scoring, rev_comp: bool = False, best_match: bool = False, method: str = "1pass") -> DataFrame:
@@ -617,18 +701,23 @@ def align(queries: DataFrame, references: DataFrame, scoring: Scoring, rev_comp:
 
     @arrow_udf(PLACED)
     def best(sequences: pa.Array) -> pa.Array:
-        rows = best_placed(sequences.to_pylist(), *texts.value, scoring, method, rev_comp)
-        return pa.StructArray.from_arrays([pa.array([x[k] for x in rows], f.type) for k, f in enumerate(kind)], fields=list(kind))
+        return pa.StructArray.from_arrays(columns_of(*best_placed(sequences.to_pylist(), *texts.value, scoring, method, rev_comp)), fields=list(kind))
 
     @arrow_udf(f"array<{PLACED}>")
     def each(sequences: pa.Array, blocks: pa.Array) -> pa.Array:
         refs, own = texts.value[0], sequences.to_pylist()
-        spans = [range(b * BLOCK, min(len(refs), (b + 1) * BLOCK)) for b in blocks.to_pylist()]
-        at = [k for span in spans for k in span]
-        rows = placed([s for s, span in zip(own, spans) for _ in span], [refs[k] for k in at], scoring, method, rev_comp)
-        columns = [pa.array(at, pa.int32()), *(pa.array([x[k] for x in rows], f.type) for k, f in enumerate(list(kind)[1:]))]
-        cuts = pa.array(np.cumsum([0, *map(len, spans)]), pa.int32())
-        return pa.ListArray.from_arrays(cuts, pa.StructArray.from_arrays(columns, fields=list(kind)))
+        numbers = blocks.to_numpy()
+        sizes = np.minimum(len(refs), (numbers + 1) * BLOCK) - numbers * BLOCK
+        cuts = np.concatenate([[0], np.cumsum(sizes)])
+        at, wins, found = np.empty(cuts[-1], "i4"), np.empty(cuts[-1], bool), np.empty(cuts[-1], object)
+        for b in np.unique(numbers).tolist():
+            rows, span = np.flatnonzero(numbers == b), range(b * BLOCK, min(len(refs), (b + 1) * BLOCK))
+            places = (cuts[rows][:, None] + np.arange(len(span))).ravel()
+            at[places] = np.tile(span, len(rows))
+            wins[places], ways = placed([own[i] for i in rows.tolist()], [refs[k] for k in span], scoring, method, rev_comp)
+            for place, way in zip(places.tolist(), ways):
+                found[place] = way
+        return pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.StructArray.from_arrays(columns_of(at, wins, found.tolist()), fields=list(kind)))
 
     own = ["ord", "header", "sequence", "quality"]
     names = StructType([StructField("at", IntegerType()), references.schema["ref_ord"], StructField("name", StringType()), StructField("ref_length", IntegerType())])
@@ -664,14 +753,15 @@ def gridded(queries: DataFrame, references: DataFrame, scoring: Scoring, rev_com
         known = right.to_pylist()
         for batch in left.select([f.name for f in own]).to_batches(max_chunksize=max(1, CELL_PAIRS // max(1, len(known)))):
             rows = batch.to_pylist()
+            sequences, refs = [row["sequence"] for row in rows], [ref["ref"] for ref in known]
             if best_match:
-                best = best_placed([row["sequence"] for row in rows], [ref["ref"] for ref in known], [ref["ref_ord"] for ref in known], scoring, method, rev_comp)
-                pairs, found = [(i, known[x[0]]) for i, x in enumerate(best)], [x[1:] for x in best]
+                at, wins, found = best_placed(sequences, refs, [ref["ref_ord"] for ref in known], scoring, method, rev_comp)
+                pairs = [(i, known[k]) for i, k in enumerate(at.tolist())]
             else:
+                wins, found = placed(sequences, refs, scoring, method, rev_comp)
                 pairs = [(i, ref) for i in range(len(rows)) for ref in known]
-                found = placed([rows[i]["sequence"] for i, _ in pairs], [ref["ref"] for _, ref in pairs], scoring, method, rev_comp)
             names = ["ref_ord", "name", "ref_length", "strand", "score", "ref_start", "cigar"]
-            values = [(ref["ref_ord"], ref["name"], len(ref["ref"]), *x) for (_, ref), x in zip(pairs, found)]
+            values = [(ref["ref_ord"], ref["name"], len(ref["ref"]), "-" if w else "+", *(x or UNMAPPED)) for (_, ref), w, x in zip(pairs, wins.tolist(), found)]
             kinds = [right.schema.field("ref_ord").type, pa.string(), pa.int32(), pa.string(), pa.int64(), pa.int32(), pa.string()]
             more = [pa.array([v[k] for v in values], t) for k, t in enumerate(kinds)]
             yield pa.record_batch([*batch.take(pa.array([i for i, _ in pairs], pa.int64())).columns, *more], names=[*batch.schema.names, *names])
@@ -709,10 +799,17 @@ def sam_header(references: DataFrame) -> DataFrame:
 
 
 def tallies(queries: DataFrame, references: DataFrame, alignments: DataFrame, rev_comp: bool = False) -> DataFrame:
-    """One row of six counts; with ``rev_comp`` each pair counts twice and the losing strand as fitting."""
+    """One row of six counts, for ``alignments`` of each query with each reference; with ``rev_comp`` each pair counts twice and the
+    losing strand as fitting. What is asked of the queries is counted among the alignments, without a second look at them."""
     double = 2 if rev_comp else 1
-    a = queries.agg(F.count(F.lit(1)).alias("queries"), F.sum((F.length("sequence") <= 300).cast("long")).alias("queries_at_most_300"))
-    b = references.agg(F.count(F.lit(1)).alias("references"), F.min_by(F.length("ref"), "ref_ord").cast("long").alias("first_reference_length"))
+    known = references.agg(F.count(F.lit(1)).alias("references"), F.min_by(F.length("ref"), "ref_ord").cast("long").alias("first_reference_length")).first()
+    short, lot = F.sum((F.length("sequence") <= 300).cast("long")), F.lit(known["references"]).cast("long")
+    told = [lot.alias("references"), F.lit(known["first_reference_length"]).cast("long").alias("first_reference_length")]
+    if not known["references"]:  # nothing to be aligned with
+        a = queries.agg(F.count(F.lit(1)).alias("queries"), short.alias("queries_at_most_300"))
+        return a.select("*", *told, F.lit(0).cast("long").alias("alignments"), F.lit(None).cast("long").alias("scores_fitting"))
     fits = (F.coalesce("score", F.lit(0)) <= FITTING).cast("long")
-    c = alignments.agg((F.count(F.lit(1)) * double).alias("alignments"), (F.sum(fits) + (F.count(F.lit(1)) if rev_comp else F.lit(0))).alias("scores_fitting"))
-    return a.crossJoin(b).crossJoin(c)  # three tables of one row
+    n = F.count(F.lit(1))
+    c = alignments.agg(n.alias("n"), short.alias("short"), F.sum(fits).alias("fits"))
+    whole = lambda name: F.expr(f"{name} div {known['references']}")
+    return c.select(whole("n").alias("queries"), whole("short").alias("queries_at_most_300"), *told, (F.col("n") * double).alias("alignments"), (F.col("fits") + (F.col("n") if rev_comp else F.lit(0))).alias("scores_fitting"))

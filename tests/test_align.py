@@ -209,3 +209,28 @@ def test_best_match_shuffles_nothing_and_looks_once(spark):
     plan = done._jdf.queryExecution().executedPlan().toString()
     assert plan.count("ArrowEvalPython") == 1 and "Exchange hashpartitioning" not in plan
     assert {(r["ref_ord"], r["strand"]) for r in done.collect()} == {(2, "+")}  # the last of equals
+
+
+@pytest.mark.parametrize("scoring, kind", [(align.simple(2, 3, gap_open=4, gap_extend=1), "u1"), (align.simple(60, 50, gap_open=70, gap_extend=20), "i2"), (align.simple(1, 0, gap_open=0, gap_extend=0), "u1")])
+def test_references_of_unlike_lengths_are_swept_in_the_smallest_cells(scoring, kind):
+    """Tallies: one table of all queries and references, in bytes where scores allow it."""
+    draw = random.Random(14)
+    letters = lambda n: "".join(draw.choices("ACGTNacgtRY", k=n))
+    references = [letters(n) for n in (40, 3, 41, 0, 44, 1, 17, 40)]
+    queries = [None, "", *(letters(draw.randrange(1, 30)) for _ in range(30)), references[0], references[4][5:20] + references[4][23:]]
+    known = lambda s: "".join(c if c in "ACGTN" else "N" for c in s.upper())
+    table = align.score_table(queries, references, scoring)
+    assert table.tolist() == [[brute(known(q), known(r), scoring) if q and r else 0 for q in queries] for r in references]
+    assert {lot.weighed.dtype.str[1:] for lot in align.lots_of(queries, 44, scoring, lambda n, size: 7)} == {kind}
+
+
+def test_tallies_look_at_the_queries_once(spark):
+    queries = spark.createDataFrame([(i, f"q{i}", "ACGTTGCATGCC" * (1 + 30 * (i == 3)), None) for i in range(10)] + [(10, "q10", None, None)], "ord long, header string, sequence string, quality string")
+    refs = spark.createDataFrame([(i, f"r{i}", "ACGTTGCATGCC" * (i + 1)) for i in range(3)], "ref_ord int, name string, ref string")
+    wanted = {3: ((11, 9, 3, 12, 33, 33), (11, 9, 3, 12, 66, 66)), 0: ((11, 9, 0, None, 0, None),) * 2}
+    for n in (3, 0):
+        for rev_comp in (False, True):
+            own = refs.limit(n)
+            done = align.tallies(queries, own, align.align(queries, own, align.simple(), method="scores"), rev_comp)
+            assert tuple(done.first()) == wanted[n][rev_comp]
+            assert done._jdf.queryExecution().optimizedPlan().toString().count("Aggregate") == 1
