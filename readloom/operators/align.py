@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import re
 from collections.abc import Iterator, Mapping
 from dataclasses import dataclass
 from functools import lru_cache
@@ -32,9 +31,9 @@ BLOCK = 16
 FITTING = 254
 #: Cells of one table that pairs are swept in together (a longer pair stands alone).
 CELLS = 1 << 21
-#: Bytes of the cells of one row that queries of a shared reference are swept in together, and of one table; queries
+#: Bytes of one diagonal, and of one table that is kept, which queries of a shared reference are swept in together; queries
 #: that make that worth it; references that go side by side.
-ROW_CELLS, DIAGONAL_CELLS, SHARED, SIDES = 1 << 18, 1 << 22, 8, 8
+ROW_BYTES, TABLE_BYTES, SHARED, SIDES = 1 << 18, 1 << 24, 8, 8
 #: References from this many letters on are searched by seeds; queries with more hits than this are swept.
 LONG, HITS = 1 << 14, 1 << 18
 #: Scores past this are errors, as is usual; tables have 32-bit cells where no cell can come near it.
@@ -46,9 +45,7 @@ BAND = 16
 Found = tuple[int, int, str]
 UNMAPPED = (None, None, None)
 #: Operations by way: from the diagonal, from a query letter against a gap, from a reference letter against one.
-OPERATIONS = np.frombuffer(b"MID", "u1")
-#: Runs of one operation.
-RUNS = re.compile(r"((.)\2*)")
+OPERATIONS = "MID"
 #: What proteins are scored by where nothing is said.
 DEFAULT_MATRIX = "blosum62"
 
@@ -275,7 +272,7 @@ def score_table(queries: list[str], references: list[str], scoring: Scoring) ->
         group = [k for k in short[at : at + SIDES] if 8 * len(references[k]) <= 9 * len(references[short[at]])]
         at += len(group)
         r = padded([references[k] for k in group], scoring.alphabet).T
-        for lot in lots_of(queries, len(r), scoring, lambda n, size: ROW_CELLS // (n + 1) // size // len(group)):
+        for lot in lots_of(queries, len(r), scoring, lambda n, size: ROW_BYTES // (n + 1) // size // len(group)):
             peaks = diagonals(lot, r, scoring)[0].max(axis=0).astype("i8") - lot.zero
             out[np.ix_(group, lot.numbers)] = peaks.reshape(len(group), -1)
     for k in set(range(len(references))) - set(short):
@@ -289,13 +286,14 @@ def traced_alike(queries: list[str], reference: str, scoring: Scoring) -> list[F
     out: list[Found | None] = [None] * len(queries)
     r, first, more = encoded(reference, scoring.alphabet)[:, None], scoring.gap_open, scoring.gap_extend
     m = len(r)
-    large = [i for i, q in enumerate(queries) if (len(q) + m + 1) * (len(q) + 1) > DIAGONAL_CELLS]
+    cells = lambda n: (n + m + 1) * (n + 1)
+    large = [i for i, q in enumerate(queries) if 8 * cells(len(q)) > TABLE_BYTES]
     for group in ([large[i] for i in g] for g in grouped([queries[i] for i in large], [reference] * len(large), lambda n, m: (n + 1) * (m + 1))):
         for i, found in zip(group, swept([queries[i] for i in group], [reference] * len(group), scoring)):
             out[i] = found
-    small = queries if not large else ["" if (len(q) + m + 1) * (len(q) + 1) > DIAGONAL_CELLS else q for q in queries]
-    space = np.empty((3, DIAGONAL_CELLS * 8), "u1")  # of which bytes that nothing is written to take no memory
-    for lot in lots_of(small, m, scoring, lambda n, size: DIAGONAL_CELLS // ((n + m + 1) * (n + 1)) // size):
+    small = ["" if 8 * cells(len(q)) > TABLE_BYTES else q for q in queries] if large else queries
+    space = np.empty((3, TABLE_BYTES), "u1")
+    for lot in lots_of(small, m, scoring, lambda n, size: TABLE_BYTES // cells(n) // size):
         peaks, (best, down, right) = diagonals(lot, r, scoring, space)
         lines, count = len(peaks), len(lot.numbers)
         best, down, right, line = best.ravel(), down.ravel(), right.ravel(), lines * count
@@ -310,7 +308,7 @@ def traced_alike(queries: list[str], reference: str, scoring: Scoring) -> list[F
             across, along = right[at], down[at]
             way = np.where(gap > 0, gap, np.where(here == across, 2, np.where(here == along, 1, 0))).astype("u1")
             ops = np.zeros(count, "u1")
-            ops[k] = OPERATIONS[way]
+            ops[k] = way + 1
             steps.append(ops)
             at = at - back[way]
             here, gap = best[at], np.zeros(len(k), "u1")
@@ -324,20 +322,30 @@ def traced_alike(queries: list[str], reference: str, scoring: Scoring) -> list[F
                 k, at, gap, here = k[alive], at[alive], gap[alive], here[alive]
         if not steps:
             continue
-        shown = np.stack(steps[::-1], axis=1)
-        plain, long = ((shown == 0) | (shown == ord("M"))).all(axis=1).tolist(), (shown > 0).sum(axis=1).tolist()
         i = ends // count % lines
-        clip = ["", *(f"{x}S" for x in range(1, lines))]
         tops = (score.astype("i8") - lot.zero).tolist()
         capable(max(tops))
-        columns = zip(lot.numbers, tops, (ends // line - i).tolist(), i.tolist(), (lot.sizes - last).tolist(), plain, long)
-        for place, (number, top, start, head, tail, simple_way, length) in enumerate(columns):
+        clip = ["", *(f"{x}S" for x in range(1, lines))]
+        for number, top, start, head, tail, core in zip(lot.numbers, tops, (ends // line - i).tolist(), i.tolist(), (lot.sizes - last).tolist(), runs_of(np.stack(steps[::-1], axis=1))):
             if top:
-                core = f"{length}M" if simple_way else "".join(f"{len(run[0])}{run[1]}" for run in RUNS.findall(shown[place].tobytes().lstrip(b"\0").decode("latin-1")))
                 out[number] = top, start, clip[head] + core + clip[tail]
     return out
 
 
+def runs_of(ways: np.ndarray) -> list[str]:
+    """The CIGAR of each row of numbers into OPERATIONS from 1; a row may begin with zeros."""
+    size = ways.shape[1]
+    begins = ways > 0
+    begins[:, 1:] &= ways[:, 1:] != ways[:, :-1]
+    row, at = np.nonzero(begins)
+    after = np.append(at[1:], size)
+    after[np.append(row[1:] != row[:-1], True)] = size
+    names = [f"{n}{op}" for op in OPERATIONS for n in range(size + 1)]
+    runs = [names[x] for x in ((ways[row, at].astype("i8") - 1) * (size + 1) + after - at).tolist()]
+    cuts = np.searchsorted(row, np.arange(len(ways) + 1)).tolist()
+    return ["".join(runs[a:b]) for a, b in zip(cuts, cuts[1:])]
+
+
 def grouped(queries: list[str], references: list[str], cells_of) -> list[list[int]]:
     """Numbers of the pairs with letters on both sides, in lots of like sizes whose tables stay within CELLS."""
     order = sorted((i for i in range(len(queries)) if queries[i] and references[i]), key=lambda i: (len(references[i]), len(queries[i])))

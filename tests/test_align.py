@@ -234,3 +234,21 @@ def test_tallies_look_at_the_queries_once(spark):
             done = align.tallies(queries, own, align.align(queries, own, align.simple(), method="scores"), rev_comp)
             assert tuple(done.first()) == wanted[n][rev_comp]
             assert done._jdf.queryExecution().optimizedPlan().toString().count("Aggregate") == 1
+
+
+@pytest.mark.parametrize("scoring", [align.simple(2, 3, gap_open=4, gap_extend=1), align.simple(1, 1, gap_open=1, gap_extend=0), align.simple(100, 90, gap_open=20, gap_extend=20), align.simple(2, 1, ignore_n=True, gap_open=2, gap_extend=1)])
+def test_ways_along_diagonals_are_those_of_whole_tables(monkeypatch, scoring):
+    """All scores: gaps on both sides, ties, letters of either case, and pairs whose tables don't fit in the space of a lot."""
+    draw = random.Random(15)
+    letters = lambda n: "".join(draw.choices("ACGTNacgtRY", k=n))
+    reference = letters(50)
+    queries = [letters(draw.randrange(1, 40)) for _ in range(60)] + [reference[a : a + 12] + letters(draw.randrange(4)) + reference[a + 12 + draw.randrange(5) : a + 30] for a in range(20)] + ["A" * 30]
+    wanted = [align.swept([q], [reference], scoring)[0] for q in queries]
+    assert any("D" in x[2] for x in wanted if x) and any("I" in x[2] for x in wanted if x)
+    for room in (1 << 24, 1 << 16, 1 << 14):
+        monkeypatch.setattr(align, "TABLE_BYTES", room)
+        assert align.traced_alike(queries, reference, scoring) == wanted
+
+
+def test_runs_of_ways():
+    assert align.runs_of(align.np.array([[0, 0, 1, 1, 2], [3, 1, 3, 3, 3], [0, 0, 0, 0, 0], [0, 0, 0, 0, 1], [1, 1, 1, 1, 1]], "u1")) == ["2M1I", "1D1M3D", "", "1M", "5M"]
