@@ -646,25 +646,25 @@ def turned(sequences: list[str]) -> list[str]:
     return [known[s] for s in sequences]
 
 
-def placed(sequences: list[str], refs: list[str], scoring: Scoring, method: str, rev_comp: bool) -> tuple[np.ndarray, list[tuple | None]]:
+def placed(sequences: list[str], refs: list[str], scoring: Scoring, method: str, rev_comp: bool) -> tuple[np.ndarray, np.ndarray | list[tuple | None]]:
     """(whether the reverse strand is better; (score, ref_start, cigar) of the better strand, none if nothing matches) of each query with
-    each reference, references of a query side by side."""
+    each reference, references of a query side by side; by "scores" the scores alone, 0 if nothing matches."""
     if not rev_comp and method != "scores":
         return np.zeros(len(sequences) * len(refs), bool), aligned_pairs([s for s in sequences for _ in refs], refs * len(sequences), scoring, method)
     forward = score_table(sequences, refs, scoring).T.ravel()
     if not rev_comp:
-        return np.zeros(len(forward), bool), [(x, None, None) if x else None for x in forward.tolist()]
+        return np.zeros(len(forward), bool), forward
     back = turned(sequences)
     backward = score_table(back, refs, scoring).T.ravel()
     wins = backward > forward
     if method == "scores":
-        return wins, [(x, None, None) if x else None for x in np.maximum(forward, backward).tolist()]
+        return wins, np.maximum(forward, backward)
     strands = [x for pair in zip(sequences, back) for x in pair]
     at = np.repeat(np.arange(len(sequences)), len(refs)) * 2 + wins
     return wins, aligned_pairs([strands[k] for k in at.tolist()], refs * len(sequences), scoring, method)
 
 
-def best_placed(sequences: list[str], refs: list[str], ranks: list, scoring: Scoring, method: str, rev_comp: bool) -> tuple[np.ndarray, np.ndarray, list[tuple | None]]:
+def best_placed(sequences: list[str], refs: list[str], ranks: list, scoring: Scoring, method: str, rev_comp: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray | list[tuple | None]]:
     """(number of the reference, whether the reverse strand is better, (score, ref_start, cigar)) of each query's best reference, the one of
     highest rank of equals; only that one's way is looked for."""
     order = np.array(sorted(range(len(refs)), key=lambda k: ranks[k], reverse=True))
@@ -675,15 +675,19 @@ def best_placed(sequences: list[str], refs: list[str], ranks: list, scoring: Sco
     best, all_of = order[scores[order].argmax(axis=0)], np.arange(len(sequences))
     wins = backward[best, all_of] > forward[best, all_of]
     if method == "scores":
-        return best, wins, [(x, None, None) if x else None for x in scores[best, all_of].tolist()]
+        return best, wins, scores[best, all_of]
     return best, wins, aligned_pairs([b if w else s for s, b, w in zip(sequences, back, wins.tolist())], [refs[k] for k in best.tolist()], scoring, method)
 
 
-def columns_of(at: np.ndarray, wins: np.ndarray, found: list[tuple | None]) -> list[pa.Array]:
+def columns_of(at: np.ndarray, wins: np.ndarray, found: np.ndarray | list[tuple | None]) -> list[pa.Array]:
     """The fields of PLACED."""
-    score, start, cigar = zip(*(x or UNMAPPED for x in found)) if found else ((), (), ())
     strand = pa.DictionaryArray.from_arrays(pa.array(wins.astype("i4")), pa.array(["+", "-"])).cast(pa.string())
-    return [pa.array(at, pa.int32()), strand, pa.array(score, pa.int64()), pa.array(start, pa.int32()), pa.array(cigar, pa.string())]
+    if isinstance(found, np.ndarray):
+        ways = pa.array(found, pa.int64(), mask=found == 0), pa.nulls(len(found), pa.int32()), pa.nulls(len(found), pa.string())
+    else:
+        columns = zip(*(x or UNMAPPED for x in found)) if found else ((), (), ())
+        ways = (pa.array(x, kind) for x, kind in zip(columns, (pa.int64(), pa.int32(), pa.string())))
+    return [pa.array(at, pa.int32()), strand, *ways]
 
 
 def align(queries: DataFrame, references: DataFrame, scoring: Scoring, rev_comp: bool = False, best_match: bool = False, method: str = "1pass") -> DataFrame:
@@ -717,15 +721,17 @@ def align(queries: DataFrame, references: DataFrame, scoring: Scoring, rev_comp:
         numbers = blocks.to_numpy()
         sizes = np.minimum(len(refs), (numbers + 1) * BLOCK) - numbers * BLOCK
         cuts = np.concatenate([[0], np.cumsum(sizes)])
-        at, wins, found = np.empty(cuts[-1], "i4"), np.empty(cuts[-1], bool), np.empty(cuts[-1], object)
+        parts, places = [], []
         for b in np.unique(numbers).tolist():
             rows, span = np.flatnonzero(numbers == b), range(b * BLOCK, min(len(refs), (b + 1) * BLOCK))
-            places = (cuts[rows][:, None] + np.arange(len(span))).ravel()
-            at[places] = np.tile(span, len(rows))
-            wins[places], ways = placed([own[i] for i in rows.tolist()], [refs[k] for k in span], scoring, method, rev_comp)
-            for place, way in zip(places.tolist(), ways):
-                found[place] = way
-        return pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.StructArray.from_arrays(columns_of(at, wins, found.tolist()), fields=list(kind)))
+            places.append((cuts[rows][:, None] + np.arange(len(span))).ravel())
+            ways = placed([own[i] for i in rows.tolist()], [refs[k] for k in span], scoring, method, rev_comp)
+            parts.append(pa.record_batch(columns_of(np.tile(span, len(rows)), *ways), names=[f.name for f in kind]))
+        found = pa.Table.from_batches(parts, pa.schema(list(kind))).combine_chunks()
+        if len(parts) > 1:
+            found = found.take(np.argsort(np.concatenate(places)))
+        columns = [c.combine_chunks() for c in found.columns]
+        return pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.StructArray.from_arrays(columns, fields=list(kind)))
 
     own = ["ord", "header", "sequence", "quality"]
     names = StructType([StructField("at", IntegerType()), references.schema["ref_ord"], StructField("name", StringType()), StructField("ref_length", IntegerType())])
@@ -763,16 +769,16 @@ def gridded(queries: DataFrame, references: DataFrame, scoring: Scoring, rev_com
             rows = batch.to_pylist()
             sequences, refs = [row["sequence"] for row in rows], [ref["ref"] for ref in known]
             if best_match:
-                at, wins, found = best_placed(sequences, refs, [ref["ref_ord"] for ref in known], scoring, method, rev_comp)
-                pairs = [(i, known[k]) for i, k in enumerate(at.tolist())]
+                at, *ways = best_placed(sequences, refs, [ref["ref_ord"] for ref in known], scoring, method, rev_comp)
             else:
-                wins, found = placed(sequences, refs, scoring, method, rev_comp)
-                pairs = [(i, ref) for i in range(len(rows)) for ref in known]
+                at, ways = np.tile(np.arange(len(known)), len(rows)), placed(sequences, refs, scoring, method, rev_comp)
+            _, *found = columns_of(at, *ways)
+            side = right.select(["ref_ord", "name"]).take(at).combine_chunks()
+            lengths = np.array([len(ref) for ref in refs], "i4")[at]
             names = ["ref_ord", "name", "ref_length", "strand", "score", "ref_start", "cigar"]
-            values = [(ref["ref_ord"], ref["name"], len(ref["ref"]), "-" if w else "+", *(x or UNMAPPED)) for (_, ref), w, x in zip(pairs, wins.tolist(), found)]
-            kinds = [right.schema.field("ref_ord").type, pa.string(), pa.int32(), pa.string(), pa.int64(), pa.int32(), pa.string()]
-            more = [pa.array([v[k] for v in values], t) for k, t in enumerate(kinds)]
-            yield pa.record_batch([*batch.take(pa.array([i for i, _ in pairs], pa.int64())).columns, *more], names=[*batch.schema.names, *names])
+            more = [*(c.combine_chunks() for c in side.columns), pa.array(lengths), *found]
+            owners = pa.array(np.repeat(np.arange(len(rows)), len(at) // len(rows)), pa.int64())
+            yield pa.record_batch([*batch.take(owners).columns, *more], names=[*batch.schema.names, *names])
 
     def tables(left: pa.Table, right: pa.Table) -> pa.Table:
         batches = list(cell(left, right)) if right.num_rows else []

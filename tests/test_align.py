@@ -252,3 +252,35 @@ def test_ways_along_diagonals_are_those_of_whole_tables(monkeypatch, scoring):
 
 def test_runs_of_ways():
     assert align.runs_of(align.np.array([[0, 0, 1, 1, 2], [3, 1, 3, 3, 3], [0, 0, 0, 0, 0], [0, 0, 0, 0, 1], [1, 1, 1, 1, 1]], "u1")) == ["2M1I", "1D1M3D", "", "1M", "5M"]
+
+
+@pytest.mark.parametrize("method", ["1pass", "scores"])
+def test_best_of_many_references_is_that_of_all_pairs(spark, method):
+    """Best match: more references than one block, of equal scores the last; every pair by the plain tables."""
+    draw = random.Random(16)
+    letters = lambda n: "".join(draw.choices("ACGTN", k=n))
+    texts = [letters(draw.randrange(8, 30)) for _ in range(37)] + ["ACGTACGTAC"] * 2
+    own = [letters(draw.randrange(0, 25)) for _ in range(30)] + ["ACGTACGTAC", "GTACGTACGT", texts[3], None]
+    queries = spark.createDataFrame([(i, f"q{i}", s, None) for i, s in enumerate(own)], "ord long, header string, sequence string, quality string")
+    refs = spark.createDataFrame([(i, f"r{i}", r) for i, r in enumerate(texts)], "ref_ord int, name string, ref string")
+    scoring = align.simple(2, 3, gap_open=4, gap_extend=1)
+    both = lambda s: [s, s and align.bases.complemented(s)]
+    wanted = {}
+    for i, s in enumerate(own):
+        for k, r in enumerate(texts):
+            forward, backward = (align.swept([x], [r], scoring)[0] if x else None for x in both(s))
+            back = (backward or (0,))[0] > (forward or (0,))[0]
+            score, start, cigar = (backward if back else forward) or (None,) * 3
+            wanted[i, k] = ("-" if back else "+", score, *((start, cigar) if method == "1pass" else (None, None)))
+    fields = lambda x: (x["strand"], x["score"], x["ref_start"], x["cigar"])
+    every = align.align(queries, refs, scoring, rev_comp=True, method=method).collect()
+    assert {(x["ord"], x["ref_ord"]): fields(x) for x in every} == wanted and len(every) == len(wanted)
+    best = {x["ord"]: (x["ref_ord"], *fields(x)) for x in align.align(queries, refs, scoring, True, True, method).collect()}
+    tops = {i: max(range(len(texts)), key=lambda k: (wanted[i, k][1] or 0, k)) for i in range(len(own))}
+    assert best == {i: (k, *wanted[i, k]) for i, k in tops.items()}
+
+
+def test_strands_and_references_are_scored_without_objects_by_pair():
+    """A table of numbers for each strand; ways are looked for once a query."""
+    best, wins, found = align.best_placed(["ACGTTGCA", "", "TTTTTTTT", None] * 3, ["ACGTTGCA", "AAAAAAAA", "GGGG"], [0, 1, 2], align.simple(), "scores", True)
+    assert best.tolist() == [0, 2, 1, 2] * 3 and wins.tolist() == [False, False, True, False] * 3 and found.tolist() == [16, 0, 16, 0] * 3
